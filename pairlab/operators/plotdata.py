@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from pairlab.functions.tdist import quantile
 from pairlab.operators.ols import simple_regressions
@@ -27,7 +28,7 @@ def points(df: DataFrame, x: str | Column, y: str | Column, *groups: str) -> Dat
     return df.select(*groups, xc.cast("double").alias("x"), yc.cast("double").alias("y"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _t_multiplier(df: pd.Series, level: pd.Series) -> pd.Series:
     return pd.Series([quantile(0.5 + l / 2, d) if d > 0 else None for d, l in zip(df, level)], dtype="float64")
 
