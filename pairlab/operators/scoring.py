@@ -85,6 +85,8 @@ class BigramModel:
         """Count bigrams with map-side combine; word counts come from the bigram counts.
 
         The vocabulary is every token that can be predicted: all words and the end marker.
+        Every word also precedes something, and the start marker stands in for the end
+        marker, so its size is the number of word rows.
         """
         bigrams = bigram_table(df, [], text)
         pair_counts = stage(bigrams.groupBy("prev", "token").agg(F.count(F.lit(1)).alias("pair_count")), "bigrams")
@@ -92,43 +94,37 @@ class BigramModel:
         return cls(pair_counts, word_counts)
 
     def log_probs(self, df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
-        """(keys, prev, token, times, logprob): distinct bigrams of each key, with counts.
+        """(keys, prev, token, logprob), one row per scored position.
 
-        Repeats inside a key are folded before the joins, and both joins are many-to-one,
-        so a hot bigram only lengthens the probe side, which Spark splits when it is skewed.
+        Both joins are many-to-one from staged tables, so a hot bigram only lengthens the
+        probe side, which Spark splits when it is skewed, and a small table is broadcast.
         """
-        folded = bigram_table(df, keys, text).groupBy(*keys, "prev", "token").agg(F.count(F.lit(1)).alias("times"))
-        vocabulary = self.pair_counts.agg(F.count_distinct("token")).scalar()
-        joined = folded.join(self.pair_counts, ["prev", "token"], "left").join(self.word_counts, "prev", "left")
+        vocabulary = self.word_counts.agg(F.count(F.lit(1))).scalar()
+        joined = bigram_table(df, keys, text).drop("pos").join(self.pair_counts, ["prev", "token"], "left")
+        joined = joined.join(self.word_counts, "prev", "left")
         seen = F.coalesce(F.col("pair_count"), F.lit(0)) + F.lit(1.0)
         of = F.coalesce(F.col("prev_count"), F.lit(0)) + vocabulary
-        return joined.select(*keys, "prev", "token", "times", F.log(seen / of).alias("logprob"))
+        return joined.select(*keys, "prev", "token", F.log(seen / of).alias("logprob"))
 
 
-def mean_log_prob(logprob: str | Column = "logprob", times: str | Column | None = None) -> Column:
+def mean_log_prob(logprob: str | Column = "logprob") -> Column:
     """Aggregate: mean token log-probability."""
-    lp = F.col(logprob) if isinstance(logprob, str) else logprob
-    if times is None:
-        return F.avg(lp)
-    weight = F.col(times) if isinstance(times, str) else times
-    return F.sum(lp * weight) / F.sum(F.when(lp.isNotNull(), weight))
+    return F.avg(logprob)
 
 
-def log_mean_exp(logprob: str | Column = "logprob", times: str | Column | None = None) -> Column:
+def log_mean_exp(logprob: str | Column = "logprob") -> Column:
     """Aggregate: logsumexp of token log-probabilities minus log of their number.
 
     A streaming sum cannot know the largest value beforehand, so the sum is kept at three
     fixed scales and the first that has not underflowed is used; it holds every term that
-    matters for log-probabilities down to about -1900.
+    matters for log-probabilities down to about -1800.
     """
     lp = F.col(logprob) if isinstance(logprob, str) else logprob
-    weight = F.lit(1) if times is None else (F.col(times) if isinstance(times, str) else times)
-    count = F.sum(F.when(lp.isNotNull(), weight))
     total = F.max(lp)
     for scale in (1200.0, 600.0, 0.0):
-        scaled = F.sum(F.exp(lp + scale) * weight)
-        total = F.when(scaled > 1e-100, F.log(scaled) - scale).otherwise(total)
-    return total - F.log(count)
+        scaled = F.sum(F.exp(lp + scale))
+        total = F.when(scaled > 1e-290, F.log(scaled) - scale).otherwise(total)
+    return total - F.log(F.count(lp))
 
 
 def reduce_scores(tokens: DataFrame, keys: Sequence[str], reduction: Callable[..., Column], name: str = "score", **columns) -> DataFrame:

@@ -8,6 +8,7 @@ from pairlab.operators import scoring as C
 from pairlab.operators.reshape import mean_value, to_wide
 from pairlab.plans import standin as V
 from pairlab.plans.registry import query, rounded
+from pairlab.sources.tables import spread_scan
 
 _WORDS = "list_concat(['<s>'], [x for x in regexp_split_to_array(lower(text), '[^a-z]+') if x <> ''], ['</s>'])"
 
@@ -31,12 +32,16 @@ _LETTER_SQL = """letters as (
   select a, sum(c) as c from cells group by a)"""
 
 
+def _documents(spark, sf_dir):
+    return spread_scan(V.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("score_batch", f"""
 with {_LETTER_SQL}
 select doc_id, round(avg(ln((cells.c + 1.0) / (rows.c + 27.0))), 6) as score
 from steps s join cells on s.a = cells.a and s.b = cells.b join rows on s.a = rows.a group by doc_id""")
 def score_batch(spark, sf_dir):
-    documents = V.table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = _documents(spark, sf_dir)
     model = C.train_letter_model(documents, "text")
     scored = C.score_texts(documents, "text", C.letter_scorer(model))
     return rounded(scored.select("doc_id", "score"), "score")
@@ -46,7 +51,7 @@ def score_batch(spark, sf_dir):
 with words as (select doc_id, {_WORDS} as w from documents)
 select doc_id, cast(unnest(range(0, len(w))) as integer) as pos, unnest(w) as token from words""")
 def score_tokens(spark, sf_dir):
-    return C.token_table(V.table(spark, sf_dir, "documents"), ["doc_id"], "text")
+    return C.token_table(_documents(spark, sf_dir), ["doc_id"], "text")
 
 
 @query("score_logsoftmax", """
@@ -59,13 +64,13 @@ def score_logsoftmax(spark, sf_dir):
 
 
 def _token_scores(spark, sf_dir):
-    documents = V.table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = _documents(spark, sf_dir)
     return C.BigramModel.train(documents, "text").log_probs(documents, ["doc_id"], "text")
 
 
 @query("score_mean_logprob", f"with {_LOGPROB_SQL} select doc_id, round(avg(lp), 6) as score from scored group by doc_id")
 def score_mean_logprob(spark, sf_dir):
-    return rounded(C.reduce_scores(_token_scores(spark, sf_dir), ["doc_id"], C.mean_log_prob, times="times"), "score")
+    return rounded(C.reduce_scores(_token_scores(spark, sf_dir), ["doc_id"], C.mean_log_prob), "score")
 
 
 @query("score_logmeanexp", f"""
@@ -73,7 +78,7 @@ with {_LOGPROB_SQL}, top as (select doc_id, max(lp) as m from scored group by do
 select s.doc_id, round(any_value(m) + ln(sum(exp(lp - m))) - ln(count(*)), 6) as score
 from scored s join top t on s.doc_id = t.doc_id group by s.doc_id""")
 def score_logmeanexp(spark, sf_dir):
-    return rounded(C.reduce_scores(_token_scores(spark, sf_dir), ["doc_id"], C.log_mean_exp, times="times"), "score")
+    return rounded(C.reduce_scores(_token_scores(spark, sf_dir), ["doc_id"], C.log_mean_exp), "score")
 
 
 @query("score_masked", """
@@ -103,11 +108,11 @@ with {_BIGRAM_SQL}, talk as (
 select conv_id, round(user_score, 6) as user_score, round(assistant_score, 6) as assistant_score,
        round(assistant_score - user_score, 6) as diff from wide""")
 def score_pair_diff(spark, sf_dir):
-    documents = V.table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = _documents(spark, sf_dir)
     model = C.BigramModel.train(documents, "text")
     talk = V.table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant"))
     tokens = model.log_probs(talk, ["conv_id", "role"], "text")
-    scored = C.reduce_scores(tokens, ["conv_id", "role"], C.mean_log_prob, times="times")
+    scored = C.reduce_scores(tokens, ["conv_id", "role"], C.mean_log_prob)
     wide = to_wide(scored, ["conv_id"], "role", ["user", "assistant"], {"score": mean_value}, "{level}_{value}")
     wide = wide.withColumn("diff", F.col("assistant_score") - F.col("user_score"))
     return rounded(wide, "user_score", "assistant_score", "diff")

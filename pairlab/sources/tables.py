@@ -67,3 +67,13 @@ def write_csv(
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.csv(path)
+
+
+def spread_scan(table: DataFrame) -> DataFrame:
+    """Spread a plain table scan over all cores when its files give fewer partitions.
+
+    Worth one shuffle before work that is heavy per row, such as splitting long texts.  A
+    table of many files is returned as it is.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
