@@ -164,27 +164,23 @@ def _evaluate(
     firsts = [sorted({a for a, _ in ratios.get(g, ())}) for g in range(len(found))]
     inner = F.array(*[_doubles(values) for values in firsts])
     spread = level_table.select("*", F.posexplode(inner[F.col("__g")]).alias("i1", "r1"))
-    theta = F.col("r1") * F.col("r1")
-    d = 1 + F.col("n") * theta
-    cells = [F.col("n"), *[F.col(c) for c in names]]
-    keys = ["__g", "i1", "r1", "outer"] if nested else ["__g", "r1"]
-    sums = [F.sum(theta / d * cells[i] * cells[j]).alias(f"a{i}_{j}") for i, j in upper]
-    logs = F.sum(F.log1p(F.col("n") * theta)).alias("ld")
-    # Column 0 of W is the intercept, whose level total is n.
-    folds = [F.sum(c / d).alias(f"c{i}") for i, c in enumerate(cells)]
+    cells = ["n", *names]  # column 0 of W is the intercept, whose level total is n
+    weighed = spread.selectExpr("*", "1 / (1 + n * r1 * r1) AS u", "r1 * r1 / (1 + n * r1 * r1) AS q")
+    sums = [F.expr(f"sum(q * {cells[i]} * {cells[j]}) AS a{i}_{j}") for i, j in upper]
+    logs = F.expr("sum(log1p(n * r1 * r1)) AS ld")
     if nested:
-        verbs = spread.groupBy(*keys).agg(*sums, logs, *folds)
+        folds = [F.expr(f"sum(u * {c}) AS c{i}") for i, c in enumerate(cells)]
+        verbs = weighed.groupBy("__g", "i1", "r1", "outer").agg(*sums, logs, *folds)
         seconds = [[sorted({b for a, b in ratios[g] if a == r1}) for r1 in values] for g, values in enumerate(firsts)]
         outer = F.array(*[F.array(*[_doubles(v) for v in rows] or [_doubles(())]) for rows in seconds])
         per_verb = verbs.select("*", F.explode(outer[F.col("__g")][F.col("i1")]).alias("r2"))
-        theta2 = F.col("r2") * F.col("r2")
-        d2 = 1 + theta2 * F.col("c0")
+        per_verb = per_verb.selectExpr("*", "r2 * r2 / (1 + r2 * r2 * c0) AS q2")
         totals = per_verb.groupBy("__g", "r1", "r2").agg(
-            *[F.sum(F.col(f"a{i}_{j}") + theta2 / d2 * F.col(f"c{i}") * F.col(f"c{j}")).alias(f"a{i}_{j}") for i, j in upper],
-            F.sum(F.col("ld") + F.log1p(theta2 * F.col("c0"))).alias("ld"),
+            *[F.expr(f"sum(a{i}_{j} + q2 * c{i} * c{j}) AS a{i}_{j}") for i, j in upper],
+            F.expr("sum(ld + log1p(r2 * r2 * c0)) AS ld"),
         )
     else:
-        totals = spread.groupBy(*keys).agg(*sums, logs).withColumn("r2", F.lit(0.0))
+        totals = weighed.groupBy("__g", "r1").agg(*sums, logs).withColumn("r2", F.lit(0.0))
     result: dict[int, dict[tuple[float, float], Profile]] = {g: {} for g in ratios}
     for row in totals.collect():
         centre = found[row["__g"]]
@@ -280,7 +276,7 @@ def fit_nested(
     grid = [(a, b) for a in COARSE_RATIOS for b in (COARSE_RATIOS if nested else (0.0,))]
     first = _evaluate(table, stats, {g: grid for g in range(len(groups))}, nested)
     at = {g: min(grid, key=lambda r: first[g][r].criterion) for g in first}
-    width = {g: 0.04 for g in at}
+    width = {g: 0.01 for g in at}
     open_ = set(at)
     for _ in range(passes):
         if not open_:
@@ -292,8 +288,8 @@ def fit_nested(
             values = np.array([[seen[g][r].criterion for r in row] for row in stencils[g]])
             target = _newton(values, at[g], steps[g], nested)
             moved = max(abs(t - a) / max(a, 0.25) for t, a in zip(target, at[g]))
-            at[g] = tuple(0.0 if t < 1e-5 else t for t in target)
-            if moved < 1e-6 or (moved < 1e-4 and width[g] <= 0.003):
+            at[g] = tuple(0.0 if t < 1e-5 else float(t) for t in target)
+            if moved < 3e-5:
                 open_.discard(g)
             width[g] = max(min(width[g], moved), 0.002)
     steps = {g: tuple(0.02 * max(a, 0.25) for a in at[g]) for g in at}
@@ -440,8 +436,17 @@ def solve_moments(table: Sequence[Sequence[float]]) -> np.ndarray:
         free.remove(min(negative, key=lambda k: solved[k]))
 
 
-def _sum_products(tables: Sequence[str], others: Sequence[str], weight: Column, left: str, right: str) -> list[Column]:
-    return [F.sum(weight * F.col(a) * F.col(b)).alias(f"{left}{i}_{right}{k}") for i, a in enumerate(tables) for k, b in enumerate(others)]
+def _sum_products(left: Sequence[str], right: Sequence[str], weight: str = "1", name: str = "s") -> list[Column]:
+    """sum(weight * left_i * right_k) for every i and k, as ``name``i_k."""
+    return [F.expr(f"sum({weight} * {a} * {c}) AS {name}{i}_{k}") for i, a in enumerate(left) for k, c in enumerate(right)]
+
+
+def _matrix(row, height: int, width: int, name: str = "s") -> np.ndarray:
+    return np.array([[row[f"{name}{i}_{k}"] for k in range(width)] for i in range(height)])
+
+
+def _number(value: float) -> str:
+    return f"({float(value)!r}D)"
 
 
 def fit_crossed(
@@ -469,81 +474,74 @@ def fit_crossed(
     xx, xy = gram[:-1, :-1], gram[:-1, -1]
     # Right-hand sides in the order: response, then one unit vector per coefficient.
     fx = np.column_stack([xy, np.eye(p)])
-    dp = 1 + F.col("n") * tp
-
-    def by_verb(table: DataFrame, columns: Sequence[str]) -> DataFrame:
-        return table.groupBy("verb").agg(F.sum(F.col("n") / dp).alias("vw"), *[F.sum(F.col(c) / dp).alias(f"v_{c}") for c in columns])
+    # 1 / (1 + n θ_pair) and θ_pair / (1 + n θ_pair) of a pair; θ_verb / (1 + θ_verb w) of a verb.
+    u, q = f"(1 / (1 + n * {_number(tp)}))", f"({_number(tp)} / (1 + n * {_number(tp)}))"
+    weight = f"({_number(tv)} / (1 + {_number(tv)} * vw))"
+
+    def by_verb(table: DataFrame, columns: Sequence[str], *more: Column) -> DataFrame:
+        folded = [F.expr(f"sum({u} * {c}) AS v_{c}") for c in columns]
+        return table.groupBy("verb").agg(F.expr(f"sum(n * {u}) AS vw"), *folded, *more)
+
+    def absorbed_sums(verbs: DataFrame, left: Sequence[str], right: Sequence[str]) -> np.ndarray:
+        """X'Z M⁻¹ Z'(right) of the nested block from verb rows that carry the within-pair sums."""
+        sums = [
+            F.expr(f"sum(s{i}_{k} + {weight} * v_{a} * v_{c}) AS s{i}_{k}")
+            for i, a in enumerate(left) for k, c in enumerate(right)
+        ]
+        return _matrix(verbs.agg(*sums).first(), len(left), len(right))
 
     # X'V⁻¹X for the nested block alone, fixed over the sweeps.
-    fixed = by_verb(d.pairs, x)
-    within = d.pairs.agg(*_sum_products(x, x, tp / dp, "x", "x")).first()
-    between = fixed.agg(*_sum_products([f"v_{c}" for c in x], [f"v_{c}" for c in x], tv / (1 + tv * F.col("vw")), "x", "x")).first()
-    absorbed = np.array([[within[f"x{i}_x{k}"] + between[f"x{i}_x{k}"] for k in range(p)] for i in range(p)])
-    solve_fixed = np.linalg.inv(xx - absorbed)
+    solve_fixed = np.linalg.inv(xx - absorbed_sums(by_verb(d.pairs, x, *_sum_products(x, x, q)), x, x))
 
     incidence = d.cells.select("rater", "pair", "n")
+    response_side = ["wy", *["0D"] * p]
     effects = explained = beta = None
     for _ in range(sweeps):
         # Pair-level right-hand sides, with the raters' current effects taken out.
-        response_side = [F.col("wy"), *[F.lit(0.0)] * p]
         if effects is None:
-            sides_table = d.pairs.select("pair", "verb", *x, *[c.alias(n) for c, n in zip(response_side, z)])
+            sides_table = d.pairs.selectExpr("pair", "verb", *x, *[f"{c} AS {n}" for c, n in zip(response_side, z)])
             fx_now = fx
         else:
             taken = incidence.join(effects.select("rater", *b), "rater").groupBy("pair").agg(
-                *[F.sum(F.col("n") * F.col(c)).alias(f"t{k}") for k, c in enumerate(b)]
+                *[F.expr(f"sum(n * {c}) AS t{k}") for k, c in enumerate(b)]
             )
-            sides_table = d.pairs.join(taken, "pair").select(
-                "pair", "verb", *x, *[(c - F.col(f"t{k}")).alias(z[k]) for k, c in enumerate(response_side)]
+            sides_table = stage(
+                d.pairs.join(taken, "pair").selectExpr(
+                    "pair", "verb", *x, *[f"{c} - t{k} AS {z[k]}" for k, c in enumerate(response_side)]
+                ),
+                "sides",
             )
             fx_now = fx - explained
-        sides_table = stage(sides_table, "sides")
-        verbs = sides_table.groupBy("verb").agg(
-            F.sum(F.col("n") / dp).alias("vw"),
-            *[F.sum(F.col(c) / dp).alias(f"v_{c}") for c in (*x, *z)],
-            *_sum_products(x, z, tp / dp, "x", "z"),
-        )
-        verbs = stage(verbs, "verbs")
-        weight = tv / (1 + tv * F.col("vw"))
-        totals = verbs.agg(*[
-            F.sum(F.col(f"x{i}_z{k}") + weight * F.col(f"v_{a}") * F.col(f"v_{c}")).alias(f"x{i}_z{k}")
-            for i, a in enumerate(x) for k, c in enumerate(z)
-        ]).first()
-        rhs = fx_now - np.array([[totals[f"x{i}_z{k}"] for k in range(sides)] for i in range(p)])
-        new_beta = solve_fixed @ rhs
-
-        def less_fixed(column: str, k: int, prefix: str = "") -> Column:
-            left = F.col(f"{prefix}{column}")
-            for i, c in enumerate(x):
-                left = left - F.lit(float(new_beta[i, k])) * F.col(f"{prefix}{c}")
-            return left
+        verbs = by_verb(sides_table, [*x, *z], *_sum_products(x, z, q))
+        new_beta = solve_fixed @ (fx_now - absorbed_sums(verbs, x, z))
+
+        def less_fixed(column: str, k: int, prefix: str = "") -> str:
+            fitted = " + ".join(f"{_number(new_beta[i, k])} * {prefix}{c}" for i, c in enumerate(x))
+            return f"({column} - ({fitted}))"
 
         # Closed-form pair and verb effects, then the raters given those.
-        verb_effects = verbs.select("verb", *[(weight * less_fixed(c, k, "v_")).alias(f"e{k}") for k, c in enumerate(z)])
-        item = sides_table.join(verb_effects, "verb").select(
-            "pair", *[(F.col(f"e{k}") + tp / dp * (less_fixed(c, k) - F.col("n") * F.col(f"e{k}"))).alias(f"e{k}") for k, c in enumerate(z)]
+        verb_effects = by_verb(sides_table, [*x, *z]).selectExpr(
+            "verb", *[f"{weight} * {less_fixed(f'v_{c}', k, 'v_')} AS e{k}" for k, c in enumerate(z)]
         )
-        seen = incidence.join(item, "pair").groupBy("rater").agg(*[F.sum(F.col("n") * F.col(f"e{k}")).alias(f"u{k}") for k in range(sides)])
-        rater_side = [F.col("wy"), *[F.lit(0.0)] * p]
-
-        def rater_rhs(k: int) -> Column:
-            left = rater_side[k] - F.col(f"u{k}")
-            for i, c in enumerate(x):
-                left = left - F.lit(float(new_beta[i, k])) * F.col(c)
-            return left
-
+        item = sides_table.join(verb_effects, "verb").selectExpr(
+            "pair", *[f"e{k} + {q} * ({less_fixed(c, k)} - n * e{k}) AS e{k}" for k, c in enumerate(z)]
+        )
+        seen = incidence.join(item, "pair").groupBy("rater").agg(
+            *[F.expr(f"sum(n * e{k}) AS u{k}") for k in range(sides)]
+        )
+        shrink = f"({_number(tr)} / (1 + n * {_number(tr)}))"
         raw = stage(
-            d.raters.join(seen, "rater").select("rater", *x, *[(tr / (1 + F.col("n") * tr) * rater_rhs(k)).alias(c) for k, c in enumerate(b)]),
+            d.raters.join(seen, "rater").selectExpr(
+                "rater", *x, *[f"{shrink} * {less_fixed(f'({f} - u{k})', k)} AS {b[k]}" for k, f in enumerate(response_side)]
+            ),
             "rater-effects",
         )
         # The solution's effects are known to add up to 0, or to -θ for the intercept's side.
-        sums = raw.agg(
-            *[F.sum(c).alias(c) for c in (*x, *b)], *_sum_products(x, b, F.lit(1.0), "x", "b")
-        ).first()
+        sums = raw.agg(*[F.sum(c).alias(c) for c in (*x, *b)], *_sum_products(x, b)).first()
         wanted = [0.0, -tr, *[0.0] * (p - 1)]
         lift = [(w - sums[c]) / d.n_raters for w, c in zip(wanted, b)]
-        explained = np.array([[sums[f"x{i}_b{k}"] + lift[k] * sums[c] for k in range(sides)] for i, c in enumerate(x)])
-        effects = raw.select("rater", *x, *[(F.col(c) + F.lit(float(v))).alias(c) for c, v in zip(b, lift)])
+        explained = _matrix(sums, p, sides) + np.outer([sums[c] for c in x], lift)
+        effects = raw.selectExpr("rater", *x, *[f"{c} + {_number(v)} AS {c}" for c, v in zip(b, lift)])
         done = beta is not None and _settled(beta, new_beta, xx, tolerance)
         beta = new_beta
         if done or tr == 0.0:

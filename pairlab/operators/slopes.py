@@ -131,7 +131,7 @@ def _absorbed(table: DataFrame, other: DataFrame | None, q: int, p: int, k: int,
 
 def _read(solved: DataFrame, q: int, p: int, k: int) -> Sums:
     width = q * q + 1 + q * k + p * k + 3
-    row = solved.agg(*[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(width)]).first()
+    row = solved.agg(*[F.expr(f"sum(s[{i}]) AS s{i}") for i in range(width)]).first()
     v = np.array([0.0 if x is None else x for x in row])
     cut = np.cumsum([q * q, 1, q * k, p * k, 1, 1, 1])
     a, t, e, x, o, s, c = np.split(v, cut[:-1])
@@ -168,30 +168,69 @@ class _Model:
             rows.groupBy("first", "second", *x).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").alias("y")),
             "slope-cells",
         )
-        self.x = [F.lit(1.0), *[F.col(c) for c in x]]
-        start = self.yy / self.n
+        column = ["1D", *x]
+        self.sigma2 = self.yy / self.n
         self.blocks = []
         for name, (_, slopes) in zip(("first", "second"), groups):
             at = [0, *[names.index(s) + 1 for s in slopes]]
-            weight = F.col("n")
+            zz = ", ".join(f"sum(n * {column[i]} * {column[j]})" for i in at for j in at)
+            zx = ", ".join(f"sum(n * {column[i]} * {column[j]})" for i in at for j in range(self.p))
+            zy = ", ".join(f"sum(y * {column[i]})" for i in at)
             table = self.cells.groupBy(F.col(name).alias("level")).agg(
-                F.array(*[F.sum(weight * self.x[i] * self.x[j]) for i in at for j in at]).alias("zz"),
-                F.array(*[F.sum(weight * self.x[i] * self.x[j]) for i in at for j in range(self.p)]).alias("zx"),
-                F.array(*[F.sum(F.col("y") * self.x[i]) for i in at]).alias("zy"),
+                F.expr(f"array({zz})").alias("zz"), F.expr(f"array({zx})").alias("zx"), F.expr(f"array({zy})").alias("zy")
             )
             table = stage(table, f"{name}-levels")
-            self.blocks.append(Block(name, at, table, table.count(), 0.2 * start * np.eye(len(at))))
-        self.sigma2 = start
+            self.blocks.append(Block(name, at, table, table.count(), np.eye(len(at))))
+        ordinary = np.linalg.solve(self.xx, self.xy)
+        for block in self.blocks:
+            block.covariance = self.starting_covariance(block, ordinary)
 
     def cross_sums(self, effects: DataFrame, source: Block, target: Block, k: int) -> DataFrame:
         """Z_target' Z_source b per target level: one join on the source level, one grouped sum."""
+        column = ["1D", *[f"x{i + 1}" for i in range(self.p - 1)]]
+        fitted = [
+            " + ".join(f"{column[j]} * b[{s * k + c}]" for s, j in enumerate(source.columns)) + f" AS f{c}" for c in range(k)
+        ]
         joined = self.cells.join(effects.select(F.col("level").alias(source.name), "b"), source.name)
-        sums = []
-        for i in target.columns:
-            for c in range(k):
-                fitted = sum((self.x[j] * F.col("b")[s * k + c] for s, j in enumerate(source.columns)), F.lit(0.0))
-                sums.append(F.sum(F.col("n") * self.x[i] * fitted))
-        return joined.groupBy(F.col(target.name).alias("level")).agg(F.array(*sums).alias("taken"))
+        rows = joined.selectExpr(f"{target.name} AS level", "n", *column[1:], *fitted)
+        sums = [f"sum(n * {column[i]} * f{c})" for i in target.columns for c in range(k)]
+        return rows.groupBy("level").agg(F.expr(f"array({', '.join(sums)})").alias("taken"))
+
+    def starting_covariance(self, block: Block, beta: np.ndarray) -> np.ndarray:
+        """Spread of per-level least-squares effects beyond their sampling error.
+
+        Levels whose own data cannot identify every effect are left out of this first guess.
+        """
+        q, p, sigma2 = block.size, self.p, self.sigma2
+
+        def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(q * q + 1)
+            for batch in batches:
+                if batch.empty:
+                    continue
+                rows = len(batch)
+                zz = np.stack(batch["zz"].to_numpy()).reshape(rows, q, q)
+                zx = np.stack(batch["zx"].to_numpy()).reshape(rows, q, p)
+                zy = np.stack(batch["zy"].to_numpy())
+                values = np.linalg.eigvalsh(zz)
+                good = values[:, 0] > 1e-6 * values[:, -1]
+                if not good.any():
+                    continue
+                inverse = np.linalg.inv(zz[good])
+                b = np.einsum("rij,rj->ri", inverse, zy[good] - zx[good] @ beta)
+                excess = b[:, :, None] * b[:, None, :] - sigma2 * inverse
+                weight = zz[good][:, 0, 0]
+                total[:-1] += np.einsum("r,rij->ij", weight, excess).ravel()
+                total[-1] += weight.sum()
+            yield pd.DataFrame({"cell": np.arange(len(total)), "value": total})
+
+        cells = block.table.select("zz", "zx", "zy").mapInPandas(fold, "cell bigint, value double")
+        total = np.zeros(q * q + 1)
+        for row in cells.groupBy("cell").agg(F.sum("value").alias("value")).collect():
+            total[row["cell"]] = row["value"]
+        guess = total[:-1].reshape(q, q) / total[-1] if total[-1] > 0 else 0.2 * sigma2 * np.eye(q)
+        values, vectors = np.linalg.eigh((guess + guess.T) / 2)
+        return (vectors * np.maximum(values, 1e-3 * sigma2)) @ vectors.T
 
     def sweep(self, effects: DataFrame | None, moved: np.ndarray, right: np.ndarray, response: bool, sums_wanted: np.ndarray):
         """One round: (fixed, second block) given the first, then the first given both."""
