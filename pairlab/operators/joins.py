@@ -46,11 +46,13 @@ def match_text(
     text: str = "sentence",
     catalogue_text: str | None = None,
     on_duplicate: str = "keep",
+    compare: str = "text",
 ) -> DataFrame:
     """Inner join on the text itself.
 
-    Equality is on a 64-bit hash and the text, so sorting and probing compare the hash
-    first.  A text listed more than once in ``catalogue`` multiplies its rows when
+    With ``compare="text"`` equality is on a 64-bit hash and the text, so sorting and probing
+    compare the hash first.  ``compare="digest"`` joins on the SHA-256 of the text instead, so
+    that long texts are not shuffled unless a later step reads them.  A text listed more than once in ``catalogue`` multiplies its rows when
     ``on_duplicate`` is "keep"; "error" fails the job instead.
     """
     right_text = catalogue_text or text
@@ -61,9 +63,16 @@ def match_text(
         right = attach(right, listed, ["__text"]).where(guard.isNull()).drop("__copies")
     elif on_duplicate != "keep":
         raise ValueError("on_duplicate is 'keep' or 'error'")
-    left = df.withColumn("__hash", F.xxhash64(text))
-    right = right.withColumn("__right_hash", F.xxhash64("__text"))
-    test = (left["__hash"] == right["__right_hash"]) & (left[text] == right["__text"])
+    if compare == "digest":
+        left = df.withColumn("__hash", F.unhex(F.sha2(text, 256)))
+        right = right.withColumn("__right_hash", F.unhex(F.sha2("__text", 256)))
+        test = left["__hash"] == right["__right_hash"]
+    elif compare == "text":
+        left = df.withColumn("__hash", F.xxhash64(text))
+        right = right.withColumn("__right_hash", F.xxhash64("__text"))
+        test = (left["__hash"] == right["__right_hash"]) & (left[text] == right["__text"])
+    else:
+        raise ValueError("compare is 'text' or 'digest'")
     return left.join(right, test, "inner").drop("__hash", "__right_hash", "__text")
 
 

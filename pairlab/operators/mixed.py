@@ -13,7 +13,7 @@ stay distributed.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -25,7 +25,7 @@ from pyspark.sql.types import StructType
 from pairlab.functions.design import INTERCEPT, Term
 from pairlab.functions.tdist import two_sided_p
 from pairlab.operators.ols import independent_columns, moments, unpack
-from pairlab.sources.staging import stage
+from pairlab.sources.staging import Scratch, stage
 
 # One fit per group is driven from the driver; more groups than this is a mistake.
 MAX_GROUPS = 1000
@@ -270,31 +270,32 @@ def fit_nested(
     groups, spark = list(found), df.sparkSession
     levels = {"inner": inner, **({"outer": outer} if nested else {})}
     names = [*[f"w{i + 1}" for i in range(len(terms))], "wy"]
-    table = stage(_fold(_centred_rows(df, response, terms, by, found, levels), ["__g", *levels], names), "levels")
-    stats = [found[g] for g in groups]
-
-    grid = [(a, b) for a in COARSE_RATIOS for b in (COARSE_RATIOS if nested else (0.0,))]
-    first = _evaluate(table, stats, {g: grid for g in range(len(groups))}, nested)
-    at = {g: min(grid, key=lambda r: first[g][r].criterion) for g in first}
-    width = {g: 0.01 for g in at}
-    open_ = set(at)
-    for _ in range(passes):
-        if not open_:
-            break
-        steps = {g: tuple(width[g] * max(a, 0.25) for a in at[g]) for g in open_}
-        stencils = {g: _stencil(at[g], steps[g], nested) for g in open_}
-        seen = _evaluate(table, stats, {g: sorted({r for row in stencils[g] for r in row}) for g in open_}, nested)
-        for g in sorted(open_):
-            values = np.array([[seen[g][r].criterion for r in row] for row in stencils[g]])
-            target = _newton(values, at[g], steps[g], nested)
-            moved = max(abs(t - a) / max(a, 0.25) for t, a in zip(target, at[g]))
-            at[g] = tuple(0.0 if t < 1e-5 else float(t) for t in target)
-            if moved < 3e-5:
-                open_.discard(g)
-            width[g] = max(min(width[g], moved), 0.002)
-    steps = {g: tuple(0.02 * max(a, 0.25) for a in at[g]) for g in at}
-    stencils = {g: _stencil(at[g], steps[g], nested) for g in at}
-    last = _evaluate(table, stats, {g: sorted({r for row in stencils[g] for r in row}) for g in at}, nested)
+    with Scratch(spark) as scratch:
+        table = scratch.stage(_fold(_centred_rows(df, response, terms, by, found, levels), ["__g", *levels], names), "levels")
+        stats = [found[g] for g in groups]
+
+        grid = [(a, b) for a in COARSE_RATIOS for b in (COARSE_RATIOS if nested else (0.0,))]
+        first = _evaluate(table, stats, {g: grid for g in range(len(groups))}, nested)
+        at = {g: min(grid, key=lambda r: first[g][r].criterion) for g in first}
+        width = {g: 0.01 for g in at}
+        open_ = set(at)
+        for _ in range(passes):
+            if not open_:
+                break
+            steps = {g: tuple(width[g] * max(a, 0.25) for a in at[g]) for g in open_}
+            stencils = {g: _stencil(at[g], steps[g], nested) for g in open_}
+            seen = _evaluate(table, stats, {g: sorted({r for row in stencils[g] for r in row}) for g in open_}, nested)
+            for g in sorted(open_):
+                values = np.array([[seen[g][r].criterion for r in row] for row in stencils[g]])
+                target = _newton(values, at[g], steps[g], nested)
+                moved = max(abs(t - a) / max(a, 0.25) for t, a in zip(target, at[g]))
+                at[g] = tuple(0.0 if t < 1e-5 else float(t) for t in target)
+                if moved < 3e-5:
+                    open_.discard(g)
+                width[g] = max(min(width[g], moved), 0.002)
+        steps = {g: tuple(0.02 * max(a, 0.25) for a in at[g]) for g in at}
+        stencils = {g: _stencil(at[g], steps[g], nested) for g in at}
+        last = _evaluate(table, stats, {g: sorted({r for row in stencils[g] for r in row}) for g in at}, nested)
 
     rows = []
     for g, group in enumerate(groups):
@@ -353,16 +354,19 @@ class Crossed:
     n_pairs: int
 
     @classmethod
-    def build(cls, df: DataFrame, response: str, terms: Sequence[Term], rater: str, pair: str, verb: str) -> Crossed:
+    def build(
+        cls, df: DataFrame, response: str, terms: Sequence[Term], rater: str, pair: str, verb: str,
+        keep: Callable[[DataFrame, str], DataFrame] = stage,
+    ) -> Crossed:
         """Fold rows to (rater, pair) cells once; every later pass reads counts from them."""
         df = df.dropna(subset=[rater, pair, verb])
         found = centres(df, response, terms, ())
         names = [*[f"w{i + 1}" for i in range(len(terms))], "wy"]
         rows = _centred_rows(df, response, terms, (), found, {"rater": rater, "pair": pair, "verb": verb})
-        cells = stage(_fold(rows, ["rater", "pair", "verb"], names), "cells")
+        cells = keep(_fold(rows, ["rater", "pair", "verb"], names), "cells")
         totals = [F.sum(c).alias(c) for c in ("n", *names)]
-        raters = stage(cells.groupBy("rater").agg(*totals), "raters")
-        pairs = stage(cells.groupBy("pair", "verb").agg(*totals), "pairs")
+        raters = keep(cells.groupBy("rater").agg(*totals), "raters")
+        pairs = keep(cells.groupBy("pair", "verb").agg(*totals), "pairs")
         return cls(found[()], terms, names, cells, raters, pairs, raters.count(), pairs.count())
 
     def moment_table(self) -> DataFrame:
@@ -460,7 +464,15 @@ def fit_crossed(
     are swept together.  A sweep reads the (rater, pair, n) cells twice; sums over a hot
     rater or pair combine on the map side, and level tables join by their known size.
     """
-    d = design or Crossed.build(df, response, terms, rater, pair, verb)
+    with Scratch(df.sparkSession) as scratch:
+        d = design or Crossed.build(df, response, terms, rater, pair, verb, scratch.stage)
+        return _sweep_crossed(d, scratch, variances, sweeps, tolerance)
+
+
+def _sweep_crossed(
+    d: Crossed, scratch: Scratch, variances: Sequence[float] | None, sweeps: int, tolerance: float
+) -> DataFrame:
+    terms, spark = d.terms, scratch.spark
     if variances is None:
         variances = solve_moments([[r["ssw"], r["coef_rater"], r["coef_pair"], r["coef_verb"], r["coef_error"]] for r in d.moment_table().collect()])
     vr, vp, vv, ve = (float(v) for v in variances)
@@ -497,6 +509,7 @@ def fit_crossed(
     response_side = ["wy", *["0D"] * p]
     effects = explained = beta = None
     for _ in range(sweeps):
+        scratch.next_round()
         # Pair-level right-hand sides, with the raters' current effects taken out.
         if effects is None:
             sides_table = d.pairs.selectExpr("pair", "verb", *x, *[f"{c} AS {n}" for c, n in zip(response_side, z)])
@@ -505,7 +518,7 @@ def fit_crossed(
             taken = incidence.join(effects.select("rater", *b), "rater").groupBy("pair").agg(
                 *[F.expr(f"sum(n * {c}) AS t{k}") for k, c in enumerate(b)]
             )
-            sides_table = stage(
+            sides_table = scratch.stage(
                 d.pairs.join(taken, "pair").selectExpr(
                     "pair", "verb", *x, *[f"{c} - t{k} AS {z[k]}" for k, c in enumerate(response_side)]
                 ),
@@ -530,7 +543,7 @@ def fit_crossed(
             *[F.expr(f"sum(n * e{k}) AS u{k}") for k in range(sides)]
         )
         shrink = f"({_number(tr)} / (1 + n * {_number(tr)}))"
-        raw = stage(
+        raw = scratch.stage(
             d.raters.join(seen, "rater").selectExpr(
                 "rater", *x, *[f"{shrink} * {less_fixed(f'({f} - u{k})', k)} AS {b[k]}" for k, f in enumerate(response_side)]
             ),
@@ -549,7 +562,7 @@ def fit_crossed(
     covariance = beta[:, 1:] * ve
     covariance = (covariance + covariance.T) / 2
     rows = _coefficient_rows((), terms, centre, beta[:, 0], covariance, None, (vr, vp, vv, ve))
-    return df.sparkSession.createDataFrame(rows, _result_schema(df, (), ["var_rater", "var_pair", "var_verb", "var_residual"]))
+    return spark.createDataFrame(rows, _result_schema(d.cells, (), ["var_rater", "var_pair", "var_verb", "var_residual"]))
 
 
 def _settled(old: np.ndarray, new: np.ndarray, xx: np.ndarray, tolerance: float) -> bool:

@@ -72,9 +72,10 @@ def linear_smooth(
     )
 
 
-def _with_fences(df: DataFrame, by: Sequence[str], value: str) -> tuple[DataFrame, DataFrame]:
-    """Staged (groups, quartiles, fences) and the rows joined to their group's fences."""
-    boxes = grouped_quantiles(df, by, value, (0.25, 0.5, 0.75), ("lower", "middle", "upper"))
+def _with_fences(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Rows with a value, joined to their group's quartiles and fences; staged once, read twice."""
+    rows = stage(df.where(F.col(value).isNotNull()), "box-rows")
+    boxes = grouped_quantiles(rows, by, value, (0.25, 0.5, 0.75), ("lower", "middle", "upper"), staged=True)
     reach = (F.col("upper") - F.col("lower")) * WHISKER
     boxes = stage(
         boxes.withColumns({"low_fence": F.col("lower") - reach, "high_fence": F.col("upper") + reach}), "boxes"
@@ -82,13 +83,13 @@ def _with_fences(df: DataFrame, by: Sequence[str], value: str) -> tuple[DataFram
     right = boxes.withColumnsRenamed({k: f"__{k}" for k in by})
     match = F.lit(True)
     for k in by:
-        match = match & df[k].eqNullSafe(right[f"__{k}"])
-    return boxes, df.where(F.col(value).isNotNull()).join(right, match).drop(*[f"__{k}" for k in by])
+        match = match & rows[k].eqNullSafe(right[f"__{k}"])
+    return rows.join(right, match).drop(*[f"__{k}" for k in by])
 
 
 def boxes(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Quartiles, whisker ends inside 1.5 IQR and outlier count per group."""
-    _, rows = _with_fences(df, by, value)
+    rows = _with_fences(df.select(*by, value), by, value)
     inside = F.col(value).between(F.col("low_fence"), F.col("high_fence"))
     return rows.groupBy(*by).agg(
         F.min(F.when(inside, F.col(value))).alias("whisker_low"),
@@ -102,7 +103,7 @@ def boxes(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 def box_outliers(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Rows beyond the whiskers of their group."""
-    _, rows = _with_fences(df, by, value)
+    rows = _with_fences(df, by, value)
     outside = ~F.col(value).between(F.col("low_fence"), F.col("high_fence"))
     return rows.where(outside).select(*df.columns)
 

@@ -83,23 +83,25 @@ def grouped_quantiles(
     names: Sequence[str],
     small_group: int = SMALL_GROUP,
     bins: int = BINS,
+    staged: bool = False,
 ) -> DataFrame:
     """Quantile columns ``names`` for each group, interpolated between order statistics.
 
     Groups up to ``small_group`` values use Spark's exact percentile, whose buffer then has
     a bounded size.  Larger groups are searched by counting.  Both give the same numbers.
+    The rows are read several times and are staged first, unless ``staged`` says they are.
     """
-    rows = stage(
-        df.select(*by, F.col(value).cast("double").alias("__x")).where(F.col("__x").isNotNull()), "quantiles"
-    )
-    sizes = stage(
-        rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi")),
-        "quantile-sizes",
-    )
-    largest = sizes.agg(F.max("__n")).first()[0] or 0
-    right = sizes.withColumnsRenamed({k: f"__{k}" for k in by})
+    rows = df.select(*by, F.col(value).cast("double").alias("__x")).where(F.col("__x").isNotNull())
+    if not staged:
+        rows = stage(rows, "quantiles")
+    largest = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     small = rows
     if largest > small_group:
+        sizes = stage(
+            rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi")),
+            "quantile-sizes",
+        )
+        right = sizes.withColumnsRenamed({k: f"__{k}" for k in by})
         small = rows.join(right.where(F.col("__n") <= small_group), _same(rows, right, by), "left_semi")
     packed = small.groupBy(*by).agg(F.percentile("__x", list(map(float, probabilities))).alias("__q"))
     result = packed.select(*by, *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pairlab.functions.design import INTERCEPT, Term
 from pairlab.functions.tdist import two_sided_p
 from pairlab.operators.ols import moments, unpack
-from pairlab.sources.staging import stage
+from pairlab.sources.staging import Scratch
 
 
 @dataclass
@@ -139,7 +139,8 @@ def _read(solved: DataFrame, q: int, p: int, k: int) -> Sums:
 
 
 class _Model:
-    def __init__(self, df: DataFrame, response: str, terms: Sequence[Term], groups: Sequence[tuple[str, Sequence[str]]]):
+    def __init__(self, df: DataFrame, response: str, terms: Sequence[Term], groups: Sequence[tuple[str, Sequence[str]]], scratch: Scratch):
+        self.scratch = scratch
         levels = [g for g, _ in groups]
         df = df.dropna(subset=levels)
         names = [n for n, _ in terms]
@@ -164,7 +165,7 @@ class _Model:
             *[F.col(g).alias(a) for a, g in zip(("first", "second"), levels)], *columns,
             (F.col(response).cast("double") - F.lit(self.ybar)).alias("y"),
         ).dropna(subset=[*x, "y"])
-        self.cells = stage(
+        self.cells = self.scratch.stage(
             rows.groupBy("first", "second", *x).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").alias("y")),
             "slope-cells",
         )
@@ -179,7 +180,7 @@ class _Model:
             table = self.cells.groupBy(F.col(name).alias("level")).agg(
                 F.expr(f"array({zz})").alias("zz"), F.expr(f"array({zx})").alias("zx"), F.expr(f"array({zy})").alias("zy")
             )
-            table = stage(table, f"{name}-levels")
+            table = self.scratch.stage(table, f"{name}-levels")
             self.blocks.append(Block(name, at, table, table.count(), np.eye(len(at))))
         ordinary = np.linalg.solve(self.xx, self.xy)
         for block in self.blocks:
@@ -234,17 +235,18 @@ class _Model:
 
     def sweep(self, effects: DataFrame | None, moved: np.ndarray, right: np.ndarray, response: bool, sums_wanted: np.ndarray):
         """One round: (fixed, second block) given the first, then the first given both."""
+        self.scratch.next_round()
         first, second = self.blocks
         k = right.shape[1]
-        taken = None if effects is None else stage(self.cross_sums(effects, first, second, k), "taken")
+        taken = None if effects is None else self.scratch.stage(self.cross_sums(effects, first, second, k), "taken")
         penalty = self.sigma2 * np.linalg.inv(second.covariance)
         folded = _absorbed(second.table, taken, second.size, self.p, k, penalty, response)
         beta = np.linalg.solve(self.xx - folded[:, : self.p], right - moved - folded[:, self.p:])
-        solved2 = stage(_ridge(second.table, taken, second.size, self.p, k, penalty, self.sigma2, beta, response), "second")
+        solved2 = self.scratch.stage(_ridge(second.table, taken, second.size, self.p, k, penalty, self.sigma2, beta, response), "second")
         sums2 = _read(solved2, second.size, self.p, k)
         taken1 = self.cross_sums(solved2, second, first, k)
         penalty1 = self.sigma2 * np.linalg.inv(first.covariance)
-        solved1 = stage(_ridge(first.table, taken1, first.size, self.p, k, penalty1, self.sigma2, beta, response), "first")
+        solved1 = self.scratch.stage(_ridge(first.table, taken1, first.size, self.p, k, penalty1, self.sigma2, beta, response), "first")
         sums1 = _read(solved1, first.size, self.p, k)
         # Shift the first block to the total it has at the solution.
         lift = (sums_wanted - sums1.effects) / first.levels
@@ -265,35 +267,36 @@ def fit_slopes(
     intercept always varies.  Stops when no coefficient moves by more than ``tolerance`` of
     its standard error and the residual variance has settled.
     """
-    model = _Model(df, response, terms, [first, second])
-    one, two = model.blocks
-    effects, moved = None, np.zeros((model.p, 1))
-    beta = np.zeros((model.p, 1))
-    for _ in range(iterations):
-        new_beta, effects, moved, sums1, sums2 = model.sweep(
-            effects, moved, model.xy[:, None], True, np.zeros((one.size, 1))
-        )
-        # Residual sum of squares from totals: no pass over the rows.
-        b = new_beta[:, 0]
-        rss = (
-            model.yy - 2 * b @ model.xy + b @ model.xx @ b
-            - 2 * (sums1.own + sums2.own) + 2 * b @ (sums1.fixed[:, 0] + sums2.fixed[:, 0])
-            + sums1.self_ + sums2.self_ + 2 * sums1.cross
-        )
-        sigma2 = max((rss + sums1.trace + sums2.trace) / (model.n - model.p), 1e-12 * model.yy / model.n)
-        settled = abs(sigma2 - model.sigma2) <= tolerance * model.sigma2
-        scale = np.sqrt(sigma2 * np.diag(np.linalg.inv(model.xx)))
-        settled = settled and bool(np.all(np.abs(new_beta - beta)[:, 0] <= tolerance * scale))
-        floor = 1e-8 * sigma2
-        drift = 0.0
-        for block, sums in ((one, sums1), (two, sums2)):
-            updated = sums.spread / block.levels + floor * np.eye(block.size)
-            drift = max(drift, float(np.abs(updated - block.covariance).max() / sigma2))
-            block.covariance = updated
-        model.sigma2, beta = sigma2, new_beta
-        if settled and drift <= tolerance:
-            break
-    covariance = _fixed_covariance(model, error_sweeps)
+    with Scratch(df.sparkSession) as scratch:
+        model = _Model(df, response, terms, [first, second], scratch)
+        one, two = model.blocks
+        effects, moved = None, np.zeros((model.p, 1))
+        beta = np.zeros((model.p, 1))
+        for _ in range(iterations):
+            new_beta, effects, moved, sums1, sums2 = model.sweep(
+                effects, moved, model.xy[:, None], True, np.zeros((one.size, 1))
+            )
+            # Residual sum of squares from totals: no pass over the rows.
+            b = new_beta[:, 0]
+            rss = (
+                model.yy - 2 * b @ model.xy + b @ model.xx @ b
+                - 2 * (sums1.own + sums2.own) + 2 * b @ (sums1.fixed[:, 0] + sums2.fixed[:, 0])
+                + sums1.self_ + sums2.self_ + 2 * sums1.cross
+            )
+            sigma2 = max((rss + sums1.trace + sums2.trace) / (model.n - model.p), 1e-12 * model.yy / model.n)
+            settled = abs(sigma2 - model.sigma2) <= tolerance * model.sigma2
+            scale = np.sqrt(sigma2 * np.diag(np.linalg.inv(model.xx)))
+            settled = settled and bool(np.all(np.abs(new_beta - beta)[:, 0] <= tolerance * scale))
+            floor = 1e-8 * sigma2
+            drift = 0.0
+            for block, sums in ((one, sums1), (two, sums2)):
+                updated = sums.spread / block.levels + floor * np.eye(block.size)
+                drift = max(drift, float(np.abs(updated - block.covariance).max() / sigma2))
+                block.covariance = updated
+            model.sigma2, beta = sigma2, new_beta
+            if settled and drift <= tolerance:
+                break
+        covariance = _fixed_covariance(model, error_sweeps)
     shift = np.eye(model.p)
     shift[0, 1:] = -model.shift
     estimate = shift @ beta[:, 0]

@@ -51,7 +51,7 @@ def _human_and_model(spark, sf_dir):
     diffs = scored.select(
         "model", *V.PAIR_COLUMNS, ((F.col("PD_score") - F.col("DO_score")) / 1000).alias("diff")
     )
-    return J.attach(diffs, human, ["sent_pair_id"])
+    return J.attach(diffs, human, ["sent_pair_id"], null_keys_match=False)
 
 
 _HUMAN_SQL = V.RATINGS_SQL + """, human as (
@@ -154,7 +154,7 @@ _BOX_SQL = V.RATINGS_SQL + """, z as (
 
 def _rater_z(spark, sf_dir):
     z = R.standardise(V.ratings(spark, sf_dir), ["partid"], "value")
-    return stage(z.select("classification", "construct", "sent_pair_id", "zscores"), "z")
+    return z.select("classification", "construct", "sent_pair_id", "zscores")
 
 
 @query("plot_box", f"""
@@ -182,7 +182,7 @@ where diff not between q[1] - 1.5 * (q[2] - q[1]) and q[2] + 1.5 * (q[2] - q[1])
 def plot_box_outliers(spark, sf_dir):
     scored = V.score_pairs(spark, sf_dir)
     diffs = scored.select("model", "classification", "sent_pair_id", (F.col("PD_score") - F.col("DO_score")).alias("diff"))
-    return rounded(P.box_outliers(stage(diffs, "diffs"), ["model", "classification"], "diff"), "diff")
+    return rounded(P.box_outliers(diffs, ["model", "classification"], "diff"), "diff")
 
 
 @query("plot_bar_range", f"""

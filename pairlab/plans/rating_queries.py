@@ -161,7 +161,7 @@ from cells c left join score_pairs s on c.sent_pair_id = s.sent_pair_id""")
 def expr_case_pick(spark, sf_dir):
     cells = V.ratings(spark, sf_dir).select("sent_pair_id", "construct").distinct()
     scored = V.score_pairs(spark, sf_dir).select("sent_pair_id", "model", "DO_score", "PD_score")
-    joined = J.attach(cells, scored, ["sent_pair_id"])
+    joined = J.attach(cells, scored, ["sent_pair_id"], null_keys_match=False)
     picked = X.choose("construct", {"PDsentence": "PD_score", "DOsentence": "DO_score"})
     return rounded(joined.select("sent_pair_id", "construct", "model", picked.alias("rel_score")), "rel_score")
 
@@ -250,10 +250,11 @@ def expr_model_name(spark, sf_dir):
 
 
 @query("filter_conj", """
-select event_id, user_id, value from events where event_type = 'click' and user_id = 8""")
+select l_orderkey, l_linenumber, l_quantity from lineitem where l_linestatus = 'F' and l_returnflag = 'R'""")
 def filter_conj(spark, sf_dir):
-    events = V.table(spark, sf_dir, "events").select("event_id", "user_id", "value", "event_type")
-    return events.where((F.col("event_type") == "click") & (F.col("user_id") == 8)).drop("event_type")
+    lineitem = V.table(spark, sf_dir, "lineitem")
+    kept = lineitem.where((F.col("l_linestatus") == "F") & (F.col("l_returnflag") == "R"))
+    return kept.select("l_orderkey", "l_linenumber", "l_quantity")
 
 
 @query("filter_eq", f"with {V.CHECKS_SQL} select partid, item, value from checks where classification = 'trial'")
@@ -322,7 +323,7 @@ from documents d join catalogue c on d.text = c.text""")
 def join_text_inner(spark, sf_dir):
     documents = V.table(spark, sf_dir, "documents")
     catalogue = documents.groupBy("text", F.col("lang").alias("listed_lang")).agg(F.min("doc_id").alias("sent_pair_id"))
-    matched = J.match_text(documents.select("doc_id", "source", "text"), catalogue, "text")
+    matched = J.match_text(documents.select("doc_id", "source", "text"), catalogue, "text", compare="digest")
     return matched.select("doc_id", "source", "listed_lang", "sent_pair_id")
 
 
@@ -348,7 +349,7 @@ from pairs p left join (select * from score_pairs where model = 'A') s on p.sent
 def join_left(spark, sf_dir):
     scored = V.score_pairs(spark, sf_dir).where(F.col("model") == "A")
     diff = scored.select("sent_pair_id", (F.col("PD_score") - F.col("DO_score")).alias("diff_A"))
-    joined = J.attach(V.pairs(spark, sf_dir).select("sent_pair_id", "classification"), diff, ["sent_pair_id"])
+    joined = J.attach(V.pairs(spark, sf_dir).select("sent_pair_id", "classification"), diff, ["sent_pair_id"], null_keys_match=False)
     return rounded(joined, "diff_A")
 
 
@@ -357,7 +358,7 @@ with {V.PAIRS_SQL}, {V.VERBS_SQL}
 select p.sent_pair_id, p.verb_id as item, v.verb from pairs p left join verbs v on p.verb_id = v.verb_id""")
 def join_left_renamed(spark, sf_dir):
     pairs = V.pairs(spark, sf_dir).select("sent_pair_id", F.col("verb_id").alias("item"))
-    return J.attach(pairs, V.verbs(spark, sf_dir).select("verb_id", "verb"), {"item": "verb_id"})
+    return J.attach(pairs, V.verbs(spark, sf_dir).select("verb_id", "verb"), {"item": "verb_id"}, null_keys_match=False)
 
 
 # --- aggregations ------------------------------------------------------------------
@@ -410,8 +411,8 @@ group by r.sent_pair_id, r.verb_id, v.verb, r.construct, r.classification, r.io,
 def agg_many_keys(spark, sf_dir):
     # Group by the key alone, then join the attributes that depend on it.
     cells = V.ratings(spark, sf_dir).groupBy(*V.PAIR_COLUMNS, "construct").agg(X.mean_strict("value").alias("mean_scores"))
-    with_scores = J.attach(cells, _models_wide(spark, sf_dir), ["sent_pair_id"])
-    with_verbs = J.attach(with_scores, V.verbs(spark, sf_dir).select("verb_id", "verb"), ["verb_id"])
+    with_scores = J.attach(cells, _models_wide(spark, sf_dir), ["sent_pair_id"], null_keys_match=False)
+    with_verbs = J.attach(with_scores, V.verbs(spark, sf_dir).select("verb_id", "verb"), ["verb_id"], null_keys_match=False)
     return rounded(with_verbs, "diff_A", "diff_N", "diff_R", "mean_scores")
 
 
@@ -535,7 +536,7 @@ def unpivot_models(spark, sf_dir):
 def combined_sources(spark, sf_dir):
     """Human and model differences of each pair, one row per source."""
     human = pair_table(spark, sf_dir).select(*V.PAIR_COLUMNS, F.col("human_zdiff").alias("Human"))
-    joined = J.attach(human, _models_wide(spark, sf_dir), ["sent_pair_id"])
+    joined = J.attach(human, _models_wide(spark, sf_dir), ["sent_pair_id"], null_keys_match=False)
     named = joined.withColumn("io", X.recode("io", {"longIndefinite": "Long", "shortIndefinite": "Short"}))
     return S.to_long(named, list(V.PAIR_COLUMNS), ["Human", "diff_A", "diff_N", "diff_R"], "source", "diff")
 

@@ -35,8 +35,46 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """Staged tables that a fit needs only while it runs.
+
+    Used as a context manager; ``next_round`` drops what is older than the previous round, so
+    a long iteration keeps two rounds on storage at most.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.base: list[str] = []
+        self.rounds: list[list[str]] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in [*self.base, *[p for paths in self.rounds for p in paths]]:
+            remove_folder(self.spark, path)
+
+    def stage(self, df: DataFrame, label: str) -> DataFrame:
+        path = new_folder(self.spark, label)
+        (self.rounds[-1] if self.rounds else self.base).append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def next_round(self) -> None:
+        if len(self.rounds) > 1:
+            for path in self.rounds.pop(0):
+                remove_folder(self.spark, path)
+        self.rounds.append([])
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a staged folder through the file system that holds it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def stage(df: DataFrame, label: str = "staged") -> DataFrame:
-    """Write ``df`` as Parquet and return the written table."""
+    """Write ``df`` as Parquet and return the written table, which stays until removed."""
     spark = df.sparkSession
     path = new_folder(spark, label)
     df.write.parquet(path)
