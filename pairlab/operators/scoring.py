@@ -179,7 +179,7 @@ def pair_scores(
                 out[f"{name}_score"] = _nullable(part)
             yield out
 
-    scored = df.select(*keys, first, second).mapInPandas(run, schema)
+    scored = df.select(*dict.fromkeys([*keys, first, second])).mapInPandas(run, schema)
     return scored.withColumn("diff", F.col(f"{second}_score") - F.col(f"{first}_score"))
 
 
