@@ -22,14 +22,22 @@ def _mapping(on: Sequence[str] | Mapping[str, str]) -> dict[str, str]:
     return dict(on) if isinstance(on, Mapping) else {k: k for k in on}
 
 
+def _listed(listed: DataFrame, keys: Mapping[str, str]) -> tuple[DataFrame, dict[str, str]]:
+    """Key columns only, under names the other side cannot have."""
+    renamed = listed.select(*[F.col(b).alias(f"__{b}") for b in keys.values()])
+    return renamed, {a: f"__{b}" for a, b in keys.items()}
+
+
 def keep_matching(df: DataFrame, listed: DataFrame, on, null_keys_match: bool = True) -> DataFrame:
     """Rows whose key is listed (left semi)."""
-    return df.join(listed, _condition(df, listed, _mapping(on), null_keys_match), "left_semi")
+    right, keys = _listed(listed, _mapping(on))
+    return df.join(right, _condition(df, right, keys, null_keys_match), "left_semi")
 
 
 def drop_matching(df: DataFrame, listed: DataFrame, on, null_keys_match: bool = True) -> DataFrame:
     """Rows whose key is not listed (left anti)."""
-    return df.join(listed, _condition(df, listed, _mapping(on), null_keys_match), "left_anti")
+    right, keys = _listed(listed, _mapping(on))
+    return df.join(right, _condition(df, right, keys, null_keys_match), "left_anti")
 
 
 def attach(df: DataFrame, other: DataFrame, on, null_keys_match: bool = True, how: str = "left") -> DataFrame:

@@ -31,7 +31,7 @@ from pairlab.sources.staging import Scratch, stage
 MAX_GROUPS = 1000
 
 # First look at each standard-deviation ratio (random effect over residual).
-COARSE_RATIOS = (0.0, 0.05, 0.2, 0.5, 1.0, 2.5, 8.0)
+COARSE_RATIOS = (0.0, 0.1, 0.4, 1.2, 4.0)
 
 
 @dataclass

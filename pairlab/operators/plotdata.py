@@ -74,6 +74,8 @@ def linear_smooth(
 
 def _with_fences(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Rows with a value, joined to their group's quartiles and fences; staged once, read twice."""
+    if not by:
+        raise ValueError("a box needs at least one grouping column")
     rows = stage(df.where(F.col(value).isNotNull()), "box-rows")
     boxes = grouped_quantiles(rows, by, value, (0.25, 0.5, 0.75), ("lower", "middle", "upper"), staged=True)
     reach = (F.col("upper") - F.col("lower")) * WHISKER

@@ -91,6 +91,11 @@ def grouped_quantiles(
     a bounded size.  Larger groups are searched by counting.  Both give the same numbers.
     The rows are read several times and are staged first, unless ``staged`` says they are.
     """
+    if not by:
+        whole = grouped_quantiles(
+            df.withColumn("__all", F.lit(0)), ["__all"], value, probabilities, names, small_group, bins
+        )
+        return whole.drop("__all")
     rows = df.select(*by, F.col(value).cast("double").alias("__x")).where(F.col("__x").isNotNull())
     if not staged:
         rows = stage(rows, "quantiles")

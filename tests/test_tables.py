@@ -201,6 +201,30 @@ def test_quantiles_of_large_groups_match_brute_force(spark, bins):
         assert got[g] == pytest.approx(np.quantile(x, probabilities), rel=1e-12)
 
 
+def test_whole_table_quantiles(spark):
+    x = np.random.default_rng(2).normal(0, 1, 500)
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    for small_group in (1000, 100):
+        row = grouped_quantiles(df, [], "x", (0.25, 0.9), ["a", "b"], small_group=small_group).collect()
+        assert [tuple(r) for r in row] == [pytest.approx(tuple(np.quantile(x, (0.25, 0.9))))]
+
+
+def test_hot_group_survives_without_broadcast(spark):
+    # A third of all rows in one group, and every join as a shuffle join.
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"partid": np.where(rng.random(6000) < 1 / 3, 0, rng.integers(1, 50, 6000)), "value": rng.normal(5, 2, 6000)})
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = R.standardise(spark.createDataFrame(pdf), ["partid"], "value").toPandas()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert len(got) == 6000
+    hot = pdf[pdf.partid == 0].value
+    want = np.sort((hot - hot.mean()) / hot.std())
+    assert np.sort(got[got.partid == 0].zscores) == pytest.approx(want)
+
+
 # --- plot data ---------------------------------------------------------------------
 
 
