@@ -38,7 +38,8 @@ def linear_smooth(
 ) -> DataFrame:
     """Fitted line and confidence band at evenly spaced x per group.
 
-    One aggregation of regression sums; only one row per group is expanded.
+    One aggregation of regression sums; only one row per group is expanded.  Two points give
+    a line without a band.
     """
     complete = xy.where(F.col("x").isNotNull() & F.col("y").isNotNull())
     limits = complete.groupBy(*by).agg(
@@ -51,11 +52,11 @@ def linear_smooth(
         F.regr_syy("y", "x").alias("syy"),
         F.min("x").alias("low"),
         F.max("x").alias("high"),
-    ).where((F.col("n") > 2) & (F.col("sxx") > 0))
+    ).where((F.col("n") > 1) & (F.col("sxx") > 0))
     residual = F.greatest(F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx"), F.lit(0.0))
     per_group = limits.withColumns(
         {
-            "s2": residual / (F.col("n") - 2),
+            "s2": residual / F.nullif(F.col("n") - 2, F.lit(0)),
             "t": _t_multiplier((F.col("n") - 2).cast("double"), F.lit(level)),
         }
     )

@@ -260,3 +260,5 @@ def test_smooth_band(spark):
     assert at["se"] == pytest.approx(se)
     # 2.228 is the table value for 10 degrees of freedom.
     assert (at["ymax"] - at["y"]) / se == pytest.approx(2.228, abs=1e-3)
+    two = P.linear_smooth(df.limit(2), ["g"]).first()
+    assert two["y"] is not None and two["se"] is None and two["ymin"] is None
