@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import importlib
 
+from pairlab.llm.decontaminate import contamination
 from pairlab.llm.near import near_duplicates
+from pairlab.llm.packing import pack
 from pairlab.llm.substring import remove_repeated
 from pairlab.llm.tables import PLANS, SQL, query, table  # noqa: F401
+from pairlab.llm.urls import judge
+
+#: Name of the module that knows where the public tokenizers' files are.
+TOKENIZER_FILES = "public_tokenizers"
+
+
+def tokenizer_path(name: str) -> str:
+    return importlib.import_module(TOKENIZER_FILES).path(name)
 
 
 @query("op2_near_duplicates")
@@ -14,7 +24,64 @@ def op2_near_duplicates(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query("op3_repeated_passages")
+@query("op3_repeated_passages", r"""
+with d as (
+  select doc_id, row_number() over () as rk,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents), win as (
+  select rk, i, array_to_string(w[i + 1:i + 35], ' ') as s from d, unnest(range(0, greatest(len(w) - 34, 0))) t(i)), twice as (
+  select s from win group by s having count(*) > 1), gone as (
+  select rk, list(distinct p) as ps from (
+    select rk, unnest(range(i, i + 35)) as p from win where s in (select s from twice)) group by rk)
+select doc_id, len(w) as n_words, coalesce(len(ps), 0) as n_removed, sha256(coalesce(array_to_string(
+         list_filter(w, lambda x, k: not list_contains(coalesce(ps, []), k - 1)), ' '), '')) as kept_sha256
+from d left join gone using (rk)""")
 def op3_repeated_passages(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeated(documents).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+# The url rules of the contract.
+URL_RULES = [
+    ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"),
+]
+
+
+@query("op6_url_rules", r"""
+with rules(verdict, rhost, rpath) as (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'),
+       ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')), p as (
+  select page_id, row_number() over () as rk,
+         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) as path from pages), best as (
+  select rk, arg_max(rhost || rpath, len(rhost || rpath)) as rule, arg_max(verdict, len(rhost || rpath)) as verdict
+  from p join rules on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) group by rk)
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from p left join best using (rk)""")
+def op6_url_rules(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op7_benchmark_contamination", r"""
+with d as (
+  select doc_id, text, row_number() over () as rk, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents), b as (
+  select item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark), bw as (
+  select distinct item_id, least(13, len(w)) as l, array_to_string(w[i + 1:i + least(13, len(w))], ' ') as s
+  from b, unnest(range(0, len(w) - least(13, len(w)) + 1)) t(i) where len(w) > 0), dw as (
+  select rk, i, l, array_to_string(w[i + 1:i + l], ' ') as s from d, (select distinct l from bw), unnest(range(0, greatest(len(w) - l + 1, 0))) t(i)), hits as (
+  select rk, i, dw.l, item_id from dw join bw on dw.l = bw.l and dw.s = bw.s), hit as (
+  select rk, count(distinct p) as n_hit from (select rk, unnest(range(i, i + l)) as p from hits) group by rk), items as (
+  select rk, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as names
+  from hits group by rk)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join hit using (rk) left join items using (rk)""")
+def op7_benchmark_contamination(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return contamination(documents, table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_packed_sequences")
+def op10_packed_sequences(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack(documents, tokenizer_path("word_bpe_49k.json"))

@@ -22,7 +22,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from pairlab.llm import words as W
 from pairlab.llm.tables import fresh, input_bytes
@@ -31,7 +32,7 @@ WINDOW = 35
 #: Input bytes behind one bucket: a bucket has about one window of 7 + 2 bytes for 4 input bytes.
 BUCKET_BYTES = 12 << 20
 #: Text whose windows are compared with each other before anything is shuffled.
-LOCAL_BYTES = 4 << 20
+LOCAL_BYTES = (2 << 20) - 1
 
 _ROWS = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary()), ("gaps", pa.binary())])
 
@@ -208,8 +209,6 @@ def remove_repeated(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     fields = [docs.schema[c] for c in others] + [StructField(new, StringType())]
     fields += [StructField(added[0], LongType()), StructField(added[1], LongType()), StructField(added[2], StringType())]
     schema = StructType(fields)
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     run = _cut(window, docs.columns.index(text), len(docs.columns), [docs.columns.index(c) for c in others], to_arrow_schema(schema))
     out = joined.mapInArrow(run, schema)
     return out.select(*[F.col(new).alias(text) if c == text else F.col(c) for c in docs.columns], *added)

@@ -18,7 +18,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = (1 << 20) - 1
 
 _MASK = (1 << 64) - 1
 _BYTE_BASE = 0x9E3779B97F4A7C15 | 3
@@ -40,7 +40,7 @@ def spread(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=6)
 def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < size."""
     out = []
@@ -52,7 +52,7 @@ def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(base, 1 << max(21, int(size).bit_length()))
+    return _powers(base, 1 << max(18, int(size - 1).bit_length()))
 
 
 _SEPARATOR = np.zeros(256, dtype=bool)
