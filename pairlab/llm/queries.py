@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import importlib
 
+from pairlab.llm.chat import digests, format_windows
 from pairlab.llm.decontaminate import contamination
+from pairlab.llm.html_text import extract_text
 from pairlab.llm.near import near_duplicates
 from pairlab.llm.packing import pack
+from pairlab.llm.quality import judge_quality
 from pairlab.llm.substring import remove_repeated
 from pairlab.llm.tables import PLANS, SQL, query, table  # noqa: F401
 from pairlab.llm.urls import judge
@@ -19,6 +22,14 @@ def tokenizer_path(name: str) -> str:
     return importlib.import_module(TOKENIZER_FILES).path(name)
 
 
+@query("op1_chat_windows")
+def op1_chat_windows(spark, sf_dir):
+    talk = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], talk.schema)
+    return digests(format_windows(talk.union(extra), tokenizer_path("word_bpe_49k.json")))
+
+
 @query("op2_near_duplicates")
 def op2_near_duplicates(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -81,6 +92,48 @@ def op7_benchmark_contamination(spark, sf_dir):
     return contamination(documents, table(spark, sf_dir, "benchmark"))
 
 
+@query("op8_quality_rules", r"""
+with d as (
+  select doc_id, row_number() over () as rk, coalesce(lang, '') as stratum, coalesce(text, '') as text,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from documents), win as (
+  select rk, i, array_to_string(w[i + 1:i + 5], ' ') as s from d, unnest(range(0, greatest(len(w) - 4, 0))) t(i)), twice as (
+  select rk, s from win group by rk, s having count(*) > 1), rep as (
+  select rk, count(distinct p) as r from (select win.rk, unnest(range(i, i + 5)) as p from win join twice on win.rk = twice.rk and win.s = twice.s)
+  group by rk), c as (
+  select doc_id, rk, stratum, len(w) as n_words, length(array_to_string(w, '')) as word_chars,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols, len(ls) as n_lines,
+         len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(r, 0) as n_repeat_words from d left join rep using (rk)), f as (
+  select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+         least(40, (10 * n_symbols) // greatest(n_words, 1)) as symbols, (40 * n_dup_lines) // greatest(n_lines, 1) as lines,
+         (40 * n_repeat_words) // greatest(n_words, 1) as repeats, least(40, (4 * word_chars) // greatest(n_words, 1)) as long_words,
+         40 - least(40, (4 * word_chars) // greatest(n_words, 1)) as short_words from c), good as (
+  select f.* from f where not base_failed and doc_id in (select doc_id from labels group by doc_id having min(quality) = 1)), long as (
+  select stratum, 'symbols' as rule, symbols as level from good union all select stratum, 'lines', lines from good
+  union all select stratum, 'repeats', repeats from good union all select stratum, 'long_words', long_words from good
+  union all select stratum, 'short_words', short_words from good), pairs as (
+  select stratum, rule, count(*) as n from long group by all), trials as (
+  select p.stratum, p.rule, p.n, cutoff, (select count(*) from long l where l.stratum = p.stratum and l.rule = p.rule and l.level >= cutoff) as k
+  from pairs p, unnest(range(1, 42)) t(cutoff)), tested as (
+  select stratum, rule, cutoff, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.01) + (n - j) * ln(0.99))) as p
+  from trials, unnest(range(0, k + 1)) t(j) where k < n * 0.01 group by all), cuts as (
+  select stratum, rule, min(cutoff) as cutoff from tested where p <= 0.05 / (select count(*) from pairs) group by all having min(cutoff) <= 40), wide as (
+  select stratum, max(cutoff) filter (rule = 'symbols') as c1, max(cutoff) filter (rule = 'lines') as c2, max(cutoff) filter (rule = 'repeats') as c3,
+         max(cutoff) filter (rule = 'long_words') as c4, max(cutoff) filter (rule = 'short_words') as c5 from cuts group by stratum)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       not base_failed and not coalesce(symbols >= c1, false) and not coalesce(lines >= c2, false) and not coalesce(repeats >= c3, false)
+       and not coalesce(long_words >= c4, false) and not coalesce(short_words >= c5, false) as kept
+from f left join wide using (stratum)""")
+def op8_quality_rules(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return judge_quality(documents, table(spark, sf_dir, "labels")).drop("rejected_by")
+
+
+@query("op9_main_text")
+def op9_main_text(spark, sf_dir):
+    return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 @query("op10_packed_sequences")
 def op10_packed_sequences(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
