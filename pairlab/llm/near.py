@@ -9,8 +9,9 @@ are confirmed on full sets.
 
 No bucket is expanded into all its pairs.  First every member meets only the smallest id of
 its bucket.  Then buckets of three or more whose members are still in different components
-are compared inside tasks, in blocks of bounded size; only pairs that survive the Bayesian test
-leave the task, so no link is lost.  Hot buckets are split into pairs of blocks.
+are compared inside tasks, in blocks of bounded size: a first pass confirms each member's likeliest
+pair, a second a few more, and the last every pair that survives the Bayesian test and is still
+between two components, so no link is lost.  Hot buckets are split into pairs of blocks.
 """
 
 from __future__ import annotations
@@ -31,9 +32,11 @@ from pairlab.llm.tables import Staged, fresh
 SHINGLE = 5
 BANDS, ROWS = 48, 6
 #: Rows compared between two looks at the posterior, and the chance at which a pair is given up.
-BATCH, MISS = 48, 1e-6
+BATCH, MISS = 48, 1e-4
 #: Members of one block when a bucket is compared inside a task.
 BLOCK = 256
+#: Pairs that a member of a bucket gives from a group in each later pass; the last gives all.
+WITHIN = (1, 8, None)
 #: Similarity threshold in percent.
 PERCENT = 75
 
@@ -158,11 +161,12 @@ def _likely(pairs: DataFrame, signatures: DataFrame, table: list[tuple[int, int]
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInPandas(run, "a long, b long").distinct()
 
 
-def _within_buckets(members: DataFrame, table: list[tuple[int, int]]) -> DataFrame:
+def _within_buckets(members: DataFrame, table: list[tuple[int, int]], most: int | None) -> DataFrame:
     """Surviving pairs of different components within buckets, found in blocks inside tasks.
 
     ``members`` has band, id, component, signature, n (members of the bucket).  A bucket of
-    several blocks is compared as pairs of blocks, each in a group of its own.
+    several blocks is compared as pairs of blocks, each in a group of its own.  With ``most``, a
+    member gives only so many of its pairs from a group, those with the most equal rows.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int")
@@ -177,12 +181,14 @@ def _within_buckets(members: DataFrame, table: list[tuple[int, int]]) -> DataFra
         one_block = group["i"].iloc[0] == group["j"].iloc[0]
         found = []
         for k in range(len(ids)):
-            other = (ids > ids[k]) if one_block else (mine != mine[k]) & (mine[k] == group["i"].iloc[0])
-            rows = np.flatnonzero(other & (component != component[k]))
+            rows = np.flatnonzero((component != component[k]) & (ids != ids[k] if one_block else mine != mine[k]))
             if len(rows):
                 rows = rows[survives(np.broadcast_to(signature[k], (len(rows), signature.shape[1])), signature[rows], table)]
-                found += [(min(ids[k], ids[r]), max(ids[k], ids[r])) for r in rows]
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+            if most is not None and len(rows) > most:
+                equal = (signature[rows] == signature[k]).sum(axis=1)
+                rows = rows[np.argsort(-equal, kind="stable")[:most]]
+            found += [(min(ids[k], ids[r]), max(ids[k], ids[r])) for r in rows]
+        return pd.DataFrame(sorted(set(found)), columns=["a", "b"]).astype("int64")
 
     return copies.groupBy("band", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
@@ -195,10 +201,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.at, part.n_docs), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full shingle sets reach the threshold; texts (id, text) is read once, for pair members only."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = Staged(texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_sets, "id long, shingles binary"), "shingles")
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose full shingle sets reach the threshold."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -209,11 +213,9 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(a) + len(b) - common))
             yield batch.loc[np.array(keep, dtype=bool), ["a", "b"]]
 
-    left = sets.read().select(F.col("id").alias("a"), F.col("shingles").alias("left"))
-    right = sets.read().select(F.col("id").alias("b"), F.col("shingles").alias("right"))
-    links = Staged(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInPandas(run, "a long, b long"), "links")
-    sets.remove()
-    return links
+    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("left"))
+    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("right"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -242,24 +244,30 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         banded.groupBy("band").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets"
     )
     members = Staged(banded.join(buckets.read(), "band").select("band", "id", "a", "n"), "members")
+    ids = members.read().select("id").distinct()
+    sets = Staged(source.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_sets, "id long, shingles binary"), "shingles")
     stars = members.read().where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    texts = source
-    first = _confirmed_links(stars, signatures, texts, table, percent)
-    grouped = components(first.read())
-    placed = members.read().where("n > 2").join(grouped.read(), "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"))
-    placed = Staged(placed, "placed")
-    split = placed.read().groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    rest = placed.read().join(split, "band").join(signatures, "id").select("band", "id", "component", "signature", "n")
-    more = _confirmed_pairs(Staged(_within_buckets(rest, table), "pairs"), texts, percent)
-    everything = first.read().union(more.read()) if more else first.read()
-    final = components(everything) if more else grouped
+    likely = Staged(_likely(stars, signatures, table), "likely")
+    links = Staged(_confirmed(likely.read(), sets.read(), percent), "links")
+    likely.remove()
+    final = components(links.read())
+    for most in WITHIN:
+        placed = members.read().where("n > 2").join(final.read(), "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"))
+        placed = Staged(placed, "placed")
+        split = placed.read().groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
+        rest = placed.read().join(split, "band").join(signatures, "id").select("band", "id", "component", "signature", "n")
+        pairs = Staged(_within_buckets(rest, table, most), "pairs")
+        more = Staged(links.read().union(_confirmed(pairs.read(), sets.read(), percent)), "links")
+        pairs_left = pairs.read().limit(1).count()
+        for old in (placed, pairs, links, final):
+            old.remove()
+        links, final = more, components(more.read())
+        if not pairs_left:
+            break
     component_of = final.read()
     out = sketches.join(classes.read(), ["print_a", "print_b", "n_shingles"], "left").select("id", "n_shingles", "head")
     out = out.join(component_of.select(F.col("id").alias("head"), "component"), "head", "left")
-    if more:
-        grouped.remove()
-        more.remove()
-    for old in (first, heads, buckets, members, placed):
+    for old in (links, sets, heads, buckets, members):
         old.remove()
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "head", "id"))
     return out.select(
@@ -267,20 +275,6 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     )
 
 
-def _confirmed_links(pairs: DataFrame, signatures: DataFrame, texts: DataFrame, table, percent: int) -> Staged:
-    likely = Staged(_likely(pairs, signatures, table), "likely")
-    links = _confirmed(likely.read(), texts, percent)
-    likely.remove()
-    return links
-
-
-def _confirmed_pairs(pairs: Staged, texts: DataFrame, percent: int) -> Staged | None:
-    """As ``_confirmed``, but the texts aren't read when there is nothing to confirm."""
-    links = _confirmed(pairs.read(), texts, percent) if pairs.read().limit(1).count() else None
-    pairs.remove()
-    return links
-
-
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without all but the smallest id of each group; its columns are unchanged.
 
