@@ -7,11 +7,13 @@ import importlib
 from pairlab.llm.chat import digests, format_windows
 from pairlab.llm.decontaminate import contamination
 from pairlab.llm.html_text import extract_text
+from pairlab.llm.lm import pseudo_likelihood
 from pairlab.llm.near import near_duplicates
 from pairlab.llm.packing import pack
 from pairlab.llm.quality import judge_quality
 from pairlab.llm.substring import remove_repeated
 from pairlab.llm.tables import PLANS, SQL, query, table  # noqa: F401
+from pairlab.llm.toxicity import toxicity
 from pairlab.llm.urls import judge
 
 #: Name of the module that knows where the public tokenizers' files are.
@@ -51,6 +53,17 @@ def op3_repeated_passages(spark, sf_dir):
     return remove_repeated(documents).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@query("op4_pseudo_likelihood")
+def op4_pseudo_likelihood(spark, sf_dir):
+    return pseudo_likelihood(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity(documents, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
 # The url rules of the contract.
 URL_RULES = [
     ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"),
