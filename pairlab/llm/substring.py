@@ -26,11 +26,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from pairlab.llm import words as W
-from pairlab.llm.tables import fresh, input_bytes
+from pairlab.llm.tables import fresh, text_bytes
 
 WINDOW = 35
-#: Input bytes behind one bucket: a bucket has about one window of 7 + 2 bytes for 4 input bytes.
-BUCKET_BYTES = 12 << 20
+#: Bytes of text behind one bucket, which holds about a window of 7 + 2 bytes for every 6 of them.
+BUCKET_BYTES = 16 << 20
 #: Text whose windows are compared with each other before anything is shuffled.
 LOCAL_BYTES = (2 << 20) - 1
 
@@ -137,7 +137,7 @@ def repeated_windows(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
 
     ``keyed`` has the columns key (long, equal only for equal texts) and text.
     """
-    buckets = max(24, -(-input_bytes(keyed) // BUCKET_BYTES))
+    buckets = max(24, -(-text_bytes(keyed, "text") // BUCKET_BYTES))
     schema = "bucket int, hashes binary, keys binary, counts binary, gaps binary"
     rows = keyed.select("key", "text").mapInArrow(_hash_rows(window, int(buckets)), schema)
     found = rows.groupBy("bucket").applyInPandas(_repeated, "key long, places binary")

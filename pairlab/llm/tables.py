@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pairlab.plans.registry import Plan
 from pairlab.sources.staging import new_folder, remove_folder
@@ -52,6 +53,6 @@ class Staged:
         remove_folder(self.spark, self.path)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a table; for files, their bytes."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def text_bytes(df: DataFrame, text: str) -> int:
+    """Bytes of a text column, by one pass over it: planner estimates mean nothing behind joins or in-memory rows."""
+    return df.agg(F.sum(F.octet_length(text))).first()[0] or 0
