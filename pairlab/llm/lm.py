@@ -29,7 +29,7 @@ VOCABULARY = CLASSES * PER_CLASS
 BUCKETS = 256
 NAMED = VOCABULARY - BUCKETS
 SIDE, EMBEDDING, HIDDEN = 2, 16, 32
-ROUNDS, MASK_EVERY, BATCH, RATE, SEED = 2, 8, 1024, 0.004, 5
+ROUNDS, MASK_EVERY, BATCH, RATE, SEED = 2, 8, 512, 0.004, 5
 #: Pieces in which networks travel, and groups of the first step of their average.
 PIECES, SPREAD = 16, 64
 #: Positions scored at a time.
@@ -167,7 +167,7 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _train(net: Network, named, every: int, rate: float, turn: int):
+def _train(net: Network, named, every: int, rate: float, size: int, turn: int):
     out = pa.schema([("piece", pa.int32()), ("part", pa.int32()), ("weight", pa.float64()), ("values", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,8 +180,8 @@ def _train(net: Network, named, every: int, rate: float, turn: int):
                 chosen = np.flatnonzero(rng.integers(0, every, len(ids)) == 0)
                 rng.shuffle(chosen)
                 around = contexts(ids, part.first, chosen, part.doc_of_word()[chosen])
-                for a in range(0, len(chosen), BATCH):
-                    adam.update(gradient(own, around[a: a + BATCH], ids[chosen[a: a + BATCH]]))
+                for a in range(0, len(chosen), size):
+                    adam.update(gradient(own, around[a: a + size], ids[chosen[a: a + size]]))
                 seen += len(chosen)
         if seen:
             values = flatten(own).astype(np.float64) * seen
@@ -199,7 +199,9 @@ def _add(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"piece": group["piece"].iloc[:1], "part": group["part"].iloc[:1], "weight": [group["weight"].sum()], "values": [total.tobytes()]})
 
 
-def train(texts: DataFrame, rounds: int = ROUNDS, every: int = MASK_EVERY, rate: float = RATE) -> tuple[Network, tuple[np.ndarray, np.ndarray]]:
+def train(
+    texts: DataFrame, rounds: int = ROUNDS, every: int = MASK_EVERY, rate: float = RATE, batch: int = BATCH
+) -> tuple[Network, tuple[np.ndarray, np.ndarray]]:
     """(network, named words) from all rows of the one-column table ``texts``."""
     top = count_words(texts).orderBy(F.desc("n"), "word").limit(NAMED).collect()
     keys = np.array([r["word"] for r in top], dtype=np.int64).view(np.uint64)
@@ -208,7 +210,7 @@ def train(texts: DataFrame, rounds: int = ROUNDS, every: int = MASK_EVERY, rate:
     net = first_network()
     schema = "piece int, part int, weight double, values binary"
     for turn in range(rounds):
-        copies = texts.mapInArrow(_train(net, named, every, rate / (1 + turn), turn), schema)
+        copies = texts.mapInArrow(_train(net, named, every, rate / (1 + turn), batch, turn), schema)
         total = copies.groupBy("piece", "part").applyInPandas(_add, schema).groupBy("piece").applyInPandas(_add, schema).orderBy("piece").collect()
         if total:
             net = unflatten(np.concatenate([np.frombuffer(r["values"], dtype=np.float64) / r["weight"] for r in total]))
