@@ -1,8 +1,8 @@
 """Token ids of whole texts by a public tokenizer, with each distinct word encoded once per task.
 
 The vocabulary's tokens never cross white space, so a text's ids are its words' ids in order.
-A task keeps the ids of the words it has met, up to ``CACHED_WORDS``, then starts afresh; results
-don't depend on that.  Plain words (printable ASCII and Latin-1 letters) are lower-cased and split
+A task keeps the ids of the words it has met, up to ``CACHED_WORDS``, and of their parts, up to
+``CACHED_PARTS``, then starts afresh; results don't depend on that.  Plain words (printable ASCII and Latin-1 letters) are lower-cased and split
 here, so only their distinct parts go through the vocabulary's merges; every other word goes
 through the tokenizer as it is.
 """
@@ -16,7 +16,7 @@ from itertools import islice
 import numpy as np
 import regex
 
-CACHED_WORDS = 400_000
+CACHED_WORDS, CACHED_PARTS = 500_000, 700_000
 
 # The pattern by which the vocabulary file splits a text.
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -42,10 +42,13 @@ class WordTokens:
         self.whole = Tokenizer.from_file(path)
         self.parts = Tokenizer(self.whole.model)
         self.parts.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.part_ids: dict[str, list[int]] = {}
         self._clear()
 
     def _clear(self) -> None:
-        self.index, self.part_ids = _Index(), {}
+        self.index = _Index()
+        if len(self.part_ids) > CACHED_PARTS:
+            self.part_ids = {}
         self.pool, self.used = np.zeros(1 << 20, dtype=np.uint32), 0
         self.starts, self.lengths = np.zeros(1 << 18, dtype=np.int64), np.zeros(1 << 18, dtype=np.int64)
 
