@@ -13,10 +13,10 @@ INTERCEPT = "(Intercept)"
 
 
 def factor(column: str, levels: Sequence[str]) -> list[Term]:
-    """0/1 columns for every level but the alphabetically first."""
+    """0/1 columns for every level but the alphabetically first; NULL for a value that isn't listed, so its row drops out."""
     value = F.col(column)
     return [
-        (f"{column}{level}", F.when(value.isNotNull(), (value == F.lit(level)).cast("double")))
+        (f"{column}{level}", F.when(value.isin(*levels), (value == F.lit(level)).cast("double")))
         for level in sorted(levels)[1:]
     ]
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlab.operators.reshape import first_value, to_wide
+from pairlab.operators.reshape import only_value, to_wide
 
 
 def _condition(left: DataFrame, right: DataFrame, keys: Mapping[str, str], null_keys_match: bool) -> Column:
@@ -66,9 +66,11 @@ def match_text(
     right_text = catalogue_text or text
     right = catalogue.withColumnRenamed(right_text, "__text")
     if on_duplicate == "error":
-        listed = right.groupBy("__text").agg(F.count(F.lit(1)).alias("__copies"))
+        # Counted by digest, so that the texts themselves are shuffled once at most.
+        right = right.withColumn("__digest", F.unhex(F.sha2("__text", 256)))
+        listed = right.groupBy("__digest").agg(F.count(F.lit(1)).alias("__copies"))
         guard = F.when(F.col("__copies") > 1, F.raise_error(F.lit("text listed more than once")).cast("boolean"))
-        right = attach(right, listed, ["__text"]).where(guard.isNull()).drop("__copies")
+        right = attach(right, listed, ["__digest"]).where(guard.isNull()).drop("__copies", "__digest")
     elif on_duplicate != "keep":
         raise ValueError("on_duplicate is 'keep' or 'error'")
     if compare == "digest":
@@ -90,10 +92,11 @@ def line_up_replicas(
     """One row per key with every replica's values side by side, inner-join style.
 
     The long table is folded in a single shuffle instead of one join per replica; keys
-    that some replica lacks are dropped, as a chain of inner joins would.
+    that some replica lacks are dropped, as a chain of inner joins would.  A second row of one key and replica fails
+    the job: such a chain would multiply it.
     """
     wide = to_wide(
-        scores, keys, replica, replicas, {v: first_value for v in values}, "{value}_{level}",
+        scores, keys, replica, replicas, {v: only_value for v in values}, "{value}_{level}",
         extra={f"__{r}": F.count(F.when(F.col(replica) == F.lit(r), F.lit(1))) for r in replicas},
     )
     present = reduce(lambda a, b: a & b, [F.col(f"__{r}") > 0 for r in replicas])

@@ -31,7 +31,11 @@ from pairlab.sources.staging import Scratch, stage
 MAX_GROUPS = 1000
 
 # First look at each standard-deviation ratio (random effect over residual).
-COARSE_RATIOS = (0.0, 0.1, 0.4, 1.2, 4.0)
+COARSE_RATIOS = (0.0, 0.05, 0.1, 0.2, 0.4, 0.8, 1.6, 3.2, 6.4)
+# Fractions and multiples of a step that are tried at once.
+LADDER = (1 / 64, 1 / 16, 1 / 4, 1 / 2, 1.0, 2.0, 4.0, 16.0)
+# A fit that has not settled after so many looks fails; it never returns an unsettled answer.
+LOOKS = 200
 
 
 @dataclass
@@ -212,18 +216,20 @@ def _slopes(values: np.ndarray, step: tuple[float, float], nested: bool) -> tupl
     return (gradient, hessian) if nested else (gradient[:1], hessian[:1, :1])
 
 
-def _newton(values: np.ndarray, at: tuple[float, float], step: tuple[float, float], nested: bool) -> tuple[float, float]:
-    """Next point: a damped Newton step, or the best neighbour where the surface bends down."""
+def _step(values: np.ndarray, at: tuple[float, float], step: tuple[float, float], nested: bool) -> np.ndarray:
+    """Where to move from ``at``: the Newton step, or towards the lowest neighbour where the surface bends down."""
     gradient, hessian = _slopes(values, step, nested)
     if np.linalg.eigvalsh(hessian).min() <= 0:
         i, j = np.unravel_index(np.argmin(values), values.shape)
-        return abs(at[0] + 4 * (i - 1) * step[0]), abs(at[1] + 4 * (j - 1) * step[1]) if nested else 0.0
+        return np.array([4 * (i - 1) * step[0], 4 * (j - 1) * step[1] if nested else 0.0])
     move = -np.linalg.solve(hessian, gradient)
-    if not nested:
-        move = np.array([move[0], 0.0])
-    limits = [max(0.5 * a, 0.1) for a in at]
-    move = np.clip(move, [-v for v in limits], limits)
-    return abs(at[0] + move[0]), abs(at[1] + move[1])
+    return move if nested else np.array([move[0], 0.0])
+
+
+def _rungs(at: tuple[float, float], move: np.ndarray) -> list[tuple[float, float]]:
+    """Points along a move; the criterion is even in a ratio, so signs are dropped, and a tiny ratio is zero."""
+    points = [tuple(abs(a + k * m) for a, m in zip(at, move, strict=True)) for k in LADDER]
+    return [tuple(0.0 if r < 1e-5 else float(r) for r in point) for point in points]
 
 
 def _degrees_of_freedom(block: np.ndarray, step: tuple[float, float], nested: bool, at: tuple[float, float]) -> np.ndarray:
@@ -257,12 +263,16 @@ def _degrees_of_freedom(block: np.ndarray, step: tuple[float, float], nested: bo
 
 def fit_nested(
     df: DataFrame, response: str, terms: Sequence[Term], inner: str, outer: str | None = None,
-    by: Sequence[str] = (), passes: int = 8,
+    by: Sequence[str] = (), looks: int = LOOKS,
 ) -> DataFrame:
     """REML fit of ``response ~ terms + (1 | inner) [+ (1 | outer)]`` for every group of ``by``.
 
     ``inner`` levels are nested in ``outer`` levels.  One row per group and coefficient, with
     Satterthwaite degrees of freedom and the variance components.  All groups share each pass.
+
+    A move is taken only if the criterion falls.  A group is settled when no point along its
+    Newton step is lower and the step itself is tiny, or promises nothing that the criterion's
+    digits could show.  If a group is not settled after ``looks`` looks, the fit fails.
     """
     nested = outer is not None
     df = df.dropna(subset=[inner, *([outer] if nested else [])])
@@ -277,22 +287,39 @@ def fit_nested(
         grid = [(a, b) for a in COARSE_RATIOS for b in (COARSE_RATIOS if nested else (0.0,))]
         first = _evaluate(table, stats, {g: grid for g in range(len(groups))}, nested)
         at = {g: min(grid, key=lambda r: first[g][r].criterion) for g in first}
+        height = {g: first[g][at[g]].criterion for g in at}
         width = {g: 0.01 for g in at}
         open_ = set(at)
-        for _ in range(passes):
+        for look in range(looks + 1):
             if not open_:
                 break
+            if look == looks:
+                raise RuntimeError(f"no settled fit for {[groups[g] for g in sorted(open_)]}")
             steps = {g: tuple(width[g] * max(a, 0.25) for a in at[g]) for g in open_}
             stencils = {g: _stencil(at[g], steps[g], nested) for g in open_}
             seen = _evaluate(table, stats, {g: sorted({r for row in stencils[g] for r in row}) for g in open_}, nested)
-            for g in sorted(open_):
+            moves, promised = {}, {}
+            for g in open_:
                 values = np.array([[seen[g][r].criterion for r in row] for row in stencils[g]])
-                target = _newton(values, at[g], steps[g], nested)
-                moved = max(abs(t - a) / max(a, 0.25) for t, a in zip(target, at[g]))
-                at[g] = tuple(0.0 if t < 1e-5 else float(t) for t in target)
-                if moved < 3e-5:
+                moves[g] = _step(values, at[g], steps[g], nested)
+                gradient, _ = _slopes(values, steps[g], nested)
+                promised[g] = abs(float(gradient @ moves[g][: len(gradient)]))
+            rungs = {g: _rungs(at[g], moves[g]) for g in open_}
+            tried = _evaluate(table, stats, {g: sorted(set(rungs[g])) for g in open_}, nested)
+            for g in sorted(open_):
+                best = min(rungs[g], key=lambda r: tried[g][r].criterion)
+                size = max(abs(m) / max(a, 0.25) for m, a in zip(moves[g], at[g], strict=True))
+                tiny = size < 3e-5 or promised[g] < 1e-12 * abs(height[g])
+                if tried[g][best].criterion < height[g]:
+                    moved = max(abs(t - a) / max(a, 0.25) for t, a in zip(best, at[g], strict=True))
+                    at[g], height[g] = best, tried[g][best].criterion
+                    width[g] = max(min(0.01, moved), 0.001)
+                    if tiny and moved < 3e-5:
+                        open_.discard(g)
+                elif tiny or width[g] <= 1e-4:
                     open_.discard(g)
-                width[g] = max(min(width[g], moved), 0.002)
+                else:
+                    width[g] /= 4
         steps = {g: tuple(0.02 * max(a, 0.25) for a in at[g]) for g in at}
         stencils = {g: _stencil(at[g], steps[g], nested) for g in at}
         last = _evaluate(table, stats, {g: sorted({r for row in stencils[g] for r in row}) for g in at}, nested)
@@ -455,14 +482,15 @@ def _number(value: float) -> str:
 
 def fit_crossed(
     df: DataFrame, response: str, terms: Sequence[Term], rater: str, pair: str, verb: str,
-    variances: Sequence[float] | None = None, sweeps: int = 60, tolerance: float = 1e-6,
+    variances: Sequence[float] | None = None, sweeps: int = 2000, tolerance: float = 1e-6,
     design: Crossed | None = None,
 ) -> DataFrame:
     """``response ~ terms + (1 | rater) + (1 | pair) + (1 | verb)``: coefficients and variances.
 
     Right-hand sides for the response and for every column of the fixed-effect covariance
     are swept together.  A sweep reads the (rater, pair, n) cells twice; sums over a hot
-    rater or pair combine on the map side, and level tables join by their known size.
+    rater or pair combine on the map side, and level tables join by their known size.  A fit that has
+    not settled to ``tolerance`` after ``sweeps`` sweeps fails.
     """
     with Scratch(df.sparkSession) as scratch:
         d = design or Crossed.build(df, response, terms, rater, pair, verb, scratch.stage)
@@ -559,6 +587,8 @@ def _sweep_crossed(
         beta = new_beta
         if done or tr == 0.0:
             break
+    else:
+        raise RuntimeError(f"not settled after {sweeps} sweeps")
     covariance = beta[:, 1:] * ve
     covariance = (covariance + covariance.T) / 2
     rows = _coefficient_rows((), terms, centre, beta[:, 0], covariance, None, (vr, vp, vv, ve))

@@ -117,19 +117,20 @@ def ranges(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, value: str | Column, bins: int = HISTOGRAM_BINS) -> DataFrame:
-    """Counts in ``bins`` equal bins, centred on the extremes and closed on the right.
+    """Counts in ``bins`` equal bins, centred on the extremes and closed on the right; empty bins have 0.
 
-    Minimum and maximum come from scalar subqueries, so the rows are only scanned, never
-    gathered.
+    The extremes are one row, so the rows are only scanned, never gathered.  Equal values make
+    one bin; no values make none.
     """
     x = (F.col(value) if isinstance(value, str) else value).cast("double")
     rows = df.select(x.alias("x")).where(F.col("x").isNotNull())
     low, high = rows.agg(F.min("x")).scalar(), rows.agg(F.max("x")).scalar()
-    placed = rows.select("x", low.alias("low"), ((high - low) / F.lit(float(bins - 1))).alias("width"))
+    width = (F.col("high") - F.col("low")) / F.lit(float(bins - 1))
+    placed = rows.select("x", low.alias("low"), high.alias("high")).select("x", "low", width.alias("width"))
     number = F.when(F.col("width") > 0, F.ceil((F.col("x") - F.col("low")) / F.nullif(F.col("width"), F.lit(0.0)) - 0.5))
-    return (
-        placed.select(F.coalesce(number, F.lit(0)).cast("bigint").alias("bin"), "low", "width")
-        .groupBy("bin", "low", "width")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("bin", (F.col("low") + F.col("bin") * F.col("width")).alias("centre"), "n")
+    counts = placed.select(F.coalesce(number, F.lit(0)).cast("bigint").alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    ends = rows.agg(F.min("x").alias("low"), F.max("x").alias("high")).where(F.col("low").isNotNull()).select("low", width.alias("width"))
+    every = ends.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(F.col("width") > 0, bins - 1).otherwise(0).cast("bigint"))).alias("bin"))
+    return every.join(counts, "bin", "left").select(
+        "bin", (F.col("low") + F.col("bin") * F.col("width")).alias("centre"), F.coalesce("n", F.lit(0)).alias("n")
     )

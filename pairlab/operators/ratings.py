@@ -56,13 +56,16 @@ def failed_raters(
 ) -> DataFrame:
     """Raters with too few correct high items or too few correct low items.
 
-    ``checks`` carries a ``correct`` flag.  One aggregation; a rater who never saw a kind
-    is not judged on it.
+    ``checks`` carries a ``correct`` flag.  One aggregation; a missing flag counts as not
+    correct, so a rater who answers everything alike fails, and a rater who never saw a kind is
+    not judged on it.
     """
-    totals = checks.groupBy(rater).agg(
-        F.sum(F.when(F.col(kind) == "high", F.col("correct"))).alias("high_correct"),
-        F.sum(F.when(F.col(kind) == "low", F.col("correct"))).alias("low_correct"),
-    )
+
+    def correct(level: str) -> Column:
+        seen = F.count_if(F.col(kind) == level) > 0
+        return F.when(seen, F.coalesce(F.sum(F.when(F.col(kind) == level, F.col("correct"))), F.lit(0)))
+
+    totals = checks.groupBy(rater).agg(correct("high").alias("high_correct"), correct("low").alias("low_correct"))
     return totals.where((F.col("high_correct") < min_high) | (F.col("low_correct") < min_low))
 
 

@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType
 
 from pairlab.sources.staging import stage
 
@@ -24,35 +24,40 @@ START, END = "<s>", "</s>"
 BatchScorer = Callable[[pd.Series], Sequence[float]]
 
 
-def _nullable(scores: np.ndarray) -> pd.arrays.FloatingArray:
-    """NaN scores become missing values."""
-    return pd.arrays.FloatingArray(scores, np.isnan(scores))
+def _scores(scorer: BatchScorer, texts: pd.Series) -> pd.Series:
+    """Scores of a batch, missing for missing texts and where the scorer gives NaN."""
+    present = texts.notna().to_numpy()
+    scores = np.full(len(texts), np.nan)
+    if present.any():
+        scores[present] = np.asarray(scorer(texts[present]), dtype=float)
+    return pd.Series(pd.arrays.FloatingArray(scores, np.isnan(scores)), index=texts.index)
 
 
-def score_texts(df: DataFrame, text: str, make_scorer: Callable[[], BatchScorer], name: str = "score") -> DataFrame:
-    """Add one double column by scoring ``text`` in Arrow batches.
+def text_scorer(make_scorer: Callable[[], BatchScorer]) -> Callable[[str | Column], Column]:
+    """A column function that scores texts in Arrow batches.
 
-    ``make_scorer`` runs once per task, where it may load a model; the scorer it returns
-    gets a batch of texts.  Missing texts get a missing score.
+    Only the text crosses to Python; other columns stay where they are.  ``make_scorer`` runs
+    once per task, where it may load a model; the scorer it returns gets a batch of texts.
     """
-    schema = StructType([*df.schema.fields, StructField(name, DoubleType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(DoubleType())
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = make_scorer()
-        for batch in batches:
-            present = batch[text].notna()
-            scores = np.full(len(batch), np.nan)
-            if present.any():
-                scores[present] = np.asarray(scorer(batch.loc[present, text]), dtype=float)
-            yield batch.assign(**{name: _nullable(scores)})
+        for texts in batches:
+            yield _scores(scorer, texts)
+
+    return run
+
 
-    return df.mapInPandas(run, schema)
+def score_texts(df: DataFrame, text: str, make_scorer: Callable[[], BatchScorer], name: str = "score") -> DataFrame:
+    """Add one double column, the score of ``text``; missing texts get a missing score."""
+    return df.withColumn(name, text_scorer(make_scorer)(text))
 
 
 def word_array(text: str | Column) -> Column:
-    """Lower-case a-z words of a text between start and end markers."""
+    """Lower-case words (runs of letters of any script) of a text between start and end markers."""
     value = F.col(text) if isinstance(text, str) else text
-    words = F.filter(F.split(F.lower(value), "[^a-z]+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower(value), r"[^\p{L}]+"), lambda w: w != "")
     return F.concat(F.array(F.lit(START)), words, F.array(F.lit(END)))
 
 
@@ -74,11 +79,14 @@ def bigram_table(df: DataFrame, keys: Sequence[str], text: str, tokens: Callable
 
 
 class BigramModel:
-    """Add-one bigram counts held in staged tables: never collected, joined by size."""
+    """Add-one bigram log-probabilities held in staged tables: never collected, joined by size.
+
+    ``pairs`` has the finished log-probability of each bigram met in training, ``words`` that of
+    any other word after a known one.
+    """
 
-    def __init__(self, pair_counts: DataFrame, word_counts: DataFrame):
-        self.pair_counts = pair_counts
-        self.word_counts = word_counts
+    def __init__(self, pairs: DataFrame, words: DataFrame, vocabulary: int):
+        self.pairs, self.words, self.vocabulary = pairs, words, vocabulary
 
     @classmethod
     def train(cls, df: DataFrame, text: str) -> BigramModel:
@@ -89,46 +97,45 @@ class BigramModel:
         marker, so its size is the number of word rows.
         """
         bigrams = bigram_table(df, [], text)
-        pair_counts = stage(bigrams.groupBy("prev", "token").agg(F.count(F.lit(1)).alias("pair_count")), "bigrams")
-        word_counts = stage(pair_counts.groupBy("prev").agg(F.sum("pair_count").alias("prev_count")), "words")
-        return cls(pair_counts, word_counts)
-
-    def log_probs(self, df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
-        """(keys, prev, token, logprob), one row per scored position.
-
-        Both joins are many-to-one from staged tables, so a hot bigram only lengthens the
-        probe side, which Spark splits when it is skewed, and a small table is broadcast.
+        counts = stage(bigrams.groupBy("prev", "token").agg(F.count(F.lit(1)).alias("n")), "bigrams")
+        totals = stage(counts.groupBy("prev").agg(F.sum("n").alias("total")), "words")
+        vocabulary = totals.count()
+        finished = counts.join(totals, "prev").select("prev", "token", F.log((F.col("n") + 1.0) / (F.col("total") + vocabulary)).alias("logprob"))
+        unseen = totals.select("prev", F.log(F.lit(1.0) / (F.col("total") + vocabulary)).alias("unseen"))
+        return cls(stage(finished, "bigram-model"), stage(unseen, "word-model"), vocabulary)
+
+    def log_probs(self, df: DataFrame, keys: Sequence[str], text: str, trained: bool = False) -> DataFrame:
+        """(keys, prev, token, n, logprob): one row per key and distinct bigram, with its number.
+
+        Bigrams are folded per key before they meet the model.  ``trained`` says that ``df`` is what the
+        model was trained on, so that every bigram is in it and one join is enough.
         """
-        vocabulary = self.word_counts.agg(F.count(F.lit(1))).scalar()
-        joined = bigram_table(df, keys, text).drop("pos").join(self.pair_counts, ["prev", "token"], "left")
-        joined = joined.join(self.word_counts, "prev", "left")
-        seen = F.coalesce(F.col("pair_count"), F.lit(0)) + F.lit(1.0)
-        of = F.coalesce(F.col("prev_count"), F.lit(0)) + vocabulary
-        return joined.select(*keys, "prev", "token", F.log(seen / of).alias("logprob"))
+        folded = bigram_table(df, keys, text).groupBy(*keys, "prev", "token").agg(F.count(F.lit(1)).alias("n"))
+        if trained:
+            return folded.join(self.pairs, ["prev", "token"]).select(*keys, "prev", "token", "n", "logprob")
+        joined = folded.join(self.pairs, ["prev", "token"], "left").join(self.words, "prev", "left")
+        logprob = F.coalesce("logprob", "unseen", F.lit(-math.log(max(self.vocabulary, 1))))
+        return joined.select(*keys, "prev", "token", "n", logprob.alias("logprob"))
 
 
-def mean_log_prob(logprob: str | Column = "logprob") -> Column:
-    """Aggregate: mean token log-probability."""
-    return F.avg(logprob)
+def mean_log_prob(logprob: str = "logprob", n: str = "n") -> Column:
+    """Aggregate: mean token log-probability, from rows that stand for ``n`` tokens."""
+    return F.sum(F.col(logprob) * F.col(n)) / F.sum(n)
 
 
-def log_mean_exp(logprob: str | Column = "logprob") -> Column:
-    """Aggregate: logsumexp of token log-probabilities minus log of their number.
+def log_mean_exp(logprob: str = "logprob", n: str = "n") -> Column:
+    """Aggregate: logsumexp of token log-probabilities minus log of their number, exact at any scale.
 
-    A streaming sum cannot know the largest value beforehand, so the sum is kept at three
-    fixed scales and the first that has not underflowed is used; it holds every term that
-    matters for log-probabilities down to about -1800.
+    The distinct rows of a key, as many as its text has, are kept until the largest is known.
     """
-    lp = F.col(logprob) if isinstance(logprob, str) else logprob
-    total = F.max(lp)
-    for scale in (1200.0, 600.0, 0.0):
-        scaled = F.sum(F.exp(lp + scale))
-        total = F.when(scaled > 1e-290, F.log(scaled) - scale).otherwise(total)
-    return total - F.log(F.count(lp))
+    rows = F.collect_list(F.struct(F.col(logprob).alias("lp"), F.col(n).cast("double").alias("n")))
+    top = F.max(logprob)
+    total = F.aggregate(rows, F.lit(0.0), lambda acc, r: acc + r["n"] * F.exp(r["lp"] - top))
+    return top + F.log(total) - F.log(F.sum(n))
 
 
 def reduce_scores(tokens: DataFrame, keys: Sequence[str], reduction: Callable[..., Column], name: str = "score", **columns) -> DataFrame:
-    """One score per key, by any aggregate expression over its token rows."""
+    """One score per key, by any aggregate expression over its rows (logprob, n)."""
     return tokens.groupBy(*keys).agg(reduction(**columns).alias(name))
 
 
@@ -160,59 +167,37 @@ def pair_scores(
 ) -> DataFrame:
     """Score two text columns in one pass and add their difference (second minus first).
 
-    Both columns go through one Python stage: the texts of a row travel as an array and
-    come back as an array of scores.
+    Only the two texts cross to Python, in one stage; keys of any type stay as they are.
     """
     first, second = texts
-    schema = StructType([df.schema[k] for k in keys]).add(f"{first}_score", "double").add(f"{second}_score", "double")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("first double, second double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         scorer = make_scorer()
-        for batch in batches:
-            both = pd.concat([batch[first], batch[second]], ignore_index=True)
-            scores = np.full(len(both), np.nan)
-            present = both.notna().to_numpy()
-            if present.any():
-                scores[present] = np.asarray(scorer(both[present]), dtype=float)
-            out = batch[list(keys)].copy()
-            for name, part in ((first, scores[: len(batch)]), (second, scores[len(batch):])):
-                out[f"{name}_score"] = _nullable(part)
-            yield out
-
-    scored = df.select(*dict.fromkeys([*keys, first, second])).mapInPandas(run, schema)
-    return scored.withColumn("diff", F.col(f"{second}_score") - F.col(f"{first}_score"))
+        for a, b in batches:
+            yield pd.DataFrame({"first": _scores(scorer, a), "second": _scores(scorer, b)})
 
-
-# Letters a-z plus one symbol for everything else, so a letter model has 27 x 27 cells.
-_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+    scored = df.select(*keys, run(first, second).alias("__s"))
+    scored = scored.select(*keys, F.col("__s.first").alias(f"{first}_score"), F.col("__s.second").alias(f"{second}_score"))
+    return scored.withColumn("diff", F.col(f"{second}_score") - F.col(f"{first}_score"))
 
 
-def _letter_codes(text: str) -> np.ndarray:
-    points = np.frombuffer(text.lower().encode("utf-32-le"), dtype=np.uint32).astype(np.int64) - ord("a")
-    return np.where((points >= 0) & (points < 26), points, 26)
+#: Symbols of the letter model: code points modulo this number.
+SYMBOLS = 256
 
 
 def train_letter_model(df: DataFrame, text: str) -> np.ndarray:
-    """Log-probabilities of each letter after each letter, add-one smoothed.
+    """Log-probabilities of each letter (code point modulo ``SYMBOLS``) after each letter, add-one smoothed.
 
-    Each task folds its texts into one 27 x 27 table, so at most 729 rows per task are
-    shuffled and 729 rows reach the driver, whatever the size of the text.
+    Counted by Spark with map-side combine; the table has a fixed size.
     """
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells = np.zeros(27 * 27, dtype=np.int64)
-        for batch in batches:
-            for value in batch[text].dropna():
-                codes = _letter_codes(value)
-                cells += np.bincount(codes[:-1] * 27 + codes[1:], minlength=27 * 27)
-        seen = np.flatnonzero(cells)
-        yield pd.DataFrame({"cell": seen, "n": cells[seen]})
-
-    counted = df.select(text).mapInPandas(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
-    table = np.ones(27 * 27)
-    for row in counted.collect():
+    codes = F.transform(F.split(F.lower(text), ""), lambda c: F.ascii(c) % SYMBOLS)
+    letters = df.where(F.char_length(text) > 1).select(codes.alias("w"))
+    pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: a * SYMBOLS + b)
+    table = np.ones(SYMBOLS * SYMBOLS)
+    for row in letters.select(F.explode(pairs).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():
         table[row["cell"]] += row["n"]
-    table = table.reshape(27, 27)
+    table = table.reshape(SYMBOLS, SYMBOLS)
     return np.log(table / table.sum(axis=1, keepdims=True))
 
 
@@ -220,12 +205,16 @@ def letter_scorer(log_probs: np.ndarray) -> Callable[[], BatchScorer]:
     """A batch scorer: mean log-probability of a text's letters after the first."""
 
     def make() -> BatchScorer:
-        def score(texts: pd.Series) -> list[float]:
-            scores = []
-            for value in texts:
-                codes = _letter_codes(value)
-                scores.append(float(log_probs[codes[:-1], codes[1:]].mean()) if len(codes) > 1 else math.nan)
-            return scores
+        def score(texts: pd.Series) -> np.ndarray:
+            low = [t.lower() for t in texts]
+            lengths = np.array([len(t) for t in low])
+            codes = np.frombuffer("".join(low).encode("utf-32-le"), dtype=np.uint32).astype(np.int64) % SYMBOLS
+            steps = np.zeros(len(codes) + 1)
+            np.cumsum(log_probs[codes[:-1], codes[1:]], out=steps[1:-1]) if len(codes) > 1 else None
+            end = np.cumsum(lengths)
+            begin = end - lengths
+            total = steps[np.maximum(end - 1, begin)] - steps[begin]
+            return np.where(lengths > 1, total / np.maximum(lengths - 1, 1), np.nan)
 
         return score
 

@@ -259,13 +259,13 @@ class _Model:
 
 def fit_slopes(
     df: DataFrame, response: str, terms: Sequence[Term], first: tuple[str, Sequence[str]], second: tuple[str, Sequence[str]],
-    iterations: int = 30, tolerance: float = 1e-3, error_sweeps: int = 20,
+    iterations: int = 1000, tolerance: float = 1e-3, error_sweeps: int = 1000,
 ) -> DataFrame:
     """Coefficients with z tests, then the covariance of every random effect and the residual.
 
     ``first`` and ``second`` are (grouping column, terms whose effect varies by level); an
     intercept always varies.  Stops when no coefficient moves by more than ``tolerance`` of
-    its standard error and the residual variance has settled.
+    its standard error and the residual variance has settled; a fit that never does fails.
     """
     with Scratch(df.sparkSession) as scratch:
         model = _Model(df, response, terms, [first, second], scratch)
@@ -296,6 +296,8 @@ def fit_slopes(
             model.sigma2, beta = sigma2, new_beta
             if settled and drift <= tolerance:
                 break
+        else:
+            raise RuntimeError(f"not settled after {iterations} iterations")
         covariance = _fixed_covariance(model, error_sweeps)
     shift = np.eye(model.p)
     shift[0, 1:] = -model.shift
@@ -328,4 +330,6 @@ def _fixed_covariance(model: _Model, sweeps: int) -> np.ndarray:
         if old is not None and np.abs(inverse - old).max() <= 1e-4 * np.abs(inverse).max():
             break
         old = inverse
+    else:
+        raise RuntimeError(f"standard errors not settled after {sweeps} sweeps")
     return model.sigma2 * (inverse + inverse.T) / 2

@@ -91,5 +91,5 @@ def lmm_random_slopes(spark, sf_dir):
     names = [n for n, _ in class_by_construct()]
     construct = [n for n, _ in D.factor("construct", V.CONSTRUCTS)]
     return fit_slopes(
-        V.ratings(spark, sf_dir), "value", terms, ("partid", names), ("sent_pair_id", construct), iterations=20
+        V.ratings(spark, sf_dir), "value", terms, ("partid", names), ("sent_pair_id", construct)
     )

@@ -199,9 +199,9 @@ with {V.SCORE_PAIRS_SQL}, d as (
   select cast(-frequency_rank as double) as x, "PD_score" - "DO_score" as diff, classification from score_pairs), k as (
   select x from d where classification = 'alternating' and diff > (select avg(diff) from d)), b as (
   select min(x) as lo, (max(x) - min(x)) / 29.0 as w from k)
-select cast(ceil((x - lo) / w - 0.5) as bigint) as bin,
-       round(lo + cast(ceil((x - lo) / w - 0.5) as bigint) * w, 6) as centre, count(*) as n
-from k, b group by all""")
+select i as bin, round(lo + i * w, 6) as centre, count(x) as n
+from b, range(0, 30) t(i) left join k on cast(ceil((x - (select lo from b)) / (select w from b) - 0.5) as bigint) = i
+group by i, lo, w""")
 def plot_hist(spark, sf_dir):
     scored = V.score_pairs(spark, sf_dir)
     diffs = scored.select("classification", "frequency_rank", (F.col("PD_score") - F.col("DO_score")).alias("diff"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairlab.functions import exprs as X
@@ -89,12 +89,15 @@ def proj_drop(spark, sf_dir):
 
 @query("proj_rename", f"""
 with {V.SCORE_PAIRS_SQL}
-select sent_pair_id, round("DO_score", 6) as "DO_score_A", round("PD_score", 6) as "PD_score_A"
-from score_pairs where model = 'A'""")
+select sent_pair_id, round(any_value("DO_score") filter (where model = 'A'), 6) as "DO_score_A", round(any_value("PD_score") filter (where model = 'A'), 6) as "PD_score_A",
+       round(any_value("DO_score") filter (where model = 'N'), 6) as "DO_score_N", round(any_value("PD_score") filter (where model = 'N'), 6) as "PD_score_N",
+       round(any_value("DO_score") filter (where model = 'R'), 6) as "DO_score_R", round(any_value("PD_score") filter (where model = 'R'), 6) as "PD_score_R"
+from score_pairs group by sent_pair_id""")
 def proj_rename(spark, sf_dir):
-    own = V.score_pairs(spark, sf_dir).where(F.col("model") == "A").select("sent_pair_id", "DO_score", "PD_score")
-    renamed = own.withColumnsRenamed({"DO_score": "DO_score_A", "PD_score": "PD_score_A"})
-    return rounded(renamed, "DO_score_A", "PD_score_A")
+    # Every model's two scores under names with the model as suffix, side by side.
+    wide = S.to_wide(V.score_pairs(spark, sf_dir), ["sent_pair_id"], "model", V.MODELS, {"DO_score": S.only_value, "PD_score": S.only_value}, "{level}_{value}")
+    renamed = wide.withColumnsRenamed({f"{m}_{c}": f"{c}_{m}" for m in V.MODELS for c in ("DO_score", "PD_score")})
+    return rounded(renamed, *[c for c in renamed.columns if c != "sent_pair_id"])
 
 
 @query("proj_relocate", f"with {V.PAIRS_SQL} select io, sent_pair_id, frequency_rank, verb_id, classification from pairs")
@@ -284,12 +287,13 @@ def filter_gt_global_mean(spark, sf_dir):
     return rounded(R.above_overall_mean(d, "diff"), "diff")
 
 
-_FAILED_SQL = _Z_SQL + """, failed as (
-  select partid, cast(sum(correct) filter (where classification = 'high') as bigint) as high_correct,
-         cast(sum(correct) filter (where classification = 'low') as bigint) as low_correct
-  from flagged group by partid
-  having sum(correct) filter (where classification = 'high') < 5
-      or sum(correct) filter (where classification = 'low') < 7)"""
+_FAILED_SQL = _Z_SQL + """, judged as (
+  select partid, cast(case when count(*) filter (where classification = 'high') > 0
+                      then coalesce(sum(correct) filter (where classification = 'high'), 0) end as bigint) as high_correct,
+         cast(case when count(*) filter (where classification = 'low') > 0
+                      then coalesce(sum(correct) filter (where classification = 'low'), 0) end as bigint) as low_correct
+  from flagged group by partid), failed as (
+  select * from judged where high_correct < 5 or low_correct < 7)"""
 
 
 @query("qc_failed_raters", f"with {_FAILED_SQL} select partid, high_correct, low_correct from failed")
@@ -322,7 +326,8 @@ select d.doc_id, d.source, c.lang as listed_lang, c.sent_pair_id
 from documents d join catalogue c on d.text = c.text""")
 def join_text_inner(spark, sf_dir):
     documents = V.table(spark, sf_dir, "documents")
-    catalogue = documents.groupBy("text", F.col("lang").alias("listed_lang")).agg(F.min("doc_id").alias("sent_pair_id"))
+    by_digest = documents.groupBy(F.sha2("text", 256).alias("digest"), F.col("lang").alias("listed_lang"))
+    catalogue = by_digest.agg(F.min_by("text", "doc_id").alias("text"), F.min("doc_id").alias("sent_pair_id")).drop("digest")
     matched = J.match_text(documents.select("doc_id", "source", "text"), catalogue, "text", compare="digest")
     return matched.select("doc_id", "source", "listed_lang", "sent_pair_id")
 
@@ -344,13 +349,17 @@ def join_replica_chain(spark, sf_dir):
 @query("join_left", f"""
 with {V.SCORE_PAIRS_SQL}, pairs as (
   select distinct sent_pair_id, verb_id, classification, io, frequency_rank from ratings)
-select p.sent_pair_id, p.classification, round(s."PD_score" - s."DO_score", 6) as "diff_A"
-from pairs p left join (select * from score_pairs where model = 'A') s on p.sent_pair_id = s.sent_pair_id""")
+select p.sent_pair_id, p.classification, round(a."PD_score" - a."DO_score", 6) as "diff_A",
+       round(n."PD_score" - n."DO_score", 6) as "diff_N", round(r."PD_score" - r."DO_score", 6) as "diff_R"
+from pairs p left join (select * from score_pairs where model = 'A') a on p.sent_pair_id = a.sent_pair_id
+             left join (select * from score_pairs where model = 'N') n on p.sent_pair_id = n.sent_pair_id
+             left join (select * from score_pairs where model = 'R') r on p.sent_pair_id = r.sent_pair_id""")
 def join_left(spark, sf_dir):
-    scored = V.score_pairs(spark, sf_dir).where(F.col("model") == "A")
-    diff = scored.select("sent_pair_id", (F.col("PD_score") - F.col("DO_score")).alias("diff_A"))
-    joined = J.attach(V.pairs(spark, sf_dir).select("sent_pair_id", "classification"), diff, ["sent_pair_id"], null_keys_match=False)
-    return rounded(joined, "diff_A")
+    # Every model's difference, folded to one row per pair before the one join.
+    diffs = V.score_pairs(spark, sf_dir).select("sent_pair_id", "model", (F.col("PD_score") - F.col("DO_score")).alias("diff"))
+    wide = S.to_wide(diffs, ["sent_pair_id"], "model", V.MODELS, {"diff": S.only_value})
+    joined = J.attach(V.pairs(spark, sf_dir).select("sent_pair_id", "classification"), wide, ["sent_pair_id"], null_keys_match=False)
+    return rounded(joined, *[f"diff_{m}" for m in V.MODELS])
 
 
 @query("join_left_renamed", f"""
@@ -482,12 +491,16 @@ def win_group_sum(spark, sf_dir):
 
 
 @query("pivot_text", """
-select conv_id, min(text) filter (where role = 'user') as "user",
-       min(text) filter (where role = 'assistant') as assistant
-from conversations group by conv_id""")
+with numbered as (
+  select conv_id, role, text, turn, sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn) as pair from conversations)
+select conv_id, cast(pair as bigint) as pair, min(text) filter (where role = 'user') as "user", min(text) filter (where role = 'assistant') as assistant
+from numbered where role in ('user', 'assistant') group by conv_id, pair""")
 def pivot_text(spark, sf_dir):
-    conversations = V.table(spark, sf_dir, "conversations")
-    return S.to_wide(conversations, ["conv_id"], "role", ["user", "assistant"], {"text": S.first_value}, "{level}")
+    # A user turn opens a pair; every turn of either role comes out, and a second text of one cell fails the job.
+    talk = V.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    opened = F.sum((F.col("role") == "user").cast("int")).over(Window.partitionBy("conv_id").orderBy("turn"))
+    numbered = talk.withColumn("pair", opened.cast("bigint")).where(F.col("role").isin("user", "assistant"))
+    return S.to_wide(numbered, ["conv_id", "pair"], "role", ["user", "assistant"], {"text": S.only_value}, "{level}")
 
 
 @query("pivot_one", f"""

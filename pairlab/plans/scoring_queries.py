@@ -8,9 +8,8 @@ from pairlab.operators import scoring as C
 from pairlab.operators.reshape import mean_value, to_wide
 from pairlab.plans import standin as V
 from pairlab.plans.registry import query, rounded
-from pairlab.sources.tables import spread_scan
 
-_WORDS = "list_concat(['<s>'], [x for x in regexp_split_to_array(lower(text), '[^a-z]+') if x <> ''], ['</s>'])"
+_WORDS = "list_concat(['<s>'], [x for x in regexp_split_to_array(lower(text), '[^\\p{L}]+') if x <> ''], ['</s>'])"
 
 _BIGRAM_SQL = f"""words as (select doc_id, {_WORDS} as w from documents), bigrams as (
   select doc_id, unnest(w[1:len(w) - 1]) as prev, unnest(w[2:]) as token from words), pair_counts as (
@@ -23,22 +22,21 @@ _LOGPROB_SQL = _BIGRAM_SQL + """, scored as (
   from bigrams b join pair_counts p on b.prev = p.prev and b.token = p.token
   join word_counts w on b.prev = w.prev, v)"""
 
-# A letter model: log-probability of each letter (a-z or other) after each letter.
+# A letter model: log-probability of each letter (code point modulo 256) after each letter.
 _LETTER_SQL = """letters as (
-  select doc_id, [case when unicode(c) between 97 and 122 then unicode(c) - 97 else 26 end
-                  for c in string_split(lower(text), '')] as w from documents), steps as (
+  select doc_id, [unicode(c) % 256 for c in string_split(lower(text), '')] as w from documents), steps as (
   select doc_id, unnest(w[1:len(w) - 1]) as a, unnest(w[2:]) as b from letters), cells as (
   select a, b, count(*) as c from steps group by all), rows as (
   select a, sum(c) as c from cells group by a)"""
 
 
 def _documents(spark, sf_dir):
-    return spread_scan(V.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return V.table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 @query("score_batch", f"""
 with {_LETTER_SQL}
-select doc_id, round(avg(ln((cells.c + 1.0) / (rows.c + 27.0))), 6) as score
+select doc_id, round(avg(ln((cells.c + 1.0) / (rows.c + 256.0))), 6) as score
 from steps s join cells on s.a = cells.a and s.b = cells.b join rows on s.a = rows.a group by doc_id""")
 def score_batch(spark, sf_dir):
     documents = _documents(spark, sf_dir)
@@ -65,7 +63,7 @@ def score_logsoftmax(spark, sf_dir):
 
 def _token_scores(spark, sf_dir):
     documents = _documents(spark, sf_dir)
-    return C.BigramModel.train(documents, "text").log_probs(documents, ["doc_id"], "text")
+    return C.BigramModel.train(documents, "text").log_probs(documents, ["doc_id"], "text", trained=True)
 
 
 @query("score_mean_logprob", f"with {_LOGPROB_SQL} select doc_id, round(avg(lp), 6) as score from scored group by doc_id")

@@ -30,9 +30,21 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Folders that a session's queries have made and not removed yet, by application.
+_made: dict[str, set[str]] = {}
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A path under the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path under the shared folder that nothing else uses; it belongs to the session until removed."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Remove everything this session's queries have staged; call it once their results have been read."""
+    for path in list(_made.get(spark.sparkContext.applicationId, ())):
+        remove_folder(spark, path)
 
 
 class Scratch:
@@ -71,6 +83,7 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a staged folder through the file system that holds it."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _made.get(spark.sparkContext.applicationId, set()).discard(path)
 
 
 def stage(df: DataFrame, label: str = "staged") -> DataFrame:

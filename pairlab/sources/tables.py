@@ -32,15 +32,37 @@ RATINGS_RAW_SCHEMA = (
 
 
 def read_csv(
-    spark: SparkSession, path: str | Sequence[str], schema: str | StructType, multi_line: bool = False
+    spark: SparkSession, path: str | Sequence[str], schema: str | StructType, multi_line: bool = False, strict: bool = True
 ) -> DataFrame:
-    """Read headed CSV; doubled quotes are quotes and blank cells are NULL.
+    """Read headed CSV by column name: blank cells, "NA" and NaN are NULL, doubled quotes are quotes.
 
-    An unnamed leading index column takes its name from ``schema``.  ``multi_line``
-    accepts line breaks inside cells but stops Spark from splitting files.
+    The header decides which cell belongs to which column; every column of ``schema`` must be in it, but
+    an unnamed leading index column takes the schema's first name.  A cell that does not fit its
+    type fails the job, or is NULL with ``strict=False``.  ``multi_line`` accepts line breaks inside
+    cells but stops Spark from splitting files.
     """
-    reader = spark.read.schema(schema).option("header", True).option("escape", '"')
-    return reader.option("multiLine", multi_line).csv(path if isinstance(path, str) else list(path))
+    wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    paths = path if isinstance(path, str) else list(path)
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).option("enforceSchema", False)
+    raw = reader.csv(paths)
+    if not raw.columns:
+        return spark.read.schema(wanted).option("header", True).csv(paths)
+    names = {("" if c == "_c0" else c): c for c in raw.columns}
+    missing = [f.name for f in wanted if f.name not in names]
+    if missing == [wanted[0].name] and "" in names:
+        names[missing.pop()] = names[""]
+    if missing:
+        raise ValueError(f"columns missing in {path}: {missing}")
+
+    def typed(field) -> Column:
+        text = F.col(f"`{names[field.name]}`")
+        text = F.when(text != "NA", text)
+        if field.dataType.simpleString() == "string":
+            return text
+        value = text.cast(field.dataType) if strict else text.try_cast(field.dataType)
+        return F.when(~F.isnan(value), value) if field.dataType.simpleString() in ("double", "float") else value
+
+    return raw.select(*[typed(f).alias(f.name) for f in wanted])
 
 
 def read_replicas(
@@ -67,13 +89,3 @@ def write_csv(
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.csv(path)
-
-
-def spread_scan(table: DataFrame) -> DataFrame:
-    """Spread a plain table scan over all cores when its files give fewer partitions.
-
-    Worth one shuffle before work that is heavy per row, such as splitting long texts.  A
-    table of many files is returned as it is.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)

@@ -29,7 +29,7 @@ def test_random_slopes(spark):
     pdf = simulate()
     terms = D.numeric("c") + D.numeric("rank")
     rows = S.fit_slopes(
-        spark.createDataFrame(pdf), "y", terms, ("rater", ["c"]), ("pair", ["c"]), iterations=25, tolerance=1e-3
+        spark.createDataFrame(pdf), "y", terms, ("rater", ["c"]), ("pair", ["c"]), tolerance=1e-3
     ).collect()
     fixed = {r["term"]: r for r in rows if r["part"] == "fixed"}
     cov = {

@@ -63,14 +63,6 @@ def test_stage_returns_the_written_table(spark):
     assert staging.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
-def test_spread_scan_only_when_few_partitions(spark):
-    assert T.spread_scan(spark.range(0, 10, 1, 2)).rdd.getNumPartitions() == 8
-    assert T.spread_scan(spark.range(0, 10, 1, 9)).rdd.getNumPartitions() == 9
-
-
-# --- ratings -----------------------------------------------------------------------
-
-
 def test_standardise(spark):
     df = spark.createDataFrame(
         [("a", 1.0), ("a", 2.0), ("a", 3.0), ("a", None), ("b", 5.0), ("b", 5.0), ("c", 1.0), (None, 2.0), (None, 4.0)],
@@ -195,7 +187,7 @@ def test_quantiles_of_large_groups_match_brute_force(spark, bins):
     probabilities = (0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0)
     names = [f"q{i}" for i in range(len(probabilities))]
     df = spark.createDataFrame(pdf).repartition(7)
-    got = {r["g"]: [r[n] for n in names] for r in grouped_quantiles(df, ["g"], "x", probabilities, names, small_group=50, bins=bins).collect()}
+    got = {r["g"]: [r[n] for n in names] for r in grouped_quantiles(df, ["g"], "x", probabilities, names, bins=bins).collect()}
     for g in ("hot", "flat", None, "small"):
         x = pdf.x[pdf.g.isna() if g is None else pdf.g == g].to_numpy()
         assert got[g] == pytest.approx(np.quantile(x, probabilities), rel=1e-12)
