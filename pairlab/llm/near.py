@@ -197,25 +197,17 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in W.slices(batch.column(1)):
             hashes, at = shingle_sets(part)
-            sets = [hashes[at[i]: at[i + 1]].tobytes() for i in range(part.n_docs)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.at, part.n_docs), pa.array(sets, pa.binary())], names=["id", "shingles"])
+            sets = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(hashes.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.at, part.n_docs), sets], names=["id", "shingles"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full shingle sets reach the threshold."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keep = []
-            for left, right in zip(batch["left"], batch["right"], strict=True):
-                a, b = np.frombuffer(left, dtype=np.uint64), np.frombuffer(right, dtype=np.uint64)
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * common >= percent * (len(a) + len(b) - common))
-            yield batch.loc[np.array(keep, dtype=bool), ["a", "b"]]
-
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInPandas(run, "a long, b long")
+    common = F.size(F.array_intersect("left", "right"))
+    both = pairs.join(left, "a").join(right, "b")
+    return both.where(100 * common >= percent * (F.size("left") + F.size("right") - common)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -245,7 +237,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     )
     members = Staged(banded.join(buckets.read(), "band").select("band", "id", "a", "n"), "members")
     ids = members.read().select("id").distinct()
-    sets = Staged(source.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_sets, "id long, shingles binary"), "shingles")
+    sets = Staged(source.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_sets, "id long, shingles array<long>"), "shingles")
     stars = members.read().where("id <> a").select("a", F.col("id").alias("b")).distinct()
     likely = Staged(_likely(stars, signatures, table), "likely")
     links = Staged(_confirmed(likely.read(), sets.read(), percent), "links")
