@@ -338,6 +338,30 @@ def fit_nested(
     return spark.createDataFrame(rows, _result_schema(df, by, ["var_inner", "var_outer", "var_residual", "reml"]))
 
 
+def nested_cross_products(
+    df: DataFrame, response: str, terms: Sequence[Term], inner: str, outer: str | None, by: Sequence[str], ratios: tuple[float, float]
+) -> DataFrame:
+    """(by, i, j, value) of W'V⁻¹W at stated sd ratios, and log|V| as i = j = -1.
+
+    W is the intercept, the terms and the response, all but the intercept centred on their group's
+    means; V is in units of the residual variance.  These are what the REML criterion is made of.
+    """
+    df = df.dropna(subset=[inner, *([outer] if outer else [])])
+    found = centres(df, response, terms, by)
+    levels = {"inner": inner, **({"outer": outer} if outer else {})}
+    names = [*[f"w{i + 1}" for i in range(len(terms))], "wy"]
+    rows = []
+    with Scratch(df.sparkSession) as scratch:
+        table = scratch.stage(_fold(_centred_rows(df, response, terms, by, found, levels), ["__g", *levels], names), "levels")
+        profiles = _evaluate(table, list(found.values()), {g: [ratios] for g in range(len(found))}, outer is not None)
+        for g, group in enumerate(found):
+            profile = profiles[g][ratios]
+            rows.append((*group, -1, -1, float(profile.log_det)))
+            n = len(profile.matrix)
+            rows += [(*group, i, j, float(profile.matrix[i, j])) for i in range(n) for j in range(i, n)]
+    return df.sparkSession.createDataFrame(rows, StructType([df.schema[k] for k in by]).add("i", "integer").add("j", "integer").add("value", "double"))
+
+
 def _coefficient_rows(group, terms, centre: Centre, beta, covariance, dfs, variances, *rest) -> list[tuple]:
     estimate, spread = centre.uncentre(beta, covariance)
     where = {0: 0, **{j + 1: i + 1 for i, j in enumerate(centre.kept)}}

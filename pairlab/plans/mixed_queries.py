@@ -41,6 +41,44 @@ def lmm_nested(spark, sf_dir):
     return M.fit_nested(scores, "score", _with_rank(), "sent_pair_id", "verb_id", by=["model"])
 
 
+@query("lmm_nested_plain")
+def lmm_nested_plain(spark, sf_dir):
+    """Model score on class and construct with pair-in-verb intercepts, without frequency."""
+    scores = V.scores(spark, sf_dir).withColumn("score", F.col("score") / 1000)
+    return M.fit_nested(scores, "score", class_by_construct(), "sent_pair_id", "verb_id", by=["model"])
+
+
+_RATIOS = (0.15, 0.1)
+
+
+@query("lmm_nested_criterion", f"""
+with {V.SCORES_SQL}, w as (
+  select model, sent_pair_id, verb_id, cast(classification = 'non-alternating' as double) as a, cast(construct = 'PDsentence' as double) as b,
+         cast(classification = 'non-alternating' and construct = 'PDsentence' as double) as ab, cast(frequency_rank as double) as f, score / 1000 as y
+  from scores), c as (
+  select model, sent_pair_id, verb_id, [1.0, a - avg(a) over m, b - avg(b) over m, ab - avg(ab) over m, f - avg(f) over m, y - avg(y) over m] as x
+  from w window m as (partition by model)), cell as (
+  select model, sent_pair_id, verb_id, i, sum(x[i + 1]) as s, count(*) as n from c, range(0, 6) t(i) group by all), pair as (
+  select p.model, p.sent_pair_id, p.verb_id, p.i, q.i as j, p.s, q.s as s2, p.n, {_RATIOS[0]**2} / (1 + p.n * {_RATIOS[0]**2}) as q, 1 / (1 + p.n * {_RATIOS[0]**2}) as u
+  from cell p join cell q on p.model = q.model and p.sent_pair_id = q.sent_pair_id where p.i <= q.i), verb as (
+  select model, verb_id, i, sum(s / (1 + n * {_RATIOS[0]**2})) as c, sum(n / (1 + n * {_RATIOS[0]**2})) as w from cell group by all), wide as (
+  select model, i, j, sum(q * s * s2) as v from pair group by all union all
+  select p.model, p.i, q.i, sum({_RATIOS[1]**2} / (1 + {_RATIOS[1]**2} * p.w) * p.c * q.c)
+  from verb p join verb q on p.model = q.model and p.verb_id = q.verb_id where p.i <= q.i group by all), gram as (
+  select model, i, j, sum(x[i + 1] * x[j + 1]) as v from c, range(0, 6) t(i), range(0, 6) r(j) where i <= j group by all), gone as (
+  select model, i, j, sum(v) as v from wide group by all)
+select g.model, cast(g.i as integer) as i, cast(g.j as integer) as j, round(g.v - o.v, 3) as value
+from gram g join gone o on g.model = o.model and g.i = o.i and g.j = o.j union all
+select model, -1, -1, round(sum(ld), 3) from (
+  select model, ln(1 + n * {_RATIOS[0]**2}) as ld from cell where i = 0 union all
+  select model, ln(1 + {_RATIOS[1]**2} * w) from verb where i = 0) group by model""")
+def lmm_nested_criterion(spark, sf_dir):
+    """What the criterion of ``lmm_nested`` is made of, at one stated pair of ratios."""
+    scores = V.scores(spark, sf_dir).withColumn("score", F.col("score") / 1000)
+    table = M.nested_cross_products(scores, "score", _with_rank(), "sent_pair_id", "verb_id", ["model"], _RATIOS)
+    return table.withColumn("value", F.round("value", 3) + 0.0)
+
+
 _MOMENTS_SQL = V.RATINGS_SQL + """, r as (
   select partid as rater, sent_pair_id as pair, verb_id as verb,
          value - avg(value) over (partition by classification, construct) as e from ratings), t as (
@@ -84,6 +122,12 @@ def lmm_crossed_fixed(spark, sf_dir):
     return M.fit_crossed(V.ratings(spark, sf_dir), "value", _with_rank(), "partid", "sent_pair_id", "verb_id")
 
 
+@query("lmm_crossed_plain")
+def lmm_crossed_plain(spark, sf_dir):
+    """Rating on class and construct with rater, pair and verb intercepts, without frequency."""
+    return M.fit_crossed(V.ratings(spark, sf_dir), "value", class_by_construct(), "partid", "sent_pair_id", "verb_id")
+
+
 @query("lmm_random_slopes")
 def lmm_random_slopes(spark, sf_dir):
     """Slopes of class, construct and their product per rater, of construct per pair."""

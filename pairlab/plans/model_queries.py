@@ -41,6 +41,40 @@ def ols_interaction(spark, sf_dir):
     return rounded(O.coefficients(fitted).select("term", "estimate"), "estimate")
 
 
+_CELL = "case when classification = 'alternating' then 0 else 2 end + case when construct = 'DOsentence' then 0 else 1 end"
+
+
+@query("ols_interaction_summary", f"""
+with {V.RATINGS_SQL}, r as (
+  select value as y, {_CELL} as cell from ratings), c as (
+  select cell, count(*) as n, avg(y) as m from r group by cell), e as (
+  select y - m as e from r join c using (cell)), s as (
+  select sum(e * e) as rss, count(*) as n, quantile_cont(e, [0, 0.25, 0.5, 0.75, 1]) as q from e), t as (
+  select rss, n, q, rss / (n - 4) as s2, (select sum((y - (select avg(y) from r)) * (y - (select avg(y) from r))) from r) as tss from s), w as (
+  select max(m) filter (cell = 0) as m0, max(m) filter (cell = 1) as m1, max(m) filter (cell = 2) as m2, max(m) filter (cell = 3) as m3,
+         max(n) filter (cell = 0) as n0, max(n) filter (cell = 1) as n1, max(n) filter (cell = 2) as n2, max(n) filter (cell = 3) as n3 from c), terms as (
+  select '(Intercept)' as term, m0 as estimate, 1 / n0 as v from w union all
+  select 'classificationnon-alternating', m2 - m0, 1 / n0 + 1 / n2 from w union all
+  select 'constructPDsentence', m1 - m0, 1 / n0 + 1 / n1 from w union all
+  select 'classificationnon-alternating:constructPDsentence', m3 - m2 - m1 + m0, 1 / n0 + 1 / n1 + 1 / n2 + 1 / n3 from w)
+select term, round(estimate, 6) as estimate, round(sqrt(s2 * v), 6) as std_error, round(estimate / sqrt(s2 * v), 6) as t_value, n,
+       round(sqrt(s2), 6) as sigma, round(1 - rss / tss, 6) as r_squared, round(1 - rss / tss * (n - 1) / (n - 4), 6) as adj_r_squared,
+       round((tss - rss) / 3 / s2, 6) as f_value, round(q[1], 6) as res_min, round(q[2], 6) as res_q1, round(q[3], 6) as res_median,
+       round(q[4], 6) as res_q3, round(q[5], 6) as res_max
+from terms, t""")
+def ols_interaction_summary(spark, sf_dir):
+    """The whole summary of rating on class by construct: errors, fit statistics and residual quartiles."""
+    rows = stage(V.ratings(spark, sf_dir).select("classification", "construct", "value"), "ratings")
+    terms = class_by_construct()
+    fitted = stage(O.fit(rows, "value", terms), "fits")
+    residuals = O.with_residuals(rows, fitted, "value", terms)
+    names = ["res_min", "res_q1", "res_median", "res_q3", "res_max"]
+    spread = grouped_quantiles(residuals.withColumn("whole", F.lit(1)), ["whole"], "residual", (0, 0.25, 0.5, 0.75, 1), names)
+    statistics = ["n", "sigma", "r_squared", "adj_r_squared", "f_value"]
+    table = fitted.select(F.lit(1).alias("whole"), *statistics, F.inline("terms")).join(spread, "whole").drop("whole", "p_value")
+    return rounded(table, "estimate", "std_error", "t_value", *statistics[1:], *names)
+
+
 def _human_and_model(spark, sf_dir):
     """Human and model difference of every pair and model."""
     human = V.ratings(spark, sf_dir).groupBy("sent_pair_id").agg(

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairlab.operators import scoring as C
-from pairlab.operators.reshape import mean_value, to_wide
+from pairlab.operators.reshape import first_value, mean_value, to_wide
 from pairlab.plans import standin as V
+from pairlab.plans import study
 from pairlab.plans.registry import query, rounded
+from pairlab.sources.staging import new_folder, stage
+from pairlab.sources.tables import read_replicas, write_csv
 
 _WORDS = "list_concat(['<s>'], [x for x in regexp_split_to_array(lower(text), '[^\\p{L}]+') if x <> ''], ['</s>'])"
 
@@ -114,3 +117,94 @@ def score_pair_diff(spark, sf_dir):
     wide = to_wide(scored, ["conv_id"], "role", ["user", "assistant"], {"score": mean_value}, "{level}_{value}")
     wide = wide.withColumn("diff", F.col("assistant_score") - F.col("user_score"))
     return rounded(wide, "user_score", "assistant_score", "diff")
+
+
+@query("score_sequences", """
+with p as (select vec_id, vec_id // 8 as sentence, vec_id % 8 as pos, label, [cast(x as double) for x in embedding] as e from embeddings), t as (
+  select p.sentence, p.pos, p.e, n.label as target from p join p n on p.sentence = n.sentence and n.pos = p.pos + 1)
+select sentence, count(*) as n_scored, round(avg(e[target + 1] - list_max(e) - ln(list_sum([exp(x - list_max(e)) for x in e]))), 6) as score
+from t where target <> 0 group by sentence""")
+def score_sequences(spark, sf_dir):
+    """Mean log-probability of sentences of eight positions: logits of each predict the next token; token 0 is padding."""
+    rows = V.table(spark, sf_dir, "embeddings").select(
+        F.expr("vec_id div 8").alias("sentence"), (F.col("vec_id") % 8).alias("pos"), "label", F.col("embedding").cast("array<double>").alias("logits")
+    )
+    sentences = rows.groupBy("sentence").agg(F.sort_array(F.collect_list(F.struct("pos", "label", "logits"))).alias("at"))  # eight positions each
+    targets = sentences.select("sentence", "at", C.shifted_targets(F.transform("at", lambda p: p["label"])).alias("target"))
+    scored = targets.select("sentence", F.posexplode("target").alias("i", "target"), "at").select(
+        "sentence", "target", C.log_softmax_at(F.col("at")[F.col("i")]["logits"], F.col("target")).alias("logprob")
+    ).where("target <> 0")
+    return rounded(scored.groupBy("sentence").agg(F.count(F.lit(1)).alias("n_scored"), F.avg("logprob").alias("score")), "score")
+
+
+_FILE_MODELS = ("gpt2", "nobody")
+
+
+@query("score_files", f"""
+with {_LETTER_SQL}, pair as (
+  select conv_id, min(text) filter (where role = 'user') as "DOsentence", min(text) filter (where role = 'assistant') as "PDsentence"
+  from conversations where turn < 2 and regexp_matches(text, '^[A-Za-z ,.]+$') group by conv_id), long as (
+  select conv_id, 'DO' as form, "DOsentence" as text from pair union all select conv_id, 'PD', "PDsentence" from pair), spelt as (
+  select conv_id, form, [unicode(c) % 256 for c in string_split(lower(text), '')] as w from long where text is not null), taken as (
+  select conv_id, form, unnest(w[1:len(w) - 1]) as a, unnest(w[2:]) as b from spelt), scored as (
+  select t.conv_id, t.form, avg(ln((coalesce(cells.c, 0) + 1.0) / (coalesce(rows.c, 0) + 256.0))) as s
+  from taken t left join cells on t.a = cells.a and t.b = cells.b left join rows on t.a = rows.a group by t.conv_id, t.form), wide as (
+  select conv_id, max(s) filter (where form = 'DO') as d, max(s) filter (where form = 'PD') as p from scored group by conv_id)
+select pair.conv_id, 'gpt2' as model, round(d, 6) as "DO_score", round(p, 6) as "PD_score", round(p - d, 6) as diff
+from pair left join wide on pair.conv_id = wide.conv_id""")
+def score_files(spark, sf_dir):
+    """From a file of pairs to a scored file per model and back; a model nobody knows is reported and left out."""
+    first = V.table(spark, sf_dir, "conversations").where((F.col("turn") < 2) & F.col("text").rlike("^[A-Za-z ,.]+$"))
+    pairs = to_wide(first, ["conv_id"], "role", ["user", "assistant"], {"text": first_value}, "{level}")
+    source = new_folder(spark, "pairs")
+    write_csv(pairs.withColumnsRenamed({"user": "DOsentence", "assistant": "PDsentence"}), source)
+    model = C.train_letter_model(_documents(spark, sf_dir), "text")
+    written, unknown = study.score_pair_files(
+        spark, source, "conv_id BIGINT, DOsentence STRING, PDsentence STRING", dict.fromkeys(_FILE_MODELS, C.letter_scorer(model)), new_folder(spark, "scored")
+    )
+    assert unknown == ["nobody"]
+    found = read_replicas(
+        spark, f"{written}/model=*", "conv_id BIGINT, DO_score DOUBLE, PD_score DOUBLE, diff DOUBLE", r"model=([^/]+)/"
+    )
+    return rounded(found, "DO_score", "PD_score", "diff")
+
+
+_CHOICES = """raw as (
+  select user_id as partid, event_id as item, value, case event_type when 'signup' then 'high' when 'error' then 'low' else 'trial' end as kind,
+         case when event_id % 2 = 0 then 'DOsentence' else 'PDsentence' end as construct, event_id // 2 % 50 as pair from events), z as (
+  select *, (value - avg(value) over r) / nullif(stddev_samp(value) over r, 0) as zscores from raw window r as (partition by partid)), flagged as (
+  select *, case when zscores is null then null when kind = 'low' then cast(zscores < 0 as integer) else cast(zscores > 0 as integer) end as correct
+  from z where kind <> 'trial'), failed as (
+  select partid from flagged group by partid
+  having coalesce(sum(correct) filter (where kind = 'high'), case when count(*) filter (where kind = 'high') > 0 then 0 end) < 5
+      or coalesce(sum(correct) filter (where kind = 'low'), case when count(*) filter (where kind = 'low') > 0 then 0 end) < 7)"""
+
+
+@query("study_pair_differences", f"""
+with {_CHOICES}, kept as (select * from z where kind = 'trial' and partid not in (select partid from failed))
+select pair as sent_pair_id, round(avg(zscores) filter (where construct = 'PDsentence') - avg(zscores) filter (where construct = 'DOsentence'), 5) as human_zdiff,
+       round(avg(value) filter (where construct = 'PDsentence') - avg(value) filter (where construct = 'DOsentence'), 5) as human_sdiff
+from kept group by pair""")
+def study_pair_differences(spark, sf_dir):
+    """The study from raw form rows: standardise, check attention, keep trials, find pairs by sentence, fold to differences."""
+    events = V.table(spark, sf_dir, "events")
+    pair = F.expr("event_id div 2 % 50").cast("int")
+    form = F.when(F.col("event_id") % 2 == 0, "DOsentence").otherwise("PDsentence")
+    kind = F.when(F.col("event_type") == "signup", "high").when(F.col("event_type") == "error", "low")
+    raw = events.select(
+        F.when(kind.isNull(), "experimental_trial").otherwise("filler").alias("Label"), F.lit("test").alias("PennElementName"),
+        F.lit("Choice").alias("Parameter"), F.col("value").cast("string").alias("Value"), F.col("user_id").cast("string").alias("partid"),
+        F.when(kind.isNull(), F.format_string("pair %d as %s", pair, form)).alias("sentence"), form.alias("construct"),
+        F.coalesce(kind, F.lit("alternating")).alias("classification"), F.lit("longIndefinite").alias("IO"), F.lit("0").alias("counter"),
+        F.lit("g").alias("group"), F.when(kind.isNull(), pair.cast("string")).otherwise(F.concat(F.lit("f"), F.col("event_id").cast("string"))).alias("item"),
+    )
+    fillers = raw.where("Label = 'filler'").select("item").distinct()
+    choices = study.standardised_choices(raw)
+    failed = stage(study.raters_to_drop(choices, fillers).select("partid"), "failed-raters")
+    pairs = spark.range(50).select(
+        F.col("id").cast("int").alias("sent_pair_id"), F.lit(0).alias("frequency_rank"),
+        *[F.format_string(f"pair %d as {c}", "id").alias(c) for c in study.CONSTRUCTS],
+    )
+    rated = study.with_pair_ids(study.experiment_rows(choices, failed), pairs, on_duplicate="error")
+    means = study.human_differences(rated.withColumns({"verb_id": F.col("item"), "verb": F.col("item")}))
+    return rounded(means.select(F.col("sent_pair_id").cast("bigint").alias("sent_pair_id"), "human_zdiff", "human_sdiff"), "human_zdiff", "human_sdiff", places=5)

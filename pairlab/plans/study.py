@@ -5,20 +5,22 @@ Each step takes and returns DataFrames, so steps chain with ``DataFrame.transfor
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlab.functions.exprs import choose, number
+from pairlab.functions.exprs import choose, model_name, number
 from pairlab.operators.joins import attach, drop_matching, keep_matching, match_text
 from pairlab.operators.numbering import number_rows
 from pairlab.operators.ratings import failed_raters, flag_correct, standardise
 from pairlab.operators.reshape import only_value, relocate, to_long, to_wide
 from pairlab.operators.scoring import BatchScorer, pair_scores
 from pairlab.operators.summaries import pair_means
+from pairlab.sources.tables import read_csv, write_csv
 
 CONSTRUCTS = ("DOsentence", "PDsentence")
+# Columns of the study's rating table.
 RATING_COLUMNS = (
     "partid", "item", "sentence", "construct", "classification", "IO", "counter", "group", "Value", "zscores"
 )
@@ -78,6 +80,23 @@ def score_pairs(pairs: DataFrame, make_scorer: Callable[[], BatchScorer]) -> Dat
     return scored.withColumnsRenamed({"DOsentence_score": "DO_score", "PDsentence_score": "PD_score"})
 
 
+def score_pair_files(
+    spark: SparkSession, source: str, schema: str, scorers: Mapping[str, Callable[[], BatchScorer]], target: str, checkpoint: str = "last"
+) -> tuple[str, list[str]]:
+    """Score a file of pairs with each model and write one file per model; (folder, model codes nobody knows).
+
+    Files are at ``target``/model=<code>, without the sentences.
+    """
+    codes = spark.createDataFrame([(c,) for c in scorers], "code string")
+    named = {r["code"]: r["name"] for r in codes.select("code", model_name("code", checkpoint).alias("name")).collect()}  # one row per model
+    unknown = sorted(c for c, name in named.items() if name is None)
+    pairs = read_csv(spark, source, schema)
+    for code, make_scorer in scorers.items():
+        if code not in unknown:
+            write_csv(score_pairs(pairs, make_scorer).drop(*CONSTRUCTS), f"{target}/model={code}")
+    return target, unknown
+
+
 def merge_replicas(scores: DataFrame, replicas: Sequence[str], name: str) -> DataFrame:
     """Long score table with the listed models replaced by their average, called ``name``.
 

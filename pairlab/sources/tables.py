@@ -43,10 +43,12 @@ def read_csv(
     """
     wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     paths = path if isinstance(path, str) else list(path)
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).option("enforceSchema", False)
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
     raw = reader.csv(paths)
     if not raw.columns:
         return spark.read.schema(wanted).option("header", True).csv(paths)
+    if "_c0" not in raw.columns:  # every file's header must agree with the first one's; unnamed columns can't be compared
+        raw = reader.option("enforceSchema", False).csv(paths)
     names = {("" if c == "_c0" else c): c for c in raw.columns}
     missing = [f.name for f in wanted if f.name not in names]
     if missing == [wanted[0].name] and "" in names:

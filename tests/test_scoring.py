@@ -69,10 +69,10 @@ def test_bigram_model_against_brute_force(spark):
         assert lme[i] == pytest.approx(math.log(np.exp(lp).sum()) - math.log(len(lp)))
 
 
-@pytest.mark.parametrize("shift", [0.0, -400.0, -900.0, -1500.0])
+@pytest.mark.parametrize("shift", [0.0, -900.0, -2000.0, -1e6])
 def test_log_mean_exp_does_not_underflow(spark, shift):
     lp = [-1.0 + shift, -2.5 + shift, -0.3 + shift]
-    df = spark.createDataFrame([(v,) for v in lp], "logprob double")
+    df = spark.createDataFrame([(v, 1) for v in lp], "logprob double, n int")
     got = df.agg(C.log_mean_exp().alias("v")).first()["v"]
     top = max(lp)
     assert got == pytest.approx(top + math.log(sum(math.exp(v - top) for v in lp)) - math.log(3), abs=1e-9)
@@ -97,7 +97,15 @@ def test_alignment_and_mask(spark):
 def test_letter_model(spark):
     df = spark.createDataFrame([("ab a",), ("ba",), (None,)], "t string")
     model = C.train_letter_model(df, "t")
-    assert model[0, 1] == pytest.approx(math.log(2 / 28))  # a to b: once of one step from a
+    assert model[97, 98] == pytest.approx(math.log(2 / 257))  # a to b: once of one step from a
     scorer = C.letter_scorer(model)()
-    assert scorer(pd.Series(["ab"]))[0] == pytest.approx(model[0, 1])
+    assert scorer(pd.Series(["ab", "", "ba"])).tolist()[::2] == pytest.approx([model[97, 98], model[98, 97]])
     assert math.isnan(scorer(pd.Series(["a"]))[0])
+
+
+def test_keys_beyond_doubles_survive_beside_nulls(spark):
+    big = 9007199254740993
+    df = spark.createDataFrame([(big, "ab", "ba"), (None, None, "a"), (3, "b", None)], "id long, a string, b string")
+    make = C.letter_scorer(np.zeros((C.SYMBOLS, C.SYMBOLS)))
+    assert {r["id"] for r in C.score_texts(df, "a", make).collect()} == {big, None, 3}
+    assert {r["id"] for r in C.pair_scores(df, ["id"], ["a", "b"], make).collect()} == {big, None, 3}

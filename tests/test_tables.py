@@ -196,9 +196,17 @@ def test_quantiles_of_large_groups_match_brute_force(spark, bins):
 def test_whole_table_quantiles(spark):
     x = np.random.default_rng(2).normal(0, 1, 500)
     df = spark.createDataFrame(pd.DataFrame({"x": x}))
-    for small_group in (1000, 100):
-        row = grouped_quantiles(df, [], "x", (0.25, 0.9), ["a", "b"], small_group=small_group).collect()
-        assert [tuple(r) for r in row] == [pytest.approx(tuple(np.quantile(x, (0.25, 0.9))))]
+    row = grouped_quantiles(df, [], "x", (0.25, 0.9), ["a", "b"]).collect()
+    assert [tuple(r) for r in row] == [pytest.approx(tuple(np.quantile(x, (0.25, 0.9))))]
+
+
+def test_quantiles_end_on_nan_infinities_and_tiny_numbers(spark):
+    inf, tiny = float("inf"), 5e-324
+    rows = [("a", v) for v in (-inf, -inf, 1.0, 2.0, 3.0, 1e308, -1e308, float("nan"), None, inf)]
+    rows += [("b", k * tiny) for k in range(5)] + [("c", inf)] * 3 + [("d", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r["g"]: (r["lo"], r["mid"], r["hi"]) for r in grouped_quantiles(df, ["g"], "x", (0, 0.5, 1), ["lo", "mid", "hi"], bins=2).collect()}
+    assert got == {"a": (-inf, 1.5, inf), "b": (0.0, 2 * tiny, 4 * tiny), "c": (inf, inf, inf)}
 
 
 def test_hot_group_survives_without_broadcast(spark):
@@ -232,7 +240,8 @@ def test_box(spark):
 def test_histogram_bins_are_centred_and_right_closed(spark):
     df = spark.createDataFrame([(float(v),) for v in (0, 0, 0.5, 0.6, 29, 28.5)], "x double")
     got = {r["bin"]: r["n"] for r in P.histogram(df, "x").collect()}
-    assert got == {0: 3, 1: 1, 28: 1, 29: 1}
+    assert got == {**dict.fromkeys(range(30), 0), 0: 3, 1: 1, 28: 1, 29: 1}
+    assert P.histogram(df.limit(0), "x").collect() == []
     flat = spark.createDataFrame([(2.0,), (2.0,)], "x double")
     assert [(r["bin"], r["n"]) for r in P.histogram(flat, "x").collect()] == [(0, 2)]
 
@@ -254,3 +263,44 @@ def test_smooth_band(spark):
     assert (at["ymax"] - at["y"]) / se == pytest.approx(2.228, abs=1e-3)
     two = P.linear_smooth(df.limit(2), ["g"]).first()
     assert two["y"] is not None and two["se"] is None and two["ymin"] is None
+
+
+def test_csv_is_read_by_name_and_missing_values_are_null(spark, tmp_path):
+    (tmp_path / "one.csv").write_text('b,a,c\nNA,1,NaN\n"x, ""y""",,2.5\n')
+    got = T.read_csv(spark, str(tmp_path / "one.csv"), "a INT, b STRING, c DOUBLE").collect()
+    assert [tuple(r) for r in got] == [(1, None, None), (None, 'x, "y"', 2.5)]
+    with pytest.raises(ValueError, match="columns missing"):
+        T.read_csv(spark, str(tmp_path / "one.csv"), "a INT, other STRING")
+    (tmp_path / "two.csv").write_text("a,b,c\nseven,u,1\n")
+    with pytest.raises(Exception, match="seven"):
+        T.read_csv(spark, str(tmp_path / "two.csv"), "a INT, b STRING, c DOUBLE").collect()
+    assert T.read_csv(spark, str(tmp_path / "two.csv"), "a INT", strict=False).first()["a"] is None
+
+
+def test_a_second_row_of_one_replica_fails(spark):
+    scores = spark.createDataFrame([(1, "A", 1.0), (1, "A", 9.0), (1, "B", 2.0)], "pair int, model string, s double")
+    with pytest.raises(Exception, match="more than one row"):
+        J.line_up_replicas(scores, ["pair"], "model", ["A", "B"], ["s"]).collect()
+
+
+def test_a_rater_who_answers_everything_alike_fails(spark):
+    rows = [("flat", k, 3.0) for k in ["high"] * 6 + ["low"] * 8] + [("good", "high", 5.0)] * 6 + [("good", "low", -5.0)] * 8 + [("unseen", "other", 1.0)]
+    checks = R.flag_correct(R.standardise(spark.createDataFrame(rows, "partid string, classification string, value double"), ["partid"], "value"))
+    assert [tuple(r) for r in R.failed_raters(checks).collect()] == [("flat", 0, 0)]
+
+
+def test_unlisted_levels_are_missing(spark):
+    from pairlab.functions.design import factor
+
+    df = spark.createDataFrame([("a",), ("b",), ("zzz",), (None,)], "k string")
+    assert [r[0] for r in df.select(factor("k", ["a", "b"])[0][1].alias("v")).collect()] == [0.0, 1.0, None, None]
+
+
+def test_staged_tables_are_released(spark):
+    import os
+
+    from pairlab.sources.staging import release, shared_dir, stage
+
+    stage(spark.range(3), "left-behind").count()
+    release(spark)
+    assert not [f for f in os.listdir(shared_dir(spark)) if f.startswith("left-behind")]
