@@ -201,8 +201,7 @@ def expr_recode(spark, sf_dir):
 
 def _models_wide(spark, sf_dir, keys=("sent_pair_id",)):
     """One row per pair with a difference column per model."""
-    scored = V.score_pairs(spark, sf_dir).withColumn("diff", F.col("PD_score") - F.col("DO_score"))
-    return S.to_wide(scored, list(keys), "model", V.MODELS, {"diff": S.first_value}, "{value}_{level}")
+    return V.model_differences(spark, sf_dir).select(*keys, *[f"diff_{m}" for m in V.MODELS])
 
 
 _WIDE_SQL = V.SCORE_PAIRS_SQL + """, wide as (

@@ -85,6 +85,16 @@ def score_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_pair_columns(spark, sf_dir, folded)
 
 
+def model_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per pair with PD minus DO of every model, folded from the rows in one shuffle."""
+    is_do, price = F.col("l_linestatus") == "F", F.col("l_extendedprice")
+    cells = []
+    for m in MODELS:
+        own = F.col("l_returnflag") == m
+        cells.append((F.avg(F.when(own & ~is_do, price)) - F.avg(F.when(own & is_do, price))).alias(f"diff_{m}"))
+    return _with_pair_columns(spark, sf_dir, table(spark, sf_dir, "lineitem").groupBy(*_pair_key()).agg(*cells))
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per sentence pair."""
     folded = table(spark, sf_dir, "lineitem").select(*_pair_key()).distinct()
