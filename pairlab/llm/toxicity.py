@@ -164,7 +164,7 @@ class Classifier:
         trees = curve = None
         fitting = ready.where(part != 0)
         if fitting.select("label").distinct().limit(2).count() == 2:
-            trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, stepSize=0.2, seed=SEED, subsamplingRate=1.0).fit(fitting.repartition(4, "id"))
+            trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, stepSize=0.2, seed=SEED, subsamplingRate=1.0).fit(fitting.coalesce(4))
             margins = trees.transform(ready.where(part == 0)).select(vector_to_array("probability")[1].alias("margin"), "label")
             if margins.limit(1).count():
                 curve = IsotonicRegression(featuresCol="margin", labelCol="label").fit(margins)
