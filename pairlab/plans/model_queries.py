@@ -239,7 +239,7 @@ group by i, lo, w""")
 def plot_hist(spark, sf_dir):
     scored = V.score_pairs(spark, sf_dir)
     diffs = scored.select("classification", "frequency_rank", (F.col("PD_score") - F.col("DO_score")).alias("diff"))
-    kept = R.above_overall_mean(diffs, "diff").where(F.col("classification") == "alternating")
+    kept = R.above_overall_mean(stage(diffs, "pair-differences"), "diff").where(F.col("classification") == "alternating")
     kept = stage(kept.select((-F.col("frequency_rank")).alias("x")), "histogram")
     return rounded(P.histogram(kept, "x"), "centre")
 

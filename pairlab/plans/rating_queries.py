@@ -283,7 +283,7 @@ select model, sent_pair_id, round(diff, 6) as diff from d where diff > (select a
 def filter_gt_global_mean(spark, sf_dir):
     scored = V.score_pairs(spark, sf_dir)
     d = scored.select("model", "sent_pair_id", (F.col("PD_score") - F.col("DO_score")).alias("diff"))
-    return rounded(R.above_overall_mean(d, "diff"), "diff")
+    return rounded(R.above_overall_mean(stage(d, "pair-differences"), "diff"), "diff")
 
 
 _FAILED_SQL = _Z_SQL + """, judged as (

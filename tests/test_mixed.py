@@ -1,6 +1,7 @@
 """Mixed models against dense linear algebra on small data."""
 
 import math
+import os
 
 import numpy as np
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from pairlab.functions import design as D
 from pairlab.operators import mixed as M
+from pairlab.plans import standin as V
+from pairlab.plans.model_queries import class_by_construct
 
 TERMS = ["(Intercept)", "x", "w"]
 
@@ -138,3 +141,40 @@ def test_crossed_moments_recover_known_variances(spark):
 def test_moment_solution_clips_negative_components():
     table = [[10.0, 0, 5, 5, 8], [12.0, 5, 0, 0, 8], [11.0, 5, 3, 0, 9], [9.0, 6, 6, 6, 9]]
     assert min(M.solve_moments(table)) >= 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test data not present")
+def test_no_small_move_of_a_ratio_lowers_the_criterion(spark):
+    """The registered nested fit, whose surface is flat enough to stop a search too early."""
+    scores = V.scores(spark, "/root/testdata/sf0.01").withColumn("score", F.col("score") / 1000)
+    terms = class_by_construct() + D.numeric("frequency_rank")
+    fitted = {r["model"]: r for r in M.fit_nested(scores, "score", terms, "sent_pair_id", "verb_id", by=["model"]).where("term = '(Intercept)'").collect()}
+    assert fitted["N"]["var_inner"] == pytest.approx(9.613, abs=0.01) and fitted["N"]["var_outer"] == pytest.approx(3.904, abs=0.01)
+
+    def criteria(ratios):
+        rows = M.nested_cross_products(scores.where("model = 'N'"), "score", terms, "sent_pair_id", "verb_id", ["model"], ratios).collect()
+        n = max(r["j"] for r in rows) + 1
+        matrix, log_det = np.zeros((n, n)), 0.0
+        for r in rows:
+            if r["i"] < 0:
+                log_det = r["value"]
+            else:
+                matrix[r["i"], r["j"]] = matrix[r["j"], r["i"]] = r["value"]
+        xx, xy = matrix[:-1, :-1], matrix[:-1, -1]
+        df = scores.where("model = 'N'").count() - len(xx)
+        rss = matrix[-1, -1] - xy @ np.linalg.solve(xx, xy)
+        return df * np.log(rss / df) + log_det + np.linalg.slogdet(xx)[1]
+
+    row = fitted["N"]
+    at = (np.sqrt(row["var_inner"] / row["var_residual"]), np.sqrt(row["var_outer"] / row["var_residual"]))
+    here = criteria(at)
+    for move in ((1.02, 1), (0.98, 1), (1, 1.02), (1, 0.98)):
+        assert criteria((at[0] * move[0], at[1] * move[1])) > here
+
+
+def test_a_fit_that_has_not_settled_fails(spark):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"g": np.repeat(np.arange(40), 5), "x": rng.normal(size=200)})
+    pdf["y"] = pdf.x + rng.normal(0, 1, 40)[pdf.g] + rng.normal(0, 1, 200)
+    with pytest.raises(RuntimeError, match="no settled fit"):
+        M.fit_nested(spark.createDataFrame(pdf), "y", D.numeric("x"), "g", looks=1)

@@ -25,7 +25,7 @@ def test_query_matches_sql(spark, connection, name):
     assert rows > 0
 
 
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - set(contract.oracle_sql()) - {"lmm_random_slopes"}))
+@pytest.mark.parametrize("name", sorted(set(contract.queries()) - set(contract.oracle_sql())))
 def test_query_without_sql_runs(spark, name):
     assert contract.queries()[name](spark, SMOKE).count() > 0
 
