@@ -34,7 +34,7 @@ BANDS, ROWS = 48, 6
 #: Rows compared between two looks at the posterior, and the chance at which a pair is given up.
 BATCH, MISS = 48, 1e-4
 #: Members of one block when a bucket is compared inside a task.
-BLOCK = 256
+BLOCK = 2048
 #: Pairs that a member of a bucket gives from a group in each later pass; the last gives all.
 WITHIN = (1, 8, None)
 #: Similarity threshold in percent.
@@ -249,12 +249,18 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         split = placed.read().groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
         rest = placed.read().join(split, "band").join(signatures, "id").select("band", "id", "component", "signature", "n")
         pairs = Staged(_within_buckets(rest, table, most), "pairs")
-        more = Staged(links.read().union(_confirmed(pairs.read(), sets.read(), percent)), "links")
-        pairs_left = pairs.read().limit(1).count()
-        for old in (placed, pairs, links, final):
-            old.remove()
-        links, final = more, components(more.read())
-        if not pairs_left:
+        any_pairs = pairs.read().limit(1).count()
+        if any_pairs:
+            more = Staged(_confirmed(pairs.read(), sets.read(), percent), "links")
+            if more.read().limit(1).count():
+                both = Staged(links.read().union(more.read()), "links")
+                links.remove()
+                final.remove()
+                links, final = both, components(both.read())
+            more.remove()
+        placed.remove()
+        pairs.remove()
+        if not any_pairs:
             break
     component_of = final.read()
     out = sketches.join(classes.read(), ["print_a", "print_b", "n_shingles"], "left").select("id", "n_shingles", "head")
