@@ -77,7 +77,7 @@ class _Conversation:
             done = [(*t, b - a) for t, a, b in zip(self.turns[:number], self.sums, self.sums[1:], strict=False)]
             if self.system is None and self.first == 0 and done[0][0] == "system" and done[0][2] <= self.budget // 2:
                 self.system = done.pop(0)
-            self.past = (self.past + done)
+            self.past = self.past + done
             kept, total = [], 0
             for turn in reversed(self.past):
                 total += turn[2]

@@ -17,6 +17,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -43,12 +44,16 @@ SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine i
 LEET = str.maketrans("013457@$!|", "oieastasil")
 
 STEM_LETTERS = (4, 5, 6)
+CACHED_WORDS = 300_000
 #: Words at the farthest that count as near a second person.
 REACH = 10
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SPACED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_][ .*_-]){3,}[^\W\d_](?![^\W\d_])")
-_MIXED = re.compile(r"[^\W_]*[0-9@$!|*][^\s]*")
+_ODD = re.compile(r"[0-9@$!|*]")
+_UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
+_SHOUT = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b")
+_MARKS, _SIGNS = re.compile(r"[.,;:!?]"), re.compile(r"[#$%&*@|<>]")
 _REPEAT = re.compile(r"(.)\1{2,}")
 
 FEATURES = (
@@ -63,42 +68,68 @@ def units(text: str) -> set[str]:
     return found | {w[:n] + "*" for w in found for n in STEM_LETTERS if len(w) > n}
 
 
-def features(text: str, words: frozenset[str], stems: frozenset[str]) -> list[float]:
-    """One number for each of ``FEATURES``; all zero for an empty text."""
-    low = text.lower()
-    found = _WORD.findall(low)
-    n, chars = max(len(found), 1), max(len(text), 1)
-    hits = [i for i, w in enumerate(found) if w in words]
-    begun = [i for i, w in enumerate(found) if len(w) > 4 and (w[:4] in stems or w[:5] in stems or w[:6] in stems)] if stems else []
-    second = [i for i, w in enumerate(found) if w in SECOND_PERSON]
-    near = 0.0
-    places = np.array(sorted({*hits, *begun}))
-    if len(places) and second:
-        other = np.array(second)
-        right = np.clip(np.searchsorted(other, places), 0, len(other) - 1)
-        gap = np.minimum(np.abs(other[right] - places), np.abs(other[np.maximum(right - 1, 0)] - places)).min()
-        near = max(0.0, 1 - float(gap) / REACH)
-    letters = sum(map(len, found)) or 1
-    upper = len(text) - len(re.sub(r"[A-ZÀ-ÖØ-Þ]", "", text))
-    shout = len(re.findall(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b", text))
-    mixed = [m for m in _MIXED.findall(low) if any(c.isalpha() for c in m)]
-    hidden = 0
-    for m in mixed:
-        for w in _WORD.findall(m.translate(LEET)) + _WORD.findall(re.sub(r"[^\w]|_", "", m.translate(LEET))):
-            hidden += w in words or w[:5] in stems or w[:4] in stems
-    for m in _SPACED.findall(low):
-        hidden += re.sub(r"[ .*_-]", "", m) in words
-    stretched = _REPEAT.search(low)
-    repeats = sum(1 for _ in _REPEAT.finditer(low)) if stretched else 0
-    if stretched:
-        hidden += sum(1 for w in found if w not in words and _REPEAT.search(w) and (_REPEAT.sub(r"\1", w) in words))
-    signs = len(re.findall(r"[#$%&*@|<>]", text))
-    marks = len(re.findall(r"[.,;:!?]", text))
-    return [
-        math.log1p(len(found)), len(hits) / n, float(bool(hits)), math.log1p(len(hits)), len(begun) / n, float(bool(begun)), math.log1p(len(begun)),
-        len(second) / n, near, upper / letters, shout / n, text.count("!") / n, text.count("?") / n, marks / n, signs / chars,
-        len(mixed) / n, hidden / n, float(hidden > 0), repeats / n,
-    ]
+HIT, STEM, SECOND = 1, 2, 4
+
+
+class Measure:
+    """Features of texts for one lexicon; what a word is gets looked up once while it stays among ``CACHED_WORDS``."""
+
+    def __init__(self, words: frozenset[str], stems: frozenset[str]):
+        self.words, self.stems = words, stems
+        self.kinds = _Kinds(words, stems)
+
+    def __call__(self, text: str) -> list[float]:
+        """One number for each of ``FEATURES``; all zero for an empty text."""
+        words, stems = self.words, self.stems
+        if len(self.kinds) > CACHED_WORDS:
+            self.kinds = _Kinds(words, stems)
+        low = text.lower()
+        found = _WORD.findall(low)
+        n, chars = max(len(found), 1), max(len(text), 1)
+        kind = np.fromiter(map(self.kinds.__getitem__, found), dtype=np.uint8, count=len(found))
+        hits, begun, second = (np.flatnonzero(kind & bit) for bit in (HIT, STEM, SECOND))
+        near = 0.0
+        places = np.flatnonzero(kind & (HIT | STEM))
+        if len(places) and len(second):
+            right = np.clip(np.searchsorted(second, places), 0, len(second) - 1)
+            gap = np.minimum(np.abs(second[right] - places), np.abs(second[np.maximum(right - 1, 0)] - places)).min()
+            near = max(0.0, 1 - float(gap) / REACH)
+        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        hidden = mixed = repeats = 0
+        if _ODD.search(low):
+            for token in low.split():
+                if _ODD.search(token) and any(c.isalpha() for c in token):
+                    mixed += 1
+                    plain = token.translate(LEET)
+                    for w in (*_WORD.findall(plain), re.sub(r"[\W_]", "", plain)):
+                        hidden += w in words or w[:5] in stems or w[:4] in stems
+        alone = lengths == 1
+        if len(found) > 3 and (alone[3:] & alone[2:-1] & alone[1:-2] & alone[:-3]).any():
+            hidden += sum(re.sub(r"[ .*_-]", "", m) in words for m in _SPACED.findall(low))
+        data = np.frombuffer(low.encode(), dtype=np.uint8)
+        if len(data) > 2 and ((data[2:] == data[1:-1]) & (data[1:-1] == data[:-2])).any():
+            repeats = sum(1 for _ in _REPEAT.finditer(low))
+            hidden += sum(1 for w in found if w not in words and _REPEAT.search(w) and _REPEAT.sub(r"\1", w) in words)
+        return [
+            math.log1p(len(found)), len(hits) / n, float(len(hits) > 0), math.log1p(len(hits)), len(begun) / n, float(len(begun) > 0),
+            math.log1p(len(begun)), len(second) / n, near, len(_UPPER.findall(text)) / max(int(lengths.sum()), 1), len(_SHOUT.findall(text)) / n,
+            text.count("!") / n, text.count("?") / n, len(_MARKS.findall(text)) / n, len(_SIGNS.findall(text)) / chars,
+            mixed / n, hidden / n, float(hidden > 0), repeats / n,
+        ]
+
+
+class _Kinds(dict):
+    """What each word is: a lexicon word, one that begins like one, a second person."""
+
+    def __init__(self, words: frozenset[str], stems: frozenset[str]):
+        super().__init__()
+        self.words, self.stems = words, stems
+
+    def __missing__(self, word: str) -> int:
+        stems = self.stems
+        begins = len(word) > 4 and (word[:4] in stems or word[:5] in stems or word[:6] in stems)
+        self[word] = kind = HIT * (word in self.words) | STEM * begins | SECOND * (word in SECOND_PERSON)
+        return kind
 
 
 def _count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,14 +156,20 @@ def learn_lexicon(sample: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
     return BASE_LEXICON | {u for u in learned if u[-1] != "*"}, frozenset(u[:-1] for u in learned if u[-1] == "*")
 
 
+@lru_cache(maxsize=1)
+def _measure(lexicon: tuple[frozenset[str], frozenset[str]]) -> Measure:
+    """One per Python worker and lexicon."""
+    return Measure(*lexicon)
+
+
 def with_features(docs: DataFrame, lexicon: tuple[frozenset[str], frozenset[str]], keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` and an array of features of the whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # bounded by LEXICON_SIZE
 
     @F.pandas_udf("array<double>")
     def measure(texts: pd.Series) -> pd.Series:
-        words, stems = shared.value
-        return pd.Series([features(t or "", words, stems) for t in texts], dtype=object)
+        one = _measure(shared.value)
+        return pd.Series([one(t or "") for t in texts], dtype=object)
 
     return docs.select(*keep, measure(text).alias("values"))
 

@@ -55,6 +55,6 @@ def test_removal_keeps_columns(tables):
 
 def test_features():
     words, stems = frozenset({"idiot"}), frozenset({"grump"})
-    one = dict(zip(T.FEATURES, T.features("You are an 1d10t!! GRUMPY i.d.i.o.t idiooot", words, stems), strict=True))
+    one = dict(zip(T.FEATURES, T.Measure(words, stems)("You are an 1d10t!! GRUMPY i.d.i.o.t idiooot"), strict=True))
     assert one["hidden_any"] == 1 and one["stem_any"] == 1 and one["second_near"] > 0 and one["exclamations"] > 0
-    assert T.features("", words, stems) == [0.0] * len(T.FEATURES)
+    assert T.Measure(words, stems)("") == [0.0] * len(T.FEATURES)
