@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pairlab.operators import scoring as C
-from pairlab.operators.reshape import first_value, mean_value, to_wide
+from pairlab.operators.reshape import mean_value, only_value, to_wide
 from pairlab.plans import standin as V
 from pairlab.plans import study
 from pairlab.plans.registry import query, rounded
@@ -141,30 +142,34 @@ _FILE_MODELS = ("gpt2", "nobody")
 
 
 @query("score_files", f"""
-with {_LETTER_SQL}, pair as (
-  select conv_id, min(text) filter (where role = 'user') as "DOsentence", min(text) filter (where role = 'assistant') as "PDsentence"
-  from conversations where turn < 2 and regexp_matches(text, '^[A-Za-z ,.]+$') group by conv_id), long as (
-  select conv_id, 'DO' as form, "DOsentence" as text from pair union all select conv_id, 'PD', "PDsentence" from pair), spelt as (
-  select conv_id, form, [unicode(c) % 256 for c in string_split(lower(text), '')] as w from long where text is not null), taken as (
-  select conv_id, form, unnest(w[1:len(w) - 1]) as a, unnest(w[2:]) as b from spelt), scored as (
-  select t.conv_id, t.form, avg(ln((coalesce(cells.c, 0) + 1.0) / (coalesce(rows.c, 0) + 256.0))) as s
-  from taken t left join cells on t.a = cells.a and t.b = cells.b left join rows on t.a = rows.a group by t.conv_id, t.form), wide as (
-  select conv_id, max(s) filter (where form = 'DO') as d, max(s) filter (where form = 'PD') as p from scored group by conv_id)
-select pair.conv_id, 'gpt2' as model, round(d, 6) as "DO_score", round(p, 6) as "PD_score", round(p - d, 6) as diff
-from pair left join wide on pair.conv_id = wide.conv_id""")
+with {_LETTER_SQL}, numbered as (
+  select conv_id, role, text, sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn) as pair from conversations), pair as (
+  select conv_id, cast(pair as bigint) as pair, min(text) filter (where role = 'user') as "DOsentence", min(text) filter (where role = 'assistant') as "PDsentence"
+  from numbered where role in ('user', 'assistant') group by conv_id, pair), long as (
+  select conv_id, pair, 'DO' as form, "DOsentence" as text from pair union all select conv_id, pair, 'PD', "PDsentence" from pair), spelt as (
+  select conv_id, pair, form, [unicode(c) % 256 for c in string_split(lower(text), '')] as w from long where text is not null), taken as (
+  select conv_id, pair, form, unnest(w[1:len(w) - 1]) as a, unnest(w[2:]) as b from spelt), scored as (
+  select t.conv_id, t.pair, t.form, avg(ln((coalesce(cells.c, 0) + 1.0) / (coalesce(rows.c, 0) + 256.0))) as s
+  from taken t left join cells on t.a = cells.a and t.b = cells.b left join rows on t.a = rows.a group by t.conv_id, t.pair, t.form), wide as (
+  select conv_id, pair, max(s) filter (where form = 'DO') as d, max(s) filter (where form = 'PD') as p from scored group by conv_id, pair)
+select pair.conv_id, pair.pair, 'gpt2' as model, round(d, 6) as "DO_score", round(p, 6) as "PD_score", round(p - d, 6) as diff
+from pair left join wide on pair.conv_id = wide.conv_id and pair.pair = wide.pair""")
 def score_files(spark, sf_dir):
     """From a file of pairs to a scored file per model and back; a model nobody knows is reported and left out."""
-    first = V.table(spark, sf_dir, "conversations").where((F.col("turn") < 2) & F.col("text").rlike("^[A-Za-z ,.]+$"))
-    pairs = to_wide(first, ["conv_id"], "role", ["user", "assistant"], {"text": first_value}, "{level}")
+    talk = V.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    opened = F.sum((F.col("role") == "user").cast("int")).over(Window.partitionBy("conv_id").orderBy("turn"))
+    numbered = talk.withColumn("pair", opened.cast("bigint")).where(F.col("role").isin("user", "assistant"))
+    pairs = to_wide(numbered, ["conv_id", "pair"], "role", ["user", "assistant"], {"text": only_value}, "{level}")
     source = new_folder(spark, "pairs")
     write_csv(pairs.withColumnsRenamed({"user": "DOsentence", "assistant": "PDsentence"}), source)
     model = C.train_letter_model(_documents(spark, sf_dir), "text")
+    schema = "conv_id BIGINT, pair BIGINT, DOsentence STRING, PDsentence STRING"
     written, unknown = study.score_pair_files(
-        spark, source, "conv_id BIGINT, DOsentence STRING, PDsentence STRING", dict.fromkeys(_FILE_MODELS, C.letter_scorer(model)), new_folder(spark, "scored")
+        spark, source, schema, dict.fromkeys(_FILE_MODELS, C.letter_scorer(model)), new_folder(spark, "scored"), multi_line=True
     )
     assert unknown == ["nobody"]
     found = read_replicas(
-        spark, f"{written}/model=*", "conv_id BIGINT, DO_score DOUBLE, PD_score DOUBLE, diff DOUBLE", r"model=([^/]+)/"
+        spark, f"{written}/model=*", "conv_id BIGINT, pair BIGINT, DO_score DOUBLE, PD_score DOUBLE, diff DOUBLE", r"model=([^/]+)/"
     )
     return rounded(found, "DO_score", "PD_score", "diff")
 

@@ -81,7 +81,8 @@ def score_pairs(pairs: DataFrame, make_scorer: Callable[[], BatchScorer]) -> Dat
 
 
 def score_pair_files(
-    spark: SparkSession, source: str, schema: str, scorers: Mapping[str, Callable[[], BatchScorer]], target: str, checkpoint: str = "last"
+    spark: SparkSession, source: str, schema: str, scorers: Mapping[str, Callable[[], BatchScorer]], target: str,
+    checkpoint: str = "last", multi_line: bool = False,
 ) -> tuple[str, list[str]]:
     """Score a file of pairs with each model and write one file per model; (folder, model codes nobody knows).
 
@@ -90,7 +91,7 @@ def score_pair_files(
     codes = spark.createDataFrame([(c,) for c in scorers], "code string")
     named = {r["code"]: r["name"] for r in codes.select("code", model_name("code", checkpoint).alias("name")).collect()}  # one row per model
     unknown = sorted(c for c, name in named.items() if name is None)
-    pairs = read_csv(spark, source, schema)
+    pairs = read_csv(spark, source, schema, multi_line)
     for code, make_scorer in scorers.items():
         if code not in unknown:
             write_csv(score_pairs(pairs, make_scorer).drop(*CONSTRUCTS), f"{target}/model={code}")
