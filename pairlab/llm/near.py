@@ -40,7 +40,7 @@ WITHIN = (1, 8, None)
 #: Similarity threshold in percent.
 PERCENT = 75
 
-_SKETCH = "key long, id long, n_shingles long, print_a long, print_b long, bands array<long>, signature binary"
+_SKETCH = "id long, n_shingles long, print_a long, print_b long, bands array<long>, signature binary"
 
 
 def minima(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,11 +77,11 @@ def _sketch(bands: int, rows: int):
     c, a = minima(bands * rows)
     row_weight = W.spread(rows, 303)
     band_salt = W.spread(bands, 404)[:, None]
-    out = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n_shingles", pa.int64()), ("print_a", pa.int64()), ("print_b", pa.int64()), ("bands", pa.list_(pa.int64())), ("signature", pa.binary())])
+    out = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("print_a", pa.int64()), ("print_b", pa.int64()), ("bands", pa.list_(pa.int64())), ("signature", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.slices(batch.column(2)):
+            for part in W.slices(batch.column(1)):
                 hashes, at = shingle_sets(part)
                 n = np.diff(at)
                 full = np.flatnonzero(n)
@@ -105,7 +105,7 @@ def _sketch(bands: int, rows: int):
                     signatures.append(small[p].tobytes() if p >= 0 else None)
                 rows_of = batch.slice(part.at, part.n_docs)
                 yield pa.RecordBatch.from_arrays([
-                    rows_of.column(0), rows_of.column(1), pa.array(n, pa.int64()), pa.array(prints[0].view(np.int64)),
+                    rows_of.column(0), pa.array(n, pa.int64()), pa.array(prints[0].view(np.int64)),
                     pa.array(prints[1].view(np.int64)), pa.array(lists, pa.list_(pa.int64())), pa.array(signatures, pa.binary()),
                 ], schema=out)
 
@@ -218,13 +218,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 
     Defined cases: null, empty and blank texts have no shingles, link with nothing and are kept;
     a text of fewer than five words is one shingle; rows with a null id link with nothing, have a
-    null component_id and are kept; rows that share an id are one node and get one component;
-    an empty table gives an empty table.  Long texts are read whole, one slice of memory each.
+    null component_id and are kept; rows that share an id are judged each by its own text, and what
+    links to one of them leads to that id; an empty table gives an empty table.  Long texts are read whole, one slice of memory each.
     """
     table = prune_table(BANDS * ROWS, BATCH, percent, MISS)
     source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
-    keyed = source.select(F.xxhash64("id", "text").alias("key"), "id", "text")
-    sketched = Staged(keyed.mapInArrow(_sketch(BANDS, ROWS), _SKETCH), "sketches")
+    sketched = Staged(source.mapInArrow(_sketch(BANDS, ROWS), _SKETCH), "sketches")
     sketches = sketched.read()
     nodes = sketches.where("n_shingles > 0 and id is not null")
     classes = Staged(nodes.groupBy("print_a", "print_b", "n_shingles").agg(F.min("id").alias("head")), "classes")
