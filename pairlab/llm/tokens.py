@@ -16,7 +16,7 @@ from itertools import islice
 import numpy as np
 import regex
 
-CACHED_WORDS, CACHED_PARTS = 500_000, 700_000
+CACHED_WORDS, CACHED_PARTS = 300_000, 500_000
 
 # The pattern by which the vocabulary file splits a text.
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -31,6 +31,10 @@ class _Index(dict):
         return position
 
 
+def _packed(encoding) -> bytes:
+    return np.array(encoding.ids, dtype=np.uint32).tobytes()
+
+
 class WordTokens:
     """Ids of words, by position: ``starts`` and ``lengths`` point into ``pool``."""
 
@@ -42,7 +46,7 @@ class WordTokens:
         self.whole = Tokenizer.from_file(path)
         self.parts = Tokenizer(self.whole.model)
         self.parts.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.part_ids: dict[str, list[int]] = {}
+        self.part_ids: dict[str, bytes] = {}  # packed, since lists of numbers take four times the memory
         self._clear()
 
     def _clear(self) -> None:
@@ -65,11 +69,11 @@ class WordTokens:
                 pieces.append(None)
                 odd.append(text)
         fresh = list(fresh)
-        self.part_ids.update(zip(fresh, (x.ids for x in self.parts.encode_batch_fast(fresh, add_special_tokens=False)), strict=True))
-        others = iter([x.ids for x in self.whole.encode_batch_fast(odd, add_special_tokens=False)])
-        ids = [next(others) if p is None else self.part_ids[p[0]] if len(p) == 1 else [i for x in p for i in self.part_ids[x]] for p in pieces]
-        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        flat = np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(lengths.sum()))
+        self.part_ids.update(zip(fresh, map(_packed, self.parts.encode_batch_fast(fresh, add_special_tokens=False)), strict=True))
+        others = iter([_packed(x) for x in self.whole.encode_batch_fast(odd, add_special_tokens=False)])
+        ids = [next(others) if p is None else self.part_ids[p[0]] if len(p) == 1 else b"".join([self.part_ids[x] for x in p]) for p in pieces]
+        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), dtype=np.uint32)
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         while first + len(ids) > len(self.starts):
