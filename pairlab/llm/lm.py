@@ -5,6 +5,11 @@ log-probabilities scores the document.  Word counts over all documents, added up
 the ``NAMED`` most frequent words; every other word is one of ``BUCKETS`` hash classes.  The softmax
 has two steps, class and word within class, so it is exact over the whole vocabulary and cheap.
 
+A hash class is no word yet: the network's probability of the class is multiplied by the word's share
+of the class in the corpus counts.  The counts of all words stay in a distributed table.  Tasks know
+the shares of the ``CACHED`` most frequent words; for all others a document is folded to its distinct
+words, which are joined with the table, so every word of the corpus has a probability of its own.
+
 Training reads every document in every round: a task masks one position in ``MASK_EVERY``, fits a
 copy of the network by Adam, and the copies are averaged in Spark, weighted by their positions, in
 two steps so that no group grows with the number of tasks.  Only the averaged network, of fixed
@@ -14,6 +19,7 @@ size, reaches the driver.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -23,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlab.llm import words as W
+from pairlab.llm.tables import Staged
 
 CLASSES, PER_CLASS = 32, 32
 VOCABULARY = CLASSES * PER_CLASS
@@ -34,6 +41,8 @@ ROUNDS, MASK_EVERY, BATCH, RATE, SEED = 2, 8, 512, 0.004, 5
 PIECES, SPREAD = 16, 64
 #: Positions scored at a time.
 SCORED = 1 << 15
+#: Words whose share of their class travels to the tasks; the others' are joined, with equal results.
+CACHED = 1 << 16
 
 _SHAPES = {
     "embed": (VOCABULARY + 1, EMBEDDING), "w1": (2 * SIDE * EMBEDDING, HIDDEN), "b1": (HIDDEN,), "w2": (HIDDEN, CLASSES), "b2": (CLASSES,),
@@ -43,6 +52,17 @@ _SHAPES = {
 Network = dict[str, np.ndarray]
 
 
+class Model(NamedTuple):
+    net: Network
+    #: (hash, rank) of the named words, and (hash, log share of the class) of other frequent words, by hash.
+    named: tuple[np.ndarray, np.ndarray]
+    cached: tuple[np.ndarray, np.ndarray]
+    #: Occurrences of each hash class.
+    totals: np.ndarray
+    #: (word, n) of all words, distributed.
+    counts: DataFrame
+
+
 def first_network() -> Network:
     rng = np.random.default_rng(SEED)
     return {k: (np.zeros(s) if k[0] == "b" else rng.normal(0, 0.1, s)).astype(np.float32) for k, s in _SHAPES.items()}
@@ -200,13 +220,21 @@ def _add(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def train(
-    texts: DataFrame, rounds: int = ROUNDS, every: int = MASK_EVERY, rate: float = RATE, batch: int = BATCH
-) -> tuple[Network, tuple[np.ndarray, np.ndarray]]:
-    """(network, named words) from all rows of the one-column table ``texts``."""
-    top = count_words(texts).orderBy(F.desc("n"), "word").limit(NAMED).collect()
+    texts: DataFrame, rounds: int = ROUNDS, every: int = MASK_EVERY, rate: float = RATE, batch: int = BATCH, cached: int = CACHED
+) -> Model:
+    """Network and word counts from all rows of the one-column table ``texts``."""
+    counts = Staged(count_words(texts), "word_counts").read()
+    top = counts.orderBy(F.desc("n"), "word").limit(max(NAMED, cached)).collect()
     keys = np.array([r["word"] for r in top], dtype=np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    named = (keys[order], order.astype(np.int64))
+    often = np.array([r["n"] for r in top], dtype=np.int64)
+    order = np.argsort(keys[:NAMED])
+    named = (keys[:NAMED][order], order.astype(np.int64))
+    totals = np.zeros(BUCKETS)
+    for r in counts.groupBy(F.pmod("word", F.lit(BUCKETS)).alias("bucket")).agg(F.sum("n").alias("n")).collect():
+        totals[r["bucket"]] = r["n"]
+    np.subtract.at(totals, (keys[:NAMED] % np.uint64(BUCKETS)).astype(np.int64), often[:NAMED])
+    order = NAMED + np.argsort(keys[NAMED:])
+    shares = (keys[order], np.log(often[order] / (totals[(keys[order] % np.uint64(BUCKETS)).astype(np.int64)] + 1)))
     net = first_network()
     schema = "piece int, part int, weight double, values binary"
     for turn in range(rounds):
@@ -214,38 +242,68 @@ def train(
         total = copies.groupBy("piece", "part").applyInPandas(_add, schema).groupBy("piece").applyInPandas(_add, schema).orderBy("piece").collect()
         if total:
             net = unflatten(np.concatenate([np.frombuffer(r["values"], dtype=np.float64) / r["weight"] for r in total]))
-    return net, named
+    return Model(net, named, shares, totals, counts)
 
 
 def _score(shared):
-    out = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("log_prob", pa.float64())])
+    """A row of each document (``word`` is its key): tokens and log-probability as far as the task knows; a row of each other word in it."""
+    out = pa.schema([("key", pa.int64()), ("word", pa.int64()), ("n", pa.int64()), ("id", pa.int64()), ("value", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, named = shared.value
+        net, named, (known, share) = shared.value
         tables = _hidden_tables(net)
         for batch in batches:
+            keys = batch.column(2).to_numpy(zero_copy_only=False)
             for part in W.slices(batch.column(1)):
-                ids, doc = word_ids(part.hashes(lower=True), named), part.doc_of_word()
+                hashes, doc = part.hashes(lower=True), part.doc_of_word()
+                ids = word_ids(hashes, named)
                 total = np.zeros(part.n_docs)
                 for a in range(0, len(ids), SCORED):
                     at = np.arange(a, min(a + SCORED, len(ids)))
                     found = log_probs(net, contexts(ids, part.first, at, doc[at]), ids[at], tables)
                     total += np.bincount(doc[at], found, part.n_docs)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.at, part.n_docs), pa.array(part.counts(), pa.int64()), pa.array(total)], schema=out)
+                rest = np.flatnonzero(ids >= NAMED)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, hashes[rest]), len(known) - 1)
+                    hit = known[at] == hashes[rest]
+                    total += np.bincount(doc[rest[hit]], share[at[hit]], part.n_docs)
+                    rest = rest[~hit]
+                rest = rest[np.lexsort((hashes[rest], doc[rest]))]
+                new = np.ones(len(rest), dtype=bool)
+                new[1:] = (hashes[rest][1:] != hashes[rest][:-1]) | (doc[rest][1:] != doc[rest][:-1])
+                begin = np.flatnonzero(new)
+                own, rare = keys[part.at: part.at + part.n_docs], rest[begin]
+                tokens = part.counts() - np.bincount(doc[rest], minlength=part.n_docs)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate([own, own[doc[rare]]])), pa.array(np.concatenate([own, hashes[rare].view(np.int64)])),
+                    pa.array(np.concatenate([tokens, np.diff(np.append(begin, len(rest)))]), pa.int64()),
+                    pa.concat_arrays([batch.column(0).slice(part.at, part.n_docs), pa.nulls(len(rare), pa.int64())]),
+                    pa.concat_arrays([pa.array(total), pa.nulls(len(rare), pa.float64())]),
+                ], schema=out)
 
     return run
 
 
-def score(docs: DataFrame, model, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_tokens, log_prob (sum over all words), mean_log_prob.
 
     Defined cases: null and empty texts have no tokens, a log_prob of 0 and a null mean; a text of
-    one word is predicted from nothing; a null id is carried along; repeated rows score alike; an
-    empty table gives an empty table.  Long texts are read whole.
+    one word is predicted from nothing; a null id is carried along; repeated rows score alike; a word
+    that the corpus of the model lacks counts as one more occurrence in its class; an empty table
+    gives an empty table.  Long texts are read whole.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
-    source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
-    scored = source.mapInArrow(_score(shared), "id long, n_tokens long, log_prob double")
+    shared = docs.sparkSession.sparkContext.broadcast(model[:3])  # of fixed size
+    source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")).withColumn("key", F.xxhash64("id", "text"))
+    parts = source.mapInArrow(_score(shared), "key long, word long, n long, id long, value double")
+    joined = parts.join(model.counts.withColumnRenamed("n", "often"), "word", "left")
+    total = F.lit([float(x) + 1 for x in model.totals])[F.pmod("word", F.lit(BUCKETS))]
+    rare = F.when(F.col("value").isNull(), F.col("n") * F.log(F.coalesce("often", F.lit(1)) / total))
+    added = joined.select("key", "n", "id", F.coalesce("value", rare).alias("part"), F.col("value").isNotNull().cast("int").alias("copies"))
+    added = added.groupBy("key").agg(F.max("id").alias("id"), F.sum("n").alias("n"), F.sum("part").alias("log_prob"), F.sum("copies").alias("copies"))
+    scored = added.select(  # equal rows have one key
+        "id", (F.col("n") / F.col("copies")).cast("long").alias("n_tokens"), (F.col("log_prob") / F.col("copies")).alias("log_prob"),
+        F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))),
+    )
     mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
     return scored.select(F.col("id").alias(id_column), "n_tokens", "log_prob", mean.alias("mean_log_prob"))
 

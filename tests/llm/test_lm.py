@@ -47,3 +47,36 @@ def test_learns_order_and_scores_defined_cases(spark):
     assert got[None]["log_prob"] == got[0]["log_prob"]
     empty = docs.limit(0)
     assert lm.pseudo_likelihood(empty).collect() == []
+
+
+def test_every_word_has_its_own_probability(spark):
+    named = " ".join(f"n{i}" for i in range(lm.NAMED))
+    rare = {f"r{i}": 1 + i % 7 for i in range(900)}
+    texts = [named] * 9 + [" ".join([w] * n) for w, n in rare.items()]
+    corpus = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    rows = [(i, w) for i, w in enumerate(rare)] + [(1000, "n5 r1 r2 n6 R1"), (1000, "n5 r1 r2 n6 R1"), (1001, "unseen"), (1002, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = []
+    for cached in (lm.CACHED, lm.NAMED):
+        model = lm.train(corpus, rounds=1, cached=cached)
+        got = sorted((r["doc_id"], r["n_tokens"], r["log_prob"]) for r in lm.score(docs, model).collect())
+        assert len(got) == len(rows) and got[900] == got[901] and got[900][1] == 5 and got[-1] == (1002, 0, 0.0)
+        found.append(got)
+    assert all(math.isclose(a[2], b[2], rel_tol=1e-6) for a, b in zip(*found, strict=True))
+    score = dict(enumerate(x[2] for x in found[0][:900]))
+    word_hash = {w: int(h) for w, h in zip(rare, _hashes(list(rare)), strict=True)}
+    by_class = {}
+    for i, w in enumerate(rare):
+        by_class.setdefault(word_hash[w] % lm.BUCKETS, []).append(i)
+    names, of_class = list(rare), {}
+    for b, members in by_class.items():  # one-word texts: the class is as likely for all, the words are as their counts
+        first = members[0]
+        for i in members:
+            assert math.isclose(score[i] - score[first], math.log(rare[names[i]] / rare[names[first]]), abs_tol=1e-4)
+        of_class[b] = sum(math.exp(score[i]) for i in members)
+    assert sum(of_class.values()) < 1
+
+
+def _hashes(words):
+    (part,) = lm.W.slices(lm.pa.array(words))
+    return part.hashes(lower=True)
