@@ -8,7 +8,8 @@ are added with the data the rate per window stays negligible at 1e13.
 
 A window that repeats within one task's slice is known to be repeated there: the slice sends
 its hash once, whatever the number of copies, so a passage that a third of all documents hold
-puts one row per slice into its bucket.  Windows found to be repeated go back to their
+puts one row per slice into its bucket.  The places of such windows need no counting and are
+dealt out by slice, so a passage that many slices begin with fills no bucket.  Windows found to be repeated go back to their
 documents as word positions, merge into maximal runs, and those words go.
 """
 
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -67,12 +69,14 @@ def _places(counts: np.ndarray, gaps: bytes) -> np.ndarray:
 
 def _hash_rows(window: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slice_number = TaskContext.get().partitionId() << 32
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             for part in W.slices(batch.column(1), LOCAL_BYTES):
                 where = W.inside_document(part.first, window)
                 if not len(where):
                     continue
+                slice_number += 1
                 values = part.hashes()
                 doc = part.doc_of_word()[where]
                 pos = where - part.first[doc]
@@ -92,7 +96,8 @@ def _hash_rows(window: int, buckets: int):
                         rows[c].append(v)
 
                 if local.any():
-                    add(int(bucket[0]), b"", _positions(keys, doc[local], pos[local]))
+                    dealt = W.mix(np.array([slice_number], dtype=np.uint64))[0]
+                    add(int(dealt % np.uint64(buckets)), b"", _positions(keys, doc[local], pos[local]))
                 single, shown = np.flatnonzero(~local), np.flatnonzero(before & ~again)
                 by, shown_by = np.argsort(bucket[single], kind="stable"), np.argsort(bucket[shown], kind="stable")
                 single, shown = single[by], shown[shown_by]

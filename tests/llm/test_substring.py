@@ -52,3 +52,14 @@ def test_repeated_rows_and_null_ids(spark):
     got = substring.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["n_words"], r["n_removed"], r["text"]) for r in got if r["text"] is not None) == [(2, 0, "other words"), (40, 40, ""), (40, 40, ""), (41, 40, "tail")]
     assert substring.remove_repeated(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_places_of_one_passage_are_dealt_out(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, text) for i in range(160)]
+    keyed = spark.createDataFrame(rows, "key long, text string").repartition(40)
+    dealt = keyed.mapInArrow(substring._hash_rows(35, 24), "bucket int, hashes binary, keys binary, counts binary, gaps binary")
+    local = Counter(r["bucket"] for r in dealt.where("length(hashes) = 0").collect())
+    assert sum(local.values()) >= 30 and max(local.values()) <= sum(local.values()) // 4
+    found = {r["key"]: b"".join(r["places"]) for r in substring.repeated_windows(keyed).collect()}
+    assert set(found) == set(range(160)) and all(len(p) == 4 * 6 for p in found.values())
