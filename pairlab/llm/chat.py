@@ -2,9 +2,10 @@
 
 Turns of a conversation come in order through one task, a batch at a time; only the turns of one
 window are held, so a conversation may be of any length.  Prefix sums of turn tokens choose each
-window's last turn.  A window repeats the conversation's system turn and as many whole turns
-before it as ``history`` tokens allow; repeated turns are marked and never under the loss mask.
-A turn longer than the budget has a window of its own.
+window's last turn.  A window repeats the conversation's system turn, which is its first turn if that has
+the role ``system``, and as many whole turns before it as ``history`` tokens allow; repeated turns are
+marked and never under the loss mask.  The system turn is repeated whatever its length: history gives way
+first, and where the next turn still exceeds the budget it is the only new turn of a longer window.
 
 Template: ``<s>[INST] role``, a line break, the text, ``</s>`` for each turn; repeated turns have
 ``[HIST]`` instead.  Inside roles and texts a backslash is doubled and one is put after the first
@@ -72,10 +73,13 @@ class _Conversation:
     def flush(self, end: bool) -> Iterator[dict]:
         """Windows of the turns that are sure to fit no further turn; all of them at the end."""
         while self.turns and (end or self.sums[-1] > self.room()):
+            if self.past and self.sums[1] > self.room():
+                self.past.pop(0)
+                continue
             number = max(1, bisect_right(self.sums, self.room()) - 1)
             yield self._format(number)
             done = [(*t, b - a) for t, a, b in zip(self.turns[:number], self.sums, self.sums[1:], strict=False)]
-            if self.system is None and self.first == 0 and done[0][0] == "system" and done[0][2] <= self.budget // 2:
+            if self.system is None and self.first == 0 and done[0][0] == "system":
                 self.system = done.pop(0)
             self.past = self.past + done
             kept, total = [], 0

@@ -59,3 +59,14 @@ def test_digests_and_budgets(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.digests(chat.format_windows(df, PATH)).collect() == []
+
+
+def test_a_long_system_turn_is_in_every_window():
+    for tokens in (70, 110, 500):
+        talk = chat._Conversation(1, 120, 40)
+        rows = [r for role, text, n in [("system", "rules", tokens), *[("user", f"t{i}", 20) for i in range(12)]] for r in talk.add(role, text, n)]
+        rows += list(talk.flush(True))
+        read = [chat.read_back(r["text"]) for r in rows]
+        assert len(rows) > 1 and all(turns[0][1:] == ("system", "rules") for turns in read)
+        assert [t[2] for turns in read for t in turns if not t[0]] == ["rules", *[f"t{i}" for i in range(12)]]
+        assert all(r["n_tokens"] <= 120 or r["n_turns"] == 1 and r["n_repeated"] <= 1 for r in rows)
