@@ -29,6 +29,16 @@ def strict_mean_value(value: Column, test: Column) -> Column:
     return F.when(F.count_if(test & value.isNull()) == 0, F.avg(F.when(test, value)))
 
 
+def exact_mean_value(places: int) -> Callable[[Column, Column], Column]:
+    """Strict mean of numbers with so many decimal places, summed exactly: the order of rows can't change a digit."""
+
+    def aggregate(value: Column, test: Column) -> Column:
+        total = F.sum(F.when(test, value.cast(f"decimal(28,{places})"))).cast("double")
+        return F.when(F.count_if(test & value.isNull()) == 0, F.try_divide(total, F.count_if(test)))
+
+    return aggregate
+
+
 def to_wide(
     df: DataFrame,
     keys: Sequence[str],

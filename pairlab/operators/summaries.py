@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlab.functions.exprs import mean_strict, pair_difference
-from pairlab.operators.reshape import strict_mean_value, to_wide
+from pairlab.operators.reshape import exact_mean_value, strict_mean_value, to_wide
 
 
 def means(df: DataFrame, by: Sequence[str], values: Sequence[str], prefix: str = "mean_") -> DataFrame:
@@ -43,14 +43,17 @@ def pair_means(
     constructs: Sequence[str],
     z: str = "zscores",
     raw: str = "value",
+    raw_places: int | None = None,
 ) -> DataFrame:
     """Per pair: strict means of both forms, and the differences between the forms.
 
-    The mean per pair and form and the widening are one aggregation with one shuffle.
+    The mean per pair and form and the widening are one aggregation with one shuffle.  Raw ratings
+    that have at most ``raw_places`` decimal places can be summed exactly.
     """
+    mean_raw = strict_mean_value if raw_places is None else exact_mean_value(raw_places)
     named = ratings.withColumnsRenamed({z: "mean_z", raw: "mean_scores"})
     wide = to_wide(
-        named, keys, "construct", constructs, {"mean_z": strict_mean_value, "mean_scores": strict_mean_value}
+        named, keys, "construct", constructs, {"mean_z": strict_mean_value, "mean_scores": mean_raw}
     )
     return wide.withColumns(
         {"human_zdiff": pair_difference("mean_z_"), "human_sdiff": pair_difference("mean_scores_")}

@@ -188,8 +188,9 @@ _CHOICES = """raw as (
 @query("study_pair_differences", f"""
 with {_CHOICES}, kept as (select * from z where kind = 'trial' and partid not in (select partid from failed))
 select pair as sent_pair_id, round(avg(zscores) filter (where construct = 'PDsentence') - avg(zscores) filter (where construct = 'DOsentence'), 5) as human_zdiff,
-       round(avg(value) filter (where construct = 'PDsentence') - avg(value) filter (where construct = 'DOsentence'), 5) as human_sdiff
-from kept group by pair""")
+       round(cast(sum(cents) filter (where construct = 'PDsentence') as double) / count(*) filter (where construct = 'PDsentence')
+         - cast(sum(cents) filter (where construct = 'DOsentence') as double) / count(*) filter (where construct = 'DOsentence'), 5) as human_sdiff
+from (select *, cast(value as decimal(18, 2)) as cents from kept) group by pair""")
 def study_pair_differences(spark, sf_dir):
     """The study from raw form rows: standardise, check attention, keep trials, find pairs by sentence, fold to differences."""
     events = V.table(spark, sf_dir, "events")
@@ -211,5 +212,5 @@ def study_pair_differences(spark, sf_dir):
         *[F.format_string(f"pair %d as {c}", "id").alias(c) for c in study.CONSTRUCTS],
     )
     rated = study.with_pair_ids(study.experiment_rows(choices, failed), pairs, on_duplicate="error")
-    means = study.human_differences(rated.withColumns({"verb_id": F.col("item"), "verb": F.col("item")}))
+    means = study.human_differences(rated.withColumns({"verb_id": F.col("item"), "verb": F.col("item")}), places=2)
     return rounded(means.select(F.col("sent_pair_id").cast("bigint").alias("sent_pair_id"), "human_zdiff", "human_sdiff"), "human_zdiff", "human_sdiff", places=5)

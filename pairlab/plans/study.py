@@ -120,10 +120,13 @@ def with_scores(ratings: DataFrame, scores: DataFrame) -> DataFrame:
     return joined.withColumn("score", chosen).drop("DO_score", "PD_score")
 
 
-def human_differences(ratings: DataFrame) -> DataFrame:
-    """Per pair: mean standardised and raw rating of both forms, and PD minus DO."""
+def human_differences(ratings: DataFrame, places: int | None = None) -> DataFrame:
+    """Per pair: mean standardised and raw rating of both forms, and PD minus DO.
+
+    Ratings of at most ``places`` decimal places are summed exactly.
+    """
     keys = ["sent_pair_id", "verb_id", "verb", "classification", "IO", "frequency_rank"]
-    return pair_means(ratings, keys, CONSTRUCTS, raw="Value")
+    return pair_means(ratings, keys, CONSTRUCTS, raw="Value", raw_places=places)
 
 
 def differences_by_model(ratings: DataFrame, scores: DataFrame) -> DataFrame:
