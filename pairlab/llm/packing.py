@@ -177,9 +177,7 @@ def _pieces(path: str, capacity: int, end: int):
             i = 0
             while i < batch.num_rows:
                 j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + W.SLICE_BYTES, side="right")) - 1)
-                raw = buf[offsets[i]: offsets[j]].tobytes()
-                cut = (offsets[i: j + 1] - offsets[i]).tolist()
-                ids, n = tokens.encode([raw[a:b] for a, b in zip(cut, cut[1:], strict=False)])
+                ids, n = tokens.encode_buffer(buf[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i])
                 doc, piece, start, length, crc, kept, rank = [], [], [], [], [], [], []
                 at = 0
                 names = batch.column(0).slice(i, j - i).to_pylist()

@@ -96,12 +96,17 @@ class Words:
 
     def hashes(self, lower: bool = False) -> np.ndarray:
         """64-bit hash of each word; ``lower`` reads A-Z as a-z."""
-        up, down = powers(_BYTE_BASE, len(self.buf) + 1)
-        value = (_LOWER_VALUE if lower else _BYTE_VALUE)[self.buf]
-        value *= up[: len(value)]
-        total = np.zeros(len(value) + 1, dtype=np.uint64)
-        np.cumsum(value, out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * down[self.starts])
+        return span_hashes(self.buf, self.starts, self.ends, _LOWER_VALUE if lower else _BYTE_VALUE)
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _BYTE_VALUE) -> np.ndarray:
+    """64-bit hash of the bytes of each span, whatever its place in the buffer."""
+    up, down = powers(_BYTE_BASE, len(buf) + 1)
+    value = values[buf]
+    value *= up[: len(value)]
+    total = np.zeros(len(value) + 1, dtype=np.uint64)
+    np.cumsum(value, out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts])
 
 
 def bounds(buf: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
