@@ -11,10 +11,12 @@ from pairlab.llm.lm import pseudo_likelihood
 from pairlab.llm.near import near_duplicates
 from pairlab.llm.packing import pack
 from pairlab.llm.quality import judge_quality
+from pairlab.llm.records import read_records, write_records
 from pairlab.llm.substring import remove_repeated
 from pairlab.llm.tables import PLANS, SQL, query, table  # noqa: F401
 from pairlab.llm.toxicity import toxicity
 from pairlab.llm.urls import judge
+from pairlab.sources.staging import new_folder
 
 #: Name of the module that knows where the public tokenizers' files are.
 TOKENIZER_FILES = "public_tokenizers"
@@ -151,3 +153,10 @@ def op9_main_text(spark, sf_dir):
 def op10_packed_sequences(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pack(documents, tokenizer_path("word_bpe_49k.json"))
+
+
+@query("op11_binary_records")
+def op11_binary_records(spark, sf_dir):
+    folder = new_folder(spark, "records")
+    write_records(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"), folder)
+    return read_records(spark, folder, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
