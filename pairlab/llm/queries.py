@@ -13,8 +13,9 @@ from pairlab.llm.packing import pack
 from pairlab.llm.quality import judge_quality
 from pairlab.llm.records import read_records, write_records
 from pairlab.llm.substring import remove_repeated
-from pairlab.llm.tables import PLANS, SQL, query, table  # noqa: F401
+from pairlab.llm.tables import PLANS, SQL, Staged, query, table  # noqa: F401
 from pairlab.llm.toxicity import toxicity
+from pairlab.llm.trie import numbered_turns, prefix_trie, with_borrowed_starts
 from pairlab.llm.urls import judge
 from pairlab.sources.staging import new_folder
 
@@ -160,3 +161,28 @@ def op11_binary_records(spark, sf_dir):
     folder = new_folder(spark, "records")
     write_records(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"), folder)
     return read_records(spark, folder, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op13_prefix_trie", r"""
+with t as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as place,
+         coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null), c as (
+  select conv_id, conv_id - conv_id % 20 as lender, xor(4294967295, list_reduce(
+           list_concat([4294967295::bigint], list_transform(string_split(cast(conv_id as varchar), ''), lambda x: unicode(x)::bigint)),
+           lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda r, k: xor(r >> 1, case when r & 1 = 1 then 3988292384::bigint else 0::bigint end)))) % 4 as h
+  from (select distinct conv_id from t)), own as (
+  select c.conv_id, s.place, s.role, s.text from c join t s on s.conv_id = c.lender and s.place <= c.h
+  union all select c.conv_id, t.place + 4, t.role, t.text from c join t on t.conv_id = c.conv_id and t.place > c.h), path as (
+  select c.conv_id, coalesce(list({'r': role, 't': text} order by place) filter (place is not null), []) as p from c left join own using (conv_id) group by c.conv_id), pre as (
+  select conv_id, len(p) as n, d, p[1:d] as q from path, unnest(range(0, len(p) + 1)) r(d)), node as (
+  select q, d, min(conv_id) as conv_id, count(*) as n_convs, count(*) filter (n = d) as n_ends, max(n) = d as leaf,
+         sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (n = d), '')) as ends_sha256,
+         len(regexp_extract_all(case when d = 0 then '' else q[d].t end, '[^\x20\x09-\x0D]+')) as w from pre group by q, d), below as (
+  select a.q, a.d, cast(count(*) filter (b.leaf) as bigint) as n_leaves, cast(sum((b.n_convs - 1) * b.w) as bigint) as saved_tokens,
+         count(*) filter (b.d = a.d + 1) as n_children from node a join node b on b.d >= a.d and b.q[1:a.d] = a.q group by a.q, a.d)
+select x.conv_id, x.d as depth, y.conv_id as parent_conv_id, x.n_convs, n_children, n_leaves, saved_tokens, x.ends_sha256
+from node x join below on below.q = x.q and below.d = x.d left join node y on y.d = x.d - 1 and y.q = x.q[1:x.d - 1] and x.d > 0""")
+def op13_prefix_trie(spark, sf_dir):
+    talk = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = Staged(numbered_turns(talk), "turns").read()
+    return prefix_trie(talk, with_borrowed_starts(talk, turns)).drop("node", "parent")
