@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import importlib
 
+from pyspark.sql import functions as F
+
 from pairlab.llm.chat import digests, format_windows
 from pairlab.llm.decontaminate import contamination
 from pairlab.llm.html_text import extract_text
 from pairlab.llm.lm import pseudo_likelihood
 from pairlab.llm.near import near_duplicates
+from pairlab.llm.negatives import hard_negatives
 from pairlab.llm.packing import pack
 from pairlab.llm.quality import judge_quality
 from pairlab.llm.records import read_records, write_records
@@ -163,6 +166,24 @@ def op11_binary_records(spark, sf_dir):
     return read_records(spark, folder, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@query("op12_hard_negatives", r"""
+with v as (
+  select row_number() over () as rid, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0), s as (
+  select a.rid as anchor, a.vec_id as anchor_id, b.rid, b.vec_id, a.label = b.label as same, cast(list_dot_product(a.e, b.e) as bigint) as score
+  from v a join v b on a.vec_id % 50 = 0 and a.rid <> b.rid), p as (
+  select * from (select *, row_number() over (partition by anchor order by score desc, vec_id) as k from s where same) where k <= 5), n as (
+  select p.anchor, p.anchor_id, p.vec_id as positive_id, s.vec_id as negative_id, p.score as positive_score, s.score as negative_score,
+         row_number() over (partition by p.anchor, p.k order by s.score desc, s.vec_id) as rank
+  from p join s on s.anchor = p.anchor and not s.same and 50 * p.score <= 100 * s.score and 100 * s.score <= 95 * p.score)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from n where rank <= 3""")
+def op12_hard_negatives(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", shifted), F.col("vec_id") % 50 == 0)
+
+
 @query("op13_prefix_trie", r"""
 with t as (
   select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as place,
