@@ -1,17 +1,18 @@
 """Near-duplicate documents: MinHash bands, sequential Bayesian pruning, exact verification.
 
 A document is the set of its distinct 5-word shingles.  Documents with equal sets are one
-class, told by a 128-bit fingerprint, and only one of each class goes on.  48 bands of 6 minima
+class, told by a 128-bit fingerprint, and only one of each class goes on, under a key of its own.  48 bands of 6 minima
 name candidates: a pair at the similarity of 0.75 shares no band once in 12,000 times.  Candidate
 pairs compare their signatures a batch of rows at a time and are dropped as soon as the posterior
 probability of a similarity of 0.75 or more, from a uniform prior, is below ``MISS``.  Survivors
 are confirmed on full sets.
 
-No bucket is expanded into all its pairs.  First every member meets only the smallest id of
-its bucket.  Then buckets of three or more whose members are still in different components
-are compared inside tasks, in blocks of bounded size: a first pass confirms each member's likeliest
-pair, a second a few more, and the last every pair that survives the Bayesian test and is still
-between two components, so no link is lost.  Hot buckets are split into pairs of blocks.
+No bucket is expanded into all its pairs.  First every member meets only the smallest key of
+its bucket, and then, where a bucket's members are still in different components, the member that is
+likeliest to be like it.  Buckets that are split even then are compared inside tasks, in blocks of bounded
+size that bring the full sets along: every pair of different components that survives the Bayesian test is
+verified there, and only links that join two components leave the task, so a block of n members gives n - 1 rows
+at most and no link is lost.  Hot buckets are split into pairs of blocks.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlab.llm import words as W
@@ -33,10 +34,8 @@ SHINGLE = 5
 BANDS, ROWS = 48, 6
 #: Rows compared between two looks at the posterior, and the chance at which a pair is given up.
 BATCH, MISS = 48, 1e-4
-#: Members of one block when a bucket is compared inside a task.
-BLOCK = 2048
-#: Pairs that a member of a bucket gives from a group in each later pass; the last gives all.
-WITHIN = (1, 8, None)
+#: Members of one block when a bucket is compared inside a task, and shingles of a block that brings sets along.
+BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
 #: Similarity threshold in percent.
 PERCENT = 75
 
@@ -88,12 +87,10 @@ def _sketch(bands: int, rows: int):
                 low = np.zeros((len(full), len(c)), dtype=np.uint32)
                 begin = at[full]
                 x = (hashes >> np.uint64(32)).astype(np.uint32)
-                prints = np.zeros((2, part.n_docs), dtype=np.uint64)
+                prints = _prints(hashes, at)
                 if len(full):
                     for k in range(len(c)):
                         low[:, k] = np.minimum.reduceat((x ^ c[k]) * a[k], begin)
-                    for p, salt in enumerate(W.spread(2, 505)):
-                        prints[p, full] = np.add.reduceat(W.mix(hashes ^ salt), begin)
                 grouped = low.reshape(len(full), bands, rows).astype(np.uint64)
                 names = W.mix((grouped * row_weight).sum(axis=2, dtype=np.uint64) ^ band_salt.T).view(np.int64)
                 position = np.full(part.n_docs, -1)
@@ -105,8 +102,8 @@ def _sketch(bands: int, rows: int):
                     signatures.append(small[p].tobytes() if p >= 0 else None)
                 rows_of = batch.slice(part.at, part.n_docs)
                 yield pa.RecordBatch.from_arrays([
-                    rows_of.column(0), pa.array(n, pa.int64()), pa.array(prints[0].view(np.int64)),
-                    pa.array(prints[1].view(np.int64)), pa.array(lists, pa.list_(pa.int64())), pa.array(signatures, pa.binary()),
+                    rows_of.column(0), pa.array(n, pa.int64()), pa.array(prints[0]),
+                    pa.array(prints[1]), pa.array(lists, pa.list_(pa.int64())), pa.array(signatures, pa.binary()),
                 ], schema=out)
 
     return run
@@ -156,60 +153,129 @@ def _likely(pairs: DataFrame, signatures: DataFrame, table: list[tuple[int, int]
                 keep = survives(_signatures(batch["left"]), _signatures(batch["right"]), table)
                 yield batch.loc[keep, ["a", "b"]]
 
-    left = signatures.select(F.col("id").alias("a"), F.col("signature").alias("left"))
-    right = signatures.select(F.col("id").alias("b"), F.col("signature").alias("right"))
+    left = signatures.select(F.col("key").alias("a"), F.col("signature").alias("left"))
+    right = signatures.select(F.col("key").alias("b"), F.col("signature").alias("right"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInPandas(run, "a long, b long").distinct()
 
 
-def _within_buckets(members: DataFrame, table: list[tuple[int, int]], most: int | None) -> DataFrame:
-    """Surviving pairs of different components within buckets, found in blocks inside tasks.
+def _blocks(members: DataFrame, blocks: Column) -> DataFrame:
+    """Copies of members for each pair of blocks (i, j) of their bucket that their own block is in."""
+    mine = F.pmod(F.xxhash64("key"), F.col("blocks").cast("long")).cast("int")
+    copies = members.withColumn("blocks", blocks.cast("int")).withColumn("mine", mine)
+    copies = copies.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = [F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")]
+    return copies.select("band", *pair, *[c for c in copies.columns if c not in ("band", "blocks", "other", "n", "size")])
 
-    ``members`` has band, id, component, signature, n (members of the bucket).  A bucket of
-    several blocks is compared as pairs of blocks, each in a group of its own.  With ``most``, a
-    member gives only so many of its pairs from a group, those with the most equal rows.
+
+def _likeliest(members: DataFrame, table: list[tuple[int, int]]) -> DataFrame:
+    """Each member's pair with the most equal rows, of those of other components in its bucket that survive.
+
+    ``members`` has band, key, component, signature, n (members of the bucket).
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int")
-    copies = members.withColumn("blocks", blocks).withColumn("mine", mine).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    ).select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "component", "signature")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("id")
         signature = _signatures(group["signature"])
-        ids, component, mine = (group[c].to_numpy() for c in ("id", "component", "mine"))
+        keys, component, mine = (group[c].to_numpy() for c in ("key", "component", "mine"))
         one_block = group["i"].iloc[0] == group["j"].iloc[0]
-        found = []
-        for k in range(len(ids)):
-            rows = np.flatnonzero((component != component[k]) & (ids != ids[k] if one_block else mine != mine[k]))
+        found = set()
+        for k in range(len(keys)):
+            rows = np.flatnonzero((component != component[k]) & (one_block | (mine != mine[k])))
             if len(rows):
                 rows = rows[survives(np.broadcast_to(signature[k], (len(rows), signature.shape[1])), signature[rows], table)]
-            if most is not None and len(rows) > most:
-                equal = (signature[rows] == signature[k]).sum(axis=1)
-                rows = rows[np.argsort(-equal, kind="stable")[:most]]
-            found += [(min(ids[k], ids[r]), max(ids[k], ids[r])) for r in rows]
-        return pd.DataFrame(sorted(set(found)), columns=["a", "b"]).astype("int64")
+            if len(rows):
+                best = rows[np.argmax((signature[rows] == signature[k]).sum(axis=1))]
+                found.add((min(keys[k], keys[best]), max(keys[k], keys[best])))
+        return pd.DataFrame(sorted(found), columns=["a", "b"]).astype("int64")
 
+    copies = _blocks(members.drop("size"), F.ceil(F.col("n") / BLOCK))
     return copies.groupBy("band", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
+def joining_links(keys: np.ndarray, component: np.ndarray, mine: np.ndarray | None, signature: np.ndarray, sets: list[np.ndarray], table: list[tuple[int, int]], percent: int) -> list[tuple[int, int]]:
+    """Verified links that join components, a forest: one less than there are members at most.
+
+    Without ``mine`` all members meet each other, else those of different blocks.  Sets are sorted.
+    """
+    _, part = np.unique(component, return_inverse=True)
+    sizes = np.array([len(x) for x in sets])
+    found = []
+    for k in range(len(keys)):
+        others = np.arange(k + 1, len(keys))
+        others = others[(part[others] != part[k]) & (True if mine is None else mine[others] != mine[k])]
+        if not len(others):
+            continue
+        others = others[survives(np.broadcast_to(signature[k], (len(others), signature.shape[1])), signature[others], table)]
+        if not len(others):
+            continue
+        flat = np.concatenate([sets[r] for r in others])
+        at = np.minimum(np.searchsorted(sets[k], flat), sizes[k] - 1)
+        common = np.add.reduceat((sets[k][at] == flat).astype(np.int64), np.cumsum(sizes[others]) - sizes[others])
+        for r in others[100 * common >= percent * (sizes[others] + sizes[k] - common)]:
+            if part[r] != part[k]:
+                part[part == part[r]] = part[k]
+                found.append((int(min(keys[k], keys[r])), int(max(keys[k], keys[r]))))
+    return found
+
+
+def _verified(members: DataFrame, table: list[tuple[int, int]], percent: int) -> DataFrame:
+    """Links between different components of a bucket, found and verified in blocks inside tasks.
+
+    ``members`` has band, key, component, signature, shingles, and n and size, members and shingles of the bucket.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        keys, component, mine = (group[c].to_numpy() for c in ("key", "component", "mine"))
+        one_block = group["i"].iloc[0] == group["j"].iloc[0]
+        sets = [np.sort(x) for x in group["shingles"]]
+        links = joining_links(keys, component, None if one_block else mine, _signatures(group["signature"]), sets, table, percent)
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+    copies = _blocks(members, F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES)))
+    return copies.groupBy("band", "i", "j").applyInPandas(run, "a long, b long").distinct()
+
+
+def _prints(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """128-bit fingerprint of each non-empty set, 0 for empty ones."""
+    full = np.flatnonzero(np.diff(at))
+    prints = np.zeros((2, len(at) - 1), dtype=np.uint64)
+    if len(full):
+        for p, salt in enumerate(W.spread(2, 505)):
+            prints[p, full] = np.add.reduceat(W.mix(hashes ^ salt), at[full])
+    return prints.view(np.int64)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in W.slices(batch.column(1)):
+        for part in W.slices(batch.column(0)):
             hashes, at = shingle_sets(part)
             sets = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(hashes.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.at, part.n_docs), sets], names=["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, _prints(hashes, at)), sets], names=["print_a", "print_b", "shingles"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full shingle sets reach the threshold."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("right"))
+    left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("left"))
+    right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("right"))
     common = F.size(F.array_intersect("left", "right"))
     both = pairs.join(left, "a").join(right, "b")
     return both.where(100 * common >= percent * (F.size("left") + F.size("right") - common)).select("a", "b")
 
 
+def _split(members: DataFrame, final: DataFrame) -> DataFrame:
+    """Members of the buckets of three or more that lie in several components, with their component."""
+    placed = members.where("n > 2").join(final.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    split = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
+    return placed.join(split, "band").select("band", "key", "component", "n", "size")
+
+
+def _same_id(nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between classes that hold different texts of one id."""
+    several = nodes.groupBy("id").agg(*[f(c).alias(f"{n}_{c}") for c in ("print_a", "print_b") for n, f in (("low", F.min), ("high", F.max))])
+    several = several.where("low_print_a <> high_print_a or low_print_b <> high_print_b").select("id")
+    keyed = nodes.select("id", "print_a", "print_b", "n_shingles").join(several, "id", "left_semi").join(classes, ["print_a", "print_b", "n_shingles"]).select("id", "key").distinct()
+    return keyed.groupBy("id").agg(F.min("key").alias("a")).join(keyed.withColumnRenamed("key", "b"), "id").where("a <> b").select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept.
 
@@ -222,51 +288,57 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     links to one of them leads to that id; an empty table gives an empty table.  Long texts are read whole, one slice of memory each.
     """
     table = prune_table(BANDS * ROWS, BATCH, percent, MISS)
+    prints = ["print_a", "print_b", "n_shingles"]
     source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
     sketched = Staged(source.mapInArrow(_sketch(BANDS, ROWS), _SKETCH), "sketches")
     sketches = sketched.read()
     nodes = sketches.where("n_shingles > 0 and id is not null")
-    classes = Staged(nodes.groupBy("print_a", "print_b", "n_shingles").agg(F.min("id").alias("head")), "classes")
-    heads = nodes.join(classes.read(), ["print_a", "print_b", "n_shingles"]).where("id = head")
-    heads = Staged(heads.select("id", "bands", "signature").dropDuplicates(["id", "signature"]), "heads")
-    signatures = heads.read().select("id", "signature")
-    banded = heads.read().select("id", F.explode("bands").alias("band"))
+    classes = Staged(nodes.groupBy(*prints).agg(F.min("id").alias("head")).withColumn("key", F.monotonically_increasing_id()), "classes")
+    heads = nodes.join(classes.read(), prints).where("id = head")
+    heads = Staged(heads.select("key", "id", *prints, "bands", "signature").dropDuplicates(["key"]), "heads")
+    signatures = heads.read().select("key", "signature")
+    banded = heads.read().select("key", "n_shingles", F.explode("bands").alias("band"))
     buckets = Staged(
-        banded.groupBy("band").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets"
+        banded.groupBy("band").agg(F.min("key").alias("a"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size")).where("n > 1"), "buckets"
     )
-    members = Staged(banded.join(buckets.read(), "band").select("band", "id", "a", "n"), "members")
-    ids = members.read().select("id").distinct()
-    sets = Staged(source.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_sets, "id long, shingles array<long>"), "shingles")
-    stars = members.read().where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    members = Staged(banded.join(buckets.read(), "band").select("band", "key", "a", "n", "size"), "members")
+    wanted = heads.read().join(members.read().select("key").distinct(), "key", "left_semi").select("id", "print_a", "print_b", "key")
+    texts = source.join(wanted.select("id").distinct(), "id", "left_semi").select("text")
+    told = texts.mapInArrow(_sets, "print_a long, print_b long, shingles array<long>").dropDuplicates(["print_a", "print_b"])
+    sets = Staged(told.join(wanted, ["print_a", "print_b"]).select("key", "shingles"), "shingles")
+    stars = members.read().where("key <> a").select("a", F.col("key").alias("b")).distinct()
     likely = Staged(_likely(stars, signatures, table), "likely")
-    links = Staged(_confirmed(likely.read(), sets.read(), percent), "links")
+    links = Staged(_confirmed(likely.read(), sets.read(), percent).unionByName(_same_id(nodes, classes.read())), "links")
     likely.remove()
     final = components(links.read())
-    for most in WITHIN:
-        placed = members.read().where("n > 2").join(final.read(), "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"))
-        placed = Staged(placed, "placed")
-        split = placed.read().groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-        rest = placed.read().join(split, "band").join(signatures, "id").select("band", "id", "component", "signature", "n")
-        pairs = Staged(_within_buckets(rest, table, most), "pairs")
-        any_pairs = pairs.read().limit(1).count()
-        if any_pairs:
-            more = Staged(_confirmed(pairs.read(), sets.read(), percent), "links")
+    for verify in (False, True):
+        rest = Staged(_split(members.read(), final.read()), "split")
+        more = None
+        if rest.read().limit(1).count():
+            signed = rest.read().join(signatures, "key")
+            if verify:
+                more = Staged(_verified(signed.join(sets.read(), "key"), table, percent), "links")
+            else:
+                pairs = Staged(_likeliest(signed, table), "pairs")
+                more = Staged(_confirmed(pairs.read(), sets.read(), percent), "links")
+                pairs.remove()
             if more.read().limit(1).count():
                 both = Staged(links.read().union(more.read()), "links")
                 links.remove()
                 final.remove()
                 links, final = both, components(both.read())
             more.remove()
-        placed.remove()
-        pairs.remove()
-        if not any_pairs:
+        rest.remove()
+        if more is None:
             break
-    component_of = final.read()
-    out = sketches.join(classes.read(), ["print_a", "print_b", "n_shingles"], "left").select("id", "n_shingles", "head")
-    out = out.join(component_of.select(F.col("id").alias("head"), "component"), "head", "left")
-    for old in (links, sets, heads, buckets, members):
+    tops = classes.read().join(final.read().withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    tops = Staged(tops.select(*prints, "head", "component"), "tops")
+    named = tops.read().groupBy("component").agg(F.min("head").alias("component_id"))
+    placed = tops.read().join(named, "component").select(*prints, "component_id")
+    out = sketches.select("id", *prints).join(placed, prints, "left")
+    for old in (links, sets, heads, buckets, members, final, classes):
         old.remove()
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "head", "id"))
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(
         F.col("id").alias(id_column), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept")
     )

@@ -95,3 +95,90 @@ def test_pruning_keeps_pairs_at_the_threshold():
     assert near.survives(left, np.where(same, left, left + 1), table).mean() > 0.998
     far = rng.random(left.shape) < 0.5
     assert near.survives(left, np.where(far, left, left + 1), table).mean() < 0.001
+
+
+def test_one_id_with_two_texts_in_a_bucket_is_judged_by_both(spark):
+    rng = random.Random(8)
+    first, second = variants(rng, 12, 100, 2), variants(rng, 12, 100, 2)
+    rows = [(k, t) for k, t in enumerate(first)] + [(100 + k, t) for k, t in enumerate(second)]
+    rows += [(50, first[0] + " tail one"), (50, second[0] + " tail two"), (50, second[0] + " tail two")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in near.near_duplicates(df).collect()}
+    alike = brute([(k, t) for k, t in rows if k < 50])
+    # the id's texts are like both groups, so both lead to the smallest id of the first
+    assert {got[k] for k in alike if alike[k][1] == alike[0][1]} == {got[0]} == {0}
+    assert got[50] == 0 and got[100] == 0
+    assert sum(r["doc_id"] == 50 for r in near.near_duplicates(df).collect()) == 3
+
+
+def group_of(n, seed=0):
+    """Keys, components, signatures and sets of near copies that are alike below the threshold, mostly."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**62, 200, dtype=np.uint64)
+    sets = []
+    for _ in range(n):
+        own = base.copy()
+        at = rng.choice(200, rng.integers(10, 40), replace=False)
+        own[at] = rng.integers(0, 2**62, len(at), dtype=np.uint64)
+        sets.append(np.sort(own))
+    c, a = near.minima(near.BANDS * near.ROWS)
+    x = [(s >> np.uint64(32)).astype(np.uint32) for s in sets]
+    signature = np.array([[((v ^ c[k]) * a[k]).min() for k in range(len(c))] for v in x]).astype("<u2")
+    return np.arange(n), signature, [s.view(np.int64) for s in sets]
+
+
+@pytest.mark.parametrize("blocks", [None, 2])
+def test_links_that_leave_a_block_are_a_forest_and_lose_no_component(blocks):
+    table = near.prune_table(288, 48, 75, 1e-4)
+    counts = []
+    for n in (60, 120, 240):
+        keys, signature, sets = group_of(n)
+        mine = None if blocks is None else keys % blocks
+        links = near.joining_links(keys, keys, mine, signature, [np.sort(s) for s in sets], table, 75)
+        assert len(links) < n
+        counts.append(len(links))
+        top = dict(zip(keys.tolist(), keys.tolist(), strict=True))
+
+        def root(k):
+            while top[k] != k:
+                k = top[k]
+            return k
+
+        for a, b in links:
+            assert root(a) != root(b)  # none joins what is joined already
+            top[root(a)] = root(b)
+        for a in range(n):
+            for b in range(a + 1, n):
+                common = len(np.intersect1d(sets[a], sets[b]))
+                if (mine is None or mine[a] != mine[b]) and 100 * common >= 75 * (400 - common):
+                    assert root(a) == root(b)
+    assert counts[2] <= 5 * counts[0] + 10
+
+
+def test_rows_grow_in_proportion_to_a_group_of_near_copies(spark, monkeypatch):
+    """Rows that leave the block comparison for one group of near copies, at growing sizes."""
+    found = {}
+    for n in (250, 500, 1000, 2000):
+        rng = random.Random(n)
+        base = [f"w{k}" for k in range(200)]
+        rows = []
+        for k in range(n):
+            copy = list(base)
+            for _ in range(5):
+                copy[rng.randrange(200)] = f"x{rng.randrange(10**9)}"
+            rows.append((k, " ".join(copy)))
+        out = []
+        for name in ("_likeliest", "_verified"):
+            real = getattr(near, name)
+
+            def counted(*args, real=real, out=out):
+                df = real(*args)
+                out.append(df.count())
+                return df
+
+            monkeypatch.setattr(near, name, counted)
+        near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).write.format("noop").mode("overwrite").save()
+        monkeypatch.undo()
+        found[n] = sum(out)
+    for n in (250, 500, 1000):
+        assert found[2 * n] <= 2.6 * found[n] + 200, found
