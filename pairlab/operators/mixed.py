@@ -1,8 +1,4 @@
-"""Mixed models with random intercepts, fitted from level totals.
-
-Nested intercepts (pairs in verbs): exact REML.  Rows are folded once to one row per pair;
-every trial of the two variance ratios is an aggregation of that table, and the driver sees
-(p + 1) x (p + 1) matrices only.
+"""Mixed models with crossed random intercepts, fitted from level totals; nested ones are in ``nested``.
 
 Crossed intercepts (raters x pairs in verbs): variances from within-group sums of squares,
 then fixed effects from the mixed-model equations, solved by alternating between the
@@ -12,9 +8,8 @@ stay distributed.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -22,365 +17,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from pairlab.functions.design import INTERCEPT, Term
-from pairlab.functions.tdist import two_sided_p
-from pairlab.operators.ols import independent_columns, moments, unpack
+from pairlab.functions.design import Term
+from pairlab.operators.nested import Centre, coefficient_rows, fit_nested, nested_cross_products  # noqa: F401
+from pairlab.operators.ols import moments
 from pairlab.sources.staging import Scratch, stage
 
-# One fit per group is driven from the driver; more groups than this is a mistake.
-MAX_GROUPS = 1000
-
-# First look at each standard-deviation ratio (random effect over residual).
-COARSE_RATIOS = (0.0, 0.05, 0.1, 0.2, 0.4, 0.8, 1.6, 3.2, 6.4)
-# Fractions and multiples of a step that are tried at once.
-LADDER = (1 / 64, 1 / 16, 1 / 4, 1 / 2, 1.0, 2.0, 4.0, 16.0)
-# A fit that has not settled after so many looks fails; it never returns an unsettled answer.
-LOOKS = 200
+def _centre(df: DataFrame, response: str, terms: Sequence[Term]) -> Centre:
+    """Means and cross products of all complete rows: p x p numbers."""
+    row = moments(df, response, terms).first()
+    return Centre.of(row["n"], row["means"], row["covariances"])
 
 
-@dataclass
-class Centre:
-    """Row statistics of one group, with terms and response centred on their means."""
-
-    n: int
-    means: np.ndarray
-    cross: np.ndarray
-    kept: list[int] = field(default_factory=list)
-
-    @property
-    def size(self) -> int:
-        """Number of estimable fixed effects, intercept included."""
-        return len(self.kept) + 1
-
-    def gram(self) -> np.ndarray:
-        """W'W for W = [1, kept terms, response], all but the intercept centred."""
-        k = [*self.kept, len(self.means) - 1]
-        full = np.zeros((len(k) + 1, len(k) + 1))
-        full[0, 0] = self.n
-        full[1:, 1:] = self.cross[np.ix_(k, k)]
-        return full
-
-    def uncentre(self, beta: np.ndarray, covariance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Coefficients and their covariance on the original scale."""
-        shift = np.eye(self.size)
-        shift[0, 1:] = -self.means[self.kept]
-        moved = shift @ beta
-        moved[0] += self.means[-1]
-        return moved, shift @ covariance @ shift.T
-
-    def contrasts(self) -> np.ndarray:
-        shift = np.eye(self.size)
-        shift[0, 1:] = -self.means[self.kept]
-        return shift
-
-
-def centres(df: DataFrame, response: str, terms: Sequence[Term], by: Sequence[str]) -> dict[tuple, Centre]:
-    """Per-group means and cross products on the driver: p x p numbers per group."""
-    found = {}
-    rows = moments(df, response, terms, by).limit(MAX_GROUPS + 1).collect()
-    if len(rows) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} fits asked for at once")
-    for row in rows:
-        if row["n"] == 0:
-            continue
-        means, cross = unpack(row["n"], row["means"], row["covariances"])
-        found[tuple(row[k] for k in by)] = Centre(row["n"], means, cross, independent_columns(cross[:-1, :-1]))
-    return found
-
-
-def _by_key(by: Sequence[str], groups: Sequence[tuple]) -> Column:
-    """Position of a row's group in ``groups``; the groups are few, see MAX_GROUPS."""
-    if not by:
-        return F.lit(0)
-    whens = None
-    for i, group in enumerate(groups):
-        test = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(v)) for k, v in zip(by, group)])
-        whens = F.when(test, i) if whens is None else whens.when(test, i)
-    return whens
-
-
-def _centred_rows(
-    df: DataFrame, response: str, terms: Sequence[Term], by: Sequence[str], found: Mapping[tuple, Centre], levels: Mapping[str, str]
-) -> DataFrame:
-    """Complete rows as (__g, levels, w1..wp centred terms, wy centred response)."""
-    groups = list(found)
-    names = [f"w{i + 1}" for i in range(len(terms))]
+def _centred_rows(df: DataFrame, response: str, terms: Sequence[Term], centre: Centre, levels: Mapping[str, str]) -> DataFrame:
+    """Complete rows as (levels, w1..wp centred terms, wy centred response)."""
+    names = [*[f"w{i + 1}" for i in range(len(terms))], "wy"]
     raw = df.select(
-        _by_key(by, groups).alias("__g"),
         *[F.col(c).alias(a) for a, c in levels.items()],
-        *[c.cast("double").alias(n) for n, (_, c) in zip(names, terms)],
-        F.col(response).cast("double").alias("wy"),
-    ).dropna(subset=[*names, "wy"])
-    shift = F.array(*[F.array(*[F.lit(float(m)) for m in found[g].means]) for g in groups])
-    means = [F.col("__g"), *levels]
-    return raw.select(
-        *means, *[(F.col(n) - shift[F.col("__g")][i]).alias(n) for i, n in enumerate([*names, "wy"])]
-    )
+        *[c.cast("double").alias(n) for n, (_, c) in zip(names, terms, strict=False)], F.col(response).cast("double").alias("wy"),
+    ).dropna(subset=names)
+    return raw.select(*levels, *[(F.col(n) - F.lit(float(m))).alias(n) for n, m in zip(names, centre.means, strict=True)])
 
 
 def _fold(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in columns])
 
 
-# --- nested intercepts -------------------------------------------------------------
-
-
-@dataclass
-class Profile:
-    """Pieces of the REML criterion at one pair of ratios."""
-
-    centre: Centre
-    matrix: np.ndarray
-    log_det: float
-
-    def __post_init__(self):
-        xx, xy = self.matrix[:-1, :-1], self.matrix[:-1, -1]
-        self.inverse = np.linalg.inv(xx)
-        self.beta = self.inverse @ xy
-        self.rss = max(float(self.matrix[-1, -1] - xy @ self.beta), 1e-300)
-        self.log_det_x = float(np.linalg.slogdet(xx)[1])
-        self.df = self.centre.n - self.centre.size
-
-    @property
-    def criterion(self) -> float:
-        return self.df * math.log(self.rss / self.df) + self.log_det + self.log_det_x
-
-    def deviance(self, log_sigma2: float) -> float:
-        return self.df * log_sigma2 + self.log_det + self.log_det_x + self.rss * math.exp(-log_sigma2)
-
-
-def _doubles(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values]).cast("array<double>")
-
-
-def _evaluate(
-    level_table: DataFrame, found: Sequence[Centre], ratios: Mapping[int, Sequence[tuple[float, float]]], nested: bool
-) -> dict[int, dict[tuple[float, float], Profile]]:
-    """REML pieces for every group at every (inner, outer) sd ratio, in one job.
-
-    Pair rows are expanded over the distinct inner ratios only; the outer ratios are applied
-    to the folded verb rows.  All sums are partial aggregations.
-    """
-    names = [c for c in level_table.columns if c.startswith("w")]
-    width = len(names)
-    upper = [(i, j) for i in range(width + 1) for j in range(i, width + 1)]
-    # Array literals indexed by group, then by position of the inner ratio.
-    firsts = [sorted({a for a, _ in ratios.get(g, ())}) for g in range(len(found))]
-    inner = F.array(*[_doubles(values) for values in firsts])
-    spread = level_table.select("*", F.posexplode(inner[F.col("__g")]).alias("i1", "r1"))
-    cells = ["n", *names]  # column 0 of W is the intercept, whose level total is n
-    weighed = spread.selectExpr("*", "1 / (1 + n * r1 * r1) AS u", "r1 * r1 / (1 + n * r1 * r1) AS q")
-    sums = [F.expr(f"sum(q * {cells[i]} * {cells[j]}) AS a{i}_{j}") for i, j in upper]
-    logs = F.expr("sum(log1p(n * r1 * r1)) AS ld")
-    if nested:
-        folds = [F.expr(f"sum(u * {c}) AS c{i}") for i, c in enumerate(cells)]
-        verbs = weighed.groupBy("__g", "i1", "r1", "outer").agg(*sums, logs, *folds)
-        seconds = [[sorted({b for a, b in ratios[g] if a == r1}) for r1 in values] for g, values in enumerate(firsts)]
-        outer = F.array(*[F.array(*[_doubles(v) for v in rows] or [_doubles(())]) for rows in seconds])
-        per_verb = verbs.select("*", F.explode(outer[F.col("__g")][F.col("i1")]).alias("r2"))
-        per_verb = per_verb.selectExpr("*", "r2 * r2 / (1 + r2 * r2 * c0) AS q2")
-        totals = per_verb.groupBy("__g", "r1", "r2").agg(
-            *[F.expr(f"sum(a{i}_{j} + q2 * c{i} * c{j}) AS a{i}_{j}") for i, j in upper],
-            F.expr("sum(ld + log1p(r2 * r2 * c0)) AS ld"),
-        )
-    else:
-        totals = weighed.groupBy("__g", "r1").agg(*sums, logs).withColumn("r2", F.lit(0.0))
-    result: dict[int, dict[tuple[float, float], Profile]] = {g: {} for g in ratios}
-    for row in totals.collect():
-        centre = found[row["__g"]]
-        removed = np.zeros((width + 1, width + 1))
-        for i, j in upper:
-            removed[i, j] = removed[j, i] = row[f"a{i}_{j}"]
-        k = [0, *[i + 1 for i in centre.kept], width]
-        profile = Profile(centre, centre.gram() - removed[np.ix_(k, k)], row["ld"])
-        result[row["__g"]][(row["r1"], row["r2"])] = profile
-    return result
-
-
-def _stencil(at: tuple[float, float], step: tuple[float, float], nested: bool) -> list[list[tuple[float, float]]]:
-    """3 x 3 ratios around a point; the criterion is even in a ratio, so signs are dropped."""
-    first = [abs(at[0] + k * step[0]) for k in (-1, 0, 1)]
-    second = [abs(at[1] + k * step[1]) for k in (-1, 0, 1)] if nested else [0.0] * 3
-    return [[(a, b) for b in second] for a in first]
-
-
-def _slopes(values: np.ndarray, step: tuple[float, float], nested: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Central first and second differences of a 3 x 3 block."""
-    h, k = step
-    gradient = np.array([(values[2, 1] - values[0, 1]) / (2 * h), (values[1, 2] - values[1, 0]) / (2 * k)])
-    hessian = np.array([
-        [(values[2, 1] - 2 * values[1, 1] + values[0, 1]) / h**2, 0.0],
-        [0.0, (values[1, 2] - 2 * values[1, 1] + values[1, 0]) / k**2],
-    ])
-    hessian[0, 1] = hessian[1, 0] = (values[2, 2] - values[2, 0] - values[0, 2] + values[0, 0]) / (4 * h * k)
-    return (gradient, hessian) if nested else (gradient[:1], hessian[:1, :1])
-
-
-def _step(values: np.ndarray, at: tuple[float, float], step: tuple[float, float], nested: bool) -> np.ndarray:
-    """Where to move from ``at``: the Newton step, or towards the lowest neighbour where the surface bends down."""
-    gradient, hessian = _slopes(values, step, nested)
-    if np.linalg.eigvalsh(hessian).min() <= 0:
-        i, j = np.unravel_index(np.argmin(values), values.shape)
-        return np.array([4 * (i - 1) * step[0], 4 * (j - 1) * step[1] if nested else 0.0])
-    move = -np.linalg.solve(hessian, gradient)
-    return move if nested else np.array([move[0], 0.0])
-
-
-def _rungs(at: tuple[float, float], move: np.ndarray) -> list[tuple[float, float]]:
-    """Points along a move; the criterion is even in a ratio, so signs are dropped, and a tiny ratio is zero."""
-    points = [tuple(abs(a + k * m) for a, m in zip(at, move, strict=True)) for k in LADDER]
-    return [tuple(0.0 if r < 1e-5 else float(r) for r in point) for point in points]
-
-
-def _degrees_of_freedom(block: np.ndarray, step: tuple[float, float], nested: bool, at: tuple[float, float]) -> np.ndarray:
-    """Satterthwaite degrees of freedom of every coefficient from a 3 x 3 block of profiles.
-
-    Parameters are the ratios and the log residual variance.  A ratio at zero is on the
-    boundary and is left out.
-    """
-    middle: Profile = block[1, 1]
-    log_sigma2 = math.log(middle.rss / middle.df)
-    deviance = np.vectorize(lambda p: p.deviance(log_sigma2))(block)
-    _, curvature = _slopes(deviance, step, nested)
-    shift = middle.centre.contrasts()
-    variance = np.array([[np.diag(shift @ p.inverse @ shift.T) for p in row] for row in block]) * math.exp(log_sigma2)
-    here = variance[1, 1]
-    moved = [(variance[2, 1] - variance[0, 1]) / (2 * step[0])]
-    by_sigma = [-(block[2, 1].rss - block[0, 1].rss) / (2 * step[0]) * math.exp(-log_sigma2)]
-    if nested:
-        moved.append((variance[1, 2] - variance[1, 0]) / (2 * step[1]))
-        by_sigma.append(-(block[1, 2].rss - block[1, 0].rss) / (2 * step[1]) * math.exp(-log_sigma2))
-    free = [i for i in range(len(moved)) if at[i] > 1e-4]
-    size = len(free) + 1
-    hessian = np.zeros((size, size))
-    hessian[:-1, :-1] = curvature[np.ix_(free, free)]
-    hessian[-1, :-1] = hessian[:-1, -1] = [by_sigma[i] for i in free]
-    hessian[-1, -1] = middle.df
-    gradients = np.array([*[moved[i] for i in free], here])
-    spread = 2 * np.linalg.pinv(hessian)
-    return 2 * here**2 / np.einsum("ik,ij,jk->k", gradients, spread, gradients)
-
-
-def fit_nested(
-    df: DataFrame, response: str, terms: Sequence[Term], inner: str, outer: str | None = None,
-    by: Sequence[str] = (), looks: int = LOOKS,
-) -> DataFrame:
-    """REML fit of ``response ~ terms + (1 | inner) [+ (1 | outer)]`` for every group of ``by``.
-
-    ``inner`` levels are nested in ``outer`` levels.  One row per group and coefficient, with
-    Satterthwaite degrees of freedom and the variance components.  All groups share each pass.
-
-    A move is taken only if the criterion falls.  A group is settled when no point along its
-    Newton step is lower and the step itself is tiny, or promises nothing that the criterion's
-    digits could show.  If a group is not settled after ``looks`` looks, the fit fails.
-    """
-    nested = outer is not None
-    df = df.dropna(subset=[inner, *([outer] if nested else [])])
-    found = centres(df, response, terms, by)
-    groups, spark = list(found), df.sparkSession
-    levels = {"inner": inner, **({"outer": outer} if nested else {})}
-    names = [*[f"w{i + 1}" for i in range(len(terms))], "wy"]
-    with Scratch(spark) as scratch:
-        table = scratch.stage(_fold(_centred_rows(df, response, terms, by, found, levels), ["__g", *levels], names), "levels")
-        stats = [found[g] for g in groups]
-
-        grid = [(a, b) for a in COARSE_RATIOS for b in (COARSE_RATIOS if nested else (0.0,))]
-        first = _evaluate(table, stats, {g: grid for g in range(len(groups))}, nested)
-        at = {g: min(grid, key=lambda r: first[g][r].criterion) for g in first}
-        height = {g: first[g][at[g]].criterion for g in at}
-        width = {g: 0.01 for g in at}
-        open_ = set(at)
-        for look in range(looks + 1):
-            if not open_:
-                break
-            if look == looks:
-                raise RuntimeError(f"no settled fit for {[groups[g] for g in sorted(open_)]}")
-            steps = {g: tuple(width[g] * max(a, 0.25) for a in at[g]) for g in open_}
-            stencils = {g: _stencil(at[g], steps[g], nested) for g in open_}
-            seen = _evaluate(table, stats, {g: sorted({r for row in stencils[g] for r in row}) for g in open_}, nested)
-            moves, promised = {}, {}
-            for g in open_:
-                values = np.array([[seen[g][r].criterion for r in row] for row in stencils[g]])
-                moves[g] = _step(values, at[g], steps[g], nested)
-                gradient, _ = _slopes(values, steps[g], nested)
-                promised[g] = abs(float(gradient @ moves[g][: len(gradient)]))
-            rungs = {g: _rungs(at[g], moves[g]) for g in open_}
-            tried = _evaluate(table, stats, {g: sorted(set(rungs[g])) for g in open_}, nested)
-            for g in sorted(open_):
-                best = min(rungs[g], key=lambda r: tried[g][r].criterion)
-                size = max(abs(m) / max(a, 0.25) for m, a in zip(moves[g], at[g], strict=True))
-                tiny = size < 3e-5 or promised[g] < 1e-12 * abs(height[g])
-                if tried[g][best].criterion < height[g]:
-                    moved = max(abs(t - a) / max(a, 0.25) for t, a in zip(best, at[g], strict=True))
-                    at[g], height[g] = best, tried[g][best].criterion
-                    width[g] = max(min(0.01, moved), 0.001)
-                    if tiny and moved < 3e-5:
-                        open_.discard(g)
-                elif tiny or width[g] <= 1e-4:
-                    open_.discard(g)
-                else:
-                    width[g] /= 4
-        steps = {g: tuple(0.02 * max(a, 0.25) for a in at[g]) for g in at}
-        stencils = {g: _stencil(at[g], steps[g], nested) for g in at}
-        last = _evaluate(table, stats, {g: sorted({r for row in stencils[g] for r in row}) for g in at}, nested)
-
-    rows = []
-    for g, group in enumerate(groups):
-        block = np.empty((3, 3), dtype=object)
-        for i, line in enumerate(stencils[g]):
-            for j, r in enumerate(line):
-                block[i, j] = last[g][r]
-        profile: Profile = block[1, 1]
-        sigma2 = profile.rss / profile.df
-        dfs = _degrees_of_freedom(block, steps[g], nested, at[g])
-        variances = (at[g][0] ** 2 * sigma2, at[g][1] ** 2 * sigma2 if nested else None, sigma2)
-        rows += _coefficient_rows(group, terms, found[group], profile.beta, profile.inverse * sigma2, dfs, variances, profile.criterion + profile.df * (1 + math.log(2 * math.pi)))
-    return spark.createDataFrame(rows, _result_schema(df, by, ["var_inner", "var_outer", "var_residual", "reml"]))
-
-
-def nested_cross_products(
-    df: DataFrame, response: str, terms: Sequence[Term], inner: str, outer: str | None, by: Sequence[str], ratios: tuple[float, float]
-) -> DataFrame:
-    """(by, i, j, value) of W'V⁻¹W at stated sd ratios, and log|V| as i = j = -1.
-
-    W is the intercept, the terms and the response, all but the intercept centred on their group's
-    means; V is in units of the residual variance.  These are what the REML criterion is made of.
-    """
-    df = df.dropna(subset=[inner, *([outer] if outer else [])])
-    found = centres(df, response, terms, by)
-    levels = {"inner": inner, **({"outer": outer} if outer else {})}
-    names = [*[f"w{i + 1}" for i in range(len(terms))], "wy"]
-    rows = []
-    with Scratch(df.sparkSession) as scratch:
-        table = scratch.stage(_fold(_centred_rows(df, response, terms, by, found, levels), ["__g", *levels], names), "levels")
-        profiles = _evaluate(table, list(found.values()), {g: [ratios] for g in range(len(found))}, outer is not None)
-        for g, group in enumerate(found):
-            profile = profiles[g][ratios]
-            rows.append((*group, -1, -1, float(profile.log_det)))
-            n = len(profile.matrix)
-            rows += [(*group, i, j, float(profile.matrix[i, j])) for i in range(n) for j in range(i, n)]
-    return df.sparkSession.createDataFrame(rows, StructType([df.schema[k] for k in by]).add("i", "integer").add("j", "integer").add("value", "double"))
-
-
-def _coefficient_rows(group, terms, centre: Centre, beta, covariance, dfs, variances, *rest) -> list[tuple]:
-    estimate, spread = centre.uncentre(beta, covariance)
-    where = {0: 0, **{j + 1: i + 1 for i, j in enumerate(centre.kept)}}
-    rows = []
-    for j, name in enumerate([INTERCEPT, *[n for n, _ in terms]]):
-        if j not in where:
-            rows.append((*group, name, *[None] * 5, *variances, *rest))
-            continue
-        i = where[j]
-        se = math.sqrt(spread[i, i])
-        t = float(estimate[i]) / se
-        df = None if dfs is None else float(dfs[i])
-        p = two_sided_p(t, math.inf if df is None else df)
-        rows.append((*group, name, float(estimate[i]), se, df, t, p, *[None if v is None else float(v) for v in variances], *rest))
-    return rows
-
-
-def _result_schema(df: DataFrame, by: Sequence[str], extra: Sequence[str]) -> StructType:
-    schema = StructType([df.schema[k] for k in by]).add("term", "string")
+def result_schema(extra: Sequence[str]) -> StructType:
+    schema = StructType().add("term", "string")
     for name in ("estimate", "std_error", "df", "t_value", "p_value", *extra):
         schema = schema.add(name, "double")
     return schema
@@ -411,14 +74,14 @@ class Crossed:
     ) -> Crossed:
         """Fold rows to (rater, pair) cells once; every later pass reads counts from them."""
         df = df.dropna(subset=[rater, pair, verb])
-        found = centres(df, response, terms, ())
+        centre = _centre(df, response, terms)
         names = [*[f"w{i + 1}" for i in range(len(terms))], "wy"]
-        rows = _centred_rows(df, response, terms, (), found, {"rater": rater, "pair": pair, "verb": verb})
+        rows = _centred_rows(df, response, terms, centre, {"rater": rater, "pair": pair, "verb": verb})
         cells = keep(_fold(rows, ["rater", "pair", "verb"], names), "cells")
         totals = [F.sum(c).alias(c) for c in ("n", *names)]
         raters = keep(cells.groupBy("rater").agg(*totals), "raters")
         pairs = keep(cells.groupBy("pair", "verb").agg(*totals), "pairs")
-        return cls(found[()], terms, names, cells, raters, pairs, raters.count(), pairs.count())
+        return cls(centre, terms, names, cells, raters, pairs, raters.count(), pairs.count())
 
     def moment_table(self) -> DataFrame:
         """Within-group sums of squares and their expectation's coefficients, four rows.
@@ -615,8 +278,8 @@ def _sweep_crossed(
         raise RuntimeError(f"not settled after {sweeps} sweeps")
     covariance = beta[:, 1:] * ve
     covariance = (covariance + covariance.T) / 2
-    rows = _coefficient_rows((), terms, centre, beta[:, 0], covariance, None, (vr, vp, vv, ve))
-    return spark.createDataFrame(rows, _result_schema(d.cells, (), ["var_rater", "var_pair", "var_verb", "var_residual"]))
+    rows = coefficient_rows([n for n, _ in terms], centre, beta[:, 0], covariance, None, vr, vp, vv, ve)
+    return spark.createDataFrame(rows, result_schema(["var_rater", "var_pair", "var_verb", "var_residual"]))
 
 
 def _settled(old: np.ndarray, new: np.ndarray, xx: np.ndarray, tolerance: float) -> bool:
