@@ -70,17 +70,21 @@ class Crossed:
     @classmethod
     def build(
         cls, df: DataFrame, response: str, terms: Sequence[Term], rater: str, pair: str, verb: str,
-        keep: Callable[[DataFrame, str], DataFrame] = stage,
+        keep: Callable[[DataFrame, str], DataFrame] = stage, keep_by_pair: Callable[[DataFrame, str, str], DataFrame] | None = None,
     ) -> Crossed:
-        """Fold rows to (rater, pair) cells once; every later pass reads counts from them."""
+        """Fold rows to (rater, pair) cells once; every later pass reads counts from them.
+
+        With ``keep_by_pair`` cells and pairs are staged in buckets of pairs, so that passes don't shuffle the cells.
+        """
+        by_pair = keep_by_pair or (lambda table, label, key: keep(table, label))
         df = df.dropna(subset=[rater, pair, verb])
         centre = _centre(df, response, terms)
         names = [*[f"w{i + 1}" for i in range(len(terms))], "wy"]
         rows = _centred_rows(df, response, terms, centre, {"rater": rater, "pair": pair, "verb": verb})
-        cells = keep(_fold(rows, ["rater", "pair", "verb"], names), "cells")
+        cells = by_pair(_fold(rows, ["rater", "pair", "verb"], names), "cells", "pair")
         totals = [F.sum(c).alias(c) for c in ("n", *names)]
         raters = keep(cells.groupBy("rater").agg(*totals), "raters")
-        pairs = keep(cells.groupBy("pair", "verb").agg(*totals), "pairs")
+        pairs = by_pair(cells.groupBy("pair", "verb").agg(*totals), "pairs", "pair")
         return cls(centre, terms, names, cells, raters, pairs, raters.count(), pairs.count())
 
     def moment_table(self) -> DataFrame:
@@ -180,7 +184,7 @@ def fit_crossed(
     not settled to ``tolerance`` after ``sweeps`` sweeps fails.
     """
     with Scratch(df.sparkSession) as scratch:
-        d = design or Crossed.build(df, response, terms, rater, pair, verb, scratch.stage)
+        d = design or Crossed.build(df, response, terms, rater, pair, verb, scratch.stage, scratch.stage_bucketed)
         return _sweep_crossed(d, scratch, variances, sweeps, tolerance)
 
 

@@ -8,6 +8,7 @@ from pairlab.functions import design as D
 from pairlab.functions.exprs import pair_difference
 from pairlab.operators import mixed as M
 from pairlab.operators.joins import union_replicas
+from pairlab.operators.reml import fit_crossed_reml
 from pairlab.operators.reshape import mean_value, to_wide
 from pairlab.operators.slopes import fit_slopes
 from pairlab.plans import standin as V
@@ -122,6 +123,12 @@ def lmm_crossed_fixed(spark, sf_dir):
     return M.fit_crossed(V.ratings(spark, sf_dir), "value", _with_rank(), "partid", "sent_pair_id", "verb_id")
 
 
+@query("lmm_crossed_reml")
+def lmm_crossed_reml(spark, sf_dir):
+    """The same at the REML variances of the three intercepts."""
+    return fit_crossed_reml(V.ratings(spark, sf_dir), "value", _with_rank(), "partid", "sent_pair_id", "verb_id")
+
+
 @query("lmm_crossed_plain")
 def lmm_crossed_plain(spark, sf_dir):
     """Rating on class and construct with rater, pair and verb intercepts, without frequency."""

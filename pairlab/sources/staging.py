@@ -30,6 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Catalog names of bucketed tables, by their folder.
+_tables: dict[str, str] = {}
+
 #: Folders that a session's queries have made and not removed yet, by application.
 _made: dict[str, set[str]] = {}
 
@@ -66,12 +69,18 @@ class Scratch:
         for path in [*self.base, *[p for paths in self.rounds for p in paths]]:
             remove_folder(self.spark, path)
 
-    def stage(self, df: DataFrame, label: str) -> DataFrame:
+    def stage(self, df: DataFrame, label: str, every_round: bool = False) -> DataFrame:
         path = new_folder(self.spark, label)
-        (self.rounds[-1] if self.rounds else self.base).append(path)
+        (self.rounds[-1] if self.rounds and not every_round else self.base).append(path)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def stage_bucketed(self, df: DataFrame, label: str, key: str) -> DataFrame:
+        """Stage ``df`` dealt out and sorted by ``key``: joins and groupings by it need no shuffle of this table."""
+        path = new_folder(self.spark, label)
+        (self.rounds[-1] if self.rounds else self.base).append(path)
+        return _bucketed(df, path, key, buckets_of(self.spark))
+
     def next_round(self) -> None:
         if len(self.rounds) > 1:
             for path in self.rounds.pop(0):
@@ -81,6 +90,8 @@ class Scratch:
 
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a staged folder through the file system that holds it."""
+    if path in _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(path)}")
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
     _made.get(spark.sparkContext.applicationId, set()).discard(path)
@@ -98,3 +109,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, for tables rebuilt inside an iteration."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def _bucketed(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
+    spark, name = df.sparkSession, f"pairlab_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    _tables[path] = name
+    return spark.table(name)
+
+
+def buckets_of(spark: SparkSession) -> int:
+    """Buckets of staged tables: as many as a shuffle has partitions, so that either side of a join fits the other."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
