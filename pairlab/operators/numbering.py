@@ -37,3 +37,33 @@ def number_rows(df: DataFrame, order_by: Sequence[str | Column], name: str = "ro
         before += counts.get(part, 0)
     first = F.array(*[F.lit(v).cast("bigint") for v in starts])[F.col("__part")]
     return placed.select(*df.columns, (first + F.col("__pos") + F.lit(1)).alias(name))
+
+
+def place_as_read(df: DataFrame) -> DataFrame:
+    """Rows of a file scan with where they lie: __file, __row (from 1 in the file) and __all (from 1 over all files, by path).
+
+    ``df`` must come straight from files, through projections and filters at most.  Files may be split
+    in any way: a split is read by one task from its start to its end, so a row's place in the file is its place in the
+    split after the rows of the splits before it.  The layout is checkpointed once, and the driver sees one
+    count per split.
+    """
+    placed = cut_lineage(df.select(
+        "*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__at")
+    ))
+    splits = placed.groupBy("__file", "__start").agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("first")).orderBy("__file", "__start").collect()
+    offsets, total, in_file, file = [], 0, 0, None
+    for row in splits:
+        in_file = 0 if row["__file"] != file else in_file
+        file = row["__file"]
+        offsets.append((file, row["__start"], row["first"], in_file, total))
+        in_file, total = in_file + row["n"], total + row["n"]
+    known = df.sparkSession.createDataFrame(offsets, "__file string, __start bigint, __first bigint, __in_file bigint, __before bigint")
+    inside = F.col("__at") - F.col("__first") + 1
+    joined = placed.join(known, ["__file", "__start"])
+    return joined.select(*df.columns, "__file", (F.col("__in_file") + inside).alias("__row"), (F.col("__before") + inside).alias("__all"))
+
+
+def number_as_read(df: DataFrame, name: str = "row_id") -> DataFrame:
+    """Number the rows of files 1..n as they lie, files in the order of their paths."""
+    placed = place_as_read(df)
+    return placed.select(*df.columns, F.col("__all").alias(name))

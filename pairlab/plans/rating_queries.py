@@ -10,7 +10,8 @@ from pairlab.operators import joins as J
 from pairlab.operators import ratings as R
 from pairlab.operators import reshape as S
 from pairlab.operators import summaries as A
-from pairlab.operators.numbering import number_rows
+from pairlab.operators.audit import cast_audited
+from pairlab.operators.numbering import number_as_read, number_rows
 from pairlab.plans import standin as V
 from pairlab.plans.registry import query, rounded
 from pairlab.sources.staging import new_folder, stage
@@ -469,6 +470,42 @@ def win_row_number(spark, sf_dir):
     return number_rows(orders, ["o_orderkey"], "sent_pair_id")
 
 
+@query("scan_numbered", """
+select o_orderkey, o_totalprice, row_number() over (order by o_orderkey) as row_id from orders""")
+def scan_numbered(spark, sf_dir):
+    """Rows of several files numbered as they lie, without a key to order them by."""
+    orders = V.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    path = new_folder(spark, "numbered-csv")
+    write_csv(orders.repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey"), path)
+    return number_as_read(read_csv(spark, path, orders.schema))
+
+
+_ODD_EVENTS = """case event_id % 11 when 0 then 'NA' when 1 then cast(event_id as varchar) || 'x' when 2 then '' when 3 then 'NaN'
+         when 4 then cast(cast(floor(value) as bigint) as varchar) || ' 1' else cast(event_id as varchar) end"""
+
+
+@query("cast_quarantine", f"""
+with e as (select event_id, {_ODD_EVENTS} as cell from events)
+select event_id, 'value' as column, cell, 'not double' as reason from e where cell <> '' and cell not in ('NA', 'NaN') and try_cast(cell as double) is null""")
+def cast_quarantine(spark, sf_dir):
+    """Cells of a text column that a lenient cast rejects, with where they are from and why."""
+    events = V.table(spark, sf_dir, "events").select("event_id", F.expr(_ODD_EVENTS.replace("varchar", "string")).alias("value"))
+    return cast_audited(events, {"value": "double"}, {"event_id": F.col("event_id")})[1]
+
+
+@query("cast_audit", f"""
+with e as (select {_ODD_EVENTS} as cell from events)
+select 'value' as column, 'missing' as reason, count(*) filter (where cell in ('', 'NA', 'NaN')) as n, count(*) filter (where try_cast(cell as double) is not null and cell <> 'NaN') as n_cast from e
+union all select 'value', 'not double', count(*) filter (where cell not in ('', 'NA', 'NaN') and try_cast(cell as double) is null),
+       count(*) filter (where try_cast(cell as double) is not null and cell <> 'NaN') from e""")
+def cast_audit(spark, sf_dir):
+    """How many cells a lenient cast left out, by column and reason, and how many it kept."""
+    events = V.table(spark, sf_dir, "events").select("event_id", F.expr(_ODD_EVENTS.replace("varchar", "string")).alias("value"))
+    kept, _, counts = cast_audited(events, {"value": "double"}, {"event_id": F.col("event_id")})
+    told = spark.createDataFrame([(*key, n) for key, n in counts.items()], "column string, reason string, n bigint")
+    return told.crossJoin(F.broadcast(kept.agg(F.count("value").alias("n_cast"))))
+
+
 @query("win_zscore", f"with {_Z_SQL} select partid, item, value, round(zscores, 6) as zscores from z")
 def win_zscore(spark, sf_dir):
     return rounded(_standardised_checks(spark, sf_dir).select("partid", "item", "value", "zscores"), "zscores")

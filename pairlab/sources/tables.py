@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
-from pairlab.operators.numbering import number_rows
+from pairlab.operators.audit import cast_audited
+from pairlab.operators.numbering import number_rows, place_as_read
 
 # Column layouts of the study's files.
 PAIRS_SCHEMA = (
@@ -70,10 +72,52 @@ def read_csv(
 def read_replicas(
     spark: SparkSession, pattern: str, schema: str | StructType, name_regex: str, name_column: str = "model"
 ) -> DataFrame:
-    """Read every file matching a wildcard in one scan, tagged from its own path."""
-    scanned = read_csv(spark, pattern, schema)
-    tag = F.regexp_extract(F.col("_metadata.file_path"), name_regex, 1)
-    return scanned.select("*", tag.alias(name_column))
+    """Read every file matching a wildcard, tagged from its own path: one scan for each distinct header.
+
+    Cells go to the columns that a file's own header names, in whatever order.  A column of the schema that a
+    file lacks is NULL in its rows, one that every file lacks is an error; columns that the schema doesn't name
+    are left out.
+    """
+    wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    tag = F.regexp_extract(F.col("_metadata.file_path"), name_regex, 1).alias(name_column)
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for file in _files(spark, pattern):
+        by_header.setdefault(tuple(_header(spark, file)), []).append(file)
+    if len(by_header) < 2:
+        return read_csv(spark, pattern, wanted).select("*", tag)
+    named = {header: [f for f in wanted if f.name in header or (f.name == wanted[0].name and "_c0" in header)] for header in by_header}
+    lost = [f.name for f in wanted if not any(f in fields for fields in named.values())]
+    if lost:
+        raise ValueError(f"columns missing in every file of {pattern}: {lost}")
+    parts = []
+    for header, files in by_header.items():
+        part = read_csv(spark, files, StructType(named[header])).select("*", tag)
+        parts.append(part.select(*[F.col(f"`{f.name}`") if f in named[header] else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted], name_column))
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _files(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths of the files that a pattern matches; contents are not read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(pattern).select("path")
+    return sorted(row["path"] for row in listed.collect() if not row["path"].rsplit("/", 1)[-1].startswith(("_", ".")))
+
+
+def _header(spark: SparkSession, file: str) -> list[str]:
+    return spark.read.option("header", True).option("escape", '"').csv(file).columns
+
+
+def read_csv_audited(
+    spark: SparkSession, path: str | Sequence[str], schema: str | StructType, multi_line: bool = False
+) -> tuple[DataFrame, DataFrame, dict[tuple[str, str], int]]:
+    """Rows as ``read_csv`` gives them leniently, the cells it rejected, and counts by column and reason, from one scan.
+
+    Rejected cells: file, row (from 1 in its file), column, cell, reason; a cell is rejected if it does not fit
+    its type.  Counts also have cells that are missing (blank, "NA", NaN).
+    """
+    wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    texts = read_csv(spark, path, StructType([StructField(f.name, StringType()) for f in wanted]), multi_line)
+    placed = place_as_read(texts)
+    return cast_audited(placed, {f.name: f.dataType.simpleString() for f in wanted}, {"file": F.col("__file"), "row": F.col("__row")}, drop=("__file", "__row", "__all"))
 
 
 def write_csv(

@@ -9,7 +9,7 @@ from pairlab.operators import joins as J
 from pairlab.operators import plotdata as P
 from pairlab.operators import ratings as R
 from pairlab.operators import reshape as S
-from pairlab.operators.numbering import number_rows
+from pairlab.operators.numbering import number_as_read, number_rows
 from pairlab.operators.quantiles import grouped_quantiles
 from pairlab.operators.summaries import class_means, pair_means
 from pairlab.sources import staging
@@ -304,3 +304,43 @@ def test_staged_tables_are_released(spark):
     stage(spark.range(3), "left-behind").count()
     release(spark)
     assert not [f for f in os.listdir(shared_dir(spark)) if f.startswith("left-behind")]
+
+
+def test_rows_of_several_files_and_splits_are_numbered_as_written(spark, tmp_path):
+    rows = [(k, f"text {k * 7919 % 1000}") for k in range(6000)]
+    for part in range(3):
+        lines = ["k,t", *[f'{k},"{t}"' for k, t in rows[part * 2000: (part + 1) * 2000]]]
+        (tmp_path / f"part-{part}.csv").write_text("\n".join(lines) + "\n")
+    for size in ("16k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            df = T.read_csv(spark, str(tmp_path), "k INT, t STRING")
+            parts = df.rdd.getNumPartitions()
+            got = number_as_read(df).orderBy("row_id").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert [(r["k"], r["t"], r["row_id"]) for r in got] == [(k, t, k + 1) for k, t in rows]
+        assert size != "16k" or parts > 3
+    assert number_as_read(T.read_csv(spark, str(tmp_path), "k INT, t STRING").where("k < 0")).collect() == []
+
+
+def test_an_audited_read_says_what_it_rejected(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k,v,t\n1,2.5,x\ntwo,NA,\n3,NaN,z\n")
+    (tmp_path / "b.csv").write_text("k,v,t\n4,4.0.1,w\n")
+    kept, rejected, counts = T.read_csv_audited(spark, str(tmp_path), "k INT, v DOUBLE, t STRING")
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, 2.5, "x"), (None, None, None), (3, None, "z"), (4, None, "w")], key=str)
+    got = {(r["file"].rsplit("/", 1)[-1], r["row"], r["column"], r["cell"], r["reason"]) for r in rejected.collect()}
+    assert got == {("a.csv", 2, "k", "two", "not int"), ("b.csv", 1, "v", "4.0.1", "not double")}
+    assert counts == {("k", "missing"): 0, ("k", "not int"): 1, ("v", "missing"): 2, ("v", "not double"): 1, ("t", "missing"): 1, ("t", "not string"): 0}
+
+
+def test_replicas_whose_headers_differ_are_one_table(spark, tmp_path):
+    (tmp_path / "scored_m1_x.csv").write_text("pair,score,note\n1,0.5,a\n2,0.25,b\n")
+    (tmp_path / "scored_m2_x.csv").write_text("score,pair,note\n1.5,1,c\n")
+    (tmp_path / "scored_m3_x.csv").write_text("pair,extra,note\n7,zzz,d\n")
+    (tmp_path / "scored_m4_x.csv").write_text("pair,score,note\n9,9.0,e\n")
+    got = T.read_replicas(spark, f"{tmp_path}/scored_*_x.csv", "pair INT, score DOUBLE, note STRING", r"scored_(.+)_x\.csv")
+    assert got.columns == ["pair", "score", "note", "model"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 0.5, "a", "m1"), (2, 0.25, "b", "m1"), (1, 1.5, "c", "m2"), (7, None, "d", "m3"), (9, 9.0, "e", "m4")], key=str)
+    with pytest.raises(ValueError, match="missing in every file"):
+        T.read_replicas(spark, f"{tmp_path}/scored_*_x.csv", "pair INT, lost DOUBLE", r"scored_(.+)_x\.csv")
