@@ -8,6 +8,7 @@ from pairlab.functions import design as D
 from pairlab.functions.exprs import level_position
 from pairlab.operators import ols as O
 from pairlab.operators import plotdata as P
+from pairlab.operators.qr import fit_qr
 from pairlab.operators.quantiles import grouped_quantiles
 from pairlab.operators import ratings as R
 from pairlab.operators import joins as J
@@ -75,6 +76,21 @@ def ols_interaction_summary(spark, sf_dir):
     return rounded(table, "estimate", "std_error", "t_value", *statistics[1:], *names)
 
 
+@query("ols_close_terms", """
+with r as (
+  select cast(l_quantity as double) as x, cast(l_discount as double) as z, cast(l_extendedprice as double) / 1000 as y from lineitem), s as (
+  select regr_sxx(y, x) as xx, regr_sxx(y, z) as zz, regr_sxy(z, x) as xz, regr_sxy(y, x) as xy, regr_sxy(y, z) as zy from r), b as (
+  select (xy * zz - zy * xz) / (xx * zz - xz * xz) as bx, (zy * xx - xy * xz) / (xx * zz - xz * xz) as bz from s)
+select 'quantity' as term, round(bx - bz * 1000, 3) as estimate from b union all select 'near', round(bz * 1000, 3) from b""")
+def ols_close_terms(spark, sf_dir):
+    """Price on quantity and on quantity plus a thousandth of the discount: terms whose cross products hardly differ."""
+    items = V.table(spark, sf_dir, "lineitem")
+    quantity, discount = (F.col(c).cast("double") for c in ("l_quantity", "l_discount"))
+    rows = items.select(quantity.alias("quantity"), (quantity + discount / 1000).alias("near"), (F.col("l_extendedprice").cast("double") / 1000).alias("price"))
+    fitted = fit_qr(rows, "price", D.numeric("quantity") + D.numeric("near"))
+    return rounded(O.coefficients(fitted).where("term <> '(Intercept)'").select("term", "estimate"), "estimate", places=3)
+
+
 def _human_and_model(spark, sf_dir):
     """Human and model difference of every pair and model."""
     human = V.ratings(spark, sf_dir).groupBy("sent_pair_id").agg(
