@@ -16,28 +16,53 @@ from pairlab.llm.tables import Staged, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier of op5 rejects go; it learns from labels of documents that aren't held out."""
+    """Documents that the classifier of op5 rejects go; it learns from labels of documents that aren't held out.
+
+    Defined cases: null and empty texts are scored like any other; rows with a null id have no label and are judged by
+    their text; repeated rows share their fate; without labels, or with labels of one kind only, every document
+    stays; an empty table stays empty; columns of any name pass unchanged.
+    """
     return toxicity.remove_toxic(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of near-duplicates stays."""
+    """The smallest id of each group of near-duplicates stays.
+
+    Defined cases: null, empty and blank texts and rows with a null id stay; repeated rows of an id that
+    stays all stay; an empty table stays empty; columns of any name pass unchanged.
+    """
     return near.keep_one(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of windows that occur more than once go from the texts; n_chars follows, and every document stays."""
+    """Words of windows that occur more than once go from the texts; n_chars follows, if it is there, and every document stays.
+
+    Defined cases: a null text stays null, and so does its n_chars; repeated rows repeat each other's windows, so
+    texts of 35 words or more that are there twice lose all words; rows with a null id are cut like others; an
+    empty table stays empty; other columns of any name pass unchanged.
+    """
     cut = substring.remove_repeated(docs).select(*docs.columns)
+    if "n_chars" not in docs.columns:
+        return cut
     return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with benchmark passages of 5 % of their words or more go."""
+    """Documents with benchmark passages of 5 % of their words or more go.
+
+    Defined cases: texts without words, null ones included, stay; repeated rows share their fate; rows with a null id
+    are judged by their text; without benchmark items, or with wordless ones only, every document stays; an
+    empty table stays empty; columns of any name pass unchanged.
+    """
     return decontaminate.remove_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequence and place in it."""
+    """Pieces of documents with their sequence and place in it.
+
+    Defined cases: a null or empty text is the end id alone; a null id is carried along; repeated rows are packed once
+    each; an empty table gives no piece; other columns are left out.
+    """
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
