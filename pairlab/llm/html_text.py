@@ -154,8 +154,16 @@ def line_hashes(found: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(x) for x in found], dtype=np.uint64)
 
 
+#: Bits of the rows that an alignment keeps at once, and lines of one block of bits where it keeps lengths only.
+ROW_BITS, BLOCK_BITS = 100_000_000, 4096
+
+
 def shared_lines(mine: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Which of ``mine`` lie on a longest common subsequence with ``other`` (bit-parallel, one row of bits per line)."""
+    """Which of ``mine`` lie on a longest common subsequence with ``other``.
+
+    Bit-parallel, one row of bits per line, where the rows fit ``ROW_BITS``; longer alignments are divided at the middle line
+    of ``mine``, at the place of ``other`` that halves leave the longest, from two rows of lengths only.
+    """
     shared = np.zeros(len(mine), dtype=bool)
     n, m = len(mine), len(other)
     head = 0
@@ -166,10 +174,50 @@ def shared_lines(mine: np.ndarray, other: np.ndarray) -> np.ndarray:
         tail += 1
     shared[:head] = True
     shared[n - tail:] = True
-    a, b = mine[head: n - tail].tolist(), other[head: m - tail].tolist()
-    places: dict[int, int] = {}
+    todo = [(head, n - tail, head, m - tail)]
+    while todo:
+        a, z, c, y = todo.pop()
+        if a == z or c == y:
+            continue
+        if z - a == 1 or (z - a) * (y - c) <= ROW_BITS:
+            shared[a:z] = _on_common(mine[a:z].tolist(), other[c:y].tolist())
+            continue
+        middle = (a + z) // 2
+        upper = _common_lengths(mine[a:middle].tolist(), other[c:y].tolist())
+        lower = _common_lengths(mine[middle:z][::-1].tolist(), other[c:y][::-1].tolist())[::-1]
+        cut = c + int(np.argmax(upper + lower))
+        todo += [(a, middle, c, cut), (middle, z, cut, y)]
+    return shared
+
+
+def _common_lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of a longest common subsequence of ``a`` with each prefix of ``b``; bits of ``b`` go in blocks, with a carry for each line of ``a``."""
+    known, carry, steps = set(a), bytearray(len(a)), [np.zeros(1, dtype=np.int64)]
+    for at in range(0, len(b), BLOCK_BITS):
+        block = b[at: at + BLOCK_BITS]
+        size, places = len(block), {}
+        for j, x in enumerate(block):
+            if x in known:
+                places[x] = places.get(x, 0) | 1 << j
+        full = (1 << size) - 1
+        v = full
+        for i, x in enumerate(a):
+            u = v & places.get(x, 0)
+            total = v + u + carry[i]
+            carry[i] = total >> size
+            v = (total & full) | (v - u)
+        bits = np.unpackbits(np.frombuffer(v.to_bytes(-(-size // 8), "little"), dtype=np.uint8), bitorder="little")[:size]
+        steps.append(1 - bits.astype(np.int64))
+    return np.cumsum(np.concatenate(steps))
+
+
+def _on_common(a: list[int], b: list[int]) -> np.ndarray:
+    """Which of ``a`` lie on a longest common subsequence with ``b``."""
+    shared = np.zeros(len(a), dtype=bool)
+    known, places = set(a), {}
     for j, x in enumerate(b):
-        places[x] = places.get(x, 0) | 1 << j
+        if x in known:
+            places[x] = places.get(x, 0) | 1 << j
     full = (1 << len(b)) - 1
     rows, v = [full], full
     for x in a:
@@ -183,7 +231,7 @@ def shared_lines(mine: np.ndarray, other: np.ndarray) -> np.ndarray:
             continue
         mask = (1 << j) - 1
         if (~rows[i] & mask).bit_count() > (~rows[i - 1] & mask).bit_count():
-            shared[head + i - 1] = True
+            shared[i - 1] = True
             best = (~rows[i] & mask).bit_count()
             while (~rows[i - 1] & ((1 << j) - 1)).bit_count() != best - 1 or b[j - 1] != a[i - 1]:
                 j -= 1

@@ -80,3 +80,24 @@ def test_near_copies_under_neighbouring_urls_keep_their_text(spark):
         assert got[k] == [*texts[c], f"Seen {c}{i}"]
     assert got[100] == ["Site name", *texts["a"], "Seen one", "Imprint"] and got[101] == ["Site name", *texts["a"], "Seen two", "Imprint"]
     assert got[102] == got[103] == [*texts["b"], "Seen same"] and got[104] == [*texts["c"], "Seen other"]
+
+
+def test_divided_alignments_are_as_long_as_whole_ones(monkeypatch):
+    rng = np.random.default_rng(6)
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b):
+                row[j + 1], before = (before + 1 if x == y else max(row[j + 1], row[j])), row[j + 1]
+        return row[-1]
+
+    for bits, block in ((1, 1), (100, 3), (H.ROW_BITS, H.BLOCK_BITS)):
+        monkeypatch.setattr(H, "ROW_BITS", bits)
+        monkeypatch.setattr(H, "BLOCK_BITS", block)
+        for _ in range(60):
+            a, b = (rng.integers(0, 6, rng.integers(0, 40)).astype(np.uint64) for _ in range(2))
+            kept = a[H.shared_lines(a, b)].tolist()
+            rest = iter(b.tolist())
+            assert len(kept) == longest(a.tolist(), b.tolist()) and all(x in rest for x in kept)
