@@ -2,8 +2,8 @@
 
 The packing is found on the histogram of piece lengths, which has at most ``capacity`` entries
 however large the corpus, by bin completion with branch and bound.  The largest remaining length
-opens a bin; undominated fillings around it are tried in order of waste; a branch is cut when
-the bins used plus a bound on the rest can't beat the incumbent.  The first incumbents are
+opens a bin; undominated fillings around it are tried in order of waste, all of them where few pieces are left
+(``FEW``), else ``BRANCHES`` of them; a branch is cut when the bins used plus a bound on the rest can't beat the incumbent.  The first incumbents are
 best-fit-decreasing and the first descent.  A filling is applied as many times at once as the
 counts allow, so the search depends on the number of distinct lengths only.  The search stops at
 the lower bound ceil(total / capacity) or after ``NODES`` nodes; either way every piece is placed.
@@ -32,8 +32,8 @@ from pairlab.llm.tokens import word_tokens
 CAPACITY = 2048
 #: Search nodes after which the incumbent is taken.
 NODES = 20_000
-#: Fillings tried at a node.
-BRANCHES = 3
+#: Fillings tried at a node, and pieces of which all undominated fillings are tried.
+BRANCHES, FEW = 3, 24
 
 Filling = tuple[tuple[int, ...], int]  # lengths in one bin, and how many such bins
 
@@ -85,6 +85,27 @@ def _fillings(space: int, counts: np.ndarray, limit: int) -> list[tuple[int, ...
     return sorted(out, key=lambda f: (space - sum(f), [-x for x in f]))[:limit]
 
 
+def _all_fillings(space: int, counts: np.ndarray) -> list[tuple[int, ...]]:
+    """All fillings of ``space`` that leave no piece out that would fit, least waste first; one that fits exactly alone dominates."""
+    kinds = [int(k) for k in np.flatnonzero(counts[: max(space, 0) + 1])[::-1] if k]
+    if kinds and kinds[0] == space:
+        return [(space,)]
+    out: list[tuple[int, ...]] = []
+
+    def extend(at: int, left: int, chosen: list[int]) -> None:
+        if at == len(kinds):
+            free = [k for k in kinds if k <= left and chosen.count(k) < counts[k]]
+            if not free:
+                out.append(tuple(chosen))
+            return
+        kind = kinds[at]
+        for times in range(min(int(counts[kind]), left // kind), -1, -1):
+            extend(at + 1, left - times * kind, chosen + [kind] * times)
+
+    extend(0, space, [])
+    return sorted(out, key=lambda f: (space - sum(f), [-x for x in f]))
+
+
 def _less(counts: np.ndarray, sizes: tuple[int, ...], times: int) -> np.ndarray:
     out = counts.copy()
     for s in sizes:
@@ -143,7 +164,8 @@ def bin_completion(counts: np.ndarray, capacity: int, nodes: int = NODES) -> lis
     def push(used: int, left: np.ndarray, depth: int) -> None:
         top = int(np.flatnonzero(left)[-1])
         rest = _less(left, (top,), 1)
-        for filling in reversed(_fillings(capacity - top, rest, BRANCHES)):
+        few = int(rest[: capacity - top + 1].sum()) <= FEW
+        for filling in reversed(_all_fillings(capacity - top, rest) if few else _fillings(capacity - top, rest, BRANCHES)):
             stack.append((used, left, (top, *filling), depth))
 
     if counts.any():

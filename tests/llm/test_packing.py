@@ -79,3 +79,32 @@ def test_pack_reads_back(spark):
         assert at <= 64
     assert len(places) <= -(-sum(r["length"] for r in got) // 64) + 1
     assert packing.pack(df.limit(0), PATH).collect() == []
+
+
+def fewest(sizes, capacity):
+    """Fewest bins by trying every way, largest first, with bins told apart by their room only."""
+    sizes = sorted(sizes, reverse=True)
+    best = [len(sizes)]
+
+    def place(at, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if at == len(sizes):
+            best[0] = len(rooms)
+            return
+        for room in sorted({r for r in rooms if r >= sizes[at]}):
+            left = list(rooms)
+            left.remove(room)
+            place(at + 1, sorted([*left, room - sizes[at]]))
+        place(at + 1, sorted([*rooms, capacity - sizes[at]]))
+
+    place(0, [])
+    return best[0]
+
+
+def test_small_cases_end_at_the_optimum():
+    rng = np.random.default_rng(17)
+    for _ in range(400):
+        sizes = rng.integers(18, 60, rng.integers(8, 15))
+        counts = np.bincount(sizes, minlength=101)
+        assert check(packing.bin_completion(counts, 100), counts, 100) == fewest(sizes.tolist(), 100)
