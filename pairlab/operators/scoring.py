@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -104,15 +105,25 @@ class BigramModel:
         unseen = totals.select("prev", F.log(F.lit(1.0) / (F.col("total") + vocabulary)).alias("unseen"))
         return cls(stage(finished, "bigram-model"), stage(unseen, "word-model"), vocabulary)
 
-    def log_probs(self, df: DataFrame, keys: Sequence[str], text: str, trained: bool = False) -> DataFrame:
+    @staticmethod
+    def score_own(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+        """``log_probs`` of the texts that the model is trained on: they are cut into bigrams once.
+
+        Bigrams folded per key are staged; the model's counts are sums over them, and every bigram is in it.
+        """
+        folded = stage(bigram_table(df, keys, text).groupBy(*keys, "prev", "token").agg(F.count(F.lit(1)).alias("n")), "own-bigrams")
+        counts = stage(folded.groupBy("prev", "token").agg(F.sum("n").alias("c")), "bigrams")
+        totals = stage(counts.groupBy("prev").agg(F.sum("c").alias("total")), "words")
+        vocabulary = totals.count()
+        model = counts.join(totals, "prev").select("prev", "token", F.log((F.col("c") + 1.0) / (F.col("total") + vocabulary)).alias("logprob"))
+        return folded.join(model, ["prev", "token"]).select(*keys, "prev", "token", "n", "logprob")
+
+    def log_probs(self, df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
         """(keys, prev, token, n, logprob): one row per key and distinct bigram, with its number.
 
-        Bigrams are folded per key before they meet the model.  ``trained`` says that ``df`` is what the
-        model was trained on, so that every bigram is in it and one join is enough.
+        Bigrams are folded per key before they meet the model.
         """
         folded = bigram_table(df, keys, text).groupBy(*keys, "prev", "token").agg(F.count(F.lit(1)).alias("n"))
-        if trained:
-            return folded.join(self.pairs, ["prev", "token"]).select(*keys, "prev", "token", "n", "logprob")
         joined = folded.join(self.pairs, ["prev", "token"], "left").join(self.words, "prev", "left")
         logprob = F.coalesce("logprob", "unseen", F.lit(-math.log(max(self.vocabulary, 1))))
         return joined.select(*keys, "prev", "token", "n", logprob.alias("logprob"))
@@ -189,13 +200,24 @@ SYMBOLS = 256
 def train_letter_model(df: DataFrame, text: str) -> np.ndarray:
     """Log-probabilities of each letter (code point modulo ``SYMBOLS``) after each letter, add-one smoothed.
 
-    Counted by Spark with map-side combine; the table has a fixed size.
+    A task counts its batches of whole texts into one table of that fixed size; Spark adds the tables up.
     """
-    codes = F.transform(F.split(F.lower(text), ""), lambda c: F.ascii(c) % SYMBOLS)
-    letters = df.where(F.char_length(text) > 1).select(codes.alias("w"))
-    pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: a * SYMBOLS + b)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(SYMBOLS * SYMBOLS, dtype=np.int64)
+        for batch in batches:
+            texts = [t for t in batch.column(0).to_pylist() if t]
+            codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.int64) % SYMBOLS
+            steps = codes[:-1] * SYMBOLS + codes[1:]
+            inside = np.ones(len(steps), dtype=bool)
+            inside[np.cumsum([len(t) for t in texts])[:-1] - 1] = False  # from one text's last letter to the next one's first
+            cells += np.bincount(steps[inside], minlength=SYMBOLS * SYMBOLS)
+        met = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(cells[met])], names=["cell", "n"])
+
     table = np.ones(SYMBOLS * SYMBOLS)
-    for row in letters.select(F.explode(pairs).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():
+    counted = df.select(F.lower(text)).mapInArrow(count, "cell bigint, n bigint")
+    for row in counted.groupBy("cell").agg(F.sum("n").alias("n")).collect():
         table[row["cell"]] += row["n"]
     table = table.reshape(SYMBOLS, SYMBOLS)
     return np.log(table / table.sum(axis=1, keepdims=True))

@@ -20,9 +20,8 @@ def _with_rank() -> list[D.Term]:
     return class_by_construct() + D.numeric("frequency_rank")
 
 
-@query("lmm_one_intercept")
-def lmm_one_intercept(spark, sf_dir):
-    """Human and model difference on class and frequency, with a verb intercept, per source."""
+def _differences(spark, sf_dir):
+    """Human and model difference of every pair, by source."""
     wide = to_wide(V.ratings(spark, sf_dir), list(V.PAIR_COLUMNS), "construct", V.CONSTRUCTS, {"value": mean_value}, "{level}")
     human = wide.select("verb_id", "classification", "frequency_rank", pair_difference().alias("diff"))
     scored = V.score_pairs(spark, sf_dir)
@@ -30,7 +29,13 @@ def lmm_one_intercept(spark, sf_dir):
         "verb_id", "classification", "frequency_rank", ((F.col("PD_score") - F.col("DO_score")) / 1000).alias("diff"),
         F.col("model").alias("source"),
     )
-    both = union_replicas({"Human": human}, "source").unionByName(models)
+    return union_replicas({"Human": human}, "source").unionByName(models)
+
+
+@query("lmm_one_intercept")
+def lmm_one_intercept(spark, sf_dir):
+    """Human and model difference on class and frequency, with a verb intercept, per source."""
+    both = _differences(spark, sf_dir)
     terms = D.factor("classification", V.CLASSES) + D.numeric("frequency_rank")
     return M.fit_nested(both, "diff", terms, "verb_id", by=["source"])
 
@@ -80,6 +85,32 @@ def lmm_nested_criterion(spark, sf_dir):
     return table.withColumn("value", F.round("value", 3) + 0.0)
 
 
+_ONE_RATIO = 0.3
+
+
+@query("lmm_one_intercept_criterion", f"""
+with {V.RATINGS_SQL}, human as (
+  select 'Human' as source, sent_pair_id, classification, io, frequency_rank,
+         avg(value) filter (where construct = 'PDsentence') - avg(value) filter (where construct = 'DOsentence') as y from ratings group by all), models as (
+  select model as source, sent_pair_id, classification, io, frequency_rank,
+         (avg(price) filter (where construct = 'PDsentence') - avg(price) filter (where construct = 'DOsentence')) / 1000 as y from ratings group by all), rows as (
+  select source, sent_pair_id // 2 as verb, cast(classification = 'non-alternating' as double) as a, cast(frequency_rank as double) as f, y
+  from (select * from human union all select * from models) where y is not null), c as (
+  select source, verb, [1.0, a - avg(a) over s, f - avg(f) over s, y - avg(y) over s] as x from rows window s as (partition by source)), cell as (
+  select source, verb, i, sum(x[i + 1]) as s, count(*) as n from c, range(0, 4) t(i) group by all), gone as (
+  select p.source, p.i, q.i as j, sum({_ONE_RATIO**2} / (1 + p.n * {_ONE_RATIO**2}) * p.s * q.s) as v
+  from cell p join cell q on p.source = q.source and p.verb = q.verb where p.i <= q.i group by all), gram as (
+  select source, i, j, sum(x[i + 1] * x[j + 1]) as v from c, range(0, 4) t(i), range(0, 4) r(j) where i <= j group by all)
+select g.source, cast(g.i as integer) as i, cast(g.j as integer) as j, round(g.v - o.v, 3) as value
+from gram g join gone o on g.source = o.source and g.i = o.i and g.j = o.j union all
+select source, -1, -1, round(sum(ln(1 + n * {_ONE_RATIO**2})), 3) from cell where i = 0 group by source""")
+def lmm_one_intercept_criterion(spark, sf_dir):
+    """What the criterion of ``lmm_one_intercept`` is made of, at one stated ratio."""
+    terms = D.factor("classification", V.CLASSES) + D.numeric("frequency_rank")
+    table = M.nested_cross_products(_differences(spark, sf_dir), "diff", terms, "verb_id", None, ["source"], (_ONE_RATIO, 0.0))
+    return table.withColumn("value", F.round("value", 3) + 0.0)
+
+
 _MOMENTS_SQL = V.RATINGS_SQL + """, r as (
   select partid as rater, sent_pair_id as pair, verb_id as verb,
          value - avg(value) over (partition by classification, construct) as e from ratings), t as (

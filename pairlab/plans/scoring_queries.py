@@ -67,7 +67,7 @@ def score_logsoftmax(spark, sf_dir):
 
 def _token_scores(spark, sf_dir):
     documents = _documents(spark, sf_dir)
-    return C.BigramModel.train(documents, "text").log_probs(documents, ["doc_id"], "text", trained=True)
+    return C.BigramModel.score_own(documents, ["doc_id"], "text")
 
 
 @query("score_mean_logprob", f"with {_LOGPROB_SQL} select doc_id, round(avg(lp), 6) as score from scored group by doc_id")
