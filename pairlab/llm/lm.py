@@ -10,7 +10,8 @@ of the class in the corpus counts.  The counts of all words stay in a distribute
 the shares of the ``CACHED`` most frequent words; for all others a document is folded to its distinct
 words, which are joined with the table, so every word of the corpus has a probability of its own.
 
-Training reads every document in every round: a task masks one position in ``MASK_EVERY``, fits a
+Training reads every document in each of ``ROUNDS`` rounds, and every position is a target in one of them: round r
+takes the positions whose place in their document is r modulo the number of rounds.  A task fits a
 copy of the network by Adam, and the copies are averaged in Spark, weighted by their positions, in
 two steps so that no group grows with the number of tasks.  Only the averaged network, of fixed
 size, reaches the driver.
@@ -36,7 +37,7 @@ VOCABULARY = CLASSES * PER_CLASS
 BUCKETS = 256
 NAMED = VOCABULARY - BUCKETS
 SIDE, EMBEDDING, HIDDEN = 2, 16, 32
-ROUNDS, MASK_EVERY, BATCH, RATE, SEED = 2, 8, 512, 0.004, 5
+ROUNDS, BATCH, RATE, SEED = 2, 1024, 0.004, 5
 #: Pieces in which networks travel, and groups of the first step of their average.
 PIECES, SPREAD = 16, 64
 #: Positions scored at a time.
@@ -187,7 +188,7 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _train(net: Network, named, every: int, rate: float, size: int, turn: int):
+def _train(net: Network, named, rounds: int, rate: float, size: int, turn: int):
     out = pa.schema([("piece", pa.int32()), ("part", pa.int32()), ("weight", pa.float64()), ("values", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,11 +198,12 @@ def _train(net: Network, named, every: int, rate: float, size: int, turn: int):
         for batch in batches:
             for part in W.slices(batch.column(0)):
                 ids = word_ids(part.hashes(lower=True), named)
-                chosen = np.flatnonzero(rng.integers(0, every, len(ids)) == 0)
+                doc = part.doc_of_word()
+                chosen = np.flatnonzero((np.arange(len(ids)) - part.first[doc]) % rounds == turn)
                 rng.shuffle(chosen)
-                around = contexts(ids, part.first, chosen, part.doc_of_word()[chosen])
                 for a in range(0, len(chosen), size):
-                    adam.update(gradient(own, around[a: a + size], ids[chosen[a: a + size]]))
+                    few = chosen[a: a + size]
+                    adam.update(gradient(own, contexts(ids, part.first, few, doc[few]), ids[few]))
                 seen += len(chosen)
         if seen:
             values = flatten(own).astype(np.float64) * seen
@@ -219,12 +221,29 @@ def _add(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"piece": group["piece"].iloc[:1], "part": group["part"].iloc[:1], "weight": [group["weight"].sum()], "values": [total.tobytes()]})
 
 
+def _most_frequent(counts: DataFrame, most: int) -> list:
+    """Words by falling count: the ``NAMED`` most frequent at least, and more while whole ranges of counts fit ``most``.
+
+    Counts fall into at most 1,000 ranges; only those words reach the driver.
+    """
+    level = F.floor(F.log2("n") * 16)
+    sizes = sorted(((r["level"], r["words"]) for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True)
+    least, total = None, 0
+    for at, words in sizes:
+        if total + words > most:
+            break
+        least, total = at, total + words
+    if total < NAMED:
+        return counts.orderBy(F.desc("n"), "word").limit(NAMED).collect()
+    return sorted(counts.where(level >= least).collect(), key=lambda r: (-r["n"], r["word"]))
+
+
 def train(
-    texts: DataFrame, rounds: int = ROUNDS, every: int = MASK_EVERY, rate: float = RATE, batch: int = BATCH, cached: int = CACHED
+    texts: DataFrame, rounds: int = ROUNDS, rate: float = RATE, batch: int = BATCH, cached: int = CACHED
 ) -> Model:
     """Network and word counts from all rows of the one-column table ``texts``."""
     counts = Staged(count_words(texts), "word_counts").read()
-    top = counts.orderBy(F.desc("n"), "word").limit(max(NAMED, cached)).collect()
+    top = _most_frequent(counts, cached)
     keys = np.array([r["word"] for r in top], dtype=np.int64).view(np.uint64)
     often = np.array([r["n"] for r in top], dtype=np.int64)
     order = np.argsort(keys[:NAMED])
@@ -238,7 +257,7 @@ def train(
     net = first_network()
     schema = "piece int, part int, weight double, values binary"
     for turn in range(rounds):
-        copies = texts.mapInArrow(_train(net, named, every, rate / (1 + turn), batch, turn), schema)
+        copies = texts.mapInArrow(_train(net, named, rounds, rate / (1 + turn), batch, turn), schema)
         total = copies.groupBy("piece", "part").applyInPandas(_add, schema).groupBy("piece").applyInPandas(_add, schema).orderBy("piece").collect()
         if total:
             net = unflatten(np.concatenate([np.frombuffer(r["values"], dtype=np.float64) / r["weight"] for r in total]))

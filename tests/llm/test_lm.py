@@ -38,7 +38,7 @@ def test_learns_order_and_scores_defined_cases(spark):
         texts.append(" ".join(days[(at + i) % 20] for i in range(30)))
     rows = [(i, t, 1) for i, t in enumerate(texts)] + [(500, None, 1), (501, "", 1), (502, "d3", 1), (None, texts[0], 1), (503, " ".join(rng.sample(days, 20)), 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, log_prob int").repartition(3)
-    model = lm.train(docs.select("text"), rounds=3, every=2, rate=0.02, batch=16)
+    model = lm.train(docs.select("text"), rounds=3, rate=0.02, batch=16)
     got = {r["doc_id"]: r for r in lm.score(docs, model).collect()}
     mean = np.mean([got[i]["mean_log_prob"] for i in range(300)])
     assert mean > -math.log(20) + 1  # far better than word frequencies alone
