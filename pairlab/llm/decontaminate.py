@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlab.llm.native import NOT_ALPHANUMERIC, length_of, let, lower_ascii, merged, starts, words
+from pairlab.llm.native import NOT_ALPHANUMERIC, covered_length, let, lower_ascii, starts, words
 from pairlab.llm.tables import Staged, fresh
 
 NGRAM = 13
@@ -85,14 +85,15 @@ def _by_join(docs: DataFrame, key: str, text: str, windows: DataFrame, found: st
     texts = docs.select(key, text).dropDuplicates([key]).join(near, key)
     listed = let(w, lambda w: F.transform("near", lambda s: F.struct(s["start"].alias("start"), s["len"].alias("len"), F.array_join(F.slice(w, s["start"] + 1, s["len"]), " ").alias("window"))))
     exact = texts.select(key, F.explode(listed).alias("s")).select(key, "s.*").join(windows.select("window"), "window", "left_semi")
-    spans = exact.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "len", "window"))).alias("__spans"))
+    listing = fresh([*docs.columns, found], "spans_of")
+    spans = exact.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "len", "window"))).alias(listing))
     joined = docs.join(spans, key, "left")
-    whole = F.struct(F.size(w).cast("long").alias("n_words"), F.coalesce("__spans", F.array().cast(_SPANS)).alias("spans"))
-    return joined.withColumn(found, whole).drop("__spans")
+    whole = F.struct(F.size(w).cast("long").alias("n_words"), F.coalesce(listing, F.array().cast(_SPANS)).alias("spans"))
+    return joined.withColumn(found, whole).drop(listing)
 
 
 def with_hits(docs: DataFrame, windows: DataFrame, text: str = "text", set_limit: int = SET_LIMIT) -> tuple[DataFrame, str]:
-    """``docs`` with a column (n_words, n_hit, runs, windows): what the benchmark covers; and that column's name."""
+    """``docs`` with a column (n_words, n_hit, spans, windows): what the benchmark covers; and that column's name."""
     found = fresh(docs.columns, "found")
     small = windows.select("window", "len", F.xxhash64(F.split("window", " ")).alias("hash")).limit(set_limit + 1).collect()
     if len(small) <= set_limit:
@@ -104,10 +105,10 @@ def with_hits(docs: DataFrame, windows: DataFrame, text: str = "text", set_limit
 
 
 def _hits(found: Column) -> Column:
-    return let(found, lambda f: let(merged(f["spans"]), lambda runs: F.struct(
-        f["n_words"].alias("n_words"), length_of(runs).alias("n_hit"), runs.alias("runs"),
+    return let(found, lambda f: F.struct(
+        f["n_words"].alias("n_words"), covered_length(f["spans"]).alias("n_hit"), f["spans"].alias("spans"),
         F.array_distinct(F.transform(f["spans"], lambda s: s["window"])).alias("windows"),
-    )))
+    ))
 
 
 def is_contaminated(found: Column, percent: int = PERCENT) -> Column:
@@ -129,12 +130,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
         F.col(f"{found}.windows").alias("windows"),
     )
     # Equal rows fold into one with their number, so that no made-up row number is needed.
-    rows = rows.select("id", "key", "n_words", "n_hit", F.greatest(F.size("windows"), F.lit(1)).alias("n"), F.explode_outer("windows").alias("window"))
-    listed = rows.join(windows.select("window", "items"), "window", "left").groupBy("id", "key", "n_words", "n_hit", "n").agg(
+    def reported(items: Column) -> list[Column]:
+        names = F.sort_array(F.transform(items, lambda i: i.cast("string")))
+        return [F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256")]
+
+    rows = Staged(rows, "hits").read()  # a pass over the texts; clean rows, the most, stay out of the join by window
+    clean = rows.where(F.size("windows") == 0).select("id", "n_words", "n_hit", F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit("").cast("binary"), 256).alias("items_sha256"))
+    rows = rows.where(F.size("windows") > 0).select("id", "key", "n_words", "n_hit", F.size("windows").alias("n"), F.explode("windows").alias("window"))
+    listed = rows.join(windows.select("window", "items"), "window").groupBy("id", "key", "n_words", "n_hit", "n").agg(
         (F.count(F.lit(1)) / F.first("n")).cast("int").alias("copies"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")
     )
-    names = F.sort_array(F.transform("items", lambda i: i.cast("string")))
-    one = listed.select("id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    one = listed.select("id", "n_words", "n_hit", *reported(F.col("items")), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy").unionByName(clean)
     bad = (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= PERCENT * F.col("n_words"))
     return one.select(F.col("id").alias(id_column), "n_words", "n_hit", "n_items", "items_sha256", bad.alias("contaminated"))
 
@@ -151,7 +157,11 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> D
     letters = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
     units = F.regexp_extract_all(text, F.lit(f"({letters}+[^0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}]*)"), 1)
     before = F.regexp_extract(text, f"^[^0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}]*", 0)
-    runs = F.col(found)["runs"]
-    kept = F.filter(units, lambda _, i: ~F.exists(runs, lambda run: (run["a"] <= i) & (i < run["b"])))
-    cut = F.when(F.size(runs) > 0, F.concat(before, F.array_join(kept, ""))).otherwise(F.col(text))
+    spans = F.col(found)["spans"]
+    hit_words = F.flatten(F.transform(spans, lambda s: F.sequence(s["start"], s["start"] + s["len"] - 1)))
+
+    def kept(words: Column) -> Column:
+        return F.transform(F.array_except(F.sequence(F.lit(0), F.size(words) - 1), hit_words), lambda i: F.get(words, i))
+
+    cut = F.when(F.size(spans) > 0, F.concat(before, F.array_join(let(units, kept), ""))).otherwise(F.col(text))
     return hit.select(*[cut.alias(text) if c == text else F.col(c) for c in docs.columns])

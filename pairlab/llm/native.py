@@ -35,19 +35,13 @@ def starts(words: Column, length: int | Column) -> Column:
     return F.when(n >= length, F.sequence(F.lit(0), n - length)).otherwise(F.array().cast("array<int>"))
 
 
-def merged(spans: Column) -> Column:
-    """Maximal runs (a, b) of spans (start, len) that come in order of start."""
-    empty = F.struct(F.array().cast("array<struct<a:int,b:int>>").alias("done"), F.lit(-1).alias("a"), F.lit(-1).alias("b"))
+def covered_length(spans: Column) -> Column:
+    """Places that spans (start, len), in order of start, cover: a fold over two numbers, however many runs there are."""
 
     def step(acc: Column, span: Column) -> Column:
-        begin, end = span["start"], span["start"] + span["len"]
-        grown = F.struct(acc["done"].alias("done"), acc["a"].alias("a"), F.greatest(acc["b"], end).alias("b"))
-        closed = F.concat(acc["done"], F.array(F.struct(acc["a"].alias("a"), acc["b"].alias("b"))))
-        return F.when(begin <= acc["b"], grown).otherwise(F.struct(closed.alias("done"), begin.alias("a"), end.alias("b")))
+        end = span["start"] + span["len"]
+        more = F.greatest(end - F.greatest(span["start"], acc["upto"]), F.lit(0))
+        return F.struct((acc["n"] + more).alias("n"), F.greatest(acc["upto"], end).alias("upto"))
 
-    last = F.aggregate(spans, empty, step, lambda acc: F.concat(acc["done"], F.array(F.struct(acc["a"].alias("a"), acc["b"].alias("b")))))
-    return F.filter(last, lambda run: run["a"] >= 0)
-
-
-def length_of(runs: Column) -> Column:
-    return F.aggregate(runs, F.lit(0).cast("long"), lambda n, run: n + (run["b"] - run["a"]))
+    nothing = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("upto"))
+    return F.aggregate(spans, nothing, step, lambda acc: acc["n"])

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlab.llm.native import SPACES, length_of, let, merged, starts, words
+from pairlab.llm.native import SPACES, covered_length, let, starts, words
 from pairlab.llm.tables import Staged
 
 WINDOW = 5
@@ -47,7 +47,7 @@ def repeated_words(w: Column, window: int = WINDOW) -> Column:
 
         return F.when(F.size(hashes) == F.size(F.array_distinct(hashes)), F.array().cast("array<struct<start:int,len:int>>")).otherwise(let(ranked, twice))
 
-    return length_of(merged(let(F.transform(starts(w, window), lambda at: F.xxhash64(F.slice(w, at + 1, window))), spans)))
+    return covered_length(let(F.transform(starts(w, window), lambda at: F.xxhash64(F.slice(w, at + 1, window))), spans))
 
 
 def counts(text: str | Column) -> Column:

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from pairlab.llm import decontaminate as D
@@ -45,3 +47,31 @@ def test_empty_tables(tables, spark):
     docs, bench = tables
     assert D.contamination(docs.limit(0), bench).collect() == []
     assert not any(r["contaminated"] for r in D.contamination(docs, bench.limit(0)).collect())
+
+
+def test_clashing_columns_pass_on_both_paths(tables, monkeypatch):
+    docs, bench = tables
+    odd = docs.selectExpr("*", *[f"1 AS {c}" for c in ("__spans", "spans_of", "_spans_of", "text_key", "windows", "n_words", "n_hit", "near", "id")])
+    kept = sorted(map(tuple, D.remove_documents(odd, bench).collect()), key=str)
+    cut = sorted(map(tuple, D.remove_spans(odd, bench).collect()), key=str)
+    assert len(kept) == 6 and len(cut) == len(DOCS)
+    monkeypatch.setattr(D.with_hits, "__defaults__", ("text", 0))
+    assert sorted(map(tuple, D.remove_documents(odd, bench).collect()), key=str) == kept
+    assert sorted(map(tuple, D.remove_spans(odd, bench).collect()), key=str) == cut
+    assert D.remove_documents(odd, bench).columns == odd.columns
+
+
+def test_words_covered_by_many_runs_are_counted_in_one_pass(spark):
+    """Every third word of a long text is hit: counts equal brute force, and twice the runs don't take four times the time."""
+    bench = spark.createDataFrame([(1, "hit"), (2, "hit two"), (3, "two words more")], "item_id long, text string")
+    times = []
+    for n in (16_000, 64_000):
+        text = "hit two miss " * n + "two words more"
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        started = time.time()
+        row = D.contamination(docs, bench).first()
+        times.append(time.time() - started)
+        assert (row["n_words"], row["n_hit"], row["n_items"]) == (3 * n + 3, 2 * n + 3, 3)
+    assert times[1] < 8 * times[0] + 5
+    small = spark.createDataFrame([(1, "a hit, two; miss hit. end")], "doc_id long, text string")
+    assert D.remove_spans(small, bench).first()["text"] == "a miss end"

@@ -59,3 +59,36 @@ def test_last_stage_packs_every_document(stages):
 def test_run_gives_the_last_stage(spark, stages):
     got = corpus_pipeline.run(spark, SMALL).collect()
     assert sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in got) == sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in stages[5][1])
+
+
+ODD = "doc_id long, text string, lang string, component string, kept int, n_words int, score double, id long, __spans int, label int"
+
+
+def odd_rows():
+    twin = " ".join(f"word{k}" for k in range(60))
+    texts = [(1, twin), (1, twin), (2, twin + " end"), (3, None), (4, ""), (5, " \n\t"), (None, "no id here"), (None, None), (6, "short"), (7, "Short"), (8, "x" * 50_000)]
+    return [(i, t, None, "c", 1, 2, 0.5, 7, 3, None) for i, t in texts]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_input(spark, name):
+    """Null ids and texts, repeated rows, clashing names, no n_chars; and empty tables."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    docs = spark.createDataFrame(odd_rows(), ODD).repartition(3)
+    out = stage(spark, docs, SMALL)
+    got = out.collect()
+    empty = stage(spark, docs.limit(0), SMALL)
+    assert empty.columns == out.columns and empty.collect() == []
+    ids = sorted((r["doc_id"] or -1 for r in got))
+    if name == "packing":
+        assert set(ids) == {-1, 1, 2, 3, 4, 5, 6, 7, 8}
+        return
+    assert out.columns == docs.columns
+    if name == "near_dedup":  # the smallest id of a group stays, with its repeated rows
+        assert ids == [-1, -1, 1, 1, 3, 4, 5, 6, 8]
+    else:
+        assert ids == [-1, -1, 1, 1, 2, 3, 4, 5, 6, 7, 8]
+    texts = {r["doc_id"]: r["text"] for r in got}
+    assert texts[3] is None and texts[6] == "short"
+    if name == "substring_dedup":
+        assert not texts[1] and texts[2] == "end"
