@@ -118,6 +118,12 @@ class BigramModel:
         model = counts.join(totals, "prev").select("prev", "token", F.log((F.col("c") + 1.0) / (F.col("total") + vocabulary)).alias("logprob"))
         return folded.join(model, ["prev", "token"]).select(*keys, "prev", "token", "n", "logprob")
 
+    def placed_log_probs(self, df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+        """(keys, pos, logprob): one row per scored position, for reductions that depend on places."""
+        placed = bigram_table(df, keys, text)
+        joined = placed.join(self.pairs, ["prev", "token"], "left").join(self.words, "prev", "left")
+        return joined.select(*keys, "pos", F.coalesce("logprob", "unseen", F.lit(-math.log(max(self.vocabulary, 1)))).alias("logprob"))
+
     def log_probs(self, df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
         """(keys, prev, token, n, logprob): one row per key and distinct bigram, with its number.
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pairlab.operators import scoring as C
+from pairlab.operators.causal import network_scorer, train_network
+from pairlab.operators.ordered import WeightedMean, reduce_in_order
 from pairlab.operators.reshape import mean_value, only_value, to_wide
 from pairlab.plans import standin as V
 from pairlab.plans import study
@@ -49,6 +52,14 @@ def score_batch(spark, sf_dir):
     return rounded(scored.select("doc_id", "score"), "score")
 
 
+@query("score_network")
+def score_network(spark, sf_dir):
+    """Pairs of a conversation's texts scored by a causal network that all documents have trained."""
+    weights = train_network(_documents(spark, sf_dir), "text", rounds=1)
+    talk = V.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return rounded(C.score_texts(talk, "text", network_scorer(spark, weights)).drop("text"), "score")
+
+
 @query("score_tokens", f"""
 with words as (select doc_id, {_WORDS} as w from documents)
 select doc_id, cast(unnest(range(0, len(w))) as integer) as pos, unnest(w) as token from words""")
@@ -83,6 +94,19 @@ def score_logmeanexp(spark, sf_dir):
     return rounded(C.reduce_scores(_token_scores(spark, sf_dir), ["doc_id"], C.log_mean_exp), "score")
 
 
+@query("score_position_weighted", f"""
+with {_BIGRAM_SQL}, placed as (
+  select doc_id, unnest(range(1, len(w))) as pos, unnest(w[1:len(w) - 1]) as prev, unnest(w[2:]) as token from words), scored as (
+  select b.doc_id, b.pos, ln((p.c + 1.0) / (w.c + v.v)) as lp
+  from placed b join pair_counts p on b.prev = p.prev and b.token = p.token join word_counts w on b.prev = w.prev, v)
+select doc_id, round(sum(lp / sqrt(pos)) / sum(1 / sqrt(pos)), 6) as score from scored group by doc_id""")
+def score_position_weighted(spark, sf_dir):
+    """Mean token log-probability that weighs a token by its place: a reduction that sees tokens in order."""
+    documents = _documents(spark, sf_dir)
+    tokens = C.BigramModel.train(documents, "text").placed_log_probs(documents, ["doc_id"], "text")
+    return rounded(reduce_in_order(tokens, ["doc_id"], "pos", lambda: WeightedMean(lambda at: 1 / np.sqrt(at))), "score")
+
+
 @query("score_masked", """
 with d as (select vec_id, unnest([cast(x as double) for x in embedding]) as x,
                   unnest(range(0, len(embedding))) as i, label from embeddings)
