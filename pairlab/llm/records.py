@@ -13,7 +13,7 @@ lost or repeated task leaves no partial file behind.
 
 Documents are range-partitioned by id once, as text, and encoded in order inside the tasks; rows of one id
 are spread by their text and place in the input, so no id has to fit one task.  Ids of all documents
-before a shard come from one sum per shard.
+before a shard come from one sum per shard and one per ``GROUP`` shards.
 """
 
 from __future__ import annotations
@@ -25,15 +25,17 @@ from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairlab.llm import words as W
 from pairlab.llm.tables import text_bytes
 from pairlab.llm.tokens import word_tokens
 
-#: Bytes of text that go to one shard, about; a shard is read whole by one task.
-SHARD_BYTES = 32 << 20
+#: Bytes of text that go to one shard, about; a shard is read whole by one task, with some copies of it in memory.
+SHARD_BYTES = 8 << 20
+#: Shards whose sizes are added up together, on the way to the ids before each.
+GROUP = 1000
 
 # The usual constant of masked checksums, and the sizes of a frame's parts.
 _MASK_DELTA = 0xA282EAD8
@@ -113,7 +115,7 @@ def _frames(tokenizer: str, end: int):
     return run
 
 
-def _parse(shard: str, content: bytes, with_ids: bool) -> pa.RecordBatch:
+def _parse(shard: str, content: memoryview, with_ids: bool) -> pa.RecordBatch:
     rows: dict[str, list] = {k: [] for k in ("record", "offset", "bytes", "doc_id", "before", "n_tokens", "ids_crc32", "ids")}
     at = before = number = 0
     while at < len(content):
@@ -137,7 +139,7 @@ def _shards(spark: SparkSession, folder: str, with_ids: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, content in zip(batch.column(0), batch.column(1), strict=True):
-                part = _parse(shard.as_py(), content.as_buffer().to_pybytes(), with_ids)
+                part = _parse(shard.as_py(), memoryview(content.as_buffer()), with_ids)
                 for at in range(0, part.num_rows, 4096):
                     yield part.slice(at, 4096)
 
@@ -166,13 +168,14 @@ def write_records(
 
 
 def _bases(spark: SparkSession, folder: str) -> DataFrame:
-    """(shard, base): ids of all records in the shards before; one row per shard passes through the driver."""
-    index = spark.read.parquet(f"{folder}/index")
-    rows, base = [], 0
-    for row in index.groupBy("shard").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect():
-        rows.append((row["shard"], base))
-        base += row["n"]
-    return spark.createDataFrame(rows, "shard string, base long")
+    """(shard, base): ids of all records in the shards before, by the numbers that Spark gives files of a sorted table."""
+    sizes = spark.read.parquet(f"{folder}/index").groupBy("shard").agg(F.sum("n_tokens").alias("n"))
+    sizes = sizes.withColumn("number", F.regexp_extract("shard", r"^part-(\d+)", 1).cast("long")).withColumn("many", F.floor(F.col("number") / GROUP))
+    before = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    inside = sizes.withColumn("inside", F.coalesce(F.sum("n").over(before.partitionBy("many")), F.lit(0)))
+    groups = sizes.groupBy("many").agg(F.sum("n").alias("n"), F.min("number").alias("number"))
+    groups = groups.select("many", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return inside.join(groups, "many").select("shard", (F.col("base") + F.col("inside")).alias("base"))
 
 
 def read_index(spark: SparkSession, folder: str) -> DataFrame:

@@ -109,3 +109,10 @@ def test_ids_don_t_depend_on_slices_or_the_cache(monkeypatch, slice_bytes):
     want = [own.whole.encode(t, add_special_tokens=False).ids for t in texts]
     assert n.tolist() == [len(w) for w in want]
     assert ids.tolist() == [i for w in want for i in w]
+
+
+def test_bases_add_up_over_groups_of_shards(spark, folder, monkeypatch):
+    want = sorted(map(tuple, R.read_index(spark, folder).collect()))
+    monkeypatch.setattr(R, "GROUP", 2)
+    assert sorted(map(tuple, R.read_index(spark, folder).collect())) == want
+    assert len({row[0] for row in want}) > 4
