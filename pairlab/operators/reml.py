@@ -39,8 +39,8 @@ PROBES_WHOLE, PROBES, ITERATIONS, STEPS = 32, 4, (6, 4), 40
 #: A fit is settled when no variance moves by more than this share of itself.
 TOLERANCE = 1e-4
 
-#: Cells are read twice an iteration, and twice more at the start and end of a solve.
-READS_A_STEP = 2 * (sum(ITERATIONS) + 2 * len(ITERATIONS)) + 2
+#: Cells are read twice an iteration, three times more around each solve, and twice for the working variates.
+READS_A_STEP = 2 * sum(ITERATIONS) + 3 * len(ITERATIONS) + 2
 
 
 @dataclass
