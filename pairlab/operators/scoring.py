@@ -216,7 +216,7 @@ def train_letter_model(df: DataFrame, text: str) -> np.ndarray:
             codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.int64) % SYMBOLS
             steps = codes[:-1] * SYMBOLS + codes[1:]
             inside = np.ones(len(steps), dtype=bool)
-            inside[np.cumsum([len(t) for t in texts])[:-1] - 1] = False  # from one text's last letter to the next one's first
+            inside[np.cumsum([len(t) for t in texts], dtype=np.int64)[:-1] - 1] = False  # from one text's last letter to the next one's first
             cells += np.bincount(steps[inside], minlength=SYMBOLS * SYMBOLS)
         met = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(cells[met])], names=["cell", "n"])
