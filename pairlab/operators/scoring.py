@@ -237,11 +237,10 @@ def letter_scorer(log_probs: np.ndarray) -> Callable[[], BatchScorer]:
             low = [t.lower() for t in texts]
             lengths = np.array([len(t) for t in low])
             codes = np.frombuffer("".join(low).encode("utf-32-le"), dtype=np.uint32).astype(np.int64) % SYMBOLS
-            steps = np.zeros(len(codes) + 1)
-            np.cumsum(log_probs[codes[:-1], codes[1:]], out=steps[1:-1]) if len(codes) > 1 else None
+            steps = np.append(log_probs[codes[:-1], codes[1:]], 0.0) if len(codes) else np.zeros(0)
             end = np.cumsum(lengths)
-            begin = end - lengths
-            total = steps[np.maximum(end - 1, begin)] - steps[begin]
+            steps[end[lengths > 0] - 1] = 0.0  # from one text's last letter to the next one's first
+            total = np.bincount(np.repeat(np.arange(len(low)), lengths), weights=steps, minlength=len(low))
             return np.where(lengths > 1, total / np.maximum(lengths - 1, 1), np.nan)
 
         return score
