@@ -201,23 +201,48 @@ def pair_scores(
 
 #: Symbols of the letter model: code points modulo this number.
 SYMBOLS = 256
-
-
-def train_letter_model(df: DataFrame, text: str) -> np.ndarray:
+#: Letters that a task turns into numbers at a time: some 50 MB of arrays.
+LETTERS = 1 << 20
+
+
+def _stretches(texts: Sequence[str], most: int) -> Iterator[tuple[list[int], list[str]]]:
+    """Texts by number, some at a time and of ``most`` letters at most; stretches of a longer text share its letter at the seam."""
+    at, held, size = [], [], 0
+    for k, text in enumerate(texts):
+        for start in range(0, max(len(text) - 1, 1), most - 1):
+            part = text if len(text) <= most else text[start: start + most]
+            if held and size + len(part) > most:
+                yield at, held
+                at, held, size = [], [], 0
+            at.append(k)
+            held.append(part)
+            size += len(part)
+    if held:
+        yield at, held
+
+
+def _letter_steps(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letters of texts in one row, the number of letters of each text, and which letters have a next one in their text."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.int64) % SYMBOLS
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    inside = np.ones(len(codes), dtype=bool)
+    inside[np.cumsum(lengths)[lengths > 0] - 1] = False  # from one text's last letter to the next one's first
+    return codes, lengths, inside
+
+
+def train_letter_model(df: DataFrame, text: str, most: int = LETTERS) -> np.ndarray:
     """Log-probabilities of each letter (code point modulo ``SYMBOLS``) after each letter, add-one smoothed.
 
-    A task counts its batches of whole texts into one table of that fixed size; Spark adds the tables up.
+    A task counts whole texts, at most ``most`` letters at a time, into one table of that fixed size; Spark adds the tables up.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(SYMBOLS * SYMBOLS, dtype=np.int64)
         for batch in batches:
-            texts = [t for t in batch.column(0).to_pylist() if t]
-            codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.int64) % SYMBOLS
-            steps = codes[:-1] * SYMBOLS + codes[1:]
-            inside = np.ones(len(steps), dtype=bool)
-            inside[np.cumsum([len(t) for t in texts], dtype=np.int64)[:-1] - 1] = False  # from one text's last letter to the next one's first
-            cells += np.bincount(steps[inside], minlength=SYMBOLS * SYMBOLS)
+            for _, texts in _stretches([t for t in batch.column(0).to_pylist() if t], most):
+                codes, _, inside = _letter_steps(texts)
+                steps = codes[:-1] * SYMBOLS + codes[1:]
+                cells += np.bincount(steps[inside[:-1]], minlength=SYMBOLS * SYMBOLS)
         met = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(cells[met])], names=["cell", "n"])
 
@@ -229,18 +254,18 @@ def train_letter_model(df: DataFrame, text: str) -> np.ndarray:
     return np.log(table / table.sum(axis=1, keepdims=True))
 
 
-def letter_scorer(log_probs: np.ndarray) -> Callable[[], BatchScorer]:
-    """A batch scorer: mean log-probability of a text's letters after the first."""
+def letter_scorer(log_probs: np.ndarray, most: int = LETTERS) -> Callable[[], BatchScorer]:
+    """A batch scorer: mean log-probability of a text's letters after the first, at most ``most`` letters at a time."""
 
     def make() -> BatchScorer:
         def score(texts: pd.Series) -> np.ndarray:
             low = [t.lower() for t in texts]
-            lengths = np.array([len(t) for t in low])
-            codes = np.frombuffer("".join(low).encode("utf-32-le"), dtype=np.uint32).astype(np.int64) % SYMBOLS
-            steps = np.append(log_probs[codes[:-1], codes[1:]], 0.0) if len(codes) else np.zeros(0)
-            end = np.cumsum(lengths)
-            steps[end[lengths > 0] - 1] = 0.0  # from one text's last letter to the next one's first
-            total = np.bincount(np.repeat(np.arange(len(low)), lengths), weights=steps, minlength=len(low))
+            lengths, total = np.array([len(t) for t in low], dtype=np.int64), np.zeros(len(low))
+            for at, parts in _stretches(low, most):
+                codes, sizes, inside = _letter_steps(parts)
+                steps = np.append(log_probs[codes[:-1], codes[1:]], 0.0) if len(codes) else np.zeros(0)
+                steps[~inside] = 0.0
+                np.add.at(total, at, np.bincount(np.repeat(np.arange(len(parts)), sizes), weights=steps, minlength=len(parts)))
             return np.where(lengths > 1, total / np.maximum(lengths - 1, 1), np.nan)
 
         return score

@@ -109,3 +109,17 @@ def test_keys_beyond_doubles_survive_beside_nulls(spark):
     make = C.letter_scorer(np.zeros((C.SYMBOLS, C.SYMBOLS)))
     assert {r["id"] for r in C.score_texts(df, "a", make).collect()} == {big, None, 3}
     assert {r["id"] for r in C.pair_scores(df, ["id"], ["a", "b"], make).collect()} == {big, None, 3}
+
+
+def test_letters_are_met_some_at_a_time(spark, monkeypatch):
+    texts = ["", "a", "Äb c" * 40, "ab", "xyz", "", "q" * 13, "ba" * 7]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string").coalesce(1)
+    model = C.train_letter_model(df, "t")
+    assert np.array_equal(C.train_letter_model(df, "t", 7), model)
+    met, steps = [], C._letter_steps
+    monkeypatch.setattr(C, "_letter_steps", lambda some: met.append(sum(map(len, some))) or steps(some))
+    low = C.letter_scorer(model, 7)()(pd.Series(texts))
+    assert max(met) == 7
+    want = [np.mean([model[ord(a) % 256, ord(b) % 256] for a, b in zip(t.lower(), t.lower()[1:])]) if len(t) > 1 else math.nan for t in texts]
+    assert low == pytest.approx(want, nan_ok=True, rel=1e-12)
+    assert np.isnan(C.letter_scorer(model)()(pd.Series(["", ""]))).all()
