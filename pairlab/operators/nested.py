@@ -357,7 +357,11 @@ class Design:
     levels: DataFrame
 
     @classmethod
-    def build(cls, df: DataFrame, response: str, terms: Sequence[Term], inner: str, outer: str | None, by: Sequence[str], keep: Callable[[DataFrame, str], DataFrame]) -> Design:
+    def build(
+        cls, df: DataFrame, response: str, terms: Sequence[Term], inner: str, outer: str | None, by: Sequence[str], keep: Callable[[DataFrame, str], DataFrame],
+        keep_by: Callable[[DataFrame, str, str], DataFrame] | None = None,
+    ) -> Design:
+        """With ``keep_by`` nested level rows are staged in buckets of outer levels, so that evaluations don't shuffle them."""
         levels = {"inner": inner, **({"outer": outer} if outer else {})}
         df = df.dropna(subset=list(levels.values()))
         found = moments(df, response, terms, by).where("n > 0").withColumn("g", F.monotonically_increasing_id())
@@ -372,13 +376,14 @@ class Design:
         placed = raw.join(named, reduce(lambda a, b: a & b, same)) if by else raw.crossJoin(F.broadcast(named))  # one row without groups
         centred = placed.select("g", *levels, *[(F.col(n) - F.col("means")[i]).alias(n) for i, n in enumerate(columns)])
         folded = centred.groupBy("g", *levels).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in columns])
-        return cls(list(by), [n for n, _ in terms], outer is not None, centres, keep(folded, "levels"))
+        return cls(list(by), [n for n, _ in terms], outer is not None, centres, keep_by(folded, "levels", "outer") if keep_by and outer else keep(folded, "levels"))
 
     def profiles(self, levels: DataFrame, points: DataFrame) -> DataFrame:
         """(g, seen): what the random effects take off W'W at each of a group's points, in one aggregation.
 
         ``points`` has g and points, an array of (r1, r2s).  Rows are expanded over the distinct inner ratios only; the
-        outer ratios are applied to the folded outer levels.  All sums are partial aggregations.
+        outer ratios are applied to the folded outer levels.  Rows in buckets of outer levels are folded where they lie, and only
+        sums over outer levels are shuffled; all sums are partial aggregations.
         """
         cells = ["n", *[c for c in levels.columns if c.startswith("w")]]
         upper = [(i, j) for i in range(len(cells)) for j in range(i, len(cells))]
@@ -535,7 +540,7 @@ def fit_nested(
     """
     whole = WHOLE if whole is None else whole
     with Scratch(df.sparkSession) as scratch:
-        design = Design.build(df, response, terms, inner, outer, by, scratch.stage)
+        design = Design.build(df, response, terms, inner, outer, by, scratch.stage, scratch.stage_bucketed)
         sizes = scratch.stage(design.levels.groupBy("g").agg(F.count(F.lit(1)).alias("m")), "sizes")
         large = sizes.where(F.col("m") > whole)
         n_large, n_all = large.count(), sizes.count()
@@ -544,7 +549,10 @@ def fit_nested(
             centres, levels = ((t.join(large.select("g"), "g", "left_anti") if n_large else t) for t in (design.centres, design.levels))
             parts.append(_search_whole(design, centres, levels, looks))
         if n_large:
-            levels = design.levels if n_large == n_all else scratch.stage(design.levels.join(large.select("g"), "g", "left_semi"), "large")
+            levels = design.levels
+            if n_large < n_all:
+                levels = levels.join(large.select("g"), "g", "left_semi")
+                levels = scratch.stage_bucketed(levels, "large", "outer") if design.nested else scratch.stage(levels, "large")
             parts.append(_search_tables(design, levels, large, looks, scratch))
         if not parts:
             return df.sparkSession.createDataFrame([], _schema(df, by))

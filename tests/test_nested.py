@@ -1,6 +1,7 @@
 """Nested intercepts: groups without number, in tasks and over tables."""
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pairlab.functions import design as D
 from pairlab.operators import nested as N
+from pairlab.sources.staging import Scratch
 from tests.test_mixed import dense_reml, simulate, terms
 
 VALUES = ("estimate", "std_error", "df", "t_value", "p_value", "var_inner", "var_outer", "var_residual", "reml")
@@ -112,3 +114,15 @@ def test_outer_ids_beyond_double_precision(spark):
     for x, y in zip(a, b, strict=True):
         assert [v for v in x[1:]] == pytest.approx([v for v in y[1:]], rel=1e-7)
     assert D.numeric("x")
+
+
+def test_evaluations_dont_shuffle_level_rows(spark):
+    rows = [(v, 2 * v + k % 2, float(k % 3), float((v * 7 + k * 5) % 11)) for v in range(60) for k in range(6)]
+    df = spark.createDataFrame(rows, "verb int, pair int, x double, y double")
+    with Scratch(spark) as scratch:
+        design = N.Design.build(df, "y", D.numeric("x"), "pair", "verb", [], scratch.stage, scratch.stage_bucketed)
+        points = scratch.stage(N._first_state(design, design.centres), "points").select("g", "points")
+        seen = design.profiles(design.levels, points)
+        plan = seen._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" in plan and not re.search(r"Exchange hashpartitioning\([^)]*outer", plan)
+        assert len(seen.first()["seen"]) == len(N._grid(True))
