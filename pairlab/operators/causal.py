@@ -28,6 +28,8 @@ from pairlab.operators.scoring import BatchScorer
 SYMBOLS, CONTEXT, EMBEDDING, HIDDEN = 256, 6, 12, 48
 #: Rounds over all texts, letters of one step, step size, and cells of one padded batch.
 ROUNDS, STEP, RATE, CELLS = 2, 4096, 0.01, 1 << 17
+#: Places whose logits are held at a time: half a megabyte.
+BLOCK = 256
 #: Pieces in which weights travel, and groups of the first step of their average.
 PIECES, SPREAD = 8, 32
 SEED = 3
@@ -65,29 +67,65 @@ def before(codes: np.ndarray) -> np.ndarray:
     return out if codes.ndim > 1 else out[0]
 
 
+def _bounded(weights: Weights) -> bool:
+    """Can no logit overflow an exponential?  A hidden unit lies between -1 and 1."""
+    return float((np.abs(weights["w2"]).sum(axis=0) + np.abs(weights["b2"])).max()) < 300
+
+
+def _forward(weights: Weights, around: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Embeddings, hidden units and logits of each place, less the largest where they may be large."""
+    x = weights["embed"][around].reshape(len(around), -1)
+    hidden = x @ weights["w1"]
+    hidden += weights["b1"]
+    np.tanh(hidden, out=hidden)
+    out = hidden @ weights["w2"]
+    out += weights["b2"]
+    if not safe:
+        out -= out.max(axis=1, keepdims=True)
+    return x, hidden, out
+
+
 def log_probs(weights: Weights, around: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """log P(letter | letters before it) of each place."""
-    x = weights["embed"][around].reshape(len(target), -1)
-    out = np.tanh(x @ weights["w1"] + weights["b1"]) @ weights["w2"] + weights["b2"]
-    out -= out.max(axis=1, keepdims=True)
-    return out[np.arange(len(target)), target] - np.log(np.exp(out).sum(axis=1))
+    """log P(letter | letters before it) of each place; equal letters before a place are met once."""
+    safe = _bounded(weights)
+    coded = around @ ((SYMBOLS + 1) ** np.arange(CONTEXT, dtype=np.int64))
+    _, first, which = np.unique(coded, return_index=True, return_inverse=True)
+    order = np.argsort(which, kind="stable")
+    edge = np.searchsorted(which[order], np.arange(0, len(first) + BLOCK, BLOCK))
+    found = np.empty(len(target))
+    for k in range(0, len(first), BLOCK):
+        out = _forward(weights, around[first[k: k + BLOCK]], safe)[2]
+        mine = order[edge[k // BLOCK]: edge[k // BLOCK + 1]]
+        row = which[mine] - k
+        logit = out[row, target[mine]]
+        np.exp(out, out=out)
+        found[mine] = logit - np.log(out.sum(axis=1))[row]
+    return found
 
 
 def gradient(weights: Weights, around: np.ndarray, target: np.ndarray) -> Weights:
-    """Gradient of the mean negative log-probability."""
-    n = len(target)
-    x = weights["embed"][around].reshape(n, -1)
-    hidden = np.tanh(x @ weights["w1"] + weights["b1"])
-    out = hidden @ weights["w2"] + weights["b2"]
-    share = np.exp(out - out.max(axis=1, keepdims=True))
-    share /= share.sum(axis=1, keepdims=True)
-    share[np.arange(n), target] -= 1
-    share /= n
-    back = (share @ weights["w2"].T) * (1 - hidden**2)
-    inner = (back @ weights["w1"].T).reshape(-1, EMBEDDING)
-    flat = around.ravel()
-    embed = np.stack([np.bincount(flat, inner[:, k], SYMBOLS + 1) for k in range(EMBEDDING)], axis=1)
-    return {"embed": embed, "w1": x.T @ back, "b1": back.sum(axis=0), "w2": hidden.T @ share, "b2": share.sum(axis=0)}
+    """Gradient of the mean negative log-probability, from blocks of places that stay in a core's cache."""
+    n, safe = len(target), _bounded(weights)
+    found = {k: np.zeros_like(v) for k, v in weights.items()}
+    inner = np.empty((n, CONTEXT * EMBEDDING))
+    for a in range(0, n, BLOCK):
+        x, hidden, share = _forward(weights, around[a: a + BLOCK], safe)
+        np.exp(share, out=share)
+        share /= share.sum(axis=1, keepdims=True)
+        share[np.arange(len(share)), target[a: a + BLOCK]] -= 1
+        share /= n
+        back = share @ weights["w2"].T
+        found["w2"] += hidden.T @ share
+        found["b2"] += share.sum(axis=0)
+        np.multiply(hidden, hidden, out=hidden)
+        np.subtract(1, hidden, out=hidden)
+        back *= hidden
+        found["w1"] += x.T @ back
+        found["b1"] += back.sum(axis=0)
+        np.matmul(back, weights["w1"].T, out=inner[a: a + BLOCK])
+    flat, inner = around.ravel(), inner.reshape(-1, EMBEDDING)
+    found["embed"] = np.stack([np.bincount(flat, inner[:, k], SYMBOLS + 1) for k in range(EMBEDDING)], axis=1)
+    return found
 
 
 def _fit(weights: Weights, rate: float, step: int):

@@ -59,3 +59,18 @@ def test_training_learns_and_scoring_does_not_depend_on_partitions(spark):
     assert {k: v for k, v in one.items() if v is not None} == pytest.approx({k: v for k, v in two.items() if v is not None}, abs=1e-9)
     untrained = N.train_network(df.limit(0), "t")
     assert all((untrained[k] == v).all() for k, v in N.first_weights().items())
+
+
+@pytest.mark.parametrize("size", [1.0, 4000.0])
+def test_equal_contexts_are_met_once_in_blocks(monkeypatch, size):
+    weights = {k: v * size for k, v in N.first_weights(5).items()}
+    codes = N.letters("the dog and the cat and the dog " * 40)
+    around = N.before(codes)
+    x = weights["embed"][around].reshape(len(codes), -1)
+    logit = np.tanh(x @ weights["w1"] + weights["b1"]) @ weights["w2"] + weights["b2"]
+    logit -= logit.max(axis=1, keepdims=True)
+    want = logit[np.arange(len(codes)), codes] - np.log(np.exp(logit).sum(axis=1))
+    met, forward = [], N._forward
+    monkeypatch.setattr(N, "_forward", lambda w, some, safe: met.append(len(some)) or forward(w, some, safe))
+    assert np.allclose(N.log_probs(weights, around, codes), want, rtol=1e-12, atol=1e-9)
+    assert sum(met) == len(np.unique(around, axis=0)) < len(codes) / 10 and max(met) <= N.BLOCK
