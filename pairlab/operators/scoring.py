@@ -107,16 +107,18 @@ class BigramModel:
 
     @staticmethod
     def score_own(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
-        """``log_probs`` of the texts that the model is trained on: they are cut into bigrams once.
+        """(keys, n, logprob) of the texts that the model is trained on, one row per token; every bigram is in the model.
 
-        Bigrams folded per key are staged; the model's counts are sums over them, and every bigram is in it.
+        Only a bigram's 64-bit digest travels with the keys, not its words.  Of m distinct bigrams about m² / 2⁶⁵ pairs share a
+        digest, 3e-4 for a hundred million; the tokens of such a pair would count twice.
         """
-        folded = stage(bigram_table(df, keys, text).groupBy(*keys, "prev", "token").agg(F.count(F.lit(1)).alias("n")), "own-bigrams")
-        counts = stage(folded.groupBy("prev", "token").agg(F.sum("n").alias("c")), "bigrams")
+        bigrams = bigram_table(df, keys, text)
+        counts = stage(bigrams.groupBy("prev", "token").agg(F.count(F.lit(1)).alias("c")), "bigrams")
         totals = stage(counts.groupBy("prev").agg(F.sum("c").alias("total")), "words")
         vocabulary = totals.count()
-        model = counts.join(totals, "prev").select("prev", "token", F.log((F.col("c") + 1.0) / (F.col("total") + vocabulary)).alias("logprob"))
-        return folded.join(model, ["prev", "token"]).select(*keys, "prev", "token", "n", "logprob")
+        pair = F.xxhash64("prev", "token").alias("pair")
+        model = counts.join(totals, "prev").select(pair, F.log((F.col("c") + 1.0) / (F.col("total") + vocabulary)).alias("logprob"))
+        return bigrams.select(*keys, pair).join(model, "pair").select(*keys, F.lit(1).alias("n"), "logprob")
 
     def placed_log_probs(self, df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
         """(keys, pos, logprob): one row per scored position, for reductions that depend on places."""

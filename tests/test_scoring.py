@@ -123,3 +123,28 @@ def test_letters_are_met_some_at_a_time(spark, monkeypatch):
     want = [np.mean([model[ord(a) % 256, ord(b) % 256] for a, b in zip(t.lower(), t.lower()[1:])]) if len(t) > 1 else math.nan for t in texts]
     assert low == pytest.approx(want, nan_ok=True, rel=1e-12)
     assert np.isnan(C.letter_scorer(model)()(pd.Series(["", ""]))).all()
+
+
+def test_own_texts_travel_without_their_words(spark):
+    texts = [(1, "the man gave the dog a bone"), (2, "the dog ate"), (2, "the dog"), (None, "a man"), (3, ""), (4, None)]
+    df = spark.createDataFrame(texts, "id int, t string")
+    tokens = C.BigramModel.score_own(df, ["id"], "t")
+    assert tokens.columns == ["id", "n", "logprob"]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = C.BigramModel.score_own(df, ["id"], "t")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(pair" in plan and "hashpartitioning(prev#" in plan and "token#" not in plan.split("hashpartitioning(pair")[0]
+    pairs, before = Counter(), Counter()
+    for _, t in texts[:-1]:
+        w = words(t)
+        pairs.update(zip(w, w[1:]))
+        before.update(w[:-1])
+    size = len({b for _, b in pairs})
+    lp = {}
+    for i, t in texts[:-1]:
+        w = words(t)
+        lp.setdefault(i, []).extend(math.log((pairs[p] + 1) / (before[p[0]] + size)) for p in zip(w, w[1:]))
+    got = {r["id"]: r["score"] for r in C.reduce_scores(tokens, ["id"], C.mean_log_prob).collect()}
+    assert got == pytest.approx({i: np.mean(v) for i, v in lp.items()})
