@@ -7,7 +7,8 @@ variates of the average information.  Fixed effects, pairs and verbs are elimina
 preconditioned conjugate gradients run on the raters' equations that remain, all right-hand sides
 together and from the last step's solutions.
 
-A design of at most ``WHOLE`` cells takes its steps inside one task, on arrays.  Beyond that level tables stay
+A design of at most ``WHOLE`` cells takes its steps inside one task, on arrays.  Beyond that cells lie in blocks of whole verbs and
+an iteration is one job (``reml_blocks``).  With too many raters or cells of a verb for that, level tables stay
 distributed, the driver sees sums of products only, and a step takes a fixed number of iterations, so it reads the
 (rater, pair, n) cells a fixed number of times.
 
@@ -27,7 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlab.functions.design import Term
-from pairlab.operators.mixed import FACTORS, Crossed, _matrix, _number, _sum_products, _sweep_crossed, solve_moments
+from pairlab.operators.mixed import FACTORS, Crossed, _matrix, _number, _sum_products, _sweep_crossed, result_schema, solve_moments
+from pairlab.operators.nested import coefficient_rows
+from pairlab.operators.reml_blocks import Blocks
 from pairlab.sources.staging import Scratch
 
 #: Cells that one task may hold: some 100 MB.
@@ -418,8 +421,22 @@ def _in_a_task(design: Crossed, start: Sequence[float], steps: int, tolerance: f
     return None if row is None else (np.array(row["v"]), np.array(row["e"]))
 
 
+def _in_blocks(design: Crossed, scratch: Scratch, probes: int) -> Blocks | None:
+    signs = {f: [_signs(f, f, j) for j in range(probes)] for f in FACTORS}
+    return Blocks.of(design, scratch, signs["rater"], [*signs["pair"], *signs["verb"]])
+
+
+def _step_in_blocks(blocks: Blocks, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ypy, squares, forms, products = blocks.step(v[:3] / v[3])
+    found = [probed(*form) for form in forms]
+    centre = blocks.d.centre
+    score, information = score_and_information(centre.n, centre.size, v, ypy, squares, np.array([t for t, _ in found]), products)
+    return score, information, probe_noise(v, np.array([e for _, e in found]))
+
+
 def reml_variances(
-    design: Crossed, scratch: Scratch, start: Sequence[float] | None = None, probes: int | None = None, steps: int = STEPS, tolerance: float = TOLERANCE, whole: int | None = None
+    design: Crossed, scratch: Scratch, start: Sequence[float] | None = None, probes: int | None = None, steps: int = STEPS, tolerance: float = TOLERANCE, whole: int | None = None,
+    blocks: Blocks | None = None,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Variances (rater, pair, verb, residual) and the standard error that probing adds to each.
 
@@ -430,7 +447,9 @@ def reml_variances(
         rows = design.moment_table().collect()
         start = solve_moments([[r["ssw"], r["coef_rater"], r["coef_pair"], r["coef_verb"], r["coef_error"]] for r in rows])
         start[3] = max(start[3], 0.02 * design.centre.rss() / design.centre.n)  # moments may leave the residual nothing
-    if design.cells.count() <= (WHOLE if whole is None else whole):
+    if blocks is not None:
+        found = _climb(start, lambda v: _step_in_blocks(blocks, v), steps, tolerance)
+    elif design.cells.count() <= (WHOLE if whole is None else whole):
         found = _in_a_task(design, start, steps, tolerance, probes or PROBES_WHOLE)
     else:
         starts: list[DataFrame | None] = [None, None]
@@ -456,7 +475,14 @@ def fit_crossed_reml(
     """Coefficients with z tests at the REML variances; probe_error_* is what probing adds to each variance's error."""
     with Scratch(df.sparkSession) as scratch:
         design = Crossed.build(df, response, terms, rater, pair, verb, scratch.stage, scratch.stage_bucketed)
-        variances, errors = reml_variances(design, scratch, probes=probes)
-        fitted = _sweep_crossed(design, scratch, variances, sweeps, tolerance)
+        blocks = _in_blocks(design, scratch, probes or PROBES) if design.cells.count() > WHOLE else None
+        variances, errors = reml_variances(design, scratch, probes=probes, blocks=blocks)
+        if blocks is None:
+            fitted = _sweep_crossed(design, scratch, variances, sweeps, tolerance)
+        else:
+            fixed = blocks.fixed_effects(variances[:3] / variances[3])
+            covariance = (fixed[:, 1:] + fixed[:, 1:].T) / 2 * variances[3]
+            rows = coefficient_rows([n for n, _ in terms], design.centre, fixed[:, 0], covariance, None, *[float(v) for v in variances])
+            fitted = df.sparkSession.createDataFrame(rows, result_schema(["var_rater", "var_pair", "var_verb", "var_residual"]))
     names = [*FACTORS, "residual"]
     return reduce(lambda out, one: out.withColumn(f"probe_error_{one[0]}", F.lit(float(one[1]))), zip(names, errors, strict=True), fitted)

@@ -101,3 +101,36 @@ def test_a_factor_without_variance_settles_near_zero(spark):
     pdf = simulate(12, verbs=20, per_verb=3, raters=15, share=0.3, sd=(1.0, 0.0, 0.0, 1.0))
     got = R.fit_crossed_reml(spark.createDataFrame(pdf), "y", terms(), "rater", "pair", "verb").first()
     assert got["var_verb"] < 0.4 and got["var_rater"] < 0.1 and got["var_pair"] == pytest.approx(1.0, rel=0.5)
+
+
+def test_blocks_give_the_step_of_dense_algebra_and_the_whole_fit(spark, monkeypatch):
+    pdf = DESIGNS[0]
+    v = np.array([1.5, 1.2, 0.5, 0.3])
+    score, information = dense(pdf, v)
+    with Scratch(spark) as scratch:
+        design = Crossed.build(spark.createDataFrame(pdf), "y", terms(), "rater", "pair", "verb", scratch.stage, scratch.stage_bucketed)
+        blocks = R._in_blocks(design, scratch, 8)
+        got, info, noise = R._step_in_blocks(blocks, v)
+        again = R._step_in_blocks(blocks, v)[0]  # from the solutions
+    assert info == pytest.approx(information, rel=1e-6, abs=1e-6 * np.abs(information).max())
+    assert np.all(np.abs(got - score) <= 4 * np.sqrt(np.diag(noise)) + 1e-6 * np.abs(score))
+    assert again == pytest.approx(got, rel=1e-6)
+
+    df = spark.createDataFrame(pdf)
+    variances = dense_reml(pdf)
+    monkeypatch.setattr(R, "reml_variances", lambda *_, **__: (variances, np.zeros(4)))
+    want = R.fit_crossed_reml(df, "y", terms(), "rater", "pair", "verb", tolerance=1e-9).collect()
+    monkeypatch.setattr(R, "WHOLE", 0)
+    monkeypatch.setattr(R, "_sweep_crossed", lambda *_: pytest.fail("the raters' equations were solved over tables"))
+    for a, b in zip(want, R.fit_crossed_reml(df, "y", terms(), "rater", "pair", "verb").collect(), strict=True):
+        assert (a["term"], a["df"]) == (b["term"], b["df"])
+        assert [b["estimate"], b["std_error"]] == pytest.approx([a["estimate"], a["std_error"]], rel=1e-5)
+
+
+def test_a_large_design_iterates_by_one_job_each(spark, monkeypatch):
+    monkeypatch.setattr(R, "WHOLE", 0)
+    monkeypatch.setattr(R, "_Step", lambda *_: pytest.fail("a step ran over tables"))
+    pdf = DESIGNS[1]
+    got = R.fit_crossed_reml(spark.createDataFrame(pdf), "y", terms(), "rater", "pair", "verb", probes=40).first()
+    assert [got[f"var_{f}"] for f in ("rater", "pair", "verb", "residual")] == pytest.approx(dense_reml(pdf), rel=0.1, abs=0.03)
+    assert not staging._tables
