@@ -6,7 +6,8 @@ ridge system per level.  Covariances are updated by variational EM: each block c
 its estimates and its own posterior covariance.
 
 Data passes are joins and grouped sums over cells; the ridge systems are solved in batches
-inside tasks, on level rows that Spark has already folded.
+inside tasks, on level rows that Spark has already folded.  Cells and the second factor's tables lie in buckets of its levels, so
+a sweep does not shuffle the cells while the first factor's effects are small enough to broadcast by their real size.
 """
 
 from __future__ import annotations
@@ -56,12 +57,13 @@ class Sums:
 
 def _ridge(table: DataFrame, other: DataFrame | None, q: int, p: int, k: int, penalty: np.ndarray, sigma2: float,
            beta: np.ndarray, with_response: bool) -> DataFrame:
-    """Per level: effects b (q x k, flat) and the flat pieces of ``Sums``."""
+    """Per level: effects b (q x k, flat); and a row of each task without a level, with the flat pieces of ``Sums`` over its levels."""
     joined = table if other is None else table.join(other, "level", "left")
     if other is None:
         joined = joined.withColumn("taken", F.lit(None).cast("array<double>"))
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = 0.0
         for batch in batches:
             if batch.empty:
                 continue
@@ -92,7 +94,10 @@ def _ridge(table: DataFrame, other: DataFrame | None, q: int, p: int, k: int, pe
                 ],
                 axis=1,
             )
-            yield pd.DataFrame({"level": batch["level"], "b": list(b.reshape(rows, -1)), "s": list(pieces)})
+            total += pieces.sum(axis=0)
+            yield pd.DataFrame({"level": batch["level"], "b": list(b.reshape(rows, -1)), "s": None})
+        if isinstance(total, np.ndarray):
+            yield pd.DataFrame({"level": [None], "b": [None], "s": [total]})
 
     kind = table.schema["level"].dataType.simpleString()
     return joined.select("level", "zz", "zx", "zy", "taken").mapInPandas(
@@ -131,7 +136,7 @@ def _absorbed(table: DataFrame, other: DataFrame | None, q: int, p: int, k: int,
 
 def _read(solved: DataFrame, q: int, p: int, k: int) -> Sums:
     width = q * q + 1 + q * k + p * k + 3
-    row = solved.agg(*[F.expr(f"sum(s[{i}]) AS s{i}") for i in range(width)]).first()
+    row = solved.where("level is null").agg(*[F.expr(f"sum(s[{i}]) AS s{i}") for i in range(width)]).first()
     v = np.array([0.0 if x is None else x for x in row])
     cut = np.cumsum([q * q, 1, q * k, p * k, 1, 1, 1])
     a, t, e, x, o, s, c = np.split(v, cut[:-1])
@@ -165,9 +170,9 @@ class _Model:
             *[F.col(g).alias(a) for a, g in zip(("first", "second"), levels)], *columns,
             (F.col(response).cast("double") - F.lit(self.ybar)).alias("y"),
         ).dropna(subset=[*x, "y"])
-        self.cells = self.scratch.stage(
+        self.cells = self.scratch.stage_bucketed(
             rows.groupBy("first", "second", *x).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").alias("y")),
-            "slope-cells",
+            "slope-cells", "second",
         )
         column = ["1D", *x]
         self.sigma2 = self.yy / self.n
@@ -180,7 +185,7 @@ class _Model:
             table = self.cells.groupBy(F.col(name).alias("level")).agg(
                 F.expr(f"array({zz})").alias("zz"), F.expr(f"array({zx})").alias("zx"), F.expr(f"array({zy})").alias("zy")
             )
-            table = self.scratch.stage(table, f"{name}-levels")
+            table = self.scratch.stage_bucketed(table, f"{name}-levels", "level") if name == "second" else self.scratch.stage(table, f"{name}-levels")
             self.blocks.append(Block(name, at, table, table.count(), np.eye(len(at))))
         ordinary = np.linalg.solve(self.xx, self.xy)
         for block in self.blocks:
@@ -238,20 +243,20 @@ class _Model:
         self.scratch.next_round()
         first, second = self.blocks
         k = right.shape[1]
-        taken = None if effects is None else self.scratch.stage(self.cross_sums(effects, first, second, k), "taken")
+        taken = None if effects is None else self.scratch.stage_bucketed(self.cross_sums(effects, first, second, k), "taken", "level")
         penalty = self.sigma2 * np.linalg.inv(second.covariance)
         folded = _absorbed(second.table, taken, second.size, self.p, k, penalty, response)
         beta = np.linalg.solve(self.xx - folded[:, : self.p], right - moved - folded[:, self.p:])
         solved2 = self.scratch.stage(_ridge(second.table, taken, second.size, self.p, k, penalty, self.sigma2, beta, response), "second")
         sums2 = _read(solved2, second.size, self.p, k)
-        taken1 = self.cross_sums(solved2, second, first, k)
+        taken1 = self.cross_sums(solved2.where("level is not null"), second, first, k)
         penalty1 = self.sigma2 * np.linalg.inv(first.covariance)
         solved1 = self.scratch.stage(_ridge(first.table, taken1, first.size, self.p, k, penalty1, self.sigma2, beta, response), "first")
         sums1 = _read(solved1, first.size, self.p, k)
         # Shift the first block to the total it has at the solution.
         lift = (sums_wanted - sums1.effects) / first.levels
         flat = F.array(*[F.lit(float(v)) for v in lift.ravel()])
-        shifted = solved1.select("level", F.zip_with("b", flat, lambda a, c: a + c).alias("b"))
+        shifted = solved1.where("level is not null").select("level", F.zip_with("b", flat, lambda a, c: a + c).alias("b"))
         # X'Z of the first block adds up to X'X over its columns.
         moved = sums1.fixed + self.xx[:, first.columns] @ lift
         return beta, shifted, moved, sums1, sums2

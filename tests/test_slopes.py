@@ -6,6 +6,8 @@ import pytest
 
 from pairlab.functions import design as D
 from pairlab.operators import slopes as S
+from pairlab.sources import staging
+from pairlab.sources.staging import Scratch
 
 
 def simulate(seed=3, raters=30, pairs=40, share=0.5):
@@ -57,3 +59,19 @@ def test_random_slopes(spark):
     for i, name in enumerate((one, "c", "rank")):
         assert fixed[name]["estimate"] == pytest.approx(beta[i], abs=0.02 * errors[i])
         assert fixed[name]["std_error"] == pytest.approx(errors[i], rel=0.01)
+
+
+def test_a_sweep_shuffles_no_cells_and_writes_no_sums_by_level(spark):
+    pdf = simulate(raters=8, pairs=20)
+    with Scratch(spark) as scratch:
+        model = S._Model(spark.createDataFrame(pdf), "y", D.numeric("c") + D.numeric("rank"), [("rater", ["c"]), ("pair", ["c"])], scratch)
+        first, second = model.blocks
+        effects = scratch.stage(first.table.selectExpr("level", "zy AS b"), "effects")
+        plan = model.cross_sums(effects, first, second, 1)._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan and "hashpartitioning(second" not in plan and "hashpartitioning(level" not in plan
+        solved = S._ridge(second.table, None, second.size, model.p, 1, np.eye(2), 1.0, np.zeros((model.p, 1)), True)
+        rows = solved.collect()
+        levels, sums = [r for r in rows if r["level"] is not None], [r for r in rows if r["level"] is None]
+        assert len(levels) == pdf.pair.nunique() and all(r["s"] is None for r in levels) and all(r["b"] is None for r in sums)
+        assert S._read(solved, second.size, model.p, 1).effects[:, 0] == pytest.approx(np.sum([r["b"] for r in levels], axis=0))
+    assert not staging._tables
