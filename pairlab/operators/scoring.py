@@ -120,9 +120,16 @@ class BigramModel:
         model = counts.join(totals, "prev").select(pair, F.log((F.col("c") + 1.0) / (F.col("total") + vocabulary)).alias("logprob"))
         return bigrams.select(*keys, pair).join(model, "pair").select(*keys, F.lit(1).alias("n"), "logprob")
 
-    def placed_log_probs(self, df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
-        """(keys, pos, logprob): one row per scored position, for reductions that depend on places."""
+    def placed_log_probs(self, df: DataFrame, keys: Sequence[str], text: str, own: bool = False) -> DataFrame:
+        """(keys, pos, logprob): one row per scored position, for reductions that depend on places.
+
+        With ``own`` the texts are those that the model is trained on, so that every bigram is in it, and its 64-bit digest
+        travels with the place instead of its words, as in ``score_own``.
+        """
         placed = bigram_table(df, keys, text)
+        if own:
+            pair = F.xxhash64("prev", "token").alias("pair")
+            return placed.select(*keys, "pos", pair).join(self.pairs.select(pair, "logprob"), "pair").select(*keys, "pos", "logprob")
         joined = placed.join(self.pairs, ["prev", "token"], "left").join(self.words, "prev", "left")
         return joined.select(*keys, "pos", F.coalesce("logprob", "unseen", F.lit(-math.log(max(self.vocabulary, 1)))).alias("logprob"))
 

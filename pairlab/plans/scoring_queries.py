@@ -103,7 +103,7 @@ select doc_id, round(sum(lp / sqrt(pos)) / sum(1 / sqrt(pos)), 6) as score from
 def score_position_weighted(spark, sf_dir):
     """Mean token log-probability that weighs a token by its place: a reduction that sees tokens in order."""
     documents = _documents(spark, sf_dir)
-    tokens = C.BigramModel.train(documents, "text").placed_log_probs(documents, ["doc_id"], "text")
+    tokens = C.BigramModel.train(documents, "text").placed_log_probs(documents, ["doc_id"], "text", own=True)
     return rounded(reduce_in_order(tokens, ["doc_id"], "pos", lambda: WeightedMean(lambda at: 1 / np.sqrt(at))), "score")
 
 

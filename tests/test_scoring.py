@@ -148,3 +148,18 @@ def test_own_texts_travel_without_their_words(spark):
         lp.setdefault(i, []).extend(math.log((pairs[p] + 1) / (before[p[0]] + size)) for p in zip(w, w[1:]))
     got = {r["id"]: r["score"] for r in C.reduce_scores(tokens, ["id"], C.mean_log_prob).collect()}
     assert got == pytest.approx({i: np.mean(v) for i, v in lp.items()})
+
+
+def test_own_places_travel_by_digest(spark):
+    texts = ["the man gave the dog a bone", "the dog ate", "", None, "the dog ate", "A man, a dog. The man"]
+    df = spark.createDataFrame([(i % 5 if i else None, t) for i, t in enumerate(texts)], "id int, t string")
+    model = C.BigramModel.train(df, "t")
+    want = sorted(map(tuple, model.placed_log_probs(df, ["id"], "t").na.fill(-1).collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        own = model.placed_log_probs(df, ["id"], "t", own=True)
+        plan = own._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(tuple, own.na.fill(-1).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == want and "hashpartitioning(pair" in plan and "hashpartitioning(prev" not in plan
