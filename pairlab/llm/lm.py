@@ -40,8 +40,8 @@ SIDE, EMBEDDING, HIDDEN = 2, 16, 32
 ROUNDS, BATCH, RATE, SEED = 2, 2048, 0.006, 5
 #: Pieces in which networks travel, and groups of the first step of their average.
 PIECES, SPREAD = 16, 64
-#: Positions scored at a time.
-SCORED = 1 << 15
+#: Positions scored at a time, so that their arrays stay in cache.
+SCORED = 1 << 13
 #: Words whose share of their class travels to the tasks; the others' are joined, with equal results.
 CACHED = 1 << 16
 
@@ -101,17 +101,33 @@ def contexts(ids: np.ndarray, first: np.ndarray, positions: np.ndarray, doc: np.
     return out
 
 
+def _exp_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of the rows of ``x``, from which a level is taken off in place, and their sums.
+
+    The level is the largest of all numbers; only if a row's sum would be lost at that, each row's largest.
+    """
+    ones = np.ones((x.shape[1], 1), dtype=x.dtype)
+    level = x.max() if x.size else x.dtype.type(0)
+    out = np.exp(x - level)
+    total = out @ ones
+    if total.size and not total.min() > 1e-20:  # rows far below the largest: each has its own level
+        level = x.max(axis=1, keepdims=True)
+        out = np.exp(x - level)
+        total = out @ ones
+    x -= level
+    return out, total
+
+
 def _log_share(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Log of the softmax of each row at one place; ``x`` is used up."""
-    x -= x.max(axis=1, keepdims=True)
-    chosen = x[np.arange(len(x)), at]
-    np.exp(x, out=x)
-    return chosen - np.log(x.sum(axis=1))
+    _, total = _exp_rows(x)
+    return x[np.arange(len(x)), at] - np.log(total[:, 0])
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    out = np.exp(x - x.max(axis=1, keepdims=True))
-    out /= out.sum(axis=1, keepdims=True)
+    """Softmax of each row; ``x`` is used up."""
+    out, total = _exp_rows(x)
+    out /= total
     return out
 
 
@@ -126,7 +142,7 @@ def log_probs(net: Network, around: np.ndarray, target: np.ndarray, tables: list
     tables = tables or _hidden_tables(net)
     hidden = np.tile(net["b1"], (len(target), 1))
     for slot, table in enumerate(tables):
-        hidden += table[around[:, slot]]
+        hidden += table.take(around[:, slot], axis=0)
     np.tanh(hidden, out=hidden)
     group, member = np.divmod(target, PER_CLASS)
     out = _log_share(hidden @ net["w2"] + net["b2"], group)
@@ -144,7 +160,7 @@ def log_probs(net: Network, around: np.ndarray, target: np.ndarray, tables: list
 def gradient(net: Network, around: np.ndarray, target: np.ndarray) -> Network:
     """Gradient of the mean negative log-probability."""
     n = len(target)
-    x = net["embed"][around].reshape(n, -1)
+    x = net["embed"].take(around.ravel(), axis=0).reshape(n, -1)
     hidden = np.tanh(x @ net["w1"] + net["b1"])
     group, member = np.divmod(target, PER_CLASS)
     grad = {}
@@ -156,23 +172,25 @@ def gradient(net: Network, around: np.ndarray, target: np.ndarray) -> Network:
     grad["w3"], grad["b3"] = np.zeros_like(net["w3"]), np.zeros_like(net["b3"])
     order = np.argsort(group, kind="stable")
     cut = np.searchsorted(group[order], np.arange(CLASSES + 1))
-    sorted_hidden, inner = hidden[order], np.empty_like(hidden)
+    sorted_hidden, inner = np.ones((n, HIDDEN + 1), dtype=hidden.dtype), np.empty_like(hidden)  # the ones sum up b3's gradient
+    np.take(hidden, order, axis=0, out=sorted_hidden[:, :-1])
     logits = np.empty((n, PER_CLASS), dtype=hidden.dtype)
     full = [(c, slice(a, b)) for c, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
     for c, rows in full:
-        np.matmul(sorted_hidden[rows], net["w3"][c], out=logits[rows])
+        np.matmul(sorted_hidden[rows, :-1], net["w3"][c], out=logits[rows])
     second = _softmax(logits + net["b3"][group[order]])
     second[np.arange(n), member[order]] -= 1
     second /= n
     for c, rows in full:
-        grad["w3"][c], grad["b3"][c] = sorted_hidden[rows].T @ second[rows], second[rows].sum(axis=0)
+        both = sorted_hidden[rows].T @ second[rows]
+        grad["w3"][c], grad["b3"][c] = both[:-1], both[-1]
         np.matmul(second[rows], net["w3"][c].T, out=inner[rows])
     back[order] += inner
     back *= 1 - hidden**2
     grad["w1"], grad["b1"] = x.T @ back, back.sum(axis=0)
-    inner = (back @ net["w1"].T).reshape(-1, EMBEDDING)
-    flat = around.ravel()
-    grad["embed"] = np.stack([np.bincount(flat, inner[:, k], VOCABULARY + 1) for k in range(EMBEDDING)], axis=1).astype(np.float32)
+    inner = (back @ net["w1"].T).reshape(-1, EMBEDDING).T.astype(np.float64, order="C")
+    flat = around.ravel().astype(np.intp)
+    grad["embed"] = np.stack([np.bincount(flat, column, VOCABULARY + 1) for column in inner], axis=1).astype(np.float32)
     return grad
 
 

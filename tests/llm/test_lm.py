@@ -80,3 +80,14 @@ def test_every_word_has_its_own_probability(spark):
 def _hashes(words):
     (part,) = lm.W.slices(lm.pa.array(words))
     return part.hashes(lower=True)
+
+
+def test_rows_far_below_the_largest_keep_their_softmax():
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (50, 32)).astype(np.float32)
+    x[7] -= 5000.0  # would vanish beside the others
+    exact = x.astype(np.float64) - x.max(axis=1, keepdims=True)
+    exact = np.exp(exact) / np.exp(exact).sum(axis=1, keepdims=True)
+    assert np.allclose(lm._softmax(x.copy()), exact, rtol=1e-5) and lm._log_share(x[:0].copy(), np.zeros(0, dtype=int)).shape == (0,)
+    at = rng.integers(0, 32, 50)
+    assert np.allclose(lm._log_share(x.copy(), at), np.log(exact[np.arange(50), at]), atol=1e-3)
