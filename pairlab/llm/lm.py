@@ -82,13 +82,32 @@ def unflatten(values: np.ndarray) -> Network:
     return out
 
 
-def word_ids(hashes: np.ndarray, named: np.ndarray) -> np.ndarray:
+class Places:
+    """Finds hashes in a sorted array of keys: a table of their leading bits names the first key to look at."""
+
+    def __init__(self, keys: np.ndarray, bits: int = 16):
+        self.keys, self.shift = keys, np.uint64(64 - bits)
+        each = np.bincount((keys >> self.shift).astype(np.intp), minlength=1 << bits)
+        self.first, self.most = (np.cumsum(each) - each).astype(np.int32), int(each.max())
+
+    def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places, and which hashes are keys."""
+        if not len(self.keys):
+            return np.zeros(len(hashes), dtype=np.int32), np.zeros(len(hashes), dtype=bool)
+        last = np.int32(len(self.keys) - 1)
+        at = np.minimum(self.first[(hashes >> self.shift).astype(np.intp)], last)
+        for _ in range(self.most - 1):  # keys with the same leading bits
+            at = np.minimum(at + (self.keys[at] < hashes), last)
+        return at, self.keys[at] == hashes
+
+
+def word_ids(hashes: np.ndarray, named: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Ids of words by hash: rank of a named word (``named`` is (hash, rank) sorted by hash), else a bucket."""
     keys, ranks = named
-    at = np.minimum(np.searchsorted(keys, hashes), max(len(keys) - 1, 0))
-    known = keys[at] == hashes if len(keys) else np.zeros(len(hashes), dtype=bool)
-    other = NAMED + (hashes % np.uint64(BUCKETS)).astype(np.int64)
-    return np.where(known, ranks[at] if len(keys) else 0, other).astype(np.int32)
+    at, known = Places(keys).of(hashes)
+    out = (hashes % np.uint64(BUCKETS)).astype(np.int32) + np.int32(NAMED)
+    out[known] = ranks[at[known]]
+    return out
 
 
 def contexts(ids: np.ndarray, first: np.ndarray, positions: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -202,7 +221,7 @@ class Adam:
 
     def update(self, grad: Network) -> None:
         self.step += 1
-        scale = self.rate * np.sqrt(1 - 0.999**self.step) / (1 - 0.9**self.step)
+        scale = float(self.rate * np.sqrt(1 - 0.999**self.step) / (1 - 0.9**self.step))  # arrays stay in single precision
         for k, g in grad.items():
             self.mean[k] += 0.1 * (g - self.mean[k])
             self.square[k] += 0.001 * (g * g - self.square[k])
@@ -303,7 +322,7 @@ def _score(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, named, (known, share) = shared.value
-        tables = _hidden_tables(net)
+        tables, often = _hidden_tables(net), Places(known, 20)
         for batch in batches:
             keys = batch.column(2).to_numpy(zero_copy_only=False)
             for part in W.slices(batch.column(1)):
@@ -316,8 +335,7 @@ def _score(shared):
                     total += np.bincount(doc[at], found, part.n_docs)
                 rest = np.flatnonzero(ids >= NAMED)
                 if len(known):
-                    at = np.minimum(np.searchsorted(known, hashes[rest]), len(known) - 1)
-                    hit = known[at] == hashes[rest]
+                    at, hit = often.of(hashes[rest])
                     total += np.bincount(doc[rest[hit]], share[at[hit]], part.n_docs)
                     rest = rest[~hit]
                 rest = rest[np.lexsort((hashes[rest], doc[rest]))]

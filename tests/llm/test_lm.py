@@ -91,3 +91,13 @@ def test_rows_far_below_the_largest_keep_their_softmax():
     assert np.allclose(lm._softmax(x.copy()), exact, rtol=1e-5) and lm._log_share(x[:0].copy(), np.zeros(0, dtype=int)).shape == (0,)
     at = rng.integers(0, 32, 50)
     assert np.allclose(lm._log_share(x.copy(), at), np.log(exact[np.arange(50), at]), atol=1e-3)
+
+
+def test_words_are_found_whatever_their_leading_bits():
+    rng = np.random.default_rng(5)
+    near = np.arange(2**62, 2**62 + 40, 3, dtype=np.uint64)  # one range of leading bits
+    keys = np.unique(np.concatenate([near, rng.integers(0, 2**63, 300, dtype=np.uint64) * np.uint64(2), np.array([0, 2**64 - 1], dtype=np.uint64)]))
+    hashes = np.concatenate([keys, keys + np.uint64(1), keys - np.uint64(1), rng.integers(0, 2**63, 500, dtype=np.uint64)])
+    at, known = lm.Places(keys).of(hashes)
+    assert (known == np.isin(hashes, keys)).all() and (keys[at[known]] == hashes[known]).all()
+    assert not lm.Places(keys[:0]).of(hashes)[1].any()
