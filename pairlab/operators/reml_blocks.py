@@ -5,7 +5,7 @@ its verbs, as arrays in rows of a staged table.  Given the raters' effects, a bl
 itself; what it sends on is sums by rater and a small matrix.  The fixed effects enter those sums linearly, so one pass
 gives both, and an iteration of the conjugate gradients on the raters' equations is one pass.
 
-The raters' vectors travel to the tasks as a broadcast does, so a design has at most ``LEVELS`` raters here, and a
+The raters' vectors are held by the driver and broadcast to the tasks, so a design has at most ``LEVELS`` raters here, and a
 block at most ``BLOCK`` cells; ``Blocks.of`` gives None for others.
 """
 
