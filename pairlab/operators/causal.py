@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from pairlab.operators.scoring import BatchScorer
 SYMBOLS, CONTEXT, EMBEDDING, HIDDEN = 256, 6, 12, 48
 #: Rounds over all texts, letters of one step, step size, and cells of one padded batch.
 ROUNDS, STEP, RATE, CELLS = 2, 4096, 0.01, 1 << 17
-#: Places whose logits are held at a time: half a megabyte.
+#: Places whose logits are held at a time, twice as many in single precision: half a megabyte.
 BLOCK = 256
 #: Pieces in which weights travel, and groups of the first step of their average.
 PIECES, SPREAD = 8, 32
@@ -68,8 +69,9 @@ def before(codes: np.ndarray) -> np.ndarray:
 
 
 def _bounded(weights: Weights) -> bool:
-    """Can no logit overflow an exponential?  A hidden unit lies between -1 and 1."""
-    return float((np.abs(weights["w2"]).sum(axis=0) + np.abs(weights["b2"])).max()) < 300
+    """Can no logit overflow an exponential, nor a sum of them?  A hidden unit lies between -1 and 1."""
+    most = 300 if weights["w2"].dtype == np.float64 else 70
+    return float((np.abs(weights["w2"]).sum(axis=0) + np.abs(weights["b2"])).max()) < most
 
 
 def _forward(weights: Weights, around: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,53 +105,89 @@ def log_probs(weights: Weights, around: np.ndarray, target: np.ndarray) -> np.nd
     return found
 
 
+def _layers(weights: Weights, x: np.ndarray, target: np.ndarray) -> tuple[Weights, np.ndarray]:
+    """Gradient of the mean negative log-probability by both layers, and by each place's embeddings ``x``.
+
+    Logits are held for blocks of places that stay in a core's cache; their exponentials are never divided by their sums, but the
+    narrower hidden units that meet them are.
+    """
+    n, safe, kind = len(target), _bounded(weights), x.dtype
+    hidden = np.ones((n, HIDDEN + 1), dtype=kind)  # the last one meets the biases
+    slope = x @ weights["w1"]
+    slope += weights["b1"]
+    np.tanh(slope, out=slope)
+    hidden[:, :-1] = slope
+    above, across = np.concatenate([weights["w2"], weights["b2"][None]]), np.ascontiguousarray(weights["w2"].T)
+    size = min(2 * BLOCK, n)
+    held, scaled, row, ones = np.empty((size, SYMBOLS), dtype=kind), np.empty((size, HIDDEN + 1), dtype=kind), np.arange(size), np.ones(SYMBOLS, dtype=kind)
+    top, back = np.zeros_like(above), np.empty((n, HIDDEN), dtype=kind)
+    for a in range(0, n, size):
+        mine = hidden[a: a + size]
+        m = len(mine)
+        out = np.matmul(mine, above, out=held[:m])
+        if not safe:
+            out -= out.max(axis=1, keepdims=True)
+        np.exp(out, out=out)
+        total = out @ ones
+        out[row[:m], target[a: a + size]] -= total
+        share = (1 / (total * n))[:, None]
+        top += np.multiply(mine, share, out=scaled[:m]).T @ out
+        np.matmul(out, across, out=back[a: a + size])
+        back[a: a + size] *= share
+    np.multiply(slope, slope, out=slope)
+    np.subtract(1, slope, out=slope)
+    back *= slope
+    return {"w1": x.T @ back, "b1": back.sum(axis=0), "w2": top[:-1], "b2": top[-1]}, back @ weights["w1"].T
+
+
 def gradient(weights: Weights, around: np.ndarray, target: np.ndarray) -> Weights:
-    """Gradient of the mean negative log-probability, from blocks of places that stay in a core's cache."""
-    n, safe = len(target), _bounded(weights)
-    found = {k: np.zeros_like(v) for k, v in weights.items()}
-    inner = np.empty((n, CONTEXT * EMBEDDING))
-    for a in range(0, n, BLOCK):
-        x, hidden, share = _forward(weights, around[a: a + BLOCK], safe)
-        np.exp(share, out=share)
-        share /= share.sum(axis=1, keepdims=True)
-        share[np.arange(len(share)), target[a: a + BLOCK]] -= 1
-        share /= n
-        back = share @ weights["w2"].T
-        found["w2"] += hidden.T @ share
-        found["b2"] += share.sum(axis=0)
-        np.multiply(hidden, hidden, out=hidden)
-        np.subtract(1, hidden, out=hidden)
-        back *= hidden
-        found["w1"] += x.T @ back
-        found["b1"] += back.sum(axis=0)
-        np.matmul(back, weights["w1"].T, out=inner[a: a + BLOCK])
+    """Gradient of the mean negative log-probability of places, given the letters before each, nearest first."""
+    found, inner = _layers(weights, weights["embed"][around].reshape(len(around), -1), target)
     flat, inner = around.ravel(), inner.reshape(-1, EMBEDDING)
-    found["embed"] = np.stack([np.bincount(flat, inner[:, k], SYMBOLS + 1) for k in range(EMBEDDING)], axis=1)
-    return found
+    return {"embed": np.stack([np.bincount(flat, inner[:, k], SYMBOLS + 1) for k in range(EMBEDDING)], axis=1), **found}
+
+
+def stretch_gradient(weights: Weights, codes: np.ndarray) -> Weights:
+    """The gradient for a stretch of a text, whose first ``CONTEXT`` letters are only met before others (``SYMBOLS`` before a text).
+
+    Neighbouring places share all letters but one, so that a letter is looked up once, and its places' gradients are added up before
+    they are counted by letter.
+    """
+    n = len(codes) - CONTEXT
+    rows = weights["embed"][codes[:-1]]
+    x = sliding_window_view(rows, CONTEXT, axis=0).transpose(0, 2, 1).reshape(n, -1)  # farthest first
+    turned = weights["w1"].reshape(CONTEXT, EMBEDDING, HIDDEN)[::-1].reshape(-1, HIDDEN)
+    found, inner = _layers({**weights, "w1": turned}, x, codes[CONTEXT:])
+    found["w1"] = found["w1"].reshape(CONTEXT, EMBEDDING, HIDDEN)[::-1].reshape(-1, HIDDEN)
+    by_place = np.zeros_like(rows)
+    for k in range(CONTEXT):
+        by_place[k: k + n] += inner[:, k * EMBEDDING: (k + 1) * EMBEDDING]
+    by_place = by_place.T.astype(float, order="C")
+    return {"embed": np.stack([np.bincount(codes[:-1], c, SYMBOLS + 1) for c in by_place], axis=1), **found}
 
 
 def _fit(weights: Weights, rate: float, step: int):
+    """Adam in double precision, on gradients in single precision."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = {k: v.copy() for k, v in weights.items()}
-        mean, square = ({k: np.zeros_like(v) for k, v in own.items()} for _ in range(2))
+        own = flatten(weights)
+        mean, square = np.zeros_like(own), np.zeros_like(own)
         turn = seen = 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                codes = letters(text or "")
-                for a in range(0, len(codes), step):
+                codes = np.concatenate([np.full(CONTEXT, SYMBOLS), letters(text or "")])
+                for a in range(CONTEXT, len(codes), step):
                     # a long text is met a step at a time, with the letters before the step
-                    part = codes[max(a - CONTEXT, 0): a + step]
-                    around = before(part)[min(a, CONTEXT):]
+                    g = flatten(stretch_gradient(unflatten(own.astype(np.float32)), codes[a - CONTEXT: a + step])).astype(float)
                     turn += 1
                     scale = rate * np.sqrt(1 - 0.999**turn) / (1 - 0.9**turn)
-                    for k, g in gradient(own, around, codes[a: a + step]).items():
-                        mean[k] += 0.1 * (g - mean[k])
-                        square[k] += 0.001 * (g * g - square[k])
-                        own[k] -= scale * mean[k] / (np.sqrt(square[k]) + 1e-8)
-                seen += len(codes)
+                    mean += 0.1 * (g - mean)
+                    square += 0.001 * (g * g - square)
+                    own -= scale * mean / (np.sqrt(square) + 1e-8)
+                seen += len(codes) - CONTEXT
         if seen:
             task = TaskContext.get().partitionId()
-            pieces = [p.tobytes() for p in np.array_split(flatten(own) * seen, PIECES)]
+            pieces = [p.tobytes() for p in np.array_split(own * seen, PIECES)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(PIECES), pa.int32()), pa.array([task % SPREAD] * PIECES, pa.int32()), pa.array([float(seen)] * PIECES), pa.array(pieces, pa.binary())],
                 names=["piece", "part", "weight", "values"],

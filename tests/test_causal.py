@@ -26,6 +26,44 @@ def test_gradient_matches_differences():
             assert found[name][at] == pytest.approx((moved[0] - moved[1]) / 2e-5, rel=1e-4, abs=1e-8)
 
 
+@pytest.mark.parametrize("size", [0.5, 5.0])
+def test_a_stretch_gives_the_gradient_of_its_places_in_either_precision(size):
+    rng = np.random.default_rng(6)
+    weights = {k: rng.normal(0, size, s) for k, s in N._SHAPES.items()}
+    for n, own in ((1, 0), (3, 0), (1500, 0), (700, 6)):
+        codes = np.concatenate([np.full(N.CONTEXT - own, N.SYMBOLS), rng.integers(0, 256, n + own)])
+        around = np.stack([codes[N.CONTEXT - 1 - k: len(codes) - 1 - k] for k in range(N.CONTEXT)], axis=1)
+        want = N.gradient(weights, around, codes[N.CONTEXT:])
+        for kind, near in ((np.float64, 1e-11), (np.float32, 1e-5 * size)):
+            found = N.stretch_gradient({k: v.astype(kind) for k, v in weights.items()}, codes)
+            assert all(np.allclose(found[k], want[k], rtol=0, atol=near) for k in want)
+
+
+def test_a_task_trains_in_single_precision_on_every_letter(monkeypatch):
+    met = []
+    layers = N._layers
+    monkeypatch.setattr(N, "_layers", lambda w, x, target: met.append((x.dtype, target)) or layers(w, x, target))
+    monkeypatch.setattr(N.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    texts = ["the dog saw the cat " * 30, None, "", "a", "ab" * 50]
+    batch = N.pa.RecordBatch.from_arrays([N.pa.array(texts)], names=["t"])
+    (out,) = N._fit(N.first_weights(), 0.01, 64)(iter([batch]))
+    assert all(kind == np.float32 for kind, _ in met) and max(len(t) for _, t in met) == 64
+    assert (np.concatenate([t for _, t in met]) == np.concatenate([N.letters(t or "") for t in texts])).all()
+    got = np.concatenate([np.frombuffer(v) for v in out.column(3).to_pylist()]) / out.column(2)[0].as_py()
+
+    own, mean, square = N.first_weights(), {}, {}
+    turn = 0
+    for text in texts:
+        codes = N.letters(text or "")
+        for a in range(0, len(codes), 64):
+            turn += 1
+            for k, g in N.gradient(own, N.before(codes)[a: a + 64], codes[a: a + 64]).items():
+                mean[k] = 0.9 * mean.get(k, 0) + 0.1 * g
+                square[k] = 0.999 * square.get(k, 0) + 0.001 * g * g
+                own[k] = own[k] - 0.01 * np.sqrt(1 - 0.999**turn) / (1 - 0.9**turn) * mean[k] / (np.sqrt(square[k]) + 1e-8)
+    assert got == pytest.approx(N.flatten(own), abs=1e-3)
+
+
 def plain(weights, text):
     codes = N.letters(text)
     return N.log_probs(weights, N.before(codes), codes).mean() if len(codes) else np.nan
