@@ -2,48 +2,46 @@
 
 ``response ~ terms + (1 | rater) + (1 | pair) + (1 | verb)``, pairs nested in verbs.  Variances follow average-information
 steps.  What a step needs are solutions of the mixed-model equations for several right-hand sides: the
-response, random signs on the levels of each factor (their quadratic forms estimate the traces), and the working
-variates of the average information.  Fixed effects, pairs and verbs are eliminated in closed form, and
-preconditioned conjugate gradients run on the raters' equations that remain, all right-hand sides
-together and from the last step's solutions.
+response, probes on the raters, and the working variates of the average information.  Fixed effects, pairs and verbs
+are eliminated in closed form, and preconditioned conjugate gradients run on the raters' equations that remain, all right-hand
+sides together and from the last step's solutions, until they are solved.
 
-A design of at most ``WHOLE`` cells takes its steps inside one task, on arrays.  Beyond that cells lie in blocks of whole verbs and
-an iteration is one job (``reml_blocks``).  With too many raters or cells of a verb for that, level tables stay
-distributed, the driver sees sums of products only, and a step takes a fixed number of iterations, so it reads the
-(rater, pair, n) cells a fixed number of times.
+The traces of pairs and verbs are known but for a part that goes through the raters, so that probes on raters give all three.  Probes
+are random signs; if there would be as many as raters, they are the raters themselves, and traces are exact.  How many are
+taken does not depend on the size of a design but on what they add to the variances' errors: more are taken until that is at most
+``SHARE`` of the standard error of each variance.
 
-An intercept is always in the model, so each factor's trace matrix has the vector of ones in its kernel; probes are centred and
+Cells lie in blocks of whole verbs and an iteration is one job (``reml_blocks``).  With too many raters or cells of a verb for that,
+level tables stay distributed and the driver sees sums of products only; probes, equations and tolerances are the same.
+
+An intercept is always in the model, so each trace matrix has the vector of ones in its kernel; probes are centred and
 scaled to their length, which makes their estimate exact for balanced designs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlab.functions.design import Term
-from pairlab.operators.mixed import FACTORS, Crossed, _matrix, _number, _sum_products, _sweep_crossed, result_schema, solve_moments
+from pairlab.operators.mixed import FACTORS, Crossed, _matrix, _number, _sum_products, _sweep_crossed, result_schema, solve_moments  # noqa: F401
 from pairlab.operators.nested import coefficient_rows
-from pairlab.operators.reml_blocks import Blocks
+from pairlab.operators.reml_blocks import ITERATIONS, Blocks
+from pairlab.operators.reml_blocks import TOLERANCE as SOLVED
 from pairlab.sources.staging import Scratch
 
-#: Cells that one task may hold: some 100 MB.
-WHOLE = 1_000_000
-#: Inside a task, products of cells and vectors that traces may take: a factor whose levels fit is traced exactly.
-TRACE_WORK = 50_000_000
-#: Random sign vectors a factor, inside a task and over tables; iterations of the two solves of a step; steps before a fit fails.
-PROBES_WHOLE, PROBES, ITERATIONS, STEPS = 32, 4, (6, 4), 40
-#: A fit is settled when no variance moves by more than this share of itself.
-TOLERANCE = 1e-4
-
-#: Cells are read twice an iteration, three times more around each solve, and twice for the working variates.
-READS_A_STEP = 2 * sum(ITERATIONS) + 3 * len(ITERATIONS) + 2
+#: Of ``WholeDesign``, which no fit takes: cells that it is meant for, products of cells and vectors that its exact traces may take, signs a factor.
+WHOLE, TRACE_WORK, PROBES_WHOLE = 1_000_000, 50_000_000, 32
+#: Probes that a fit begins with, and the most that they may add to a variance's standard error, as a share of it.
+PROBES, SHARE = 32, 0.01
+#: Steps before a fit fails; it is settled when no variance moves by more than this share of itself.
+STEPS, TOLERANCE = 40, 1e-4
 
 
 @dataclass
@@ -94,14 +92,25 @@ def probed(m: int, products: np.ndarray, sums: np.ndarray) -> tuple[float, float
     return float(each.mean()), float(each.var(ddof=1)) / len(each) if len(each) > 1 else 0.0
 
 
+def traced(m: int, known: np.ndarray, forms: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Traces from their known parts and from each probe's forms (factors x probes); and the covariance that probing adds.
+
+    ``sums`` are those of the probes, over m raters; as many probes as raters are the raters themselves.
+    """
+    if forms.shape[1] == m:
+        return known + forms.sum(axis=1), np.zeros((3, 3))
+    each = (m - 1) * forms / np.maximum(m - sums**2 / m, 1e-9)
+    return known + each.mean(axis=1), np.cov(each) / each.shape[1]
+
+
 def probe_noise(v: np.ndarray, spread: np.ndarray) -> np.ndarray:
-    """Covariance of the score that the traces' errors add."""
+    """Covariance of the score that the traces' errors, of covariance ``spread``, add."""
     by_trace = np.vstack([-0.5 / v[3] * np.eye(3), 0.5 / v[3] * v[:3] / v[3]])
-    return by_trace @ np.diag(spread) @ by_trace.T
+    return by_trace @ spread @ by_trace.T
 
 
 class WholeDesign:
-    """A design held on arrays: cells (rater, pair, n), raters and pairs with their totals, pairs' verbs."""
+    """A design held on arrays, with probes of each factor: what steps are checked against."""
 
     def __init__(self, rater: np.ndarray, pair: np.ndarray, verb: np.ndarray, totals: np.ndarray, gram: np.ndarray, probes: int = PROBES_WHOLE, seed: int = 11):
         # totals of each cell: count, kept terms, response
@@ -196,7 +205,7 @@ class WholeDesign:
         self.starts[1] = working[0]
         products = np.array([one @ w for one, w in zip(s, working, strict=True)])
         score, information = score_and_information(self.n, len(fx), v, ypy, squares, np.array([t for t, _ in found]), products)
-        return score, information, probe_noise(v, np.array([e for _, e in found]))
+        return score, information, probe_noise(v, np.diag([e for _, e in found]))
 
 
 class Equations:
@@ -223,6 +232,23 @@ class Equations:
         sums = [F.expr(f"sum(s{i}_{k} + {self.weight} * v_{a} * v_{c}) AS s{i}_{k}") for i, a in enumerate(left) for k, c in enumerate(right)]
         return _matrix(verbs.agg(*sums).first(), len(left), len(right))
 
+    def known_traces(self) -> np.ndarray:
+        """Parts of the traces (rater, pair, verb) that don't go through the raters."""
+        p, theta, verbs = len(self.x), self.ratios, self._by_verb(self.d.pairs, self.x)
+        own = [f"{self.q} * ({c} - n * {self.weight} * v_{c}) AS b{i}" for i, c in enumerate(self.x)]
+        pairs = self.d.pairs.select("pair", "verb", *self.x).join(verbs, "verb").selectExpr(f"n * {self.u} - n * {self.u} * n * {self.u} * {self.weight} AS t", *own)
+        verbs = verbs.selectExpr(f"vw / (1 + {_number(theta[2])} * vw) AS t", *[f"{self.weight} * v_{c} AS b{i}" for i, c in enumerate(self.x)])
+        names = [f"b{i}" for i in range(p)]
+        rows = [t.agg(F.sum("t").alias("t"), *_sum_products(names, names)).first() for t in (pairs, verbs)]
+        return np.array([0.0, *[r["t"] - float((self.fixed_inverse * _matrix(r, p, p)).sum()) / v**2 for r, v in zip(rows, theta[1:], strict=True)]])
+
+    def of_raters(self, sides: Sides, skip: int) -> DataFrame:
+        """Pairs' and verbs' effects p0.., q0.. if the raters' columns behind ``sides``, less the first ``skip``, were all there is."""
+        columns = range(skip, sides.count)
+        rest = self.d.pairs.select("pair", "verb", *self.x).join(sides.pairs, "pair").selectExpr("pair", "verb", *self.x, *[f"f{k} AS z{k - skip}" for k in columns])
+        lower = self._lower(rest, sides.fixed[:, skip:])[1]
+        return lower.selectExpr("pair", *[f"b{k - skip} AS p{k}" for k in columns], *[f"c{k - skip} AS q{k}" for k in columns])
+
     def _less_fixed(self, column: str, beta: np.ndarray, k: int, prefix: str = "") -> str:
         return f"({column} - (" + " + ".join(f"{_number(beta[i, k])} * {prefix}{c}" for i, c in enumerate(self.x)) + "))"
 
@@ -256,8 +282,8 @@ class Equations:
     def _minus_explained(self, raters: DataFrame, column: str, beta: np.ndarray, k: int) -> str:
         return self._less_fixed(f"({column} - u{k})", beta, k)
 
-    def solve(self, sides: Sides, start: DataFrame | None, iterations: int) -> Solved:
-        """Conjugate gradients on the raters' equations, from the effects a0.. of ``start`` or from nothing."""
+    def solve(self, sides: Sides, start: DataFrame | None, tolerance: float = SOLVED, most: int = ITERATIONS) -> Solved:
+        """Conjugate gradients on the raters' equations, from the effects a0.. of ``start`` or from nothing, until they are solved."""
         count = sides.count
         a, r, d = ([f"{c}{k}" for k in range(count)] for c in "ard")
         f = [f"f{k}" for k in range(count)]
@@ -278,23 +304,33 @@ class Equations:
         state = self.scratch.stage(state.selectExpr("*", *[f"r{k} / {self.diagonal} AS d{k}" for k in range(count)]), "gradient")
         size = state.agg(*[F.expr(f"sum(r{k} * d{k}) AS v{k}") for k in range(count)]).first()
         size = np.array([size[f"v{k}"] for k in range(count)])
-        for _ in range(iterations):
+        whole = known.agg(*[F.expr(f"sum(f{k} * f{k} / {self.diagonal}) AS v{k}") for k in range(count)]).first()
+        whole = np.array([whole[f"v{k}"] for k in range(count)])
+        # a right-hand side may lie in the fixed effects alone
+        least = tolerance**2 * np.maximum(np.maximum(whole, size if start is None else 0.0), 1e-300)
+        for turn in range(most + 1):
+            if (size <= least).all():
+                break
+            if turn == most:
+                raise RuntimeError(f"equations not solved after {most} iterations")
             rest = self.d.pairs.select("pair", "verb", *self.x).join(self._to_pairs(state, d), "pair")
             rest = rest.selectExpr("pair", "verb", *self.x, *[f"t{k} AS z{k}" for k in range(count)])
             beta, lower = self._lower(rest, self._fixed_of(state, d))
             image = [f"{self._minus_explained(state, f'{self.diagonal} * d{k}', beta, k)} AS q{k}" for k in range(count)]
             moved = self.scratch.stage(state.join(self._to_raters(lower, count), "rater").selectExpr("rater", *self.x, *a, *r, *d, *image), "image")
             sums = moved.agg(*[F.expr(e) for k in range(count) for e in (
-                f"sum(d{k} * q{k}) AS dq{k}", f"sum(r{k} * q{k} / {self.diagonal}) AS rq{k}", f"sum(q{k} * q{k} / {self.diagonal}) AS qq{k}")]).first()
-            dq, rq, qq = (np.array([sums[f"{c}{k}"] for k in range(count)]) for c in ("dq", "rq", "qq"))
-            step = np.where(dq > 0, size / np.where(dq > 0, dq, 1), 0.0)
-            after = np.maximum(size - 2 * step * rq + step**2 * qq, 0.0)
-            turn = np.where(size > 0, after / np.where(size > 0, size, 1), 0.0)
+                f"sum(r{k} * r{k} / {self.diagonal}) AS rr{k}", f"sum(d{k} * q{k}) AS dq{k}", f"sum(r{k} * q{k} / {self.diagonal}) AS rq{k}", f"sum(q{k} * q{k} / {self.diagonal}) AS qq{k}")]).first()
+            rr, dq, rq, qq = (np.array([sums[f"{c}{k}"] for k in range(count)]) for c in ("rr", "dq", "rq", "qq"))
+            open_ = (size > least) & (dq > 0)  # a solved right-hand side stays as it is
+            size = rr  # as summed now: differences of sums would carry the first ones' rounding on
+            step = np.where(open_, size / np.where(open_, dq, 1), 0.0)
+            after = np.where(open_, np.maximum(size - 2 * step * rq + step**2 * qq, 0.0), 0.0)
+            back = np.where(open_, after / np.where(open_, size, 1), 0.0)
             size = after
             new_a = [f"a{k} + {_number(step[k])} * d{k} AS a{k}" for k in range(count)]
             new_r = [f"r{k} - {_number(step[k])} * q{k} AS r{k}" for k in range(count)]
             moved = moved.selectExpr("rater", *self.x, *new_a, *new_r, *d)
-            state = moved.selectExpr("rater", *self.x, *a, *r, *[f"r{k} / {self.diagonal} + {_number(turn[k])} * d{k} AS d{k}" for k in range(count)])
+            state = moved.selectExpr("rater", *self.x, *a, *r, *[f"r{k} / {self.diagonal} + {_number(back[k])} * d{k} AS d{k}" for k in range(count)])
         raters = self.scratch.stage(state.select("rater", *self.x, *a), "solved-raters")
         beta, lower = given(raters)
         return Solved(beta, raters, self.scratch.stage(lower, "solved-pairs"))
@@ -304,6 +340,22 @@ def _signs(key: str, factor: str, probe: int) -> Column:
     return F.when(F.pmod(F.xxhash64(F.lit(f"{factor}{probe}"), key), F.lit(2)) == 0, 1.0).otherwise(-1.0)
 
 
+def _probes(design: Crossed, count: int) -> list[Column]:
+    """Probes on the raters: random signs, or each rater where there are no more of them."""
+    if count < design.n_raters:
+        return [_signs("rater", "rater", j) for j in range(count)]
+    raters = [r["rater"] for r in design.raters.select("rater").orderBy("rater").collect()]
+    return [F.when(F.col("rater") == F.lit(r), 1.0).otherwise(0.0) for r in raters]
+
+
+def _probe_table(design: Crossed, count: int) -> np.ndarray:
+    """The same as an array, raters in order of their keys."""
+    if count >= design.n_raters:
+        return np.eye(design.n_raters, dtype=np.int8)
+    columns = [c.cast("byte").alias(f"s{j}") for j, c in enumerate(_probes(design, count))]
+    return design.raters.select("rater", *columns).orderBy("rater").drop("rater").toPandas().to_numpy(dtype=np.int8)
+
+
 class _Step:
     """One step's quantities at given variances (rater, pair, verb, residual)."""
 
@@ -325,43 +377,42 @@ class _Step:
         each = [f"n * s{k} + t{k} AS f{k}" for k in range(count)]
         return Sides(held_r.selectExpr("rater", *each), held_p.selectExpr("pair", *each), fixed)
 
-    def first_sides(self) -> tuple[Sides, DataFrame, DataFrame]:
-        """The response, then the probes of each factor; and the probes' signs on raters and on pairs."""
-        k = self.probes
-        raters = self.d.raters.select("rater", *[(_signs("rater", "rater", j - 1) if 1 <= j <= k else F.lit(0.0)).alias(f"s{j}") for j in range(3 * k + 1)])
-        on_pairs = [F.lit(0.0)] * (k + 1) + [_signs("pair", "pair", j) for j in range(k)] + [_signs("verb", "verb", j) for j in range(k)]
-        pairs = self.d.pairs.select("pair", "verb", *[c.alias(f"s{j}") for j, c in enumerate(on_pairs)])
-        probes = self._of_levels(raters, pairs, 3 * k + 1)
-        names = [f"f{j}" for j in range(1, 3 * k + 1)]
+    def first_sides(self) -> tuple[Sides, DataFrame]:
+        """The response, then the probes; and the probes on raters."""
+        probes = _probes(self.d, self.probes)
+        count = len(probes) + 1
+        raters = self.d.raters.select("rater", *[c.alias(f"s{j}") for j, c in enumerate([F.lit(0.0), *probes])])
+        pairs = self.d.pairs.select("pair", *[F.lit(0.0).alias(f"s{j}") for j in range(count)])
+        of_probes = self._of_levels(raters, pairs, count)
+        names = [f"f{j}" for j in range(1, count)]
         sides = Sides(
-            self.d.raters.select("rater", F.col("wy").alias("f0")).join(probes.raters.select("rater", *names), "rater"),
-            self.d.pairs.select("pair", F.col("wy").alias("f0")).join(probes.pairs.select("pair", *names), "pair"),
-            np.column_stack([self.xy, probes.fixed[:, 1:]]),
+            self.d.raters.select("rater", F.col("wy").alias("f0")).join(of_probes.raters.select("rater", *names), "rater"),
+            self.d.pairs.select("pair", F.col("wy").alias("f0")).join(of_probes.pairs.select("pair", *names), "pair"),
+            np.column_stack([self.xy, of_probes.fixed[:, 1:]]),
         )
         held = (self.scratch.stage(t, "first-sides", every_round=True) for t in (sides.raters, sides.pairs))
-        return Sides(*held, sides.fixed), raters, pairs
+        return Sides(*held, sides.fixed), raters
 
-    def take(self, sides: Sides, raters: DataFrame, pairs: DataFrame, starts: Sequence[DataFrame | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[DataFrame]]:
+    def take(self, sides: Sides, raters: DataFrame, starts: Sequence[DataFrame | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[DataFrame]]:
         """(score, average information, covariance of the score that probing adds, solutions to start from), in variances."""
-        k, theta = self.probes, self.v[:3] / self.v[3]
-        solved = self.equations.solve(sides, starts[0], ITERATIONS[0])
-        columns = range(3 * k + 1)
+        theta = self.v[:3] / self.v[3]
+        solved = self.equations.solve(sides, starts[0])
+        columns = range(1, sides.count)
         one = solved.raters.join(raters, "rater").join(self.d.raters.select("rater", "wy"), "rater")
-        got = one.agg(F.sum(F.col("a0") ** 2).alias("uu"), F.sum(F.col("a0") * F.col("wy")).alias("uy"), F.count(F.lit(1)).alias("m"),
+        got = one.agg(F.sum(F.col("a0") ** 2).alias("uu"), F.sum(F.col("a0") * F.col("wy")).alias("uy"),
                       *[F.sum(F.col(f"a{j}") * F.col(f"s{j}")).alias(f"us{j}") for j in columns], *[F.sum(f"s{j}").alias(f"s{j}") for j in columns]).first()
-        by_pair = solved.pairs.join(pairs.drop("verb"), "pair").join(self.d.pairs.select("pair", "wy"), "pair")
-        pair = by_pair.agg(F.sum(F.col("b0") ** 2).alias("uu"), F.sum((F.col("b0") + F.col("c0")) * F.col("wy")).alias("uy"), F.count(F.lit(1)).alias("m"),
-                           *[F.sum(F.col(f"b{j}") * F.col(f"s{j}")).alias(f"us{j}") for j in columns], *[F.sum(f"s{j}").alias(f"s{j}") for j in columns]).first()
-        verbs = by_pair.groupBy("verb").agg(*[F.first(f"{c}{j}").alias(f"{c}{j}") for c in "cs" for j in columns])
-        verb = verbs.agg(F.sum(F.col("c0") ** 2).alias("uu"), F.count(F.lit(1)).alias("m"),
-                         *[F.sum(F.col(f"c{j}") * F.col(f"s{j}")).alias(f"us{j}") for j in columns], *[F.sum(f"s{j}").alias(f"s{j}") for j in columns]).first()
+        alone = self.equations.of_raters(sides, 1)
+        by_pair = self.scratch.stage(solved.pairs.join(alone, "pair").join(self.d.pairs.select("pair", "wy"), "pair"), "probed-pairs")
+        pair = by_pair.agg(F.sum(F.col("b0") ** 2).alias("uu"), F.sum((F.col("b0") + F.col("c0")) * F.col("wy")).alias("uy"),
+                           *[F.sum(F.col(f"b{j}") * F.col(f"p{j}")).alias(f"us{j}") for j in columns]).first()
+        verbs = by_pair.groupBy("verb").agg(F.first("c0").alias("c0"), *[F.first(F.col(f"c{j}") * F.col(f"q{j}")).alias(f"us{j}") for j in columns])
+        verb = verbs.agg(F.sum(F.col("c0") ** 2).alias("uu"), *[F.sum(f"us{j}").alias(f"us{j}") for j in columns]).first()
         rows = (got, pair, verb)
         ypy = self.yy - float(self.xy @ solved.beta[:, 0]) - got["uy"] - pair["uy"]
         squares = np.array([r["uu"] for r in rows])  # |û_f|²
-        traces, spread = np.zeros(3), np.zeros(3)
-        for f, row in enumerate(rows):
-            mine = range(1 + f * k, 1 + (f + 1) * k)
-            traces[f], spread[f] = probed(row["m"], np.array([row[f"us{j}"] for j in mine]) / theta[f], np.array([row[f"s{j}"] for j in mine]))
+        scale = np.array([1 / theta[0], -theta[0] / theta[1] ** 2, -theta[0] / theta[2] ** 2])
+        forms = scale[:, None] * np.array([[r[f"us{j}"] for j in columns] for r in rows])
+        traces, spread = traced(self.d.n_raters, self.equations.known_traces(), forms, np.array([got[f"s{j}"] for j in columns]))
 
         # working variates: Z_f s_f for each factor, and P_H y
         zero = F.lit(0.0)
@@ -373,7 +424,7 @@ class _Step:
             levels.pairs.join(s_pairs.select("pair", F.col("s1").alias("f3")), "pair"),
             np.column_stack([levels.fixed, np.zeros(len(self.xy))]),
         )
-        working = self.equations.solve(second, starts[1], ITERATIONS[1])
+        working = self.equations.solve(second, starts[1])
         pairs_s = working.pairs.join(s_pairs.drop("verb"), "pair")
         in_raters = working.raters.join(s_raters, "rater").agg(*[F.sum(F.col("s0") * F.col(f"a{j}")).alias(f"m{j}") for j in range(4)]).first()
         in_pairs = pairs_s.agg(*[F.sum(F.col("s1") * F.col(f"b{j}")).alias(f"m{j}") for j in range(4)]).first()
@@ -384,8 +435,12 @@ class _Step:
         return score, information, probe_noise(self.v, spread), [solved.raters, working.raters]
 
 
-def _climb(start: Sequence[float], take, steps: int, tolerance: float) -> tuple[np.ndarray, np.ndarray] | None:
-    """Average-information steps from ``start``; ``take`` gives score, information and the score's probe noise at variances."""
+def _climb(start: Sequence[float], take, steps: int, tolerance: float, more: Callable[[float], bool] | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+    """Average-information steps from ``start``; ``take`` gives score, information and the score's probe noise at variances.
+
+    Where probing adds more than ``SHARE`` of a variance's standard error, ``more`` is told how many times the probes would do, and
+    the steps go on if it takes more.
+    """
     v = np.array(start, dtype=float)
     v[:3] = np.maximum(v[:3], 1e-3 * v[3])
     for _ in range(steps):
@@ -402,43 +457,32 @@ def _climb(start: Sequence[float], take, steps: int, tolerance: float) -> tuple[
         if small.all():
             error = np.zeros(4)
             error[free] = np.sqrt(np.maximum(np.diag(inverse @ noise[np.ix_(free, free)] @ inverse), 0.0))
-            return v, error
+            usual = np.sqrt(np.maximum(np.diag(inverse), 1e-300))
+            times = float(((error[free] / usual / SHARE) ** 2).max())
+            if more is None or times <= 1 or not more(times):
+                return v, error
     return None
 
 
-def _in_a_task(design: Crossed, start: Sequence[float], steps: int, tolerance: float, probes: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """The climb inside one task; the caller has checked that the cells fit it."""
-    gram, kept = design.centre.gram(), design.centre.kept
-    names = ["n", *[f"w{j + 1}" for j in kept], "wy"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells = pd.concat(list(batches))
-        whole = WholeDesign(*[cells[c].to_numpy() for c in ("rater", "pair", "verb")], cells[names].to_numpy(dtype=float), gram, probes)
-        found = _climb(start, whole.take, steps, tolerance)
-        yield pd.DataFrame([] if found is None else [[x.tolist() for x in found]], columns=["v", "e"])
-
-    row = design.cells.select("rater", "pair", "verb", *names).coalesce(1).mapInPandas(run, "v array<double>, e array<double>").first()
-    return None if row is None else (np.array(row["v"]), np.array(row["e"]))
-
-
 def _in_blocks(design: Crossed, scratch: Scratch, probes: int) -> Blocks | None:
-    signs = {f: [_signs(f, f, j) for j in range(probes)] for f in FACTORS}
-    return Blocks.of(design, scratch, signs["rater"], [*signs["pair"], *signs["verb"]])
+    blocks = Blocks.of(design, scratch)
+    if blocks is not None:
+        blocks.probe(_probe_table(design, probes))
+    return blocks
 
 
 def _step_in_blocks(blocks: Blocks, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ypy, squares, forms, products = blocks.step(v[:3] / v[3])
-    found = [probed(*form) for form in forms]
+    ypy, squares, known, forms, products = blocks.step(v[:3] / v[3])
     centre = blocks.d.centre
-    score, information = score_and_information(centre.n, centre.size, v, ypy, squares, np.array([t for t, _ in found]), products)
-    return score, information, probe_noise(v, np.array([e for _, e in found]))
+    traces, spread = traced(blocks.d.n_raters, known, forms, blocks.signs.sum(axis=0, dtype=float))
+    score, information = score_and_information(centre.n, centre.size, v, ypy, squares, traces, products)
+    return score, information, probe_noise(v, spread)
 
 
 def reml_variances(
-    design: Crossed, scratch: Scratch, start: Sequence[float] | None = None, probes: int | None = None, steps: int = STEPS, tolerance: float = TOLERANCE, whole: int | None = None,
-    blocks: Blocks | None = None,
+    design: Crossed, scratch: Scratch, start: Sequence[float] | None = None, probes: int | None = None, steps: int = STEPS, tolerance: float = TOLERANCE, blocks: Blocks | None = None,
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Variances (rater, pair, verb, residual) and the standard error that probing adds to each.
+    """Variances (rater, pair, verb, residual) and the standard error that probing adds to each; over tables without ``blocks``.
 
     Starts from the moment estimates.  A variance on its way to zero shrinks at most tenfold a step and settles
     near zero.  A fit that doesn't settle fails.
@@ -447,42 +491,54 @@ def reml_variances(
         rows = design.moment_table().collect()
         start = solve_moments([[r["ssw"], r["coef_rater"], r["coef_pair"], r["coef_verb"], r["coef_error"]] for r in rows])
         start[3] = max(start[3], 0.02 * design.centre.rss() / design.centre.n)  # moments may leave the residual nothing
-    if blocks is not None:
-        found = _climb(start, lambda v: _step_in_blocks(blocks, v), steps, tolerance)
-    elif design.cells.count() <= (WHOLE if whole is None else whole):
-        found = _in_a_task(design, start, steps, tolerance, probes or PROBES_WHOLE)
-    else:
-        starts: list[DataFrame | None] = [None, None]
-        sides = None
-
-        def take(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            nonlocal starts, sides
-            scratch.next_round()
-            step = _Step(design, v, probes or PROBES, scratch)
-            sides = sides or step.first_sides()
-            *found, starts = step.take(*sides, starts)
-            return tuple(found)
-
-        found = _climb(start, take, steps, tolerance)
+    count = max(probes or PROBES, 2)
+    starts: list[DataFrame | None] = [None, None]
+    sides = None
+
+    def more(times: float) -> bool:
+        nonlocal count, starts, sides
+        if count >= design.n_raters:
+            return False
+        count, starts, sides = max(2 * count, math.ceil(1.2 * times * count)), [None, None], None
+        if blocks is not None:
+            blocks.probe(_probe_table(design, count))
+        return True
+
+    def over_tables(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        nonlocal starts, sides
+        scratch.next_round()
+        step = _Step(design, v, count, scratch)
+        sides = sides or step.first_sides()
+        *found, starts = step.take(*sides, starts)
+        return tuple(found)
+
+    found = _climb(start, over_tables if blocks is None else lambda v: _step_in_blocks(blocks, v), steps, tolerance, more)
     if found is None:
         raise RuntimeError(f"variances not settled after {steps} steps")
     return found
 
 
+def _fixed_over_tables(design: Crossed, scratch: Scratch, ratios: Sequence[float], tolerance: float) -> np.ndarray:
+    """p x (1 + p): fixed effects, then their covariance over the residual variance."""
+    scratch.next_round()
+    p, gram = design.centre.size, design.centre.gram()
+    names = [F.col("wy").alias("f0"), *[F.lit(0.0).alias(f"f{k + 1}") for k in range(p)]]
+    sides = Sides(design.raters.select("rater", *names), design.pairs.select("pair", *names), np.column_stack([gram[:-1, -1], np.eye(p)]))
+    return Equations(design, ratios, scratch).solve(sides, None, tolerance).beta
+
+
 def fit_crossed_reml(
-    df: DataFrame, response: str, terms: Sequence[Term], rater: str, pair: str, verb: str, probes: int | None = None, sweeps: int = 2000, tolerance: float = 1e-6
+    df: DataFrame, response: str, terms: Sequence[Term], rater: str, pair: str, verb: str, probes: int | None = None, tolerance: float = SOLVED
 ) -> DataFrame:
     """Coefficients with z tests at the REML variances; probe_error_* is what probing adds to each variance's error."""
     with Scratch(df.sparkSession) as scratch:
         design = Crossed.build(df, response, terms, rater, pair, verb, scratch.stage, scratch.stage_bucketed)
-        blocks = _in_blocks(design, scratch, probes or PROBES) if design.cells.count() > WHOLE else None
+        blocks = _in_blocks(design, scratch, max(probes or PROBES, 2))
         variances, errors = reml_variances(design, scratch, probes=probes, blocks=blocks)
-        if blocks is None:
-            fitted = _sweep_crossed(design, scratch, variances, sweeps, tolerance)
-        else:
-            fixed = blocks.fixed_effects(variances[:3] / variances[3])
-            covariance = (fixed[:, 1:] + fixed[:, 1:].T) / 2 * variances[3]
-            rows = coefficient_rows([n for n, _ in terms], design.centre, fixed[:, 0], covariance, None, *[float(v) for v in variances])
-            fitted = df.sparkSession.createDataFrame(rows, result_schema(["var_rater", "var_pair", "var_verb", "var_residual"]))
+        ratios = variances[:3] / variances[3]
+        fixed = _fixed_over_tables(design, scratch, ratios, tolerance) if blocks is None else blocks.fixed_effects(ratios, tolerance)
+        covariance = (fixed[:, 1:] + fixed[:, 1:].T) / 2 * variances[3]
+        rows = coefficient_rows([n for n, _ in terms], design.centre, fixed[:, 0], covariance, None, *[float(v) for v in variances])
+        fitted = df.sparkSession.createDataFrame(rows, result_schema(["var_rater", "var_pair", "var_verb", "var_residual"]))
     names = [*FACTORS, "residual"]
     return reduce(lambda out, one: out.withColumn(f"probe_error_{one[0]}", F.lit(float(one[1]))), zip(names, errors, strict=True), fitted)

@@ -6,7 +6,7 @@ itself; what it sends on is sums by rater and a small matrix.  The fixed effects
 gives both, and an iteration of the conjugate gradients on the raters' equations is one pass.
 
 The raters' vectors are held by the driver and broadcast to the tasks, so a design has at most ``LEVELS`` raters here, and a
-block at most ``BLOCK`` cells; ``Blocks.of`` gives None for others.
+block at most ``BLOCK`` cells; ``Blocks.of`` gives None for others, whose same equations ``reml.Equations`` solves over tables.
 """
 
 from __future__ import annotations
@@ -16,13 +16,13 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlab.operators.mixed import Crossed
 from pairlab.sources.staging import Scratch
 
-#: Raters whose vectors travel to every task: some 40 MB for 13 right-hand sides.
+#: Raters whose vectors travel to every task: some 54 MB for 17 right-hand sides.
 LEVELS = 400_000
 #: Cells that a block aims at, and that it may have at most.
 AIM, BLOCK = 250_000, 2_000_000
@@ -31,7 +31,10 @@ PIECE = 8192
 #: A solution's residual, as a share of its right-hand side's, and iterations before a fit fails.
 TOLERANCE, ITERATIONS = 1e-8, 500
 
-_SCHEMA = "rater binary, pair binary, n binary, verb binary, totals binary, signs binary"
+#: Probes that are solved together: 17 right-hand sides with the response.
+GROUP = 16
+
+_SCHEMA = "rater binary, pair binary, n binary, verb binary, totals binary"
 
 
 def _by(at: np.ndarray, size: int, values: np.ndarray) -> np.ndarray:
@@ -41,14 +44,11 @@ def _by(at: np.ndarray, size: int, values: np.ndarray) -> np.ndarray:
 class _Block:
     """A block's cells and pairs at stated variance ratios."""
 
-    def __init__(self, row: dict[str, bytes], theta: np.ndarray, n_raters: int, n_signs: int):
+    def __init__(self, row: dict[str, bytes], theta: np.ndarray, n_raters: int):
         self.rater, self.pair, self.verb = (np.frombuffer(row[c], dtype=np.int32) for c in ("rater", "pair", "verb"))
         self.count, self.theta, self.m = np.frombuffer(row["n"]), theta, (n_raters, len(self.verb), int(self.verb.max()) + 1)
         totals = np.frombuffer(row["totals"]).reshape(len(self.verb), -1)
         self.x, self.y = np.ascontiguousarray(totals[:, :-1]), totals[:, -1:]
-        signs = np.frombuffer(row["signs"], dtype=np.int8).reshape(-1, 2 * n_signs).astype(float)
-        self.pair_signs, self.verb_signs = signs[:, :n_signs], signs[:, n_signs:]
-        self.first = np.unique(self.verb, return_index=True)[1]
         self.u = (1 / (1 + self.x[:, :1] * theta[1]))
         self.vx = self.to_verbs(self.x)
         self.share = theta[2] / (1 + theta[2] * self.vx[:, :1])
@@ -74,11 +74,6 @@ class _Block:
         b, c = self.effects(z)
         return self.to_raters(b + c[self.verb]), self.absorbed(z)
 
-    def first_sides(self) -> np.ndarray:
-        """The response, nothing for the raters' signs, the pairs' signs, the verbs'."""
-        n = self.x[:, :1]
-        return np.hstack([self.y, np.zeros_like(self.pair_signs), n * self.pair_signs, n * self.verb_signs])
-
     def second_sides(self, a: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """s of pairs and verbs from the response's solution, and the working variates' right-hand sides."""
         b, c = self.effects(self.y - self.to_pairs(a) - self.x @ beta)
@@ -90,16 +85,24 @@ class _Block:
 # What a pass does with a block: sums by rater, and a flat list of other sums.
 
 
-def _signs_of_levels(block: _Block, _) -> tuple[np.ndarray, list[np.ndarray]]:
-    signs = np.hstack([block.pair_signs, block.verb_signs])
-    own = block.verb_signs[block.first]
-    return block.to_raters(signs), [block.x.T @ signs, block.pair_signs.sum(axis=0), own.sum(axis=0), np.array(block.m[1:], dtype=float)]
+def _known(block: _Block, signs: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Traces of pairs and verbs without raters and fixed effects, what the latter take off, and the signs as absorbed."""
+    own, w = block.u * block.x[:, :1], block.vx[:, :1]
+    pairs, verbs = block.effects(block.x)
+    traces = [(own - own**2 * block.share[block.verb]).sum(), (w / (1 + block.theta[2] * w)).sum()]
+    return np.zeros((0, 1)), [np.array(traces), pairs.T @ pairs, verbs.T @ verbs, block.absorbed(block.to_pairs(signs))]
+
+
+def _response(block: _Block, moved: np.ndarray, kind: str) -> np.ndarray:
+    """Right-hand sides of pairs, less what the raters' effects explain; the probes' come with the effects."""
+    taken = -block.to_pairs(moved)
+    if kind == "response":
+        taken[:, :1] += block.y
+    return taken
 
 
 def _begin(block: _Block, at) -> tuple[np.ndarray, list[np.ndarray]]:
-    moved, kind = at
-    z = block.first_sides() if kind == "first" else np.hstack([block.y, np.zeros((block.m[1], moved.shape[1] - 1))])
-    raters, small = block.answer(np.hstack([block.x, z - block.to_pairs(moved)]))
+    raters, small = block.answer(np.hstack([block.x, _response(block, *at)]))
     return raters, [small]
 
 
@@ -108,19 +111,24 @@ def _image(block: _Block, direction: np.ndarray) -> tuple[np.ndarray, list[np.nd
     return raters, [small]
 
 
+def _probe_sums(block: _Block, at) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Products of the pairs' and verbs' effects in the probes' solutions with those that the signs alone would have."""
+    moved, beta, signs, alone, kind = at
+    b, c = block.effects(_response(block, moved, kind) - block.x @ beta)
+    bs, cs = block.effects(block.to_pairs(signs) - block.x @ alone)
+    k = signs.shape[1]
+    return np.zeros((0, 1)), [(b[:, -k:] * bs).sum(axis=0), (c[:, -k:] * cs).sum(axis=0)]
+
+
 def _first_sums(block: _Block, at) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Sums of the first solution, and the beginning of the second."""
-    a, moved, beta, start = at
-    b, c = block.effects(block.first_sides() - block.to_pairs(moved) - block.x @ beta)
-    k = block.pair_signs.shape[1]
-    s, t, z = block.second_sides(a, beta[:, :1])
+    """Sums of the response's solution, and the beginning of the second."""
+    a, beta, start = at
+    b, c = block.effects(_response(block, a, "response") - block.x @ beta)
+    s, t, z = block.second_sides(a, beta)
     raters, small = block.answer(z - block.to_pairs(start))
     both = np.hstack([s, t[block.verb]])
-    return np.hstack([block.to_raters(both), raters]), [
-        np.array([(b[:, 0] ** 2).sum(), (c[:, 0] ** 2).sum(), ((b[:, 0] + c[block.verb, 0]) * block.y[:, 0]).sum()]),
-        (b[:, 1 + k: 1 + 2 * k] * block.pair_signs).sum(axis=0), (c[:, 1 + 2 * k:] * block.verb_signs[block.first]).sum(axis=0),
-        block.x.T @ both, small,
-    ]
+    numbers = np.array([(b**2).sum(), (c**2).sum(), ((b + c[block.verb]) * block.y).sum()])
+    return np.hstack([block.to_raters(both), raters]), [numbers, block.x.T @ both, small]
 
 
 def _second_sums(block: _Block, at) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -136,34 +144,30 @@ def _add(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 class Blocks:
-    def __init__(self, design: Crossed, table: DataFrame, raters: pd.DataFrame, names: Sequence[str], signs: np.ndarray):
-        self.d, self.table, self.signs = design, table, signs
+    def __init__(self, design: Crossed, table: DataFrame, raters: pd.DataFrame, names: Sequence[str]):
+        self.d, self.table = design, table
         self.x, self.y = raters[list(names)].to_numpy(dtype=float), raters[["wy"]].to_numpy(dtype=float)
         self.gram, self.theta = design.centre.gram(), np.ones(3)
         self.xx, self.xy = self.gram[:-1, :-1], self.gram[:-1, -1:]
-        self.starts: list[np.ndarray | None] = [None, None]
-        k, c = signs.shape[1], self.x.shape[1]
-        to_raters, (fixed, *sums) = self._pass(_signs_of_levels, None, 2 * k, [(c, 2 * k), (k,), (k,), (2,)])
-        self.sign_sums, self.m = [signs.sum(axis=0), *sums[:2]], [len(self.x), *sums[2]]
-        # right-hand sides of the response and the probes
-        self.rater_sides = np.hstack([self.y, self.x[:, :1] * signs, to_raters])
-        self.fixed_sides = np.hstack([self.xy, self.x.T @ signs, fixed])
-        self.shift = np.hstack([np.zeros((len(signs), 1)), signs, np.zeros((len(signs), 2 * k))])
+        self.signs, self.starts = np.zeros((len(self.x), 0)), [None, None]
+
+    def probe(self, signs: np.ndarray) -> None:
+        """Take these probes (raters in order of their keys x probes) from now on."""
+        self.signs, self.starts = signs, [None, None]
 
     @classmethod
-    def of(cls, design: Crossed, scratch: Scratch, rater_signs: Sequence[Column], level_signs: Sequence[Column]) -> Blocks | None:
-        """Blocks of a design, with the probes' signs of raters, and of pairs and then verbs; None if it doesn't fit them."""
+    def of(cls, design: Crossed, scratch: Scratch) -> Blocks | None:
+        """Blocks of a design, without probes yet; None if it doesn't fit them."""
         if design.n_raters > LEVELS:
             return None
         names = ["n", *[f"w{j + 1}" for j in design.centre.kept]]
         context = design.cells.sparkSession.sparkContext
         count = max(4 * context.defaultParallelism, -(-design.cells.count() // AIM))
         block = F.pmod(F.xxhash64("verb"), F.lit(count))
-        if design.cells.groupBy(block).count().agg(F.max("count")).first()[0] > BLOCK:
+        if (design.cells.groupBy(block).count().agg(F.max("count")).first()[0] or 0) > BLOCK:
             return None  # one verb with so many cells
-        raters = design.raters.select("rater", *names, "wy", *[c.alias(f"s{j}") for j, c in enumerate(rater_signs)]).toPandas()
+        raters = design.raters.select("rater", *names, "wy").orderBy("rater").toPandas()
         known = context.broadcast(raters["rater"].to_numpy())
-        on_levels = [f"t{j}" for j in range(len(level_signs))]
 
         def gather(cells: pd.DataFrame) -> pd.DataFrame:
             pair = cells.groupby(["verb", "pair"], sort=False).ngroup().to_numpy()
@@ -172,28 +176,26 @@ class Blocks:
             order = np.argsort(pair, kind="stable")
             arrays = {
                 "rater": pd.Index(known.value).get_indexer(cells["rater"])[order].astype(np.int32), "pair": pair[order].astype(np.int32),
-                "n": cells["n"].to_numpy(dtype=float)[order], "verb": pd.factorize(cells["verb"].to_numpy()[first])[0].astype(np.int32),
-                "totals": totals, "signs": cells[on_levels].to_numpy(dtype=np.int8)[first],
+                "n": cells["n"].to_numpy(dtype=float)[order], "verb": pd.factorize(cells["verb"].to_numpy()[first])[0].astype(np.int32), "totals": totals,
             }
             return pd.DataFrame({k: [v.tobytes()] for k, v in arrays.items()})
 
-        signs = [c.cast("byte").alias(t) for t, c in zip(on_levels, level_signs, strict=True)]
-        dealt = design.cells.select("rater", "pair", "verb", *names, "wy", *signs, block.alias("block")).repartition(count, "block")
+        dealt = design.cells.select("rater", "pair", "verb", *names, "wy", block.alias("block")).repartition(count, "block")
         table = scratch.stage(dealt.groupBy("block").applyInPandas(gather, _SCHEMA), "blocks", every_round=True)
-        return cls(design, table, raters, names, raters[[f"s{j}" for j in range(len(rater_signs))]].to_numpy(dtype=float))
+        return cls(design, table, raters, names)
 
     def _pass(self, work: Callable, at, width: int, shapes: Sequence[tuple[int, ...]]) -> tuple[np.ndarray, list[np.ndarray]]:
         """Sums over all blocks of what ``work`` gives: (raters x width), and arrays of the other shapes."""
         context = self.d.cells.sparkSession.sparkContext
         shared = context.broadcast((at, self.theta))
-        m, k = len(self.x), self.signs.shape[1]
+        m = len(self.x)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, theta = shared.value
             raters, small = 0.0, 0.0
             for batch in batches:
                 for row in batch.to_pylist():
-                    by_rater, others = work(_Block(row, theta, m, k), held)
+                    by_rater, others = work(_Block(row, theta, m), held)
                     raters, small = raters + by_rater, small + np.concatenate([o.ravel() for o in others])
             if isinstance(small, np.ndarray):
                 pieces = [small, *[raters[i: i + PIECE] for i in range(0, len(raters), PIECE)]]
@@ -240,29 +242,41 @@ class Blocks:
         self.of_fixed, self.fixed_inverse = raters[:, :c], np.linalg.inv(self.xx - small[:, :c])
         return raters[:, c:], small[:, c:]
 
-    def step(self, theta: np.ndarray, tolerance: float = TOLERANCE) -> tuple[float, np.ndarray, list[tuple[float, np.ndarray, np.ndarray]], np.ndarray]:
-        """(y'Py, squared effects by factor, (levels, probes' products, signs' sums) by factor, products of the working variates)."""
-        k, c = self.signs.shape[1], self.x.shape[1]
-        start = np.zeros_like(self.rater_sides) if self.starts[0] is None else self.starts[0]
-        begun = self._begin(theta, start - self.shift, "first")
-        beta, a = self._solve(begun, self.rater_sides, self.fixed_sides, start, tolerance)
-        self.starts[0] = a
-        second = np.zeros((len(a), 4)) if self.starts[1] is None else self.starts[1]
-        raters, (squares, by_pair, by_verb, fixed, absorbed) = self._pass(
-            _first_sums, (a[:, :1], a - self.shift, beta, second), 6, [(3,), (k,), (k,), (c, 2), (c, 4)])
-        ypy = float(self.gram[-1, -1] - self.xy[:, 0] @ beta[:, 0] - self.y[:, 0] @ a[:, 0] - squares[2])
-        products = [(a[:, 1: 1 + k] * self.signs).sum(axis=0), by_pair, by_verb]
-        s = a[:, :1] / self.theta[0]
+    def step(self, theta: np.ndarray, tolerance: float = TOLERANCE) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(y'Py, squared effects by factor, known parts of the traces, what each probe says of the rest, products of the working variates).
+
+        The traces of pairs and verbs are known but for what goes through the raters; the signs on raters that probe the raters' own
+        trace probe that as well, so that the other factors need no signs.
+        """
+        c, m, parts = self.x.shape[1], len(self.x), []
+        for at in range(0, self.signs.shape[1], GROUP):
+            signs = self.signs[:, at: at + GROUP].astype(float)
+            k, lead, kind = signs.shape[1], int(at == 0), "response" if at == 0 else "probes"
+            sides, fixed = np.hstack([self.y[:, :lead], self.x[:, :1] * signs]), np.hstack([self.xy[:, :lead], self.x.T @ signs])
+            shift = np.hstack([np.zeros((m, lead)), signs])  # signs reach the pairs as effects of raters do
+            start = np.zeros_like(sides) if at or self.starts[0] is None else self.starts[0]
+            beta, a = self._solve(self._begin(theta, start - shift, kind), sides, fixed, start, tolerance)
+            _, (known, of_pairs, of_verbs, absorbed) = self._pass(_known, signs, 0, [(2,), (c, c), (c, c), (c, k)])
+            alone = self.fixed_inverse @ (self.x.T @ signs - absorbed)
+            _, through = self._pass(_probe_sums, (a - shift, beta, signs, alone, kind), 0, [(k,), (k,)])
+            parts.append(np.vstack([(a[:, lead:] * signs).sum(axis=0) / self.theta[0], *[-self.theta[0] * t / v**2 for t, v in zip(through, self.theta[1:], strict=True)]]))
+            if at == 0:
+                self.starts[0], response, by_response = a, a[:, :1], beta[:, :1]
+        less = [float((self.fixed_inverse * o).sum()) / v**2 for o, v in zip((of_pairs, of_verbs), self.theta[1:], strict=True)]
+        second = np.zeros((m, 4)) if self.starts[1] is None else self.starts[1]
+        raters, (squares, fixed, absorbed) = self._pass(_first_sums, (response, by_response, second), 6, [(3,), (c, 2), (c, 4)])
+        ypy = float(self.gram[-1, -1] - self.xy[:, 0] @ by_response[:, 0] - self.y[:, 0] @ response[:, 0] - squares[2])
+        s = response / self.theta[0]
         sides = np.hstack([self.x[:, :1] * s, raters[:, :2], s])
         fixed = np.hstack([self.x.T @ s, fixed, np.zeros((c, 1))])
         after, working = self._solve((raters[:, 2:], absorbed), sides, fixed, second, tolerance)
         self.starts[1] = working
-        _, (in_pairs, in_verbs) = self._pass(_second_sums, (a[:, :1], beta[:, :1], working, after), 0, [(4,), (4,)])
-        forms = [(m, p / t, n) for m, p, t, n in zip(self.m, products, self.theta, self.sign_sums, strict=True)]
-        return ypy, np.array([(a[:, 0] ** 2).sum(), *squares[:2]]), forms, np.array([s[:, 0] @ working, in_pairs, in_verbs])
+        _, (in_pairs, in_verbs) = self._pass(_second_sums, (response, by_response, working, after), 0, [(4,), (4,)])
+        products = np.array([s[:, 0] @ working, in_pairs, in_verbs])
+        return ypy, np.array([(response**2).sum(), *squares[:2]]), np.array([0.0, *(known - less)]), np.hstack(parts), products
 
     def fixed_effects(self, theta: np.ndarray, tolerance: float = TOLERANCE) -> np.ndarray:
         """p x (1 + p): fixed effects, then their covariance over the residual variance."""
         p = self.x.shape[1]
         sides, start = np.hstack([self.y, np.zeros((len(self.y), p))]), np.zeros((len(self.y), p + 1))
-        return self._solve(self._begin(theta, start, "fixed"), sides, np.hstack([self.xy, np.eye(p)]), start, tolerance)[0]
+        return self._solve(self._begin(theta, start, "response"), sides, np.hstack([self.xy, np.eye(p)]), start, tolerance)[0]

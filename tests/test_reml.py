@@ -134,3 +134,41 @@ def test_a_large_design_iterates_by_one_job_each(spark, monkeypatch):
     got = R.fit_crossed_reml(spark.createDataFrame(pdf), "y", terms(), "rater", "pair", "verb", probes=40).first()
     assert [got[f"var_{f}"] for f in ("rater", "pair", "verb", "residual")] == pytest.approx(dense_reml(pdf), rel=0.1, abs=0.03)
     assert not staging._tables
+
+
+def test_no_size_decides_how_traces_are_found(spark, monkeypatch):
+    monkeypatch.setattr(R, "WHOLE", 0)
+    pdf = DESIGNS[2]
+    got = R.fit_crossed_reml(spark.createDataFrame(pdf), "y", terms(), "rater", "pair", "verb").first()
+    assert [got[f"var_{f}"] for f in ("rater", "pair", "verb", "residual")] == pytest.approx(dense_reml(pdf), rel=1e-3)
+    assert [got[f"probe_error_{f}"] for f in ("rater", "pair", "verb", "residual")] == [0, 0, 0, 0]
+
+
+def test_tables_and_blocks_solve_the_same_equations_with_the_same_probes(spark):
+    pdf = DESIGNS[1]
+    v = np.array([0.4, 1.5, 0.3, 1.1])
+    with Scratch(spark) as scratch:
+        design = Crossed.build(spark.createDataFrame(pdf), "y", terms(), "rater", "pair", "verb", scratch.stage, scratch.stage_bucketed)
+        blocks = R._in_blocks(design, scratch, 3)
+        want = R._step_in_blocks(blocks, v)
+        scratch.next_round()
+        step = R._Step(design, v, 3, scratch)
+        *got, _ = step.take(*step.first_sides(), [None, None])
+        fixed = R._fixed_over_tables(design, scratch, v[:3] / v[3], 1e-8)
+        assert fixed == pytest.approx(blocks.fixed_effects(v[:3] / v[3]), rel=1e-6, abs=1e-9)
+    for a, b in zip(got, want, strict=True):
+        assert a == pytest.approx(b, rel=1e-5, abs=1e-6 * np.abs(b).max())
+    score, information = dense(pdf, v)
+    assert want[1] == pytest.approx(information, rel=1e-6, abs=1e-6 * np.abs(information).max())
+    assert np.all(np.abs(want[0] - score) <= 6 * np.sqrt(np.diag(want[2])) + 1e-6 * np.abs(score))
+
+
+def test_probes_are_added_until_they_hardly_count():
+    asked = []
+    noise = [np.diag([1e-2, 0, 0, 0]), np.zeros((4, 4))]
+
+    def take(v):
+        return np.eye(4) @ (1.0 - v), np.eye(4), noise[min(len(asked), 1)]
+
+    v, error = R._climb(np.ones(4), take, 40, 1e-4, lambda times: asked.append(times) or True)
+    assert asked == [pytest.approx((0.1 / R.SHARE) ** 2)] and not error.any() and v == pytest.approx(np.ones(4))
