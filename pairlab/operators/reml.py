@@ -8,8 +8,8 @@ sides together and from the last step's solutions, until they are solved.
 
 The traces of pairs and verbs are known but for a part that goes through the raters, so that probes on raters give all three.  Probes
 are random signs; if there would be as many as raters, they are the raters themselves, and traces are exact.  How many are
-taken does not depend on the size of a design but on what they add to the variances' errors: more are taken until that is at most
-``SHARE`` of the standard error of each variance.
+taken does not depend on the size of a design but on what they add to the variances' errors: a fit settles with ``SETTLED`` of them, or
+more until that is at most ``SHARE`` of the standard error of each variance.
 
 Cells lie in blocks of whole verbs and an iteration is one job (``reml_blocks``).  With too many raters or cells of a verb for that,
 level tables stay distributed and the driver sees sums of products only; probes, equations and tolerances are the same.
@@ -38,8 +38,8 @@ from pairlab.sources.staging import Scratch
 
 #: Of ``WholeDesign``, which no fit takes: cells that it is meant for, products of cells and vectors that its exact traces may take, signs a factor.
 WHOLE, TRACE_WORK, PROBES_WHOLE = 1_000_000, 50_000_000, 32
-#: Probes that a fit begins with, and the most that they may add to a variance's standard error, as a share of it.
-PROBES, SHARE = 32, 0.01
+#: Probes that a fit climbs with, those that it settles with at least, and the most that they may add to a variance's standard error, as a share of it.
+PROBES, SETTLED, SHARE = 12, 32, 0.01
 #: Steps before a fit fails; it is settled when no variance moves by more than this share of itself.
 STEPS, TOLERANCE = 40, 1e-4
 
@@ -438,8 +438,8 @@ class _Step:
 def _climb(start: Sequence[float], take, steps: int, tolerance: float, more: Callable[[float], bool] | None = None) -> tuple[np.ndarray, np.ndarray] | None:
     """Average-information steps from ``start``; ``take`` gives score, information and the score's probe noise at variances.
 
-    Where probing adds more than ``SHARE`` of a variance's standard error, ``more`` is told how many times the probes would do, and
-    the steps go on if it takes more.
+    Once settled, ``more`` is told how many times the probes would keep what probing adds at ``SHARE`` of each variance's standard error,
+    and the steps go on if it takes more.
     """
     v = np.array(start, dtype=float)
     v[:3] = np.maximum(v[:3], 1e-3 * v[3])
@@ -459,7 +459,7 @@ def _climb(start: Sequence[float], take, steps: int, tolerance: float, more: Cal
             error[free] = np.sqrt(np.maximum(np.diag(inverse @ noise[np.ix_(free, free)] @ inverse), 0.0))
             usual = np.sqrt(np.maximum(np.diag(inverse), 1e-300))
             times = float(((error[free] / usual / SHARE) ** 2).max())
-            if more is None or times <= 1 or not more(times):
+            if more is None or not more(times):
                 return v, error
     return None
 
@@ -497,9 +497,9 @@ def reml_variances(
 
     def more(times: float) -> bool:
         nonlocal count, starts, sides
-        if count >= design.n_raters:
+        if count >= design.n_raters or (count >= SETTLED and times <= 1):
             return False
-        count, starts, sides = max(2 * count, math.ceil(1.2 * times * count)), [None, None], None
+        count, starts, sides = max(SETTLED, math.ceil(1.2 * max(times, 1) * count)), [None, None], None
         if blocks is not None:
             blocks.probe(_probe_table(design, count))
         return True

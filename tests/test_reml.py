@@ -163,12 +163,20 @@ def test_tables_and_blocks_solve_the_same_equations_with_the_same_probes(spark):
     assert np.all(np.abs(want[0] - score) <= 6 * np.sqrt(np.diag(want[2])) + 1e-6 * np.abs(score))
 
 
-def test_probes_are_added_until_they_hardly_count():
-    asked = []
-    noise = [np.diag([1e-2, 0, 0, 0]), np.zeros((4, 4))]
-
-    def take(v):
-        return np.eye(4) @ (1.0 - v), np.eye(4), noise[min(len(asked), 1)]
-
-    v, error = R._climb(np.ones(4), take, 40, 1e-4, lambda times: asked.append(times) or True)
-    assert asked == [pytest.approx((0.1 / R.SHARE) ** 2)] and not error.any() and v == pytest.approx(np.ones(4))
+def test_probes_are_added_until_they_hardly_count(spark, monkeypatch):
+    asked, noise = [], np.diag([1e-2, 0, 0, 0])
+
+    class Held:
+        def probe(self, table):
+            asked.append(table.shape)
+
+    design = type("Design", (), {"n_raters": 1000})()
+    monkeypatch.setattr(R, "_probe_table", lambda design, count: np.zeros((design.n_raters, min(count, design.n_raters))))
+    monkeypatch.setattr(R, "_step_in_blocks", lambda blocks, v: (1.0 - v, np.eye(4), noise * (10.0 if len(asked) < 2 else 1e-3)))
+    monkeypatch.setattr(R, "SHARE", 0.05)
+    v, error = R.reml_variances(design, None, np.ones(4), blocks=Held())
+    assert asked[0][1] >= R.SETTLED and asked[1] == (1000, 1000) and len(asked) == 2 and v == pytest.approx(np.ones(4))
+    asked.clear()
+    monkeypatch.setattr(R, "_step_in_blocks", lambda blocks, v: (1.0 - v, np.eye(4), noise * 1e-3))
+    R.reml_variances(design, None, np.ones(4), blocks=Held())
+    assert asked == [(1000, R.SETTLED)]
